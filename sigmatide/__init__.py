@@ -1,5 +1,5 @@
 """Volatility analytics for price series, as DataFrame operators keyed by ticker."""
 
-from sigmatide.market import Market
+#from sigmatide.market import Market
 
-__all__ = ["Market"]
+#__all__ = ["Market"]

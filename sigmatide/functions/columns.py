@@ -29,14 +29,12 @@ def whole() -> WindowSpec:
     return by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def running() -> WindowSpec:
-    """From the first row of a ticker up to the current one."""
-    return by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def by_block() -> WindowSpec:
+    """The order of by_time(), sorted on (block, dt).
 
-
-def trailing(rows: int) -> WindowSpec:
-    """The current row and the rows - 1 before it."""
-    return by_time().rowsBetween(-(rows - 1), Window.currentRow)
+    ``block`` grows with dt. Windows after one over (ticker, block) need no new sort this way.
+    """
+    return Window.partitionBy("ticker").orderBy("block", "dt")
 
 
 def root(x: Column) -> Column:

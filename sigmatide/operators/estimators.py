@@ -11,13 +11,11 @@ from sigmatide.functions.columns import (
     ANNUAL,
     NOISE,
     TRADING_DAYS,
+    by_block,
     by_time,
     first_match,
     ratio_change,
     root,
-    running,
-    trailing,
-    whole,
 )
 
 METRICS = ["historical", "parkinson", "garman_klass", "rogers_satchell", "yang_zhang", "ewma"]
@@ -26,142 +24,157 @@ PANEL = ["close", "returns", *METRICS]
 
 def with_returns(bars: DataFrame) -> DataFrame:
     """Bars with ``rn`` (1 = first bar), ``prev_close``, ``returns`` and ``log_returns``."""
+    close, before = F.col("close"), F.col("prev_close")
     return (
         bars.withColumns({
             "rn": F.row_number().over(by_time()),
             "prev_close": F.lag("close").over(by_time()),
         })
         .withColumns({
-            "returns": ratio_change(F.col("close"), F.col("prev_close")),
-            "log_returns": F.ln(F.col("close") / F.col("prev_close")),
+            "returns": ratio_change(close, before),
+            "log_returns": F.ln(close / before),
         })
     )
 
 
-def _full(agg: Column, values: Column, window: int) -> Column:
-    """A trailing aggregate, NULL unless the window holds ``window`` values."""
-    frame = trailing(window)
-    return F.when(F.count(values).over(frame) == window, agg.over(frame))
-
-
-def _log_ratio(a: str, b: str) -> Column:
-    return F.ln(F.col(a) / F.col(b))
-
-
-def _rogers_satchell_term() -> Column:
-    return (_log_ratio("high", "close") * _log_ratio("high", "open")
-            + _log_ratio("low", "close") * _log_ratio("low", "open"))
-
-
-def historical(window: int = 21) -> Column:
-    """Close-to-close: standard deviation of simple returns."""
-    r = F.col("returns")
-    return _full(F.stddev_samp(r), r, window) * ANNUAL
-
-
-def parkinson(window: int = 21) -> Column:
-    """High-low range."""
-    x = F.pow(_log_ratio("high", "low"), F.lit(2.0))
-    return root(_full(F.avg(x), x, window) * (TRADING_DAYS / (4 * math.log(2))))
-
-
-def garman_klass(window: int = 21) -> Column:
-    """Range and open-to-close; no overnight term."""
-    x = (0.5 * F.pow(_log_ratio("high", "low"), F.lit(2.0))
-         - (2 * math.log(2) - 1) * F.pow(_log_ratio("close", "open"), F.lit(2.0)))
-    return root(_full(F.avg(x), x, window) * TRADING_DAYS)
-
+def _decay(span: int) -> float:
+    if span <= 1:
+        raise ValueError("span must exceed 1")
+    return 1 - 2 / (span + 1)
 
-def rogers_satchell(window: int = 21) -> Column:
-    """Range with drift."""
-    x = _rogers_satchell_term()
-    return root(_full(F.avg(x), x, window) * TRADING_DAYS)
 
+def _power(base: float, exponent: Column) -> Column:
+    return F.pow(F.lit(base), exponent)
 
-def yang_zhang(window: int = 21) -> Column:
-    """Overnight, open-to-close and range variance combined."""
-    overnight = F.ln(F.col("open") / F.col("prev_close"))
-    intraday = _log_ratio("close", "open")
-    range_term = _rogers_satchell_term()
-    k = 0.34 / (1.34 + (window + 1) / (window - 1))
-    variance = (_full(F.var_samp(overnight), overnight, window)
-                + k * _full(F.var_samp(intraday), intraday, window)
-                + (1 - k) * _full(F.avg(range_term), range_term, window))
-    return root(variance * TRADING_DAYS)
 
-
-def with_ewma(bars: DataFrame, span: int = 21, block_rows: int | None = None) -> DataFrame:
+def with_ewma(returns: DataFrame, span: int = 21, block_rows: int | None = None) -> DataFrame:
     """Add ``ewma``: bias-corrected exponentially weighted deviation of ``returns``.
 
     With q = 1 - 2/(span + 1) the weighted sums are running sums of r * q^-k. To keep q^-k
     in range, a long series is cut into blocks of ``block_rows``; a row takes its own block's
     sum plus the decayed sum at the end of the block before. Older blocks weigh q^block_rows,
     1e-250 by default, and cannot change a double.
+
+    Also adds ``block``: later windows ordered by (block, dt) reuse the sort made here.
     """
-    if span <= 1:
-        raise ValueError("span must exceed 1")
-    q = 1 - 2 / (span + 1)
+    q = _decay(span)
     if block_rows is None:
         block_rows = max(1, int(250 * math.log(10) / -math.log(q)))
     i = F.col("rn") - 2  # number of the return, from 0
-    k = F.col("_k")
-    in_block = (Window.partitionBy("ticker", "_block").orderBy("dt")
+    k, r = F.col("_k"), F.col("returns")
+    in_block = (Window.partitionBy("ticker", "block").orderBy("dt")
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = by_time().rowsBetween(Window.unboundedPreceding, -1)
-    closes_block = k == block_rows - 1
+    before = by_block().rowsBetween(Window.unboundedPreceding, -1)
 
-    df = bars.withColumns({
-        "_block": F.floor(i / block_rows),
+    def block_end(name: str) -> Column:
+        value = F.when(k == block_rows - 1, F.col(name))
+        return F.coalesce(F.last(value, ignorenulls=True).over(before), F.lit(0.0))
+
+    df = returns.withColumns({
+        "block": F.floor(i / block_rows),
         "_k": F.pmod(i, F.lit(block_rows)).cast("double"),
+        "_q_i": _power(q, (i + 1).cast("double")),
     })
     df = df.withColumns({
-        "_s1": F.pow(F.lit(q), k) * F.sum(F.col("returns") * F.pow(F.lit(q), -k)).over(in_block),
-        "_s2": F.pow(F.lit(q), k)
-        * F.sum(F.col("returns") * F.col("returns") * F.pow(F.lit(q), -k)).over(in_block),
+        "_s1": _power(q, k) * F.sum(r * _power(q, -k)).over(in_block),
+        "_s2": _power(q, k) * F.sum(r * r * _power(q, -k)).over(in_block),
+        "_s0": (1 - F.col("_q_i")) / (1 - q),
+        "_q0": (1 - F.col("_q_i") * F.col("_q_i")) / (1 - q * q),
     })
     df = df.withColumns({
-        f"_c{n}": F.coalesce(
-            F.last(F.when(closes_block & (i >= 0), F.col(f"_s{n}")), ignorenulls=True).over(before),
-            F.lit(0.0))
-        for n in (1, 2)
+        "_mean": (F.col("_s1") + _power(q, k + 1) * block_end("_s1")) / F.col("_s0"),
+        "_square": (F.col("_s2") + _power(q, k + 1) * block_end("_s2")) / F.col("_s0"),
     })
-    decay = F.pow(F.lit(q), k + 1)
-    s1 = F.col("_s1") + decay * F.col("_c1")
-    s2 = F.col("_s2") + decay * F.col("_c2")
-    s0 = (1 - F.pow(F.lit(q), i + 1)) / (1 - q)
-    q0 = (1 - F.pow(F.lit(q * q), i + 1)) / (1 - q * q)
-    mean = s1 / s0
-    variance = F.greatest(s2 / s0 - mean * mean, F.lit(0.0)) * s0 * s0 / (s0 * s0 - q0)
+    s0, mean = F.col("_s0"), F.col("_mean")
+    variance = F.greatest(F.col("_square") - mean * mean, F.lit(0.0)) * F.try_divide(
+        s0 * s0, s0 * s0 - F.col("_q0"))
     return (
         df.withColumn("ewma", F.when(i >= 1, F.sqrt(variance)) * ANNUAL)
-        .drop("_block", "_k", "_s1", "_s2", "_c1", "_c2")
+        .drop("_k", "_q_i", "_s0", "_q0", "_s1", "_s2", "_mean", "_square")
     )
 
 
-def volatility_frame(bars: DataFrame, window: int = 21) -> DataFrame:
-    """Every bar with returns and estimators; NULL where a window is not full.
+def _price_terms() -> dict[str, Column]:
+    """Per-bar terms whose trailing mean or variance makes up the estimators."""
+    def log(a: str, b: str) -> Column:
+        return F.ln(F.col(a) / F.col(b))
+
+    return {
+        "_range": log("high", "low"),
+        "_intraday": log("close", "open"),
+        "_overnight": log("open", "prev_close"),
+        "_drift": log("high", "close") * log("high", "open")
+        + log("low", "close") * log("low", "open"),
+    }
+
+
+def _moments(window: int) -> dict[str, Column]:
+    frame = by_block().rowsBetween(-(window - 1), Window.currentRow)
+    span, intraday = F.col("_range"), F.col("_intraday")
+    return {
+        "_sd_returns": F.stddev_samp("returns").over(frame),
+        "_mean_range": F.avg(span * span).over(frame),
+        "_mean_gk": F.avg(0.5 * (span * span)
+                          - (2 * math.log(2) - 1) * (intraday * intraday)).over(frame),
+        "_mean_drift": F.avg("_drift").over(frame),
+        "_var_overnight": F.var_samp("_overnight").over(frame),
+        "_var_intraday": F.var_samp(intraday).over(frame),
+    }
+
 
-    ``panel_row`` counts the complete rows from the first, ``n_panel`` is their number and
-    ``bars_from_end`` ranks all bars from the last (1). One shuffle by ticker.
+def _estimators(window: int) -> dict[str, Column]:
+    """Annualised volatilities, NULL unless ``window`` values are there.
+
+    Valid bars lack only the first return, so the row number tells whether a window is full.
     """
-    df = with_ewma(with_returns(bars), span=window)
-    df = df.withColumns({
-        "historical": historical(window),
-        "parkinson": parkinson(window),
-        "garman_klass": garman_klass(window),
-        "rogers_satchell": rogers_satchell(window),
-        "yang_zhang": yang_zhang(window),
-    })
-    complete = F.lit(True)
-    for name in PANEL:
-        complete = complete & F.col(name).isNotNull()
-    df = df.withColumn("in_panel", complete)
+    k = 0.34 / (1.34 + (window + 1) / (window - 1))
+    bars_full, returns_full = F.col("rn") >= window, F.col("rn") > window
+    combined = (F.col("_var_overnight") + k * F.col("_var_intraday")
+                + (1 - k) * F.col("_mean_drift"))
+    return {
+        # Close-to-close.
+        "historical": F.when(returns_full, F.col("_sd_returns") * ANNUAL),
+        # High-low range.
+        "parkinson": F.when(
+            bars_full, root(F.col("_mean_range") * (TRADING_DAYS / (4 * math.log(2))))),
+        # Range and open-to-close; no overnight term.
+        "garman_klass": F.when(bars_full, root(F.col("_mean_gk") * TRADING_DAYS)),
+        # Range allowing for drift.
+        "rogers_satchell": F.when(bars_full, root(F.col("_mean_drift") * TRADING_DAYS)),
+        # Overnight, open-to-close and range variance combined.
+        "yang_zhang": F.when(returns_full, root(combined * TRADING_DAYS)),
+    }
+
+
+def volatility_frame(bars: DataFrame, window: int = 21, span: int | None = None) -> DataFrame:
+    """Every valid bar with returns and estimators; NULL where a window is not full.
+
+    ``in_panel`` marks the rows where all of them exist. ``panel_age`` ranks those from the
+    last (1), ``n_panel`` is their number, ``bar_age`` ranks all bars from the last, and
+    ``last_yang_zhang`` is the latest panel value. One shuffle by ticker and two sorts;
+    columns that a caller does not select are not computed.
+    """
+    df = with_ewma(with_returns(bars), span=window if span is None else span)
+    df = df.withColumns(_price_terms()).withColumns(_moments(window))
+    df = df.withColumns(_estimators(window))
+    df = df.withColumn("in_panel", F.expr(" and ".join(f"{c} is not null" for c in PANEL)))
+
     hit = F.when(F.col("in_panel"), F.lit(1))
-    return df.withColumns({
-        "panel_row": F.count(hit).over(running()),
-        "n_panel": F.count(hit).over(whole()),
-        "bars_from_end": F.count(F.lit(1)).over(whole()) - F.col("rn") + 1,
+    everything = by_block().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rest = by_block().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    df = df.withColumns({
+        "panel_age": F.when(F.col("in_panel"), F.count(hit).over(rest)),
+        "n_panel": F.count(hit).over(everything),
+        "bar_age": F.count(F.lit(1)).over(everything) - F.col("rn") + 1,
+        "last_yang_zhang": F.last(F.when(F.col("in_panel"), F.col("yang_zhang")),
+                                  ignorenulls=True).over(everything),
     })
+    return df.drop(*_price_terms(), *_moments(window))
+
+
+def estimator(bars: DataFrame, name: str, window: int = 21) -> DataFrame:
+    """One estimator for every bar (ticker, dt, value), NULL during warm-up."""
+    return volatility_frame(bars, window).select("ticker", "dt", name)
 
 
 def vol_panel(bars: DataFrame, window: int = 21) -> DataFrame:
@@ -169,18 +182,12 @@ def vol_panel(bars: DataFrame, window: int = 21) -> DataFrame:
     return volatility_frame(bars, window).filter("in_panel").select("ticker", "dt", *PANEL)
 
 
-def panel_by_age(frame: DataFrame) -> DataFrame:
-    """Panel rows of a volatility_frame with ``age`` (1 = latest) and the last Yang-Zhang."""
-    return (
-        frame.filter("in_panel")
-        .withColumn("age", F.col("n_panel") - F.col("panel_row") + 1)
-        .withColumn("last_yang_zhang", F.last("yang_zhang").over(whole()))
-    )
-
-
-def share_below(values: Column, current: Column) -> Column:
-    """Aggregate: percentage of values strictly below the current one."""
-    return F.count_if(values < current - NOISE) / F.count(F.lit(1)) * 100
+def panel_percentile() -> Column:
+    """Aggregate over a volatility_frame: percentage of the panel's Yang-Zhang values that
+    are strictly below the last one."""
+    panel = F.col("in_panel")
+    below = panel & (F.col("yang_zhang") < F.col("last_yang_zhang") - NOISE)
+    return F.try_divide(F.count_if(below), F.count_if(panel)) * 100
 
 
 def regime_label(percentile: Column) -> Column:
@@ -193,8 +200,9 @@ def vol_summary(bars: DataFrame, window: int = 21) -> DataFrame:
 
     Aggregated wide and turned to rows afterwards, so the panel is not multiplied.
     """
-    panel = vol_panel(bars, window)
-    panel = panel.withColumns({f"last_{m}": F.last(m).over(whole()) for m in METRICS})
+    everything = by_block().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    panel = volatility_frame(bars, window).filter("in_panel")
+    panel = panel.withColumns({f"last_{m}": F.last(m).over(everything) for m in METRICS})
     wide = panel.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("data_points"),
         F.max_by("close", "dt").alias("current_price"),
@@ -205,7 +213,8 @@ def vol_summary(bars: DataFrame, window: int = 21) -> DataFrame:
                 F.avg(m).alias("average"),
                 F.min(m).alias("min"),
                 F.max(m).alias("max"),
-                share_below(F.col(m), F.col(f"last_{m}")).alias("percentile"),
+                (F.count_if(F.col(m) < F.col(f"last_{m}") - NOISE) / F.count(F.lit(1)) * 100)
+                .alias("percentile"),
             ).alias(m)
             for m in METRICS
         ],
@@ -215,12 +224,12 @@ def vol_summary(bars: DataFrame, window: int = 21) -> DataFrame:
 
 def vol_regime(bars: DataFrame, window: int = 21) -> DataFrame:
     """Percentile of the last Yang-Zhang value within the panel, and its regime."""
-    rows = panel_by_age(volatility_frame(bars, window))
     return (
-        rows.groupBy("ticker").agg(
+        volatility_frame(bars, window).groupBy("ticker").agg(
             F.max("last_yang_zhang").alias("current"),
-            share_below(F.col("yang_zhang"), F.col("last_yang_zhang")).alias("percentile"),
+            panel_percentile().alias("percentile"),
         )
+        .filter("current is not null")
         .withColumn("regime", regime_label(F.col("percentile")))
     )
 

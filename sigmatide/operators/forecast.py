@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigmatide.functions.columns import NOISE, TRADING_DAYS, business_day, first_match, whole
+from sigmatide.functions.columns import TRADING_DAYS, by_block, business_day, first_match, whole
 from sigmatide.operators.estimators import (
-    panel_by_age,
+    panel_percentile,
     regime_label,
     volatility_frame,
     with_ewma,
@@ -19,6 +19,7 @@ from sigmatide.operators.estimators import (
 REVERSION_SPEED = 0.03
 MIN_CONFIDENCE = 0.3
 RANGE_DAYS = 30
+RECENT = 21
 
 
 def business_days(last: DataFrame, days: int = 30) -> DataFrame:
@@ -76,25 +77,17 @@ def ticker_state(bars: DataFrame, window: int = 21) -> DataFrame:
     Price, last Yang-Zhang, its percentile and regime, EWMA state, and the ordered returns
     (in percent) for the variance model. The list holds at most one value per calendar day.
     """
-    frame = volatility_frame(bars, window)
-    frame = frame.withColumns({
-        "age": F.col("n_panel") - F.col("panel_row") + 1,
-        "last_yang_zhang": F.last(F.when(F.col("in_panel"), F.col("yang_zhang")),
-                                  ignorenulls=True).over(whole()),
-    })
-    panel = F.col("in_panel")
+    frame = volatility_frame(bars, window, span=21)
     state = frame.groupBy("ticker").agg(
         F.max("dt").alias("dt"),
-        F.count_if(panel).alias("data_points"),
-        F.max_by(F.col("close"), F.when(panel, F.col("dt"))).alias("current_price"),
+        F.count_if("in_panel").alias("data_points"),
+        F.max(F.when(F.col("panel_age") == 1, F.col("close"))).alias("current_price"),
         F.max("last_yang_zhang").alias("current_volatility"),
-        (F.try_divide(
-            F.count_if(panel & (F.col("yang_zhang") < F.col("last_yang_zhang") - NOISE)),
-            F.count_if(panel)) * 100).alias("percentile"),
+        panel_percentile().alias("percentile"),
         F.max_by("ewma", "dt").alias("ewma_last"),
         F.avg("ewma").alias("ewma_mean"),
-        F.stddev_samp(F.when(F.col("bars_from_end") <= 21, F.col("ewma"))).alias("ewma_spread"),
-        ordered_returns(),
+        F.stddev_samp(F.when(F.col("bar_age") <= RECENT, F.col("ewma"))).alias("ewma_spread"),
+        *return_aggregates(),
     )
     return state.filter("data_points > 0").withColumns({
         "regime": regime_label(F.col("percentile")),
@@ -107,13 +100,20 @@ def _return_list() -> Column:
     return F.array_sort(F.collect_list(day))
 
 
-def ordered_returns() -> Column:
-    """Aggregate: a ticker's returns in percent, oldest first (NULLs left out)."""
-    return F.transform(_return_list(), lambda x: x["r"]).alias("pct_returns")
+def return_aggregates() -> list[Column]:
+    """Aggregates: a ticker's returns in percent, oldest first (NULLs left out), with their
+    number, mean and range."""
+    pct = F.col("returns") * 100
+    return [
+        F.transform(_return_list(), lambda x: x["r"]).alias("pct_returns"),
+        F.count("returns").alias("n_obs"),
+        F.avg(pct).alias("mu"),
+        (F.max(pct) - F.min(pct)).alias("return_range"),
+    ]
 
 
 def ordered_days() -> Column:
-    """Aggregate: the days of ordered_returns()."""
+    """Aggregate: the days of the returns in return_aggregates()."""
     return F.transform(_return_list(), lambda x: x["dt"]).alias("return_days")
 
 
@@ -209,10 +209,10 @@ def price_cone(forecast: DataFrame) -> DataFrame:
 
 def vol_histogram(bars: DataFrame, bins: int = 50, window: int = 21) -> DataFrame:
     """Counts of the Yang-Zhang values in ``bins`` equal-width bins per ticker."""
-    panel = panel_by_age(volatility_frame(bars, window))
-    panel = panel.withColumns({
-        "lowest": F.min("yang_zhang").over(whole()),
-        "highest": F.max("yang_zhang").over(whole()),
+    everything = by_block().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    panel = volatility_frame(bars, window).filter("in_panel").withColumns({
+        "lowest": F.min("yang_zhang").over(everything),
+        "highest": F.max("yang_zhang").over(everything),
     })
     lowest, highest = F.col("lowest"), F.col("highest")
     place = F.floor((F.col("yang_zhang") - lowest) / (highest - lowest) * bins) + 1
@@ -233,7 +233,7 @@ def vol_histogram(bars: DataFrame, bins: int = 50, window: int = 21) -> DataFram
 def recent_tail(bars: DataFrame, rows: int = 60, window: int = 21) -> DataFrame:
     """Close and Yang-Zhang of the last ``rows`` panel rows."""
     return (
-        panel_by_age(volatility_frame(bars, window))
-        .filter(F.col("age") <= rows)
-        .select("ticker", "dt", "age", "close", "yang_zhang")
+        volatility_frame(bars, window)
+        .filter(F.col("panel_age") <= rows)
+        .select("ticker", "dt", F.col("panel_age").alias("age"), "close", "yang_zhang")
     )

@@ -89,9 +89,9 @@ def news_category(title: Column) -> Column:
 
 
 def news_latest(news: DataFrame, rows: int = NEWS_KEPT) -> DataFrame:
-    """The newest ``rows`` items with their category; equal times go by ticker and title."""
+    """The newest ``rows`` items with their category; equal times keep the feed's order."""
     return (
-        news.orderBy(F.desc("time"), "ticker", "title").limit(rows)
+        news.orderBy(F.desc("time"), "pos", "ord").limit(rows)
         .withColumn("category", news_category(F.col("title")))
     )
 
@@ -100,4 +100,4 @@ def news_by_category(latest: DataFrame, category: str | None = None,
                      rows: int = NEWS_SHOWN) -> DataFrame:
     """The newest ``rows`` of the kept items in a category (all without one)."""
     chosen = latest if category is None else latest.filter(F.col("category") == category)
-    return chosen.orderBy(F.desc("time"), "ticker", "title").limit(rows)
+    return chosen.orderBy(F.desc("time"), "pos", "ord").limit(rows)

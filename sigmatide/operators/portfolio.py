@@ -5,14 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigmatide.functions.columns import (
-    NOISE,
-    TRADING_DAYS,
-    points,
-    ratio_change,
-    running,
-)
-from sigmatide.operators.estimators import panel_by_age, regime_label, volatility_frame
+from sigmatide.functions.columns import TRADING_DAYS, by_block, points, ratio_change
+from sigmatide.operators.estimators import panel_percentile, regime_label, volatility_frame
 from sigmatide.sources.bars import min_history
 from sigmatide.sources.dimensions import PORTFOLIO_WEIGHTS, PORTFOLIOS
 
@@ -23,22 +17,23 @@ RANKING_ROWS = 20
 PICKS = {name: picks for name, _, _, _, _, picks, _ in PORTFOLIOS}
 
 
-def _aged_panel(bars: DataFrame) -> DataFrame:
-    return panel_by_age(volatility_frame(min_history(bars, MIN_BARS)))
+def _frame(bars: DataFrame) -> DataFrame:
+    return volatility_frame(min_history(bars, MIN_BARS))
 
 
-def _drawdown_column(panel: DataFrame) -> DataFrame:
+def _drawdown_column(frame: DataFrame) -> DataFrame:
     """Add ``drawdown`` from the running maximum of the last 252 panel rows."""
-    in_year = F.when(F.col("age") <= TRADING_DAYS, F.col("close"))
-    peak = F.max(in_year).over(running())
-    return panel.withColumn("peak", peak).withColumn(
+    in_year = F.when(F.col("panel_age") <= TRADING_DAYS, F.col("close"))
+    peak = F.max(in_year).over(
+        by_block().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return frame.withColumn("peak", peak).withColumn(
         "drawdown", (in_year - F.col("peak")) / F.col("peak"))
 
 
 def _trend_slope() -> Column:
     """Aggregate: least-squares slope of the last 60 closes per row."""
-    recent = F.col("age") <= TREND_ROWS
-    return F.regr_slope(F.when(recent, F.col("close")), F.when(recent, -F.col("age").cast("double")))
+    recent = F.col("panel_age") <= TREND_ROWS
+    return F.regr_slope(F.when(recent, F.col("close")), F.when(recent, -F.col("panel_age").cast("double")))
 
 
 def invest_metrics(bars: DataFrame) -> DataFrame:
@@ -47,21 +42,20 @@ def invest_metrics(bars: DataFrame) -> DataFrame:
     A return starts at the 252nd / 126th panel row from the end, or at the first row of a
     shorter panel. All of it is one aggregation after one shuffle by ticker.
     """
-    panel = _drawdown_column(_aged_panel(bars))
+    frame = _drawdown_column(_frame(bars))
 
     def close_at(age: int) -> Column:
-        return F.max(F.when(F.col("age") == F.least(F.lit(age), F.col("n_panel")), F.col("close")))
+        return F.max(F.when(F.col("panel_age") == F.least(F.lit(age), F.col("n_panel")), F.col("close")))
 
-    below = F.count_if(F.col("yang_zhang") < F.col("last_yang_zhang") - NOISE)
-    per_ticker = panel.groupBy("ticker").agg(
+    per_ticker = frame.groupBy("ticker").agg(
         close_at(1).alias("price"),
         F.max("last_yang_zhang").alias("volatility"),
         close_at(TRADING_DAYS).alias("close_1y"),
         close_at(HALF_YEAR).alias("close_6m"),
         F.min("drawdown").alias("max_drawdown"),
         _trend_slope().alias("slope"),
-        (below / F.count(F.lit(1)) * 100).alias("percentile"),
-    )
+        panel_percentile().alias("percentile"),
+    ).filter("price is not null")
     price, vol, year = F.col("price"), F.col("volatility"), F.col("return_1y")
     return (
         per_ticker.withColumns({
@@ -78,16 +72,16 @@ def invest_metrics(bars: DataFrame) -> DataFrame:
 
 def max_drawdown(bars: DataFrame) -> DataFrame:
     """Deepest fall from the running maximum within the last 252 panel rows."""
-    return (_drawdown_column(_aged_panel(bars)).groupBy("ticker")
+    return (_drawdown_column(_frame(bars)).groupBy("ticker")
             .agg(F.min("drawdown").alias("max_drawdown")))
 
 
 def trend_strength(bars: DataFrame) -> DataFrame:
     """Slope of the last 60 closes, relative to the price and per year."""
     return (
-        _aged_panel(bars).groupBy("ticker")
+        _frame(bars).groupBy("ticker")
         .agg(_trend_slope().alias("slope"),
-             F.max(F.when(F.col("age") == 1, F.col("close"))).alias("price"))
+             F.max(F.when(F.col("panel_age") == 1, F.col("close"))).alias("price"))
         .select("ticker", (F.col("slope") / F.col("price") * TRADING_DAYS).alias("trend_strength"))
     )
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigmatide.functions.columns import NOISE, first_match, points, ratio_change, whole
-from sigmatide.operators.estimators import regime_label, volatility_frame
+from sigmatide.functions.columns import first_match, points, ratio_change
+from sigmatide.operators.estimators import panel_percentile, regime_label, volatility_frame
 from sigmatide.sources.bars import min_history
 
 MIN_BARS = 30
@@ -22,24 +22,18 @@ def screen_metrics(bars: DataFrame, window: int = 21) -> DataFrame:
     shorter than k. Dollar volume averages the last raw bars.
     """
     frame = volatility_frame(min_history(bars, MIN_BARS), window)
-    frame = frame.withColumns({
-        "age": F.when(F.col("in_panel"), F.col("n_panel") - F.col("panel_row") + 1),
-        "last_yz": F.last(F.when(F.col("in_panel"), F.col("yang_zhang")), ignorenulls=True)
-        .over(whole()),
-    })
-    panel_yz = F.when(F.col("in_panel"), F.col("yang_zhang"))
 
     def close_at(age: int) -> Column:
-        return F.max(F.when(F.col("age") == age, F.col("close")))
+        return F.max(F.when(F.col("panel_age") == age, F.col("close")))
 
     def change(age: int) -> Column:
         return F.coalesce(ratio_change(F.col("price"), F.col(f"close_{age}")), F.lit(0.0))
 
     per_ticker = frame.groupBy("ticker").agg(
         close_at(1).alias("price"), close_at(5).alias("close_5"), close_at(20).alias("close_20"),
-        F.max("last_yz").alias("volatility"),
-        F.avg(panel_yz).alias("avg_volatility"),
-        F.avg(F.when(F.col("bars_from_end") <= VOLUME_BARS, F.col("close") * F.col("volume")))
+        F.max("last_yang_zhang").alias("volatility"),
+        F.avg(F.when(F.col("in_panel"), F.col("yang_zhang"))).alias("avg_volatility"),
+        F.avg(F.when(F.col("bar_age") <= VOLUME_BARS, F.col("close") * F.col("volume")))
         .alias("dollar_volume"),
         panel_percentile().alias("percentile"),
     )
@@ -54,12 +48,6 @@ def screen_metrics(bars: DataFrame, window: int = 21) -> DataFrame:
     )
 
 
-def panel_percentile() -> Column:
-    """Aggregate over a volatility_frame with last_yz: percentile of the last Yang-Zhang."""
-    below = F.count_if(F.col("in_panel") & (F.col("yang_zhang") < F.col("last_yz") - NOISE))
-    return F.try_divide(below, F.count_if(F.col("in_panel"))) * 100
-
-
 def score_daytrade() -> Column:
     """High volatility, liquidity and recent movement."""
     regime, vol, dollars = F.col("regime"), F.col("volatility"), F.col("dollar_volume")

@@ -18,6 +18,12 @@ def news_items(feeds: DataFrame, per_ticker: int = 3) -> DataFrame:
         "ticker", F.posexplode(F.slice("news", 1, per_ticker)).alias("ord", "item"))
 
 
+def news_tickers(items: DataFrame, universe: DataFrame, tickers: int = 15) -> DataFrame:
+    """Items of the first ``tickers`` of a universe, with the ticker's place ``pos``."""
+    place = universe.filter(F.col("pos") <= tickers).select("ticker", "pos")
+    return items.join(place, "ticker")
+
+
 def first_items(items: DataFrame, per_ticker: int = 3) -> DataFrame:
     """The first ``per_ticker`` items per ticker by ``ord``, without building any list.
 
@@ -42,10 +48,10 @@ def item_time(item: Column) -> Column:
 
 
 def news_flatten(items: DataFrame) -> DataFrame:
-    """(ticker, item) to title, link, publisher and time; the nested form wins over the flat."""
+    """(ticker, pos, ord, item) to title, link, publisher and time; nested wins over flat."""
     item, content = F.col("item"), F.col("item.content")
     return items.select(
-        "ticker",
+        "ticker", "pos", "ord",
         F.coalesce(content["title"], item["title"], F.lit("No title")).alias("title"),
         F.coalesce(content["clickThroughUrl"]["url"], item["link"], F.lit("#")).alias("link"),
         F.coalesce(content["provider"]["displayName"], item["publisher"], F.lit("Unknown"))
