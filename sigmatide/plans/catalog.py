@@ -31,7 +31,9 @@ ALPHA, BETA = 0.08, 0.90  # the fixed model of the single-step GARCH queries
 HISTORY_GATE = 1500
 INVESTMENT = 50_000.0
 TICK_WIDTH, TICK_DELAY = "1 hour", "1 hour"
-OHLC = {c: 4 for c in ("open", "high", "low", "close")}
+# Raw prices may have seven decimals, so fewer digits would put some of them on a tie.
+EXACT = 8
+OHLC = {c: EXACT for c in ("open", "high", "low", "close")}
 
 _QUERIES: dict[str, Query] = {}
 
@@ -79,7 +81,7 @@ def min_history(t):
 
 @query
 def scan_ticker_info(t):
-    return present(di.scan_ticker_info(t.universe(), t.ticker_info()), week52_high=4, week52_low=4)
+    return present(di.scan_ticker_info(t.universe(), t.ticker_info()), week52_high=EXACT, week52_low=EXACT)
 
 
 @query
@@ -110,12 +112,12 @@ for _metric in es.METRICS:
 
 @query
 def vol_panel(t):
-    return present(es.vol_panel(t.bars()), close=4)
+    return present(es.vol_panel(t.bars()), close=EXACT)
 
 
 @query
 def vol_summary(t):
-    return present(es.vol_summary(t.bars()), current_price=4)
+    return present(es.vol_summary(t.bars()), current_price=EXACT)
 
 
 @query
@@ -233,13 +235,13 @@ def _bundle(t):
 
 @query
 def predict_bundle(t):
-    return present(_bundle(t), current_price=4)
+    return present(_bundle(t), current_price=EXACT)
 
 
 @query
 def trading_signals(t):
     signals = fc.trading_signals(_bundle(t))
-    return present(signals.drop("recommendations"), current_price=4, daily_low=4, daily_high=4,
+    return present(signals.drop("recommendations"), current_price=EXACT, daily_low=4, daily_high=4,
                    d30_low=4, d30_high=4)
 
 
@@ -253,7 +255,7 @@ def volatility_recommendations(t):
 @query
 def price_cone(t):
     forecast = _bundle(t).withColumnRenamed("garch_volatility", "volatility")
-    return present(fc.price_cone(forecast), expected_price=4, lower_1sd=4, upper_1sd=4,
+    return present(fc.price_cone(forecast), expected_price=EXACT, lower_1sd=4, upper_1sd=4,
                    lower_2sd=4, upper_2sd=4)
 
 
@@ -264,7 +266,7 @@ def vol_histogram(t):
 
 @query
 def recent_tail(t):
-    return present(fc.recent_tail(t.bars()), close=4)
+    return present(fc.recent_tail(t.bars()), close=EXACT)
 
 
 # Screener
@@ -275,7 +277,7 @@ def _screen(t):
 
 @query
 def screen_metrics(t):
-    return present(sc.screen_metrics(t.bars("6mo")), price=4, dollar_volume=2)
+    return present(sc.screen_metrics(t.bars("6mo")), price=EXACT, dollar_volume=0)
 
 
 @query
@@ -295,14 +297,14 @@ def score_longterm(t):
 
 @query
 def screen_top50(t):
-    return present(sc.screen_top(_screen(t)), price=4, dollar_volume=2)
+    return present(sc.screen_top(_screen(t)), price=EXACT, dollar_volume=0)
 
 
 # Portfolio
 
 @query
 def invest_metrics(t):
-    return present(po.invest_metrics(t.bars("2y")), price=4)
+    return present(po.invest_metrics(t.bars("2y")), price=EXACT)
 
 
 @query
@@ -329,7 +331,7 @@ def portfolio_picks(t):
 @query
 def portfolio_allocation(t):
     picks = po.portfolio_picks(po.invest_score(po.invest_metrics(t.bars("2y"))))
-    return present(po.portfolio_allocation(picks, INVESTMENT), price=4, dollars=2)
+    return present(po.portfolio_allocation(picks, INVESTMENT), price=EXACT, dollars=2)
 
 
 # Analyzer
@@ -340,7 +342,7 @@ def _positioned(t):
 
 @query
 def analyzer_metrics(t):
-    return present(an.analyzer_metrics(t.bars("3mo")), price=4, ma_20=4, ma_50=4)
+    return present(an.analyzer_metrics(t.bars("3mo")), price=EXACT, ma_20=4, ma_50=4)
 
 
 @query
@@ -391,25 +393,25 @@ LIST_COLUMNS = ["ticker", "name", "price", "signal", "score", "ret_5d", "ret_20d
 
 @query
 def buy_list(t):
-    return present(_buy_list(t).select(*LIST_COLUMNS), price=4)
+    return present(_buy_list(t).select(*LIST_COLUMNS), price=EXACT)
 
 
 @query
 def price_band_filter(t):
-    return present(an.price_band_filter(_buy_list(t), "10-100").select(*LIST_COLUMNS), price=4)
+    return present(an.price_band_filter(_buy_list(t), "10-100").select(*LIST_COLUMNS), price=EXACT)
 
 
 # Movers and news
 
 @query
 def mover_metrics(t):
-    return present(mb.mover_metrics(t.bars(), t.ticker_info()), price=4, high_52w=4, low_52w=4)
+    return present(mb.mover_metrics(t.bars(), t.ticker_info()), price=EXACT, high_52w=EXACT, low_52w=EXACT)
 
 
 @query
 def movers_top10(t):
     return present(mb.movers_top(mb.mover_metrics(t.bars(), t.ticker_info()), t.universe()),
-                   price=4, high_52w=4, low_52w=4)
+                   price=EXACT, high_52w=EXACT, low_52w=EXACT)
 
 
 @query
