@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sigmatide.functions.columns import by_time, whole
 from sigmatide.operators.estimators import vol_panel
 from sigmatide.operators.forecast import business_days
+from sigmatide.session import staged
 
 FEATURES = ["returns", "historical", "ewma"]
 TARGET = "yang_zhang"
@@ -52,13 +53,8 @@ def minmax_scale(panel: DataFrame, train_fraction: float | None = None) -> DataF
     )
 
 
-def _steps(rows: Column) -> Column:
-    """Array of scaled feature structs to one flat array, row after row."""
-    return F.flatten(F.transform(rows, lambda x: F.array(*[x[c] for c in FEATURES])))
-
-
 def _feature_row() -> Column:
-    return F.struct(*[F.col(f"{c}_scaled").alias(c) for c in FEATURES])
+    return F.array(*[F.col(f"{c}_scaled") for c in FEATURES])
 
 
 def lag_sequences(scaled: DataFrame, lookback: int = 60) -> DataFrame:
@@ -71,7 +67,7 @@ def lag_sequences(scaled: DataFrame, lookback: int = 60) -> DataFrame:
         scaled.withColumn("_rows", F.collect_list(_feature_row()).over(before))
         .filter(F.size("_rows") == lookback)
         .select(
-            "ticker", "dt", _steps(F.col("_rows")).alias("steps"),
+            "ticker", "dt", F.flatten("_rows").alias("steps"),
             F.col(f"{TARGET}_scaled").alias("target"),
             F.col(TARGET).alias("actual"),
             f"{TARGET}_min", f"{TARGET}_range",
@@ -98,18 +94,20 @@ def lag_regression_fit(split: DataFrame, ridge: float = 1e-6) -> LinearRegressio
     return LinearRegression(solver="normal", regParam=ridge, standardization=False).fit(rows)
 
 
+def lag_predictions(split: DataFrame, model: LinearRegressionModel) -> DataFrame:
+    """Unscaled one-step predictions next to the actual values."""
+    rows = split.withColumn("features", array_to_vector("steps"))
+    predicted = F.col("prediction") * F.col(f"{TARGET}_range") + F.col(f"{TARGET}_min")
+    return model.transform(rows).select("ticker", "dt", "is_train", "actual",
+                                        predicted.alias("predicted"))
+
+
 def _dot(steps: Column, model: LinearRegressionModel) -> Column:
     weights = F.array(*[F.lit(float(c)) for c in model.coefficients])
     products = F.zip_with(steps, weights, lambda x, w: x * w)
     return F.aggregate(products, F.lit(float(model.intercept)), lambda a, p: a + p)
 
 
-def lag_predictions(split: DataFrame, model: LinearRegressionModel) -> DataFrame:
-    """Unscaled one-step predictions next to the actual values."""
-    predicted = _dot(F.col("steps"), model) * F.col(f"{TARGET}_range") + F.col(f"{TARGET}_min")
-    return split.select("ticker", "dt", "is_train", "actual", predicted.alias("predicted"))
-
-
 def regression_metrics(predictions: DataFrame) -> DataFrame:
     """RMSE and MAE of (ticker, actual, predicted) rows, per ticker."""
     error = F.col("actual") - F.col("predicted")
@@ -140,7 +138,7 @@ def lag_regression_forecast(scaled: DataFrame, model: LinearRegressionModel, hor
             F.first(f"{TARGET}_range").alias("range"),
         )
         .filter(F.size("rows") == lookback)
-        .withColumn("steps", _steps(F.col("rows")))
+        .withColumn("steps", F.flatten("rows"))
     )
     width = len(FEATURES)
     last_return = F.element_at("steps", -width)
@@ -167,8 +165,11 @@ def lag_regression_forecast(scaled: DataFrame, model: LinearRegressionModel, hor
 
 
 def learned_forecast(bars: DataFrame, horizon: int = 30, lookback: int = 60) -> DataFrame:
-    """Fit on the bars and forecast every ticker with enough rows."""
-    scaled = minmax_scale(vol_panel(bars))
+    """Fit on the bars and forecast every ticker with enough rows.
+
+    Fit and forecast both read the panel, so it is written once.
+    """
+    scaled = staged(minmax_scale(vol_panel(bars)), "scaled-panel")
     model = lag_regression_fit(chrono_split(lag_sequences(scaled, lookback)))
     return lag_regression_forecast(scaled, model, horizon, lookback)
 

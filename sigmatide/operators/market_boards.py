@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,21 +83,27 @@ def movers_top(metrics: DataFrame, universe: DataFrame | None = None,
     )
 
 
-def news_category(title: Column) -> Column:
-    """First keyword group with a substring of the lower-case title, else 'general'."""
-    text = F.lower(title)
-    return first_match(*[(text.rlike("|".join(words)), name)
-                         for name, words in NEWS_KEYWORDS.items()], otherwise="general")
+def news_category(news: DataFrame, text: str = "title") -> DataFrame:
+    """Add ``category``: the first keyword group with a substring of the lower-case text.
 
+    The text is lowered once, in its own projection, and searched whole for each keyword.
+    """
+    def any_of(words: list[str]) -> Column:
+        return reduce(Column.__or__, [F.col("_lower").contains(w) for w in words])
 
-def news_latest(news: DataFrame, rows: int = NEWS_KEPT) -> DataFrame:
-    """The newest ``rows`` items with their category; equal times keep the feed's order."""
+    groups = [(any_of(words), name) for name, words in NEWS_KEYWORDS.items()]
     return (
-        news.orderBy(F.desc("time"), "pos", "ord").limit(rows)
-        .withColumn("category", news_category(F.col("title")))
+        news.withColumn("_lower", F.lower(text))
+        .withColumn("category", first_match(*groups, otherwise="general"))
+        .drop("_lower")
     )
 
 
+def news_latest(news: DataFrame, rows: int = NEWS_KEPT) -> DataFrame:
+    """The newest ``rows`` items with their category; equal times keep the feed's order."""
+    return news_category(news.orderBy(F.desc("time"), "pos", "ord").limit(rows))
+
+
 def news_by_category(latest: DataFrame, category: str | None = None,
                      rows: int = NEWS_SHOWN) -> DataFrame:
     """The newest ``rows`` of the kept items in a category (all without one)."""

@@ -16,7 +16,7 @@ from sigmatide.operators import market_boards as mb
 from sigmatide.operators import portfolio as po
 from sigmatide.operators import screener as sc
 from sigmatide.plans.present import present
-from sigmatide.session import shared_folder
+from sigmatide.session import shared_folder, staged
 from sigmatide.sources import bars as ba
 from sigmatide.sources import dimensions as di
 from sigmatide.sources import news as ne
@@ -193,7 +193,8 @@ def chrono_split(t):
 @query
 def lag_regression_fit(t):
     """Validation error of the pooled model per ticker."""
-    split = le.chrono_split(le.lag_sequences(le.minmax_scale(es.vol_panel(t.bars()))))
+    scaled = staged(le.minmax_scale(es.vol_panel(t.bars())), "scaled-panel")
+    split = le.chrono_split(le.lag_sequences(scaled))
     model = le.lag_regression_fit(split)
     return present(le.regression_metrics(
         le.lag_predictions(split, model).filter(~F.col("is_train"))))
@@ -215,7 +216,7 @@ def lag_regression_forecast(t):
 
 @query
 def forecast_ensemble(t):
-    bars = t.bars()
+    bars = staged(t.bars(), "bars")  # read by the variance model, the fit and the forecast
     garch = ga.garch_forecast(ga.garch_search(ga.return_series(bars)))
     learned = le.learned_forecast(bars, lookback=le.ENSEMBLE_LOOKBACK)
     return present(le.forecast_ensemble(garch, learned))
@@ -417,8 +418,7 @@ def movers_top10(t):
 @query
 def news_category(t):
     """Category of every document, over its whole text."""
-    return t.table("documents").select(
-        "doc_id", mb.news_category(F.col("text")).alias("category"))
+    return mb.news_category(t.table("documents").select("doc_id", "text"), "text").drop("text")
 
 
 def _latest(t):

@@ -39,12 +39,13 @@ def first_items(items: DataFrame, per_ticker: int = 3) -> DataFrame:
 
 
 def item_time(item: Column) -> Column:
-    """ISO text or epoch seconds as TIMESTAMP; missing time is the epoch."""
-    return F.coalesce(
+    """ISO text or epoch seconds as zone-free UTC time; missing time is the epoch."""
+    instant = F.coalesce(
         F.try_to_timestamp(item["content"]["pubDate"]),
         F.timestamp_seconds(item["providerPublishTime"]),
         F.timestamp_seconds(F.lit(0)),
     )
+    return F.convert_timezone(None, F.lit("UTC"), instant)
 
 
 def news_flatten(items: DataFrame) -> DataFrame:

@@ -120,7 +120,8 @@ class Tables:
         flat = F.col("doc_id") % 3 == 0
         doc = F.col("doc_id")
         seconds = F.lit(1704067200) + doc * 60  # 2024-01-01 plus doc_id minutes
-        iso = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        utc = F.convert_timezone(None, F.lit("UTC"), F.timestamp_seconds(seconds))
+        iso = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
         link = F.concat(F.lit("https://news.example/"), doc)
         content = F.when(~flat, F.struct(
             F.col("text").alias("title"),

@@ -20,7 +20,7 @@ def _updater(span: int) -> Callable:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
         s0, s1, s2, q0, last = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, None)
-        bars = pd.concat(batches).sort_values("dt")
+        bars = pd.concat([b for b in batches if len(b)]).sort_values("dt")
         ewma: list[float | None] = []
         for close in bars["close"]:
             value = None
