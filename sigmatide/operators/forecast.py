@@ -71,13 +71,23 @@ def forecast_confidence(bars: DataFrame, span: int = 21, recent: int = 21) -> Da
         "ticker", confidence(F.col("ewma_spread"), F.col("ewma_last")).alias("confidence"))
 
 
+def spread_tickers(bars: DataFrame) -> DataFrame:
+    """Partition bars by ticker into a fixed number of partitions.
+
+    The later windows and aggregates reuse this shuffle. It is not coalesced at run time:
+    few rows per ticker may stand for much work, such as a model fit.
+    """
+    parts = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bars.repartition(parts, "ticker")
+
+
 def ticker_state(bars: DataFrame, window: int = 21) -> DataFrame:
     """Everything the bundle and the signals need per ticker, from one pass over the panel.
 
     Price, last Yang-Zhang, its percentile and regime, EWMA state, and the ordered returns
     (in percent) for the variance model. The list holds at most one value per calendar day.
     """
-    frame = volatility_frame(bars, window, span=21)
+    frame = volatility_frame(spread_tickers(bars), window, span=21)
     state = frame.groupBy("ticker").agg(
         F.max("dt").alias("dt"),
         F.count_if("in_panel").alias("data_points"),

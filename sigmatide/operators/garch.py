@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 
 from sigmatide.functions.columns import TRADING_DAYS
 from sigmatide.operators.estimators import with_returns
-from sigmatide.operators.forecast import business_days, ordered_days, return_aggregates
+from sigmatide.operators.forecast import (
+    business_days,
+    ordered_days,
+    return_aggregates,
+    spread_tickers,
+)
 
 BACKCAST_ROWS = 75
 BACKCAST_DECAY = 0.94
@@ -107,12 +112,6 @@ def _fit_function():
     return F.pandas_udf(fit, ", ".join(f"{c} double" for c in FIT_COLUMNS))
 
 
-def spread_tickers(state: DataFrame) -> DataFrame:
-    """Fix the partition number: rows are few but costly, so they must not be coalesced."""
-    parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return state.repartition(parts, "ticker")
-
-
 def garch_search(state: DataFrame) -> DataFrame:
     """Best (omega, alpha, beta) per ticker by likelihood.
 
@@ -120,7 +119,7 @@ def garch_search(state: DataFrame) -> DataFrame:
     log_likelihood. A fold in the engine costs microseconds per day and trial point, so the
     trial points of a ticker are folded together in NumPy, on Arrow batches of tickers.
     """
-    df = residual_state(spread_tickers(state)).withColumn(
+    df = residual_state(state).withColumn(
         "_fit", _fit_function()("sq_residuals", "sample_variance", "start_variance"))
     return (
         df.select("*", "_fit.omega", "_fit.alpha", "_fit.beta", "_fit.next_variance",
@@ -153,7 +152,7 @@ def with_variance(df: DataFrame) -> DataFrame:
 
 def return_series(bars: DataFrame) -> DataFrame:
     """Last date, ordered percent returns and their days; at most one per calendar day."""
-    return with_returns(bars).groupBy("ticker").agg(
+    return with_returns(spread_tickers(bars)).groupBy("ticker").agg(
         F.max("dt").alias("dt"), *return_aggregates(), ordered_days())
 
 

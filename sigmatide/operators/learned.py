@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sigmatide.functions.columns import by_time, whole
 from sigmatide.operators.estimators import vol_panel
-from sigmatide.operators.forecast import business_days
+from sigmatide.operators.forecast import business_days, spread_tickers
 from sigmatide.session import staged
 
 FEATURES = ["returns", "historical", "ewma"]
@@ -64,7 +64,7 @@ def lag_sequences(scaled: DataFrame, lookback: int = 60) -> DataFrame:
     """
     before = by_time().rowsBetween(-lookback, -1)
     return (
-        scaled.withColumn("_rows", F.collect_list(_feature_row()).over(before))
+        spread_tickers(scaled).withColumn("_rows", F.collect_list(_feature_row()).over(before))
         .filter(F.size("_rows") == lookback)
         .select(
             "ticker", "dt", F.flatten("_rows").alias("steps"),

@@ -15,13 +15,24 @@ PERIOD_MONTHS = {"3mo": 3, "6mo": 6, "1y": 12, "2y": 24, "5y": 60}
 PERIOD_BARS = {"5d": 5}
 
 
+def sequence_key(high: Column, low: Column, low_digits: int) -> Column:
+    """Two non-negative integers as one DECIMAL(38, 0) that sorts by (high, low).
+
+    A struct would sort the same way but cannot be updated in a hash aggregate's buffer, so
+    every map task would have to sort its rows first.
+    """
+    shift = F.lit(str(10 ** low_digits)).cast(f"decimal({low_digits + 1}, 0)")
+    return (high.cast("decimal(19, 0)") * shift + low.cast("decimal(19, 0)")).cast("decimal(38, 0)")
+
+
 def bars_daily(prints: DataFrame, order: Sequence[str], volume_scale: float = 1.0) -> DataFrame:
     """Prints (ticker, dt, price, qty, order columns) to one OHLCV bar per ticker and day.
 
-    ``order`` must be a total order within a (ticker, dt). Every aggregate has a partial
-    form, so a ticker with most of the prints leaves each map task as one row per day.
+    ``order`` must be a total order within a (ticker, dt); a single column (see sequence_key)
+    keeps the plan a hash aggregate. Every aggregate has a partial form, so a ticker with
+    most of the prints leaves each map task as one row per day.
     """
-    key = F.struct(*order)
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return prints.groupBy("ticker", "dt").agg(
         F.min_by("price", key).alias("open"),
         F.max("price").alias("high"),

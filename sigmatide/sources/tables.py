@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmatide.functions.columns import TRADING_DAYS
-from sigmatide.sources.bars import bars_daily, last_bars, period_start, scan_bars
+from sigmatide.sources.bars import bars_daily, last_bars, period_start, scan_bars, sequence_key
 from sigmatide.sources.news import ITEM_TYPE, news_tickers
 
-PRINT_ORDER = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"]
+PRINT_ORDER = ["seq"]
 VOLUME_SCALE = 1e5
 
 
@@ -40,12 +40,12 @@ class Tables:
         return self.table("lineitem").agg(F.max("l_shipdate").cast("date")).scalar()
 
     def prints(self, since: Column | None = None) -> DataFrame:
-        """Priced order lines: ticker, dt, price, qty and the order columns.
+        """Priced order lines: ticker, dt, price, qty and ``seq``, their order.
 
-        ``since`` (exclusive) limits the scan itself, on the stored time column.
+        ``seq`` sorts by order, line, price in cents and quantity, since order and line alone
+        repeat. ``since`` (exclusive) limits the scan itself, on the stored time column.
         """
-        lines = self.table("lineitem").select(
-            "l_partkey", "l_shipdate", *PRINT_ORDER)
+        lines = self.table("lineitem")
         if since is not None:
             lines = lines.filter(
                 F.col("l_shipdate") >= F.date_add(since, 1).cast("timestamp_ntz"))
@@ -53,13 +53,17 @@ class Tables:
         day = F.datediff("dt", F.lit("1995-01-01").cast("date"))
         drift = F.exp(F.lit(6e-4) * (b % 5 - 2) * day)
         spread = 1 + (price - 55000) / 5e6 * (1 + F.expr("b div 5"))
+        line = (F.col("l_linenumber").cast("bigint") * 10 ** 15
+                + F.round(price * 100).cast("bigint") * 10 ** 4
+                + F.col("l_quantity").cast("bigint"))
         # The join follows the real sizes: broadcast if part is small, else a shuffle join
         # whose hot part keys are split at run time.
         return (
             lines.withColumn("dt", F.col("l_shipdate").cast("date"))
             .join(self.brands(), F.col("l_partkey") == F.col("p_partkey"))
             .select("ticker", "dt", (F.lit(100.0) * drift * spread).alias("price"),
-                    F.col("l_quantity").alias("qty"), *PRINT_ORDER)
+                    F.col("l_quantity").alias("qty"),
+                    sequence_key(F.col("l_orderkey"), line, 18).alias("seq"))
         )
 
     def bars(self, period: str | None = None) -> DataFrame:

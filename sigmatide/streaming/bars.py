@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
+from sigmatide.sources.bars import sequence_key
+
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType,
                 file_name: str = "*.parquet") -> DataFrame:
@@ -22,7 +24,7 @@ def stream_bars(ticks: DataFrame, width: str = "1 day", delay: str = "1 hour") -
     (ts, event_id); later ticks than the watermark are dropped. The same code runs on a
     batch, where it gives every window.
     """
-    key = F.struct("ts", "event_id")
+    key = sequence_key(F.unix_micros("ts"), F.col("event_id"), 19)
     return (
         ticks.filter(F.col("price") > 0)
         .withWatermark("ts", delay)
