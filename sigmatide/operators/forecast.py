@@ -148,12 +148,11 @@ def trading_signals(bundle: DataFrame) -> DataFrame:
 
     The 30-day range uses 30 days whatever horizon was forecast. No floor at zero.
     """
-    signals = bundle.groupBy("ticker").agg(
-        F.first("current_price").alias("current_price"),
-        F.first("current_volatility").alias("current_volatility"),
-        F.first("regime").alias("volatility_regime"),
-        F.avg("garch_volatility").alias("forecast_volatility"),
-    )
+    # Values that are the same on all steps are keys, which keeps this a hash aggregate.
+    signals = bundle.groupBy(
+        "ticker", "current_price", "current_volatility",
+        F.col("regime").alias("volatility_regime"),
+    ).agg(F.avg("garch_volatility").alias("forecast_volatility"))
     price, vol = F.col("current_price"), F.col("current_volatility")
     daily = vol / math.sqrt(TRADING_DAYS)
     month = F.col("forecast_volatility") * math.sqrt(RANGE_DAYS / TRADING_DAYS)

@@ -216,7 +216,7 @@ def lag_regression_forecast(t):
 
 @query
 def forecast_ensemble(t):
-    bars = staged(t.bars(), "bars")  # read by the variance model, the fit and the forecast
+    bars = t.store_bars().bars()  # read by the variance model and by the fit
     garch = ga.garch_forecast(ga.garch_search(ga.return_series(bars)))
     learned = le.learned_forecast(bars, lookback=le.ENSEMBLE_LOOKBACK)
     return present(le.forecast_ensemble(garch, learned))
@@ -225,7 +225,7 @@ def forecast_ensemble(t):
 @query
 def forecast_ensemble_given(t):
     """The blend of two forecasts that need no fit: fixed GARCH and mean reversion."""
-    bars = t.bars()
+    bars = t.store_bars().bars()
     garch = ga.garch_forecast(ga.garch_given(ga.return_series(bars), ALPHA, BETA))
     return present(le.forecast_ensemble(garch, fc.forecast_mean_reversion(bars)))
 
@@ -338,6 +338,7 @@ def portfolio_allocation(t):
 # Analyzer
 
 def _positioned(t):
+    t.store_bars()
     return an.week52_position(an.analyzer_metrics(t.bars("3mo")), t.ticker_info())
 
 
@@ -386,6 +387,7 @@ def market_cap_label(t):
 
 
 def _buy_list(t):
+    t.store_bars()
     return an.buy_list(an.analysis(t.bars("3mo"), t.ticker_info()), t.universe())
 
 
@@ -406,11 +408,13 @@ def price_band_filter(t):
 
 @query
 def mover_metrics(t):
+    t.store_bars()
     return present(mb.mover_metrics(t.bars(), t.ticker_info()), price=EXACT, high_52w=EXACT, low_52w=EXACT)
 
 
 @query
 def movers_top10(t):
+    t.store_bars()
     return present(mb.movers_top(mb.mover_metrics(t.bars(), t.ticker_info()), t.universe()),
                    price=EXACT, high_52w=EXACT, low_52w=EXACT)
 

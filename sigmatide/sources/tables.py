@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmatide.functions.columns import TRADING_DAYS
+from sigmatide.session import staged
 from sigmatide.sources.bars import bars_daily, last_bars, period_start, scan_bars, sequence_key
 from sigmatide.sources.news import ITEM_TYPE, news_tickers
 
@@ -23,6 +24,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._stored: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -66,9 +68,20 @@ class Tables:
                     sequence_key(F.col("l_orderkey"), line, 18).alias("seq"))
         )
 
+    def store_bars(self) -> Tables:
+        """Write the bars once, for queries that read them twice.
+
+        Bars are a small part of the prints; building them twice would read those twice.
+        """
+        if self._stored is None:
+            self._stored = staged(self.bars(), "bars")
+        return self
+
     def bars(self, period: str | None = None) -> DataFrame:
         """Daily bars of all tickers, optionally of a calendar period only."""
         since = None if period is None else period_start(self.as_of(), period)
+        if self._stored is not None:
+            return self._stored if since is None else self._stored.filter(F.col("dt") > since)
         return scan_bars(bars_daily(self.prints(since), PRINT_ORDER, VOLUME_SCALE))
 
     def universe(self) -> DataFrame:
