@@ -11,7 +11,7 @@ from sigmatide.functions.columns import first_match
 from sigmatide.sources.bars import last_bars
 from sigmatide.sources.dimensions import universe_position, with_ticker_info
 
-BOARD_ROWS, BOARD_SHOWN = 10, 5
+BOARD_ROWS = 10
 NEWS_KEPT, NEWS_SHOWN = 50, 30
 
 # A title containing one of these substrings is in the category; first wins.

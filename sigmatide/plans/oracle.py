@@ -253,18 +253,18 @@ screen AS (
   GROUP BY p.ticker),
 scored AS (
   SELECT *,
-    CASE WHEN regime IN ('High', 'Extreme') THEN 30 WHEN regime = 'Normal' THEN 15 ELSE 0 END
+    0::BIGINT + CASE WHEN regime IN ('High', 'Extreme') THEN 30 WHEN regime = 'Normal' THEN 15 ELSE 0 END
     + CASE WHEN volatility > 0.40 THEN 25 WHEN volatility > 0.25 THEN 15 ELSE 0 END
     + CASE WHEN dollar_volume > 1e9 THEN 25 WHEN dollar_volume > 5e8 THEN 15 ELSE 0 END
     + CASE WHEN abs(price_change_5d) > 0.05 THEN 20 ELSE 0 END AS score_daytrade,
-    CASE WHEN regime IN ('Normal', 'High') THEN 25 WHEN regime = 'Low' THEN 10 ELSE 0 END
+    0::BIGINT + CASE WHEN regime IN ('Normal', 'High') THEN 25 WHEN regime = 'Low' THEN 10 ELSE 0 END
     + CASE WHEN volatility > 0.20 AND volatility < 0.50 THEN 25 ELSE 0 END
     + CASE WHEN dollar_volume > 2e8 THEN 20 ELSE 0 END
     + CASE WHEN price_change_20d > 0.05 THEN 30 WHEN price_change_20d < -0.05 THEN 20 ELSE 0 END
       AS score_swing,
     CASE WHEN price_change_20d > 0.05 THEN '📈 Bullish' WHEN price_change_20d < -0.05
       THEN '📉 Bearish' ELSE '➡️ Neutral' END AS swing_direction,
-    CASE regime WHEN 'Low' THEN 35 WHEN 'Normal' THEN 20 ELSE 0 END
+    0::BIGINT + CASE regime WHEN 'Low' THEN 35 WHEN 'Normal' THEN 20 ELSE 0 END
     + CASE WHEN volatility < 0.25 THEN 30 WHEN volatility < 0.35 THEN 15 ELSE 0 END
     + CASE WHEN price > 100 THEN 20 WHEN price > 50 THEN 10 ELSE 0 END
     + CASE WHEN abs(price_change_20d) < 0.10 THEN 15 ELSE 0 END AS score_longterm
@@ -289,7 +289,7 @@ invest AS (
   JOIN drawdowns USING (ticker) JOIN trends USING (ticker) JOIN regimes USING (ticker)),
 ranked AS (
   SELECT *,
-    CASE WHEN return_1y > 0.50 THEN 30 WHEN return_1y > 0.25 THEN 20 WHEN return_1y > 0.10 THEN 10
+    0::BIGINT + CASE WHEN return_1y > 0.50 THEN 30 WHEN return_1y > 0.25 THEN 20 WHEN return_1y > 0.10 THEN 10
          WHEN return_1y < -0.10 THEN -10 ELSE 0 END
     + CASE WHEN return_6m > 0.20 THEN 20 WHEN return_6m > 0.10 THEN 15 WHEN return_6m > 0 THEN 10
            ELSE 0 END
@@ -360,7 +360,7 @@ pos AS (
          price > ma_20 AS over20, price > ma_50 AS over50
   FROM am LEFT JOIN info ON info.ticker = am.ticker),
 points AS (
-  SELECT *, greatest(0, least(100, 50
+  SELECT *, greatest(0::BIGINT, least(100::BIGINT, 50::BIGINT
     + CASE WHEN ret_5d > 5 THEN 15 WHEN ret_5d > 2 THEN 8 WHEN ret_5d < -5 THEN -10 ELSE 0 END
     + CASE WHEN ret_20d > 15 THEN 15 WHEN ret_20d > 8 THEN 10 WHEN ret_20d < -15 THEN -15
            WHEN ret_20d < -8 THEN -8 ELSE 0 END

@@ -3,7 +3,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from series import random_bars
-from sigmatide.plans.catalog import all_queries
 from sigmatide.session import shared_folder
 from sigmatide.sources.tables import Tables
 from sigmatide.streaming import bars as sb
