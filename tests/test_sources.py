@@ -121,3 +121,38 @@ def test_news_forms(spark):
     latest = mb.news_latest(ne.news_flatten(items))
     assert [r.title for r in mb.news_by_category(latest).collect()] == ["Nested", "Flat", "No title"]
     assert mb.news_by_category(latest, "earnings").count() == 0
+
+
+def test_sequence_key_sorts_like_the_pair(spark):
+    pairs = [(h, low) for h in (0, 1, 7, 9 * 10 ** 18) for low in (0, 5, 10 ** 18 - 1)]
+    df = spark.createDataFrame(pairs, "h bigint, l bigint")
+    got = df.orderBy(ba.sequence_key(F.col("h"), F.col("l"), 18)).collect()
+    assert [(r.h, r.l) for r in got] == sorted(pairs)
+
+
+def test_a_hot_ticker_gives_the_same_bars(spark):
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("T"), F.col("id") % 200))
+        .alias("ticker"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 7).cast("int")).alias("dt"),
+        (1 + F.pmod(F.col("id") * 7919, F.lit(1009)) / 100).alias("price"),
+        F.lit(1.0).alias("qty"),
+        ba.sequence_key(F.pmod(F.col("id") * 31, F.lit(997)), F.col("id"), 18).alias("seq"),
+    )
+    bars = ba.bars_daily(rows, ["seq"])
+    assert "SortAggregate" not in bars._jdf.queryExecution().executedPlan().toString()
+    got = {(r.ticker, r.dt): (r.open, r.high, r.low, r.close, r.volume) for r in bars.collect()}
+    want = {}
+    for key, part in rows.toPandas().sort_values("seq").groupby(["ticker", "dt"]):
+        p = part.price
+        want[key] = (p.iloc[0], p.max(), p.min(), p.iloc[-1], float(len(p)))
+    assert got == want
+
+
+def test_a_hot_ticker_sends_only_its_first_news(spark):
+    items = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("T"), F.col("id") % 50))
+        .alias("ticker"), F.col("id").alias("ord"))
+    got = ne.first_items(items, 3).collect()
+    assert [r["ord"] for r in sorted(got, key=lambda r: r["ord"]) if r.ticker == "HOT"] == [0, 3, 6]
+    assert len(got) == 51 * 3
