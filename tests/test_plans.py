@@ -50,6 +50,14 @@ def test_ranked_cuts_are_limited_before_the_shuffle(spark, folder):
         assert "WindowGroupLimit" in plan(all_queries()[name](spark, folder)), name
 
 
+def test_news_texts_are_cut_before_they_are_shuffled(spark, folder):
+    text = plan(all_queries()["news_flatten"](spark, folder))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    shuffle = text.index("Exchange hashpartitioning(ticker")
+    limit = text.index("WindowGroupLimit", shuffle)
+    assert shuffle < limit < text.index("BroadcastHashJoin")
+
+
 def test_a_period_reaches_the_scan(spark, folder):
     text = plan(Tables(spark, folder).bars("6mo"))
     assert re.search(r"FileScan parquet .*DataFilters: \[[^\]]*l_shipdate.*(>=|>)", text)
