@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmatide.llm import decontaminate, exact_dedup, hilbert, language_id, line_dedup, packing
-from sigmatide.llm import quality, simhash, token_files
+from sigmatide.llm import quality, simhash, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,12 @@ def op4_decontaminate_cgk(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("row")
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
@@ -72,7 +78,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     own = [op1_hilbert_shards, op2_simhash_anchors, op3_line_dedup, op4_decontaminate_cgk,
-           op6_exact_dedup, op7_language_id, op8_packing_spfhp, op9_quality_bayes, op10_token_files]
+           op5_suffix_dedup, op6_exact_dedup, op7_language_id, op8_packing_spfhp, op9_quality_bayes, op10_token_files]
     return {f.__name__: f for f in own}
 
 
