@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigmatide.llm.common import documents_of, one_per_key, only_rows, row_key, same
@@ -39,10 +39,9 @@ def _winners(rows: DataFrame, salts: int) -> DataFrame:
         salted.repartition("digest").groupBy("digest", "content")
         .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     )
-    shared = merged.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
-    return merged.join(shared, "digest").select(
-        "digest", "keep_id", "group_size",
-        F.when(F.col("texts") > 1, F.col("content")).alias("content"))
+    texts = F.count(F.lit(1)).over(Window.partitionBy("digest"))  # one, but for digest clashes
+    return merged.select(
+        "digest", "keep_id", "group_size", F.when(texts > 1, F.col("content")).alias("content"))
 
 
 def exact_dedup(
