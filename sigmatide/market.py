@@ -35,8 +35,9 @@ class Market:
     def only(self, *tickers: str) -> Market:
         """The same market restricted to some tickers."""
         wanted = [t.strip().upper() for t in tickers]
+        as_of = self.bars.agg(F.max("dt")).scalar() if self.as_of is None else self.as_of
         return Market(self.bars.filter(F.col("ticker").isin(wanted)), self.info, self.universe,
-                      self.news_items, self.as_of)
+                      self.news_items, as_of)
 
     def period(self, name: str | None) -> DataFrame:
         """Bars of a period (5d, 3mo, 6mo, 1y, 2y, 5y), or all."""
@@ -141,6 +142,10 @@ class Market:
     def analyze(self, universe: str | None = None) -> DataFrame:
         return analyzer.analysis(self._in(universe, "3mo"), self.info)
 
+    def insufficient(self, universe: str | None = None) -> DataFrame:
+        """Tickers that analyze leaves out, with their number of bars and the reason."""
+        return analyzer.insufficient(self._in(universe, "3mo"))
+
     def buy_list(self, band: str = "all", universe: str | None = "buy_list") -> DataFrame:
         listed = analyzer.buy_list(self.analyze(universe), self._places(universe))
         return analyzer.price_band_filter(listed, band)
@@ -148,7 +153,8 @@ class Market:
     def movers(self, universe: str | None = "movers") -> DataFrame:
         bars = self._listed(universe)
         return market_boards.movers_top(
-            market_boards.mover_metrics(bars, self.info), self._places(universe))
+            market_boards.mover_metrics(market_boards.recent_days(bars), self.info),
+            self._places(universe))
 
     def facts(self) -> DataFrame:
         """Ticker facts with defaults, for every ticker with bars."""

@@ -27,6 +27,13 @@ PRICE_BANDS = {"all": (0.0, None), "0-10": (0.0, 10.0), "10-100": (10.0, 100.0),
                "100-500": (100.0, 500.0), "500-1000": (500.0, None)}
 
 
+def insufficient(bars: DataFrame) -> DataFrame:
+    """ticker, n_bars and reason of the tickers with too few bars for the analysis."""
+    counted = bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_bars"))
+    return counted.filter(F.col("n_bars") < MIN_BARS).withColumn(
+        "reason", F.format_string(f"insufficient data: %d of {MIN_BARS} bars", "n_bars"))
+
+
 def rsi() -> Column:
     """Aggregate: mean gain against mean loss over the whole window."""
     r = F.col("returns")

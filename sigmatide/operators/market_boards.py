@@ -12,6 +12,7 @@ from sigmatide.sources.bars import last_bars
 from sigmatide.sources.dimensions import universe_position, with_ticker_info
 
 BOARD_ROWS = 10
+LOOK_BACK = 5
 NEWS_KEPT, NEWS_SHOWN = 50, 30
 
 # A title containing one of these substrings is in the category; first wins.
@@ -23,10 +24,17 @@ NEWS_KEYWORDS = {
 }
 
 
+def recent_days(bars: DataFrame, days: int = LOOK_BACK) -> DataFrame:
+    """Bars of the table's last ``days`` days with bars; the first of them is a bare subquery."""
+    dates = bars.select("dt").distinct().orderBy(F.desc("dt")).limit(days)
+    return bars.filter(F.col("dt") >= dates.agg(F.min("dt")).scalar())
+
+
 def mover_metrics(bars: DataFrame, info: DataFrame) -> DataFrame:
     """Change of the last two closes, last volume and 52-week position per ticker.
 
-    Missing facts count as 0, and so does the distance from a missing level.
+    Missing facts count as 0, and so does the distance from a missing level. Cut the bars with
+    recent_days first, so that a ticker that no longer trades leaves the boards.
     """
     newest = last_bars(bars, 2)
     pair = newest.groupBy("ticker").agg(

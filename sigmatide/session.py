@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHARED = "spark.checkpoint.dir"
+
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; on a cluster use the one it gives."""
@@ -20,6 +22,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(SHARED, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         .getOrCreate()
     )
 
@@ -27,11 +30,16 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can reach, under ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) is a local folder used.
+    Only a session on one machine may lack that setting; it then gets a temporary folder,
+    once. Elsewhere executors would each write to a disk of their own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get(SHARED, None)
     if base is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {SHARED} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        spark.conf.set(SHARED, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,3 +52,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this library wrote, through the file system it lies on."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -42,15 +42,21 @@ def bars_daily(prints: DataFrame, order: Sequence[str], volume_scale: float = 1.
     )
 
 
-def scan_bars(bars: DataFrame) -> DataFrame:
-    """Bars in the library's schema: normalised ticker, DATE, positive prices, no NaN."""
+def scan_bars(bars: DataFrame, one_per_day: bool = True) -> DataFrame:
+    """Bars in the library's schema: normalised ticker, DATE, positive prices, no NaN.
+
+    Names that differ in case or outer space are one ticker. Of its bars on one day the one
+    with the largest volume stays (ties: the largest close, then the other prices), since
+    every window counts on one row per ticker and day. ``one_per_day=False`` leaves out this
+    step, for bars that come from bars_daily with normalised names.
+    """
     def number(name: str) -> Column:
         return F.when(~F.isnan(name), F.col(name).cast("double")).alias(name)
 
     valid = F.lit(True)
     for name in PRICES:
         valid = valid & (F.col(name) > 0)
-    return (
+    rows = (
         bars.select(
             F.upper(F.trim("ticker")).alias("ticker"),
             F.col("dt").cast("date").alias("dt"),
@@ -58,6 +64,11 @@ def scan_bars(bars: DataFrame) -> DataFrame:
         )
         .filter(valid)
     )
+    if not one_per_day:
+        return rows
+    best = F.max(F.struct("volume", "close", *[c for c in PRICES if c != "close"])).alias("_bar")
+    return rows.groupBy("ticker", "dt").agg(best).select(
+        "ticker", "dt", *[F.col(f"_bar.{c}").alias(c) for c in PRICES + ["volume"]])
 
 
 def last_date(df: DataFrame) -> Column:
@@ -65,9 +76,15 @@ def last_date(df: DataFrame) -> Column:
     return df.agg(F.max("dt")).scalar()
 
 
-def period_start(as_of: Column, period: str) -> Column:
-    """Rows later than this date belong to the named calendar period."""
-    return F.add_months(as_of, -PERIOD_MONTHS[period])
+def period_start(bars: DataFrame, period: str, as_of: Column | None = None) -> Column:
+    """Rows later than this date belong to the named calendar period.
+
+    Without ``as_of`` the arithmetic is done within the aggregate: only a comparison with a bare
+    subquery reaches the scan's filters.
+    """
+    if as_of is not None:
+        return F.add_months(as_of, -PERIOD_MONTHS[period])
+    return bars.agg(F.add_months(F.max("dt"), -PERIOD_MONTHS[period])).scalar()
 
 
 def last_bars(bars: DataFrame, count: int) -> DataFrame:
@@ -93,8 +110,26 @@ def period_filter(bars: DataFrame, period: str, as_of: Column | None = None) ->
         return last_bars(bars, PERIOD_BARS[period])
     if period not in PERIOD_MONTHS:
         raise ValueError(f"unknown period {period!r}")
-    as_of = last_date(bars) if as_of is None else as_of
-    return bars.filter((F.col("dt") > period_start(as_of, period)) & (F.col("dt") <= as_of))
+    inside = F.col("dt") > period_start(bars, period, as_of)
+    return bars.filter(inside if as_of is None else inside & (F.col("dt") <= as_of))
+
+
+MONTH = "month"
+
+
+def write_bars(bars: DataFrame, folder: str) -> None:
+    """Write bars as a table partitioned by the first day of the month."""
+    by_month = bars.withColumn(MONTH, F.trunc("dt", "month"))
+    by_month.repartition(MONTH).sortWithinPartitions(MONTH, "ticker", "dt").write.partitionBy(
+        MONTH).parquet(folder)
+
+
+def stored_period(stored: DataFrame, period: str) -> DataFrame:
+    """Bars of a calendar period from a table of write_bars: only its months are listed and, within
+    the first one, only the row groups after the start are read."""
+    first = period_start(stored, period)
+    month = stored.agg(F.trunc(F.add_months(F.max("dt"), -PERIOD_MONTHS[period]), "month")).scalar()
+    return stored.filter((F.col(MONTH) >= month) & (F.col("dt") > first)).drop(MONTH)
 
 
 def min_history(bars: DataFrame, rows: int) -> DataFrame:

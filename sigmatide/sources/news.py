@@ -21,11 +21,11 @@ def news_items(feeds: DataFrame, per_ticker: int = 3) -> DataFrame:
 def news_tickers(items: DataFrame, universe: DataFrame, tickers: int = 15) -> DataFrame:
     """Items of the first ``tickers`` of a universe, with the ticker's place ``pos``.
 
-    The limit proves the list small, so it is broadcast: items are cut before any shuffle of
-    their texts.
+    The optimizer knows the size of the cut list and broadcasts it if it is small: items are then
+    cut before any shuffle of their texts.
     """
     place = universe.select("ticker", "pos").orderBy("pos", "ticker").limit(tickers)
-    return items.join(F.broadcast(place), "ticker")
+    return items.join(place, "ticker")
 
 
 def first_items(items: DataFrame, per_ticker: int = 3) -> DataFrame:

@@ -10,21 +10,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmatide.functions.columns import TRADING_DAYS
-from sigmatide.session import staged
-from sigmatide.sources.bars import bars_daily, last_bars, period_start, scan_bars, sequence_key
+from sigmatide.session import shared_folder
+from sigmatide.sources.bars import (
+    bars_daily,
+    last_bars,
+    scan_bars,
+    sequence_key,
+    stored_period,
+    write_bars,
+)
+from sigmatide.sources.dimensions import INFO_NUMBERS
 from sigmatide.sources.news import ITEM_TYPE, news_tickers
 
 PRINT_ORDER = ["seq"]
 VOLUME_SCALE = 1e5
 
 
+# Stored bars by session, folder and state of the source files.
+_STORED: dict[tuple, str] = {}
+
+
 class Tables:
     """Derived inputs of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
-        self._stored: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -37,20 +48,13 @@ class Tables:
             F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int").alias("b"),
         )
 
-    def as_of(self) -> Column:
-        """Last print date, as a scalar subquery over one column."""
-        return self.table("lineitem").agg(F.max("l_shipdate").cast("date")).scalar()
-
-    def prints(self, since: Column | None = None) -> DataFrame:
+    def prints(self) -> DataFrame:
         """Priced order lines: ticker, dt, price, qty and ``seq``, their order.
 
         ``seq`` sorts by order, line, price in cents and quantity, since order and line alone
-        repeat. ``since`` (exclusive) limits the scan itself, on the stored time column.
+        repeat.
         """
         lines = self.table("lineitem")
-        if since is not None:
-            lines = lines.filter(
-                F.col("l_shipdate") >= F.date_add(since, 1).cast("timestamp_ntz"))
         b, price = F.col("b"), F.col("l_extendedprice")
         day = F.datediff("dt", F.lit("1995-01-01").cast("date"))
         drift = F.exp(F.lit(6e-4) * (b % 5 - 2) * day)
@@ -68,30 +72,50 @@ class Tables:
                     sequence_key(F.col("l_orderkey"), line, 18).alias("seq"))
         )
 
-    def store_bars(self) -> Tables:
-        """Write the bars once, for queries that read them twice.
+    def _source_state(self) -> tuple:
+        """Paths, sizes and times of the files that bars are built from; contents are not read."""
+        files = []
+        for name in ("lineitem", "part"):
+            listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+                f"{self.folder}/{name}.parquet")
+            files += [tuple(r) for r in listed.select("path", "length", "modificationTime").collect()]
+        return tuple(sorted(files))
+
+    def stored_bars(self) -> DataFrame:
+        """All bars as a table of its own, by month, built once per session and state of the sources.
 
-        Bars are a small part of the prints; building them twice would read those twice.
+        The source's time column can't be compared in its row groups, so a period read from
+        it would read all prints; the stored table has a DATE column and monthly partitions.
         """
-        if self._stored is None:
-            self._stored = staged(self.bars(), "bars")
-        return self
+        key = (self.spark.sparkContext.applicationId, self.folder, self._source_state())
+        if key not in _STORED:
+            folder = shared_folder(self.spark, "bars-by-month")
+            write_bars(self._built_bars(), folder)
+            _STORED[key] = folder
+        return self.spark.read.parquet(_STORED[key])
+
+    def _built_bars(self) -> DataFrame:
+        return scan_bars(bars_daily(self.prints(), PRINT_ORDER, VOLUME_SCALE), one_per_day=False)
 
     def bars(self, period: str | None = None) -> DataFrame:
         """Daily bars of all tickers, optionally of a calendar period only."""
-        since = None if period is None else period_start(self.as_of(), period)
-        if self._stored is not None:
-            return self._stored if since is None else self._stored.filter(F.col("dt") > since)
-        return scan_bars(bars_daily(self.prints(since), PRINT_ORDER, VOLUME_SCALE))
+        if period is None:
+            return self._built_bars()
+        return stored_period(self.stored_bars(), period)
 
     def universe(self) -> DataFrame:
         """All brands as one universe, in brand order."""
         return self.brands().select(F.lit("brands").alias("name"), "ticker",
                                     F.col("b").alias("pos")).distinct()
 
+    def universes(self) -> DataFrame:
+        """Besides all brands, those of an even number as a second list."""
+        even = self.universe().filter(F.col("pos") % 2 == 0).withColumn("name", F.lit("even"))
+        return self.universe().unionByName(even)
+
     def ticker_info(self) -> DataFrame:
         """Facts per brand; the 52-week levels come from its last 252 bars."""
-        year = last_bars(self.bars(), TRADING_DAYS).groupBy("ticker").agg(
+        year = last_bars(self.stored_bars(), TRADING_DAYS).groupBy("ticker").agg(
             F.max("high").alias("top"), F.min("low").alias("bottom"))
         b = F.col("b")
 
@@ -121,16 +145,10 @@ class Tables:
             F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"),
         ).filter(F.col("price") > 0)
 
-    def tick_info(self) -> DataFrame:
-        """Facts of the tick tickers: highest and lowest tick price."""
-        return self.ticks().groupBy("ticker").agg(
-            F.max("price").alias("week52_high"), F.min("price").alias("week52_low"),
-        ).select(
-            "ticker", F.col("ticker").alias("short_name"), "week52_high", "week52_low",
-            *[F.lit(None).cast("double").alias(c) for c in (
-                "trailing_pe", "market_cap", "revenue_growth", "profit_margin",
-                "dividend_yield")],
-        )
+    def tick_facts(self) -> DataFrame:
+        """Facts of the tick tickers: none are known; price levels come from the stream itself."""
+        return self.spark.createDataFrame(
+            [], "ticker string, short_name string, " + ", ".join(f"{c} double" for c in INFO_NUMBERS))
 
     def news(self) -> DataFrame:
         """Documents as news items in both forms; every third one is flat."""

@@ -5,6 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from sigmatide import Market
+from sigmatide.session import shared_folder
+from sigmatide.sources.bars import MONTH, stored_period, write_bars
 from sigmatide.operators import estimators as es
 from sigmatide.plans.catalog import all_queries
 from sigmatide.sources.tables import Tables
@@ -45,7 +47,7 @@ def test_bars_are_aggregated_before_the_shuffle(spark, folder):
 
 
 def test_ranked_cuts_are_limited_before_the_shuffle(spark, folder):
-    for name in ("period_filter_5d", "screen_top50", "portfolio_picks", "movers_top10",
+    for name in ("period_filter_5d", "screen_top5", "portfolio_picks", "movers_top10",
                  "news_flatten"):
         assert "WindowGroupLimit" in plan(all_queries()[name](spark, folder)), name
 
@@ -58,10 +60,46 @@ def test_news_texts_are_cut_before_they_are_shuffled(spark, folder):
     assert shuffle < limit < text.index("BroadcastHashJoin")
 
 
-def test_a_period_reaches_the_scan(spark, folder):
-    text = plan(Tables(spark, folder).bars("6mo"))
-    assert re.search(r"FileScan parquet .*DataFilters: \[[^\]]*l_shipdate.*(>=|>)", text)
-    assert "l_discount" not in text
+def scanned_rows(spark, df):
+    """Rows that left the scans of a query."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        query = df._jdf.queryExecution()
+        query.toRdd().count()
+        leaves = query.executedPlan().collectLeaves()
+        return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_period_prunes_months_and_row_groups(spark):
+    days = spark.range(3000).select(
+        F.lit("A").alias("ticker"), F.expr("date_add(date '2015-01-01', cast(id as int))").alias("dt"),
+        *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    rows = days.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn(
+        "ticker", F.concat("ticker", "k")).drop("k")
+    folder = shared_folder(spark, "months")
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", "4096")
+    try:
+        write_bars(rows, folder)
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    stored = spark.read.parquet(folder)
+    read = stored_period(stored, "3mo")
+    assert read.columns == rows.columns
+    want = 40 * read.agg(F.count_distinct("dt")).first()[0]
+    assert read.count() == want
+    got = scanned_rows(spark, read)
+    assert want <= got <= want + 40 * 31 < rows.count() / 20
+    assert stored.filter(F.col("dt") > F.add_months(F.lit("2023-03-19").cast("date"), -3)).count() == want
+
+
+def test_stored_bars_are_built_once_and_serve_every_period(spark, folder):
+    t = Tables(spark, folder)
+    first = t.stored_bars().inputFiles()
+    assert Tables(spark, folder + "/").stored_bars().inputFiles() == first
+    assert "l_shipdate" not in plan(t.bars("6mo"))
+    assert t.bars().exceptAll(t.stored_bars().drop(MONTH)).count() == 0
 
 
 def test_market_runs_on_plain_bars(spark, folder):
@@ -69,6 +107,8 @@ def test_market_runs_on_plain_bars(spark, folder):
     named = t.universe().withColumn("name", F.lit("all"))
     market = Market(t.bars(), t.ticker_info(), named, t.news())
     some = market.only("brand#1", " BRAND#2 ")
+    assert some.period("3mo").agg(F.max("dt")).first() <= market.period(None).agg(F.max("dt")).first()
+    assert market.insufficient().count() == 0
     assert some.regime().count() == 2
     assert some.signals(days=7).count() == 2
     assert some.predict(days=7).count() == 14

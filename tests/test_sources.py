@@ -156,3 +156,41 @@ def test_a_hot_ticker_sends_only_its_first_news(spark):
     got = ne.first_items(items, 3).collect()
     assert [r["ord"] for r in sorted(got, key=lambda r: r["ord"]) if r.ticker == "HOT"] == [0, 3, 6]
     assert len(got) == 51 * 3
+
+
+def test_two_spellings_of_a_ticker_are_one_bar_a_day(spark):
+    d = dt.date(2024, 1, 2)
+    rows = [("aapl", d, 1.0, 1.0, 1.0, 1.0, 5.0), (" AAPL ", d, 2.0, 2.0, 2.0, 2.0, 9.0),
+            ("Aapl", d, 3.0, 3.0, 3.0, 3.0, None), ("AAPL", d, 4.0, 4.0, 4.0, 4.0, 9.0),
+            ("AAPL", dt.date(2024, 1, 3), 5.0, 5.0, 5.0, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "ticker string, dt date, open double, high double, "
+                                     "low double, close double, volume double")
+    got = sorted((r.ticker, r.dt.day, r.close) for r in ba.scan_bars(df).collect())
+    assert got == [("AAPL", 2, 4.0), ("AAPL", 3, 5.0)]
+    assert ba.scan_bars(df, one_per_day=False).count() == 5
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from sigmatide.session import shared_folder
+
+    def session(master, base=None):
+        conf = {"spark.checkpoint.dir": base} if base else {}
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__),
+            sparkContext=SimpleNamespace(master=master))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master), "x")
+        assert shared_folder(session(master, "hdfs://shared/"), "x").startswith("hdfs://shared/x-")
+    one = session("local[2]")
+    assert shared_folder(one, "x").rpartition("/")[0] == shared_folder(one, "y").rpartition("/")[0]
+
+
+def test_movers_leave_out_tickers_that_stopped_trading(spark):
+    bars = pd.concat([random_bars("OLD", 30, 1, start="2019-01-01"), random_bars("NEW", 30, 2, start="2024-01-01")])
+    df = to_spark(spark, bars)
+    assert {r.ticker for r in mb.recent_days(df).collect()} == {"NEW"}
+    assert mb.recent_days(df).count() == mb.LOOK_BACK
