@@ -128,7 +128,8 @@ def ordered_days() -> Column:
 
 
 def predict_bundle(fitted: DataFrame, days: int = 30) -> DataFrame:
-    """Per ticker and step: price, volatility, regime, both forecasts and the confidence.
+    """Per ticker and step: price, volatility, regime, both forecasts, the confidence and the
+    variance model's fit (number of returns, parameters, log-likelihood, AIC, BIC).
 
     ``fitted`` is ticker_state with a variance model's columns (see operators.garch).
     """
@@ -139,7 +140,7 @@ def predict_bundle(fitted: DataFrame, days: int = 30) -> DataFrame:
         "ticker", "step", "dt", "current_price", "current_volatility", "regime",
         variance_volatility(variance).alias("garch_volatility"),
         reverted(F.col("ewma_last"), F.col("ewma_mean"), F.col("step")).alias("simple_volatility"),
-        "confidence",
+        "confidence", "n_obs", "mu", "omega", "alpha", "beta", "log_likelihood", "aic", "bic",
     )
 
 

@@ -8,7 +8,6 @@ projection per ticker, with no copy of the series per trial point.
 from __future__ import annotations
 
 import math
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -27,13 +26,15 @@ from sigmatide.operators.forecast import (
 BACKCAST_ROWS = 75
 BACKCAST_DECAY = 0.94
 N_PARAMS = 4
-# Search space: alpha, persistence = alpha + beta, and scale, where
-# omega = scale * sample variance * (1 - persistence).
-START_ALPHA = [0.002, 0.01, 0.03, 0.06, 0.1, 0.15, 0.25]
-START_PERSISTENCE = [0.3, 0.6, 0.8, 0.9, 0.95, 0.98, 0.995]
-# Each round multiplies alpha, 1 - persistence and scale by f^-1, 1 or f.
-ZOOM_FACTORS = [1.8, 1.5, 1.3, 1.15, 1.08, 1.04, 1.02, 1.01]
-FIT_COLUMNS = ["omega", "alpha", "beta", "next_variance", "deviance"]
+# Start points of the fit: alpha, gap = 1 - alpha - beta, and scale, where omega = scale * sample
+# variance * gap. Alpha may end at 0, and the gap anywhere above 0.
+START_ALPHA = [0.0, 0.01, 0.03, 0.06, 0.1, 0.15, 0.25]
+START_GAP = [0.9, 0.5, 0.2, 0.1, 0.05, 0.02, 0.005, 0.001]
+START_SCALE = [0.5, 1.0, 2.0]
+STARTS = 4  # best start points that are climbed from
+CLIMB_STEPS, CLIMB_RESTARTS = 400, 6
+ROUGH, EXACT = 1e-2, 1e-8  # spread of the deviance at which a climb ends
+FIT_COLUMNS = ["fit_mu", "omega", "alpha", "beta", "next_variance", "deviance"]
 CI_LOW, CI_HIGH = 0.8, 1.2
 
 
@@ -79,62 +80,128 @@ def _log_likelihood(deviance_sum: Column) -> Column:
     return -0.5 * (F.col("n_obs") * math.log(2 * math.pi) + deviance_sum)
 
 
+def _deviance_of(returns: list[float], start: float, point: np.ndarray) -> tuple[float, tuple]:
+    """Sum of ln(variance) + e^2 / variance at (mu, alpha, log gap, log omega), with the parameters
+    and the next variance; infinite outside the region of positive variances."""
+    mu, alpha, gap, omega = point[0], max(point[1], 0.0), math.exp(min(point[2], 0.0)), math.exp(min(point[3], 50.0))
+    beta = 1 - gap - alpha
+    if beta < 0:
+        return math.inf, ()
+    v, total, log = omega + (alpha + beta) * start, 0.0, math.log
+    for r in returns:
+        e = (r - mu) * (r - mu)
+        total += log(v) + e / v
+        v = omega + alpha * e + beta * v
+    return total, (mu, omega, alpha, beta, v)
+
+
+def _climb(objective, start: np.ndarray, sizes: np.ndarray, spread: float,
+           restarts: int = 1) -> tuple[np.ndarray, float]:
+    """Nelder-Mead descent, restarted around its end until a restart gains nothing."""
+    best, least = start, objective(start)
+    for _ in range(restarts):
+        points = [best, *(best + np.eye(len(best))[i] * sizes for i in range(len(best)))]
+        rows = sorted(((objective(p), i, p) for i, p in enumerate(points)), key=lambda x: x[:2])
+        for step in range(CLIMB_STEPS):
+            if rows[-1][0] - rows[0][0] < spread:
+                break
+            centre = sum(p for _, _, p in rows[:-1]) / (len(rows) - 1)
+            away = centre - rows[-1][2]
+            n = len(points) + step
+            tried = (objective(centre + away), n, centre + away)
+            if tried[0] < rows[0][0]:
+                further = (objective(centre + 2 * away), n, centre + 2 * away)
+                tried = min(tried, further, key=lambda x: x[0])
+            elif tried[0] >= rows[-2][0]:
+                side = 0.5 if tried[0] < rows[-1][0] else -0.5
+                nearer = (objective(centre + side * away), n, centre + side * away)
+                if nearer[0] >= min(tried[0], rows[-1][0]):
+                    low = rows[0][2]
+                    rows = [rows[0], *((objective(q), i, q) for _, i, p in rows[1:]
+                                       for q in [low + (p - low) / 2])]
+                    tried = rows.pop()
+                else:
+                    tried = nearer
+            rows = sorted([*rows[:len(points) - 1], tried], key=lambda x: x[:2])
+        gained = least - rows[0][0]
+        best, least = rows[0][2], rows[0][0]
+        if gained < 10 * spread:
+            break
+    return best, least
+
+
+def _start_points(errors: np.ndarray, variance: float, start: float) -> np.ndarray:
+    """(alpha, gap, scale) of the best grid points; all are folded over the series at once."""
+    grid = np.array([(a, g, s) for a in START_ALPHA for g in START_GAP for s in START_SCALE if a + g <= 1])
+    alpha, gap, scale = grid.T
+    omega, beta = scale * variance * gap, 1 - gap - alpha
+    v, total = omega + (alpha + beta) * start, np.zeros(len(grid))
+    for e in errors:
+        total += np.log(v) + e / v
+        v = omega + alpha * e + beta * v
+    order = np.argsort(total, kind="stable")
+    at_zero = order[alpha[order] == 0][:1]  # the bound is climbed along too
+    return grid[np.unique(np.concatenate((order[:STARTS - 1], at_zero)))]
+
+
+def fit_returns(returns: np.ndarray, variance: float, start: float) -> tuple[float, ...]:
+    """Maximum of the likelihood over mean, omega, alpha and beta: FIT_COLUMNS."""
+    mean, spread = float(np.mean(returns)), math.sqrt(variance)
+    values = returns.tolist()
+    sizes = np.array([0.1 * spread, 0.03, 0.5, 0.5])
+
+    def objective(point: np.ndarray) -> float:
+        return _deviance_of(values, start, point)[0]
+
+    ends = [_climb(objective, np.array([mean, a, math.log(g), math.log(s * variance * g)]), sizes, ROUGH)
+            for a, g, s in _start_points((returns - mean) ** 2, variance, start)]
+    rough = min(ends, key=lambda x: x[1])[0]
+    best = _climb(objective, rough, sizes / 4, EXACT, CLIMB_RESTARTS)[0]
+    deviance, parameters = _deviance_of(values, start, best)
+    return (*map(float, parameters), deviance)
+
+
 def _fit_function():
-    """The search as a pandas UDF. Nested functions travel with the job by value."""
-
-    def best_point(errors, variance, start, alpha, gap, scale):
-        # All trial points (gap = 1 - persistence) are folded over the series at once.
-        beta = 1 - gap - alpha
-        ok = (alpha > 0) & (beta >= 0) & (gap > 0) & (gap < 1)
-        alpha, beta, gap, scale = alpha[ok], beta[ok], gap[ok], scale[ok]
-        omega = scale * variance * gap
-        v = omega + (alpha + beta) * start
-        total = np.zeros(len(v))
-        for e in errors:
-            total = total + np.log(v) + e / v
-            v = omega + alpha * e + beta * v
-        best = np.lexsort((scale, gap, alpha, -total))[-1]
-        return alpha[best], gap[best], scale[best], v[best], total[best]
-
-    def search(errors, variance, start):
-        grid = np.array([(a, 1 - p, 1.0) for p in START_PERSISTENCE for a in START_ALPHA if a < p])
-        best = best_point(errors, variance, start, *grid.T)
-        for f in ZOOM_FACTORS:
-            near = np.array(list(product((1 / f, 1.0, f), repeat=3))) * np.array(best[:3])
-            best = best_point(errors, variance, start, *near.T)
-        alpha, gap, scale, next_variance, deviance = best
-        return scale * variance * gap, alpha, 1 - gap - alpha, next_variance, deviance
-
-    def fit(errors: pd.Series, variance: pd.Series, start: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([search(e, v, s) for e, v, s in zip(errors, variance, start)],
+    def fit(returns: pd.Series, variance: pd.Series, start: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fit_returns(np.asarray(r), v, s) for r, v, s in zip(returns, variance, start)],
                             columns=FIT_COLUMNS)
 
     return F.pandas_udf(fit, ", ".join(f"{c} double" for c in FIT_COLUMNS))
 
 
 def garch_search(state: DataFrame) -> DataFrame:
-    """Best (omega, alpha, beta) per ticker by likelihood.
+    """Fitted mean, omega, alpha and beta per ticker by maximum likelihood.
 
-    ``state`` needs pct_returns; it gains mu, omega, alpha, beta, next_variance and
-    log_likelihood. A fold in the engine costs microseconds per day and trial point, so the
-    trial points of a ticker are folded together in NumPy, on Arrow batches of tickers.
+    ``state`` needs pct_returns; it gains mu, omega, alpha, beta, next_variance, log_likelihood, aic
+    and bic. The start variance is that of the returns around their sample mean. A fold in
+    the engine costs microseconds per day and trial point, so the search of a ticker runs in
+    one call of a pandas UDF; tickers are spread over the partitions.
     """
     df = residual_state(state).withColumn(
-        "_fit", _fit_function()("sq_residuals", "sample_variance", "start_variance"))
-    return (
-        df.select("*", "_fit.omega", "_fit.alpha", "_fit.beta", "_fit.next_variance",
-                  _log_likelihood(F.col("_fit.deviance")).alias("log_likelihood"))
-        .drop("_fit")
-    )
+        "_fit", _fit_function()("pct_returns", "sample_variance", "start_variance"))
+    return with_criteria(
+        df.drop("mu").select("*", F.col("_fit.fit_mu").alias("mu"), "_fit.omega", "_fit.alpha", "_fit.beta",
+                             "_fit.next_variance",
+                             _log_likelihood(F.col("_fit.deviance")).alias("log_likelihood"))
+        .drop("_fit"))
+
+
+def with_criteria(fitted: DataFrame) -> DataFrame:
+    """Add the information criteria of the four parameters."""
+    ll = F.col("log_likelihood")
+    return fitted.withColumns({
+        "aic": 2 * N_PARAMS - 2 * ll,
+        "bic": N_PARAMS * F.ln("n_obs") - 2 * ll,
+    })
 
 
 def garch_given(state: DataFrame, alpha: float, beta: float) -> DataFrame:
-    """The model with fixed alpha and beta, and omega from the sample variance."""
-    return with_variance(
+    """The model with fixed alpha and beta, the sample mean, and omega from the sample variance."""
+    return with_criteria(with_variance(
         residual_state(state).withColumns({
             "alpha": F.lit(alpha), "beta": F.lit(beta),
             "omega": (1 - alpha - beta) * F.col("sample_variance"),
-        }))
+        })))
 
 
 def with_variance(df: DataFrame) -> DataFrame:
@@ -158,12 +225,16 @@ def return_series(bars: DataFrame) -> DataFrame:
 
 def garch_fit(bars: DataFrame) -> DataFrame:
     """Fitted parameters, log-likelihood, AIC and BIC per ticker."""
-    ll = F.col("log_likelihood")
     return garch_search(return_series(bars)).select(
-        "ticker", "n_obs", "mu", "omega", "alpha", "beta", "log_likelihood",
-        (2 * N_PARAMS - 2 * ll).alias("aic"),
-        (N_PARAMS * F.ln("n_obs") - 2 * ll).alias("bic"),
-    )
+        "ticker", "n_obs", "mu", "omega", "alpha", "beta", "log_likelihood", "aic", "bic")
+
+
+def grid_log_likelihood(alphas: list[float], gaps: list[float]) -> Column:
+    """Best log-likelihood over a grid of alpha and gap, with the sample mean and omega from the
+    sample variance: a floor for any fit. For rows of residual_state or garch_search."""
+    points = [(a, g) for a in alphas for g in gaps if a + g <= 1]
+    return _log_likelihood(F.least(*[
+        _deviance(F.lit(g) * F.col("sample_variance"), F.lit(a), F.lit(1 - g - a))["sum"] for a, g in points]))
 
 
 def step_variance(step: Column) -> Column:

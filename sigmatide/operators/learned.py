@@ -7,6 +7,8 @@ the number of tickers.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +27,14 @@ ENSEMBLE_CI_LOW, ENSEMBLE_CI_HIGH = 0.8, 1.2
 ENSEMBLE_LOOKBACK = 30
 
 
+@dataclass
+class GivenModel:
+    """A linear model with fixed weights, in place of a fitted one."""
+
+    coefficients: list[float]
+    intercept: float
+
+
 def minmax_scale(panel: DataFrame, train_fraction: float | None = None) -> DataFrame:
     """Scale returns, historical, EWMA and the target to [0, 1] per ticker; range 0 gives 0.
 
@@ -94,6 +104,18 @@ def lag_regression_fit(split: DataFrame, ridge: float = 1e-6) -> LinearRegressio
     return LinearRegression(solver="normal", regParam=ridge, standardization=False).fit(rows)
 
 
+def fit_gradient(split: DataFrame, model: LinearRegressionModel, ridge: float = 1e-6) -> DataFrame:
+    """(feature, gradient, n): the derivative of the training loss by each weight, per row; the
+    intercept is the last feature. All are zero at the least-squares solution."""
+    error = F.col("target") - _dot(F.col("steps"), model)
+    terms = F.posexplode(F.concat("steps", F.array(F.lit(1.0)))).alias("feature", "x")
+    weights = F.array(*[F.lit(float(c)) for c in [*model.coefficients, 0.0]])
+    rows = split.filter("is_train").select(error.alias("error"), "steps").select("error", terms)
+    return rows.groupBy("feature").agg(
+        F.avg(F.col("error") * F.col("x")).alias("mean"), F.count(F.lit(1)).alias("n"),
+    ).select("feature", (F.col("mean") - ridge * F.get(weights, F.col("feature"))).alias("gradient"), "n")
+
+
 def lag_predictions(split: DataFrame, model: LinearRegressionModel) -> DataFrame:
     """Unscaled one-step predictions next to the actual values."""
     rows = split.withColumn("features", array_to_vector("steps"))
@@ -102,7 +124,7 @@ def lag_predictions(split: DataFrame, model: LinearRegressionModel) -> DataFrame
                                         predicted.alias("predicted"))
 
 
-def _dot(steps: Column, model: LinearRegressionModel) -> Column:
+def _dot(steps: Column, model: LinearRegressionModel | GivenModel) -> Column:
     weights = F.array(*[F.lit(float(c)) for c in model.coefficients])
     products = F.zip_with(steps, weights, lambda x, w: x * w)
     return F.aggregate(products, F.lit(float(model.intercept)), lambda a, p: a + p)
@@ -118,7 +140,7 @@ def regression_metrics(predictions: DataFrame) -> DataFrame:
     )
 
 
-def lag_regression_forecast(scaled: DataFrame, model: LinearRegressionModel, horizon: int = 30,
+def lag_regression_forecast(scaled: DataFrame, model: LinearRegressionModel | GivenModel, horizon: int = 30,
                             lookback: int = 60) -> DataFrame:
     """Forecast step by step, feeding each prediction back as historical and EWMA value.
 

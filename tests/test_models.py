@@ -50,6 +50,73 @@ def test_the_fit_beats_other_parameters(series):
             assert fitted[r.ticker] >= r.log_likelihood - 1e-6
 
 
+def independent_optimum(returns, start, seed=0):
+    """Best log-likelihood of a free random search, all points folded at once."""
+    rng = np.random.default_rng(seed)
+    variance = returns.var()
+
+    def deviance(p):
+        mu, alpha, gap, omega = p.T
+        beta = 1 - gap - alpha
+        ok = (alpha >= 0) & (gap > 0) & (beta >= 0) & (omega > 0)
+        mu, alpha, beta, omega = (np.where(ok, x, 0.1) for x in (mu, alpha, beta, omega))
+        v, total = omega + (alpha + beta) * start, np.zeros(len(p))
+        for r in returns:
+            e = (r - mu) ** 2
+            total += np.log(v) + e / v
+            v = omega + alpha * e + beta * v
+        return np.where(ok, total, np.inf)
+
+    n = 4000
+    gap = 10 ** rng.uniform(-5, 0, n)
+    points = np.stack([returns.mean() + 0.05 * returns.std() * rng.normal(size=n),
+                       rng.uniform(0, 0.4, n) * (rng.random(n) > 0.3), gap,
+                       variance * gap * 10 ** rng.uniform(-1, 1, n)], 1)
+    best, width = deviance(points), 0.5
+    keep = best.argsort()[:30]
+    points, best = points[keep], best[keep]
+    for _ in range(50):
+        near = np.repeat(points, 30, 0)
+        move = rng.normal(size=near.shape) * (rng.random(near.shape) < 0.6) * width
+        near = np.stack([near[:, 0] + 0.1 * returns.std() * move[:, 0],
+                         np.maximum(near[:, 1] + 0.05 * move[:, 1], 0),
+                         near[:, 2] * np.exp(move[:, 2]), near[:, 3] * np.exp(move[:, 3])], 1)
+        points, best = np.vstack([points, near]), np.concatenate([best, deviance(near)])
+        keep = best.argsort()[:12]
+        points, best, width = points[keep], best[keep], width * 0.88
+    return -0.5 * (len(returns) * np.log(2 * np.pi) + best[0])
+
+
+@pytest.mark.parametrize("alpha,beta,seed", [
+    (0.1, 0.85, 5), (0.3, 0.5, 1), (0.0, 0.0, 3), (0.0, 0.99, 1), (0.05, 0.945, 1), (0.02, 0.975, 2)])
+def test_the_fit_reaches_an_independent_optimum(alpha, beta, seed):
+    rng, v, out = np.random.default_rng(seed), 1.0, []
+    for _ in range(500):
+        e = rng.normal() * np.sqrt(v)
+        out.append(e)
+        v = 1 - alpha - beta + alpha * e * e + beta * v
+    returns = np.array(out)
+    errors = (returns - returns.mean()) ** 2
+    weights = 0.94 ** np.arange(75)
+    start = (errors[:75] * weights).sum() / weights.sum()
+    *parameters, deviance = ga.fit_returns(returns, errors.mean(), start)
+    got = -0.5 * (len(returns) * np.log(2 * np.pi) + deviance)
+    assert got >= independent_optimum(returns, start) - 1e-3
+    mu, omega, a, b, last = parameters
+    want = fold((returns - mu) ** 2, omega, a, b, start)
+    np.testing.assert_allclose([last, got], want[1:], rtol=1e-9)
+    assert a >= 0 and b >= 0 and 0 < a + b < 1
+
+
+def test_the_floor_of_the_grid_is_below_the_fit(series):
+    rows = ga.garch_search(series).select(
+        "log_likelihood", ga.grid_log_likelihood([0.0, 0.1], [0.05, 0.2]).alias("floor")).collect()
+    given = [ga.garch_given(series, a, 1 - a - g).collect() for a in (0.0, 0.1) for g in (0.05, 0.2)]
+    best = [max(r.log_likelihood for r in rs) for rs in zip(*given)]
+    np.testing.assert_allclose([r.floor for r in rows], best, rtol=1e-9)
+    assert all(r.log_likelihood >= r.floor for r in rows)
+
+
 def test_fixed_model_equals_the_loop(series):
     model = ga.garch_given(series, 0.08, 0.9)
     path = {}
@@ -131,6 +198,22 @@ def test_fit_equals_least_squares(learned):
     np.testing.assert_allclose(model.coefficients.toArray(), want[:-1], atol=1e-5)
 
 
+def test_the_gradient_is_zero_at_the_fit_only(learned):
+    _, _, split, model = learned
+    at_fit = [r.gradient for r in le.fit_gradient(split, model, 0.0).collect()]
+    assert len(at_fit) == 3 * LOOKBACK + 1 and np.abs(at_fit).max() < 1e-6
+    off = le.GivenModel([float(c) + 0.05 for c in model.coefficients], model.intercept)
+    assert np.abs([r.gradient for r in le.fit_gradient(split, off, 0.0).collect()]).max() > 1e-3
+
+
+def test_the_full_ensemble_runs_fitted(spark, folder):
+    from sigmatide.plans.catalog import forecast_ensemble_fitted
+    from sigmatide.sources.tables import Tables
+
+    rows = forecast_ensemble_fitted(Tables(spark, folder)).collect()
+    assert len(rows) == 25 * 30 and all(r.garch > 0 and np.isfinite(r.learned) for r in rows)
+
+
 def test_forecast_feeds_predictions_back(learned):
     frames, scaled, _, model = learned
     w, b = model.coefficients.toArray(), model.intercept
