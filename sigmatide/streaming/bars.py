@@ -11,10 +11,15 @@ from sigmatide.sources.bars import sequence_key
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType,
-                file_name: str = "*.parquet") -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_name)
-            .parquet(folder))
+                file_name: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files of a folder as a stream, at most ``files_per_trigger`` in a micro-batch.
+
+    Without that bound a backlog is one micro-batch.
+    """
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_name)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", str(files_per_trigger))
+    return reader.parquet(folder)
 
 
 def stream_bars(ticks: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:

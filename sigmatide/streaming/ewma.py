@@ -5,37 +5,44 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sigmatide.functions.columns import ANNUAL
 
-OUTPUT = "ticker string, dt timestamp, close double, ewma double"
-STATE = "s0 double, s1 double, s2 double, q0 double, last_close double"
+OUTPUT = "ticker string, dt timestamp, close double, ewma double, late boolean"
+STATE = "s0 double, s1 double, s2 double, q0 double, last_close double, last_micros long"
 
 
 def _updater(span: int) -> Callable:
     q = 1 - 2 / (span + 1)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        s0, s1, s2, q0, last = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, None)
-        bars = pd.concat([b for b in batches if len(b)]).sort_values("dt")
-        ewma: list[float | None] = []
-        for close in bars["close"]:
-            value = None
+        s0, s1, s2, q0, last, seen = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, None, None)
+        # Two numbers a bar are kept of the micro-batch, for their order in time.
+        parts = [(b["dt"].to_numpy("datetime64[us]").astype(np.int64), b["close"].to_numpy(float))
+                 for b in batches if len(b)]
+        micros, closes = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(micros, kind="stable")
+        micros, closes = micros[order], closes[order]
+        late = np.zeros(len(micros), bool) if seen is None else micros <= seen
+        values = np.full(len(micros), np.nan)
+        for i in np.flatnonzero(~late):
+            close = float(closes[i])
             if last is not None:
                 r = close / last - 1
                 s0, s1, s2, q0 = 1 + q * s0, r + q * s1, r * r + q * s2, 1 + q * q * q0
                 bias = s0 * s0 - q0
                 if bias > 0:
                     mean = s1 / s0
-                    value = math.sqrt(max(s2 / s0 - mean * mean, 0.0) * s0 * s0 / bias) * ANNUAL
-            ewma.append(value)
-            last = close
-        state.update((s0, s1, s2, q0, float(last)))
-        yield bars[["ticker", "dt", "close"]].assign(ewma=pd.Series(ewma, index=bars.index,
-                                                                    dtype="float64"))
+                    values[i] = math.sqrt(max(s2 / s0 - mean * mean, 0.0) * s0 * s0 / bias) * ANNUAL
+            last, seen = close, int(micros[i])
+        state.update((s0, s1, s2, q0, last, seen))
+        yield pd.DataFrame({"ticker": key[0], "dt": micros.astype("datetime64[us]"), "close": closes,
+                            "ewma": pd.Series(values).where(~np.isnan(values), None).astype("float64"),
+                            "late": late})
 
     return update
 
@@ -43,8 +50,10 @@ def _updater(span: int) -> Callable:
 def stream_ewma(bars: DataFrame, span: int = 21) -> DataFrame:
     """EWMA volatility of each arriving bar, equal to the batch estimator.
 
-    State per ticker is five numbers. A call sees one ticker's bars of one micro-batch, and
-    bars are one row per ticker and window, so the size is set by the trigger, not by ticks.
+    State per ticker is six numbers. A call sees one ticker's bars of one micro-batch, sixteen
+    bytes each; bound the batch at the source (``files_per_trigger`` of read_stream). A bar that is
+    not later than its ticker's last one of an earlier batch can't change values already given: it is
+    returned with ``late`` set and no volatility, and leaves the state as it is.
     """
     return bars.groupBy("ticker").applyInPandasWithState(
         _updater(span), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -65,6 +67,41 @@ def test_ewma_state_carries_over_batches(spark):
         np.testing.assert_allclose(have, want, rtol=1e-9)
 
 
+def test_a_bar_older_than_an_earlier_batch_is_reported_and_changes_nothing(spark):
+    frame = random_bars("A", 30, 4)
+    source, out = shared_folder(spark, "bars"), shared_folder(spark, "ewma")
+    order = [list(range(0, 10)) + list(range(11, 20)), [10, 5] + list(range(20, 30))]
+    for rows in order:
+        part = frame.iloc[rows][["ticker", "dt", "close"]]
+        df = (spark.createDataFrame(part, "ticker string, dt date, close double")
+              .withColumn("dt", F.col("dt").cast("timestamp")))
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = sb.read_stream(spark, source, df.schema, files_per_trigger=1)
+        sb.append_to_parquet(sw.stream_ewma(stream), out).awaitTermination()
+    got = spark.read.parquet(out).orderBy("dt", "late").collect()
+    late = [r for r in got if r.late]
+    assert sorted(r.dt.date() for r in late) == sorted(frame.dt.iloc[[5, 10]]) and all(r.ewma is None for r in late)
+    kept = frame.drop(frame.index[10])
+    want = (kept.close.pct_change().ewm(span=21).std() * np.sqrt(252)).to_numpy()
+    have = np.array([np.nan if r.ewma is None else r.ewma for r in got if not r.late])
+    np.testing.assert_allclose(have, want, rtol=1e-9)
+
+
+def test_a_backlog_is_cut_into_batches_of_files(spark):
+    source, out = shared_folder(spark, "bars"), shared_folder(spark, "ewma")
+    frame = random_bars("A", 40, 6)
+    for i in range(0, 40, 10):
+        df = (spark.createDataFrame(frame.iloc[i:i + 10][["ticker", "dt", "close"]],
+                                    "ticker string, dt date, close double")
+              .withColumn("dt", F.col("dt").cast("timestamp")))
+        df.coalesce(1).write.mode("append").parquet(source)
+    query = sb.append_to_parquet(sw.stream_ewma(
+        sb.read_stream(spark, source, df.schema, files_per_trigger=1)), out)
+    query.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 4
+    assert spark.read.parquet(out).filter("late").count() == 0
+
+
 def test_movers_follow_batches_and_survive_a_repeat(spark, folder):
     from test_sources import info_rows
 
@@ -82,3 +119,24 @@ def test_movers_follow_batches_and_survive_a_repeat(spark, folder):
     for t in ("A", "B"):
         close = frame[frame.ticker == t].close.to_numpy()
         assert abs(got[t].change - (close[-1] / close[-2] - 1) * 100) < 1e-9
+        assert got[t].high_52w == frame[frame.ticker == t].high.max()
+
+
+def test_movers_keep_two_batches_and_see_no_later_price(spark):
+    from test_sources import info_rows
+
+    info, out = info_rows(spark, []), shared_folder(spark, "movers")
+    frame = pd.concat([random_bars("A", 8, 1), random_bars("B", 8, 2)])
+    schema = "ticker string, dt date, open double, high double, low double, close double, volume double"
+    days = sorted(frame.dt.unique())
+    for n in range(4):
+        part = frame[frame.dt.isin(days[2 * n:2 * n + 2])]
+        sm.refresh_movers(spark.createDataFrame(part, schema), n, info, out)
+        seen = frame[frame.dt.isin(days[:2 * n + 2])]
+        boards = sm.current_boards(spark, out).filter("board = 'gainers'").collect()
+        for r in boards:
+            own = seen[seen.ticker == r.ticker]
+            assert (r.high_52w, r.low_52w) == (own.high.max(), own.low.min())
+        for kind in ("latest", "levels", "boards"):
+            kept = sorted(p for p in os.listdir(f"{out}/{kind}") if p.startswith("batch="))
+            assert kept == [f"batch={i}" for i in range(max(0, n - 1), n + 1)]
