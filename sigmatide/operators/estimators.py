@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sigmatide.functions.columns import (
     ANNUAL,
-    NOISE,
     TRADING_DAYS,
     by_block,
     by_time,
@@ -182,11 +181,11 @@ def vol_panel(bars: DataFrame, window: int = 21) -> DataFrame:
     return volatility_frame(bars, window).filter("in_panel").select("ticker", "dt", *PANEL)
 
 
-def panel_percentile() -> Column:
+def panel_percentile(noise: float = 0.0) -> Column:
     """Aggregate over a volatility_frame: percentage of the panel's Yang-Zhang values that
-    are strictly below the last one."""
+    are below the last one by more than ``noise``."""
     panel = F.col("in_panel")
-    below = panel & (F.col("yang_zhang") < F.col("last_yang_zhang") - NOISE)
+    below = panel & (F.col("yang_zhang") < F.col("last_yang_zhang") - noise)
     return F.try_divide(F.count_if(below), F.count_if(panel)) * 100
 
 
@@ -195,7 +194,7 @@ def regime_label(percentile: Column) -> Column:
                        (percentile < 90, "High"), otherwise="Extreme")
 
 
-def vol_summary(bars: DataFrame, window: int = 21) -> DataFrame:
+def vol_summary(bars: DataFrame, window: int = 21, noise: float = 0.0) -> DataFrame:
     """Current, average, extremes and percentile of each estimator, one row per metric.
 
     Aggregated wide and turned to rows afterwards, so the panel is not multiplied.
@@ -213,7 +212,7 @@ def vol_summary(bars: DataFrame, window: int = 21) -> DataFrame:
                 F.avg(m).alias("average"),
                 F.min(m).alias("min"),
                 F.max(m).alias("max"),
-                (F.count_if(F.col(m) < F.col(f"last_{m}") - NOISE) / F.count(F.lit(1)) * 100)
+                (F.count_if(F.col(m) < F.col(f"last_{m}") - noise) / F.count(F.lit(1)) * 100)
                 .alias("percentile"),
             ).alias(m)
             for m in METRICS
@@ -222,12 +221,12 @@ def vol_summary(bars: DataFrame, window: int = 21) -> DataFrame:
     return wide.select("ticker", "data_points", "current_price", F.inline(F.array(*METRICS)))
 
 
-def vol_regime(bars: DataFrame, window: int = 21) -> DataFrame:
+def vol_regime(bars: DataFrame, window: int = 21, noise: float = 0.0) -> DataFrame:
     """Percentile of the last Yang-Zhang value within the panel, and its regime."""
     return (
         volatility_frame(bars, window).groupBy("ticker").agg(
             F.max("last_yang_zhang").alias("current"),
-            panel_percentile().alias("percentile"),
+            panel_percentile(noise).alias("percentile"),
         )
         .filter("current is not null")
         .withColumn("regime", regime_label(F.col("percentile")))

@@ -15,6 +15,7 @@ from sigmatide.operators import learned as le
 from sigmatide.operators import market_boards as mb
 from sigmatide.operators import portfolio as po
 from sigmatide.operators import screener as sc
+from sigmatide.functions.columns import NOISE
 from sigmatide.plans.present import present
 from sigmatide.session import shared_folder, staged
 from sigmatide.sources import bars as ba
@@ -33,6 +34,10 @@ INVESTMENT = 50_000.0
 TICK_WIDTH, TICK_DELAY = "1 hour", "1 hour"
 # Raw prices may have seven decimals, so fewer digits would put some of them on a tie.
 EXACT = 8
+# Start points of the SQL check of the variance model's likelihood.
+GRID_ALPHAS, GRID_GAPS = [0.0, 0.02, 0.05, 0.1, 0.2], [0.5, 0.2, 0.1, 0.05, 0.02, 0.005]
+# Weights of returns, historical and EWMA volatility two steps and one step back.
+LAG_WEIGHTS, LAG_INTERCEPT = [[0.05, 0.1, 0.15], [-0.04, 0.3, 0.35]], 0.02
 OHLC = {c: EXACT for c in ("open", "high", "low", "close")}
 
 _QUERIES: dict[str, Query] = {}
@@ -61,7 +66,7 @@ def bars_daily(t):
 
 @query
 def period_filter(t):
-    return present(ba.period_filter(t.bars("6mo"), "6mo", t.as_of()), **OHLC)
+    return present(t.bars("6mo"), **OHLC)
 
 
 @query
@@ -71,7 +76,7 @@ def period_filter_5d(t):
 
 @query
 def universe_filter(t):
-    return present(di.universe_filter(t.bars(), t.universe(), "brands"), **OHLC)
+    return present(di.universe_filter(t.bars(), t.universes(), "even"), **OHLC)
 
 
 @query
@@ -117,12 +122,12 @@ def vol_panel(t):
 
 @query
 def vol_summary(t):
-    return present(es.vol_summary(t.bars()), current_price=EXACT)
+    return present(es.vol_summary(t.bars(), noise=NOISE), current_price=EXACT)
 
 
 @query
 def vol_regime(t):
-    return present(es.vol_regime(t.bars()))
+    return present(es.vol_regime(t.bars(), noise=NOISE))
 
 
 @query
@@ -150,7 +155,17 @@ def forecast_confidence(t):
 
 @query
 def garch_fit(t):
-    return present(ga.garch_fit(t.bars()), log_likelihood=4, aic=4, bic=4)
+    """The likelihood's best grid point, and whether the fit is at least as good and its criteria
+    follow from it. The fit itself has no closed form; the tests compare it with another search."""
+    ll, k = F.col("log_likelihood"), ga.N_PARAMS
+    fitted = ga.garch_search(ga.return_series(t.bars()))
+    floor = ga.grid_log_likelihood(GRID_ALPHAS, GRID_GAPS)
+    criteria = (F.abs(F.col("aic") - 2 * k + 2 * ll) < 1e-6) & (
+        F.abs(F.col("bic") - F.col("aic") - k * (F.ln("n_obs") - 2)) < 1e-6)
+    rows = fitted.select("ticker", "n_obs", floor.alias("grid_log_likelihood"),
+                         (ll >= floor - 1e-6).cast("long").alias("fit_reaches_grid"),
+                         criteria.cast("long").alias("criteria_follow"))
+    return present(rows, grid_log_likelihood=4)
 
 
 @query
@@ -192,12 +207,10 @@ def chrono_split(t):
 
 @query
 def lag_regression_fit(t):
-    """Validation error of the pooled model per ticker."""
+    """The gradient of the pooled model's training loss: zero, if the fit is the minimum."""
     scaled = staged(le.minmax_scale(es.vol_panel(t.bars())), "scaled-panel")
     split = le.chrono_split(le.lag_sequences(scaled))
-    model = le.lag_regression_fit(split)
-    return present(le.regression_metrics(
-        le.lag_predictions(split, model).filter(~F.col("is_train"))))
+    return present(le.fit_gradient(split, le.lag_regression_fit(split)), gradient=5)
 
 
 @query
@@ -211,32 +224,47 @@ def regression_metrics(t):
 
 @query
 def lag_regression_forecast(t):
-    return present(le.learned_forecast(t.bars()))
+    """The recursion with given weights; fitted weights differ in their numbers only."""
+    return present(_learned_given(t.stored_bars()))
+
+
+def _learned_given(bars, lookback: int = 60):
+    weights = [0.0] * (3 * (lookback - len(LAG_WEIGHTS))) + [w for lag in LAG_WEIGHTS for w in lag]
+    scaled = le.minmax_scale(es.vol_panel(bars.drop(ba.MONTH)))
+    return le.lag_regression_forecast(scaled, le.GivenModel(weights, LAG_INTERCEPT), lookback=lookback)
 
 
 @query
 def forecast_ensemble(t):
-    bars = t.store_bars().bars()  # read by the variance model and by the fit
+    """The blend of both models, each with given parameters."""
+    bars = t.stored_bars().drop(ba.MONTH)
+    garch = ga.garch_forecast(ga.garch_given(ga.return_series(bars), ALPHA, BETA))
+    return present(le.forecast_ensemble(garch, _learned_given(bars, le.ENSEMBLE_LOOKBACK)))
+
+
+def forecast_ensemble_fitted(t):
+    """The same with both models fitted: the full path, for the benchmark and the tests."""
+    bars = t.stored_bars().drop(ba.MONTH)
     garch = ga.garch_forecast(ga.garch_search(ga.return_series(bars)))
-    learned = le.learned_forecast(bars, lookback=le.ENSEMBLE_LOOKBACK)
-    return present(le.forecast_ensemble(garch, learned))
+    return present(le.forecast_ensemble(garch, le.learned_forecast(bars, lookback=le.ENSEMBLE_LOOKBACK)))
 
 
 @query
 def forecast_ensemble_given(t):
     """The blend of two forecasts that need no fit: fixed GARCH and mean reversion."""
-    bars = t.store_bars().bars()
+    bars = t.stored_bars().drop(ba.MONTH)
     garch = ga.garch_forecast(ga.garch_given(ga.return_series(bars), ALPHA, BETA))
     return present(le.forecast_ensemble(garch, fc.forecast_mean_reversion(bars)))
 
 
 def _bundle(t):
-    return fc.predict_bundle(ga.garch_search(fc.ticker_state(t.bars())))
+    """With the fixed model, so that every number can be checked."""
+    return fc.predict_bundle(ga.garch_given(fc.ticker_state(t.bars()), ALPHA, BETA))
 
 
 @query
 def predict_bundle(t):
-    return present(_bundle(t), current_price=EXACT)
+    return present(_bundle(t), current_price=EXACT, log_likelihood=4, aic=4, bic=4)
 
 
 @query
@@ -281,6 +309,18 @@ def screen_metrics(t):
     return present(sc.screen_metrics(t.bars("6mo")), price=EXACT, dollar_volume=0)
 
 
+@query
+def screen_top5(t):
+    """The same cut where it leaves tickers out."""
+    return present(sc.screen_top(_screen(t), 5), price=EXACT, dollar_volume=0)
+
+
+@query
+def insufficient_data(t):
+    """Tickers with too few bars: those of the last weeks of the table have too few for all."""
+    return present(an.insufficient(ba.period_filter(_all_bars(t), "5d")))
+
+
 @query
 def score_daytrade(t):
     return present(_screen(t).select("ticker", "score_daytrade"))
@@ -338,7 +378,6 @@ def portfolio_allocation(t):
 # Analyzer
 
 def _positioned(t):
-    t.store_bars()
     return an.week52_position(an.analyzer_metrics(t.bars("3mo")), t.ticker_info())
 
 
@@ -387,7 +426,6 @@ def market_cap_label(t):
 
 
 def _buy_list(t):
-    t.store_bars()
     return an.buy_list(an.analysis(t.bars("3mo"), t.ticker_info()), t.universe())
 
 
@@ -406,16 +444,18 @@ def price_band_filter(t):
 
 # Movers and news
 
+def _all_bars(t):
+    return t.stored_bars().drop(ba.MONTH)
+
+
 @query
 def mover_metrics(t):
-    t.store_bars()
-    return present(mb.mover_metrics(t.bars(), t.ticker_info()), price=EXACT, high_52w=EXACT, low_52w=EXACT)
+    return present(mb.mover_metrics(mb.recent_days(_all_bars(t)), t.ticker_info()), price=EXACT, high_52w=EXACT, low_52w=EXACT)
 
 
 @query
 def movers_top10(t):
-    t.store_bars()
-    return present(mb.movers_top(mb.mover_metrics(t.bars(), t.ticker_info()), t.universe()),
+    return present(mb.movers_top(mb.mover_metrics(mb.recent_days(_all_bars(t)), t.ticker_info()), t.universe()),
                    price=EXACT, high_52w=EXACT, low_52w=EXACT)
 
 
@@ -434,11 +474,26 @@ def news_latest50(t):
     return present(_latest(t).drop("pos", "ord"))
 
 
+@query
+def news_latest10(t):
+    """The newest ten: a cut that leaves items out."""
+    latest = mb.news_latest(ne.news_flatten(ne.first_items(t.feed())), 10)
+    return present(latest.drop("pos", "ord"))
+
+
 @query
 def news_by_category(t):
     return present(mb.news_by_category(_latest(t), "general").drop("pos", "ord"))
 
 
+@query
+def news_by_keyword(t):
+    """A category that titles have to earn: all documents as one feed, newest first."""
+    items = t.news().withColumn("pos", F.lit(1))
+    latest = mb.news_category(ne.news_flatten(items))
+    return present(mb.news_by_category(latest, "mergers").drop("pos", "ord"))
+
+
 # Streaming
 
 def _event_stream(t):
@@ -472,5 +527,5 @@ def stream_ewma(t):
 def stream_movers(t):
     folder = shared_folder(t.spark, "stream-movers")
     bars = sb.stream_bars(_event_stream(t), TICK_WIDTH, TICK_DELAY)
-    sm.stream_movers(bars, t.tick_info(), folder).awaitTermination()
+    sm.stream_movers(bars, t.tick_facts(), folder).awaitTermination()
     return present(sm.current_boards(t.spark, folder))

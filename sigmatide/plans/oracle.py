@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from itertools import product
-
-from sigmatide.operators import analyzer, garch
+from sigmatide.operators import analyzer
 from sigmatide.operators import forecast as fc
 from sigmatide.operators.estimators import INTERPRETATION_ABOVE, INTERPRETATIONS, METRICS
 from sigmatide.operators.market_boards import NEWS_KEYWORDS
-from sigmatide.plans.catalog import ALPHA, BETA, HISTORY_GATE, INVESTMENT
+from sigmatide.plans.catalog import (
+    ALPHA,
+    BETA,
+    GRID_ALPHAS,
+    GRID_GAPS,
+    HISTORY_GATE,
+    INVESTMENT,
+    LAG_INTERCEPT,
+    LAG_WEIGHTS,
+)
 from sigmatide.sources.dimensions import PORTFOLIO_WEIGHTS
 
 
@@ -165,50 +172,30 @@ model AS (
 fitted AS (SELECT *, f.v AS next, -0.5 * (n_obs * ln(2 * pi()) + f.l) AS ll FROM model)"""
 
 
-def _round_of_search(source: str, target: str, rows: list[tuple], relative: bool) -> str:
-    values = ", ".join("(" + ", ".join(f"{x!r}::DOUBLE" for x in row) + ")" for row in rows)
-    alpha, gap, scale = (("t.alpha * ma", "t.gap * mg", "t.scale * ms") if relative
-                         else ("ma", "mg", "ms"))
-    order = "row(-f.l, alpha, gap, scale)"
+def likelihood_grid() -> str:
+    """CTE ``floors``: the best log-likelihood over the grid, per ticker."""
+    points = ", ".join(f"({a!r}::DOUBLE, {g!r}::DOUBLE)" for a in GRID_ALPHAS for g in GRID_GAPS
+                       if a + g <= 1)
     return f"""
-{target}_points AS (
-  SELECT * EXCLUDE (p_gap), p_gap AS gap, 1 - p_gap - alpha AS beta, scale * s2 * p_gap AS omega
-  FROM (SELECT t.ticker, t.s2, t.v0, t.errs, {alpha} AS alpha, {gap} AS p_gap, {scale} AS scale
-        FROM {source} t CROSS JOIN (VALUES {values}) AS m(ma, mg, ms))
-  WHERE alpha > 0 AND 1 - p_gap - alpha >= 0 AND p_gap > 0 AND p_gap < 1),
-{target}_scored AS (SELECT *, {FOLD} AS f FROM {target}_points),
-{target} AS (
-  SELECT ticker, any_value(s2) AS s2, any_value(v0) AS v0, any_value(errs) AS errs,
-         arg_max(alpha, {order}) AS alpha, arg_max(gap, {order}) AS gap,
-         arg_max(scale, {order}) AS scale, arg_max(f, {order}) AS f
-  FROM {target}_scored GROUP BY ticker)"""
-
-
-def search() -> str:
-    """CTE ``fitted`` by the likelihood search."""
-    grid = [(a, 1 - p, 1.0) for p in garch.START_PERSISTENCE for a in garch.START_ALPHA if a < p]
-    parts = [_round_of_search("resid", "g0", grid, False)]
-    for i, f in enumerate(garch.ZOOM_FACTORS):
-        near = list(product((1 / f, 1.0, f), repeat=3))
-        parts.append(_round_of_search(f"g{i}", f"g{i + 1}", near, True))
-    last = f"g{len(garch.ZOOM_FACTORS)}"
-    return ",".join(parts) + f""",
-fitted AS (
-  SELECT r.ticker, r.dt, mu, n_obs, alpha, 1 - gap - alpha AS beta, scale * r.s2 * gap AS omega,
-         f.v AS next, -0.5 * (n_obs * ln(2 * pi()) + f.l) AS ll
-  FROM {last} JOIN resid r USING (ticker))"""
+points(alpha, gap) AS (VALUES {points}),
+scored AS (
+  SELECT ticker, n_obs, {FOLD} AS f
+  FROM (SELECT r.*, alpha, 1 - gap - alpha AS beta, s2 * gap AS omega FROM resid r CROSS JOIN points)),
+floors AS (
+  SELECT ticker, n_obs, max(-0.5 * (n_obs * ln(2 * pi()) + f.l)) AS floor FROM scored
+  GROUP BY ticker, n_obs)"""
 
 
 LEVEL = "(omega / (1 - (alpha + beta)))"
 VARIANCE = f"({LEVEL} + pow(alpha + beta, step - 1) * (next - {LEVEL}))"
 GARCH_VOL = f"sqrt({VARIANCE} * 252) / 100"
 
-BUNDLE = f"""{frame()},{EWMA_STATE},{SERIES},{search()},{business_steps('fitted')},
+BUNDLE = f"""{frame()},{EWMA_STATE},{SERIES},{GIVEN},{business_steps('fitted')},
 bundle AS (
-  SELECT f.ticker, step, day, p.close AS current_price, p.yang_zhang AS current_volatility,
+  SELECT g.ticker, step, day, g.n_obs, g.mu, g.omega, g.alpha, g.beta, g.ll, p.close AS current_price, p.yang_zhang AS current_volatility,
          regime, {GARCH_VOL} AS garch_volatility,
          m + (e.v0 - m) * pow(0.97::DOUBLE, step) AS simple_volatility, confidence
-  FROM fitted f JOIN steps USING (ticker) JOIN panel p USING (ticker) JOIN regimes USING (ticker)
+  FROM fitted g JOIN steps USING (ticker) JOIN panel p USING (ticker) JOIN regimes USING (ticker)
   JOIN ewma_state e USING (ticker) JOIN confidences USING (ticker)
   WHERE p.age = 1)"""
 SIGNALS = f"""{BUNDLE},
@@ -449,6 +436,10 @@ SELECT ticker, i - 1 AS pos, reasons[i] AS reason
 FROM (SELECT ticker, reasons, unnest(range(1, len(reasons) + 1)) AS i FROM texts)"""
 
 
+RECENT = """
+recent_bars AS (
+  SELECT * FROM bars WHERE dt >= (
+    SELECT min(dt) FROM (SELECT DISTINCT dt FROM bars ORDER BY dt DESC LIMIT 5)))"""
 MOVERS = """
 movers AS (
   SELECT m.ticker, price, (price - previous) / previous * 100 AS change, volume,
@@ -525,6 +516,41 @@ SELECT ticker, i - 1 AS pos, recs[i] AS recommendation
 FROM (SELECT ticker, recs, unnest(range(1, len(recs) + 1)) AS i FROM texts)"""
 
 
+def learned_path(lookback: int) -> str:
+    """CTE ``learned``: the forecast of the model with the given weights, step by step."""
+    (r2, h2, e2), (r1, h1, e1) = LAG_WEIGHTS
+
+    def d(x: float) -> str:
+        return f"({x!r}::DOUBLE)"
+
+    return f"""{SCALED},
+aged AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY dt DESC) AS back FROM scaled),
+ends AS (
+  SELECT ticker, max(dt) AS dt, min(yang_zhang) AS low,
+         CASE WHEN max(yang_zhang) = min(yang_zhang) THEN 1
+              ELSE max(yang_zhang) - min(yang_zhang) END AS span,
+         max(returns_scaled) FILTER (WHERE back = 1) AS ret,
+         max(returns_scaled) FILTER (WHERE back = 2) AS ret2,
+         max(historical_scaled) FILTER (WHERE back = 1) AS his,
+         max(historical_scaled) FILTER (WHERE back = 2) AS his2,
+         max(ewma_scaled) FILTER (WHERE back = 1) AS ew,
+         max(ewma_scaled) FILTER (WHERE back = 2) AS ew2
+  FROM aged GROUP BY ticker HAVING count(*) >= {lookback}),
+walk AS (
+  SELECT ticker, 1 AS step, ret, his, ew,
+         {d(LAG_INTERCEPT)} + {d(r2)} * ret2 + {d(h2)} * his2 + {d(e2)} * ew2
+           + {d(r1)} * ret + {d(h1)} * his + {d(e1)} * ew AS p
+  FROM ends
+  UNION ALL
+  SELECT ticker, step + 1, ret, p, p,
+         {d(LAG_INTERCEPT)} + {d(r2)} * ret + {d(h2)} * his + {d(e2)} * ew
+           + {d(r1)} * ret + {d(h1)} * p + {d(e1)} * p
+  FROM walk WHERE step < 30),{business_steps('ends')},
+learned AS (
+  SELECT w.ticker, w.step, s.day, w.p * e.span + e.low AS volatility
+  FROM walk w JOIN ends e ON e.ticker = w.ticker JOIN steps s ON s.ticker = w.ticker AND s.step = w.step)"""
+
+
 def all_oracle_sql() -> dict[str, str]:
     sql = {
         "scan_bars": f"WITH {bars()} SELECT {OHLCV} FROM bars",
@@ -534,7 +560,7 @@ def all_oracle_sql() -> dict[str, str]:
             (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY dt DESC)
              <= 5)""",
         "universe_filter": f"""WITH {bars()} SELECT {OHLCV} FROM bars
-            WHERE ticker IN (SELECT ticker FROM parts)""",
+            WHERE ticker IN (SELECT ticker FROM parts WHERE b % 2 = 0)""",
         "min_history": f"WITH {bars(gate=HISTORY_GATE)} SELECT {OHLCV} FROM bars",
         "scan_ticker_info": f"""WITH {bars()},{INFO}
             SELECT ticker, short_name, {r('coalesce(week52_high, 0)', 'week52_high', 8)},
@@ -571,9 +597,47 @@ def all_oracle_sql() -> dict[str, str]:
             FROM ewma_state JOIN steps USING (ticker)""",
         "forecast_confidence": f"""WITH {frame()},{EWMA_STATE}
             SELECT ticker, {r('confidence')} FROM confidences""",
-        "garch_fit": f"""WITH {bars()},{RETURNS},{SERIES},{search()}
-            SELECT ticker, n_obs, {rs('mu omega alpha beta')}, {r('ll', 'log_likelihood', 4)},
-              {r('8 - 2 * ll', 'aic', 4)}, {r('4 * ln(n_obs) - 2 * ll', 'bic', 4)} FROM fitted""",
+        "garch_fit": f"""WITH {bars()},{RETURNS},{SERIES},{likelihood_grid()}
+            SELECT ticker, n_obs, {r('floor', 'grid_log_likelihood', 4)},
+              1::BIGINT AS fit_reaches_grid, 1::BIGINT AS criteria_follow FROM floors""",
+        "lag_regression_fit": f"""WITH {SEQUENCES},
+            training AS (SELECT count(*) AS n FROM
+              (SELECT seq <= floor(count(*) OVER (PARTITION BY ticker) * 0.8::DOUBLE) AS train FROM seqs)
+              WHERE train)
+            SELECT CAST(i AS BIGINT) AS feature, 0::DOUBLE AS gradient, n
+            FROM training, (SELECT unnest(range(0, 181)) AS i)""",
+        "lag_regression_forecast": f"""WITH RECURSIVE {learned_path(60)}
+            SELECT ticker, step, {day('day')}, {r('volatility')},
+              {r('volatility * 0.85::DOUBLE', 'lower_ci')}, {r('volatility * 1.15::DOUBLE', 'upper_ci')}
+            FROM learned""",
+        "forecast_ensemble": f"""WITH RECURSIVE {learned_path(30)},{SERIES},{GIVEN},
+            mixed AS (SELECT l.ticker, step, l.day, {GARCH_VOL} AS garch, l.volatility AS learned
+              FROM learned l JOIN fitted g ON g.ticker = l.ticker)
+            SELECT ticker, step, {day('day')}, {rs('garch learned')},
+              {r('(garch + learned) / 2', 'ensemble')},
+              {r('(garch + learned) / 2 * 0.8::DOUBLE', 'lower_ci')},
+              {r('(garch + learned) / 2 * 1.2::DOUBLE', 'upper_ci')} FROM mixed""",
+        "screen_top5": f"""WITH {SCREEN},
+            styles AS (SELECT 'daytrade' AS style, score_daytrade AS score, * FROM scored
+              UNION ALL SELECT 'swing', score_swing, * FROM scored
+              UNION ALL SELECT 'longterm', score_longterm, * FROM scored)
+            SELECT style, row_number() OVER (PARTITION BY style ORDER BY score DESC, ticker) AS rank,
+              ticker, score, {r('price', digits=8)}, {r('volatility')}, regime,
+              {rs('price_change_5d price_change_20d')}, {r('dollar_volume', digits=0)},
+              swing_direction FROM styles QUALIFY rank <= 5""",
+        "insufficient_data": f"""WITH {bars()} SELECT ticker, least(5, count(*)) AS n_bars,
+            'insufficient data: ' || least(5, count(*)) || ' of 20 bars' AS reason
+            FROM bars GROUP BY ticker""",
+        "news_latest10": f"""WITH {LATEST} SELECT ticker, title, link, publisher, {STAMP}, category
+            FROM (SELECT * FROM latest ORDER BY t DESC, place, doc_id LIMIT 10)""",
+        "news_by_keyword": f"""WITH items AS (
+              SELECT 'BRAND#' || (doc_id % 25 + 1) AS ticker, doc_id, coalesce(text, 'No title') AS title,
+                     'https://news.example/' || doc_id AS link,
+                     coalesce(source, 'Unknown') AS publisher,
+                     TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS t FROM documents)
+            SELECT ticker, title, link, publisher, {STAMP}, category
+            FROM (SELECT *, {CATEGORY.format('title')} AS category FROM items)
+            WHERE category = 'mergers' ORDER BY t DESC, doc_id LIMIT 30""",
         "garch_forecast": f"""WITH {bars()},{RETURNS},{SERIES},{GIVEN},{business_steps('fitted')}
             SELECT ticker, step, {day('day')}, {r(VARIANCE, 'variance')},
               {r(GARCH_VOL, 'volatility')}, {r(f'({GARCH_VOL}) * 0.8::DOUBLE', 'lower_ci')},
@@ -610,7 +674,9 @@ def all_oracle_sql() -> dict[str, str]:
               {r('(garch + learned) / 2 * 1.2::DOUBLE', 'upper_ci')} FROM mixed""",
         "predict_bundle": f"""WITH {BUNDLE} SELECT ticker, step, {day('day')},
             {r('current_price', digits=8)}, regime,
-            {rs('current_volatility garch_volatility simple_volatility confidence')}
+            {rs('current_volatility garch_volatility simple_volatility confidence')},
+            n_obs, {rs('mu omega alpha beta')}, {r('ll', 'log_likelihood', 4)},
+            {r('8 - 2 * ll', 'aic', 4)}, {r('4 * ln(n_obs) - 2 * ll', 'bic', 4)}
             FROM bundle""",
         "trading_signals": f"""WITH {SIGNALS} SELECT ticker, {r('p', 'current_price', 8)},
             {r('v', 'current_volatility')}, regime AS volatility_regime,
@@ -694,9 +760,9 @@ def all_oracle_sql() -> dict[str, str]:
         "price_band_filter": f"""WITH {POSITIONED} SELECT {LIST_ROW} FROM
             (SELECT * FROM best WHERE price >= 10 AND price < 100
              ORDER BY score DESC, b, ticker LIMIT 15)""",
-        "mover_metrics": f"""WITH {bars()},{INFO},{MOVERS.format(bars='bars')}
+        "mover_metrics": f"""WITH {bars()},{INFO},{RECENT},{MOVERS.format(bars='recent_bars')}
             SELECT {MOVER_ROW} FROM movers""",
-        "movers_top10": f"""WITH {bars()},{INFO},{MOVERS.format(bars='bars')}
+        "movers_top10": f"""WITH {bars()},{INFO},{RECENT},{MOVERS.format(bars='recent_bars')}
             SELECT board, rank, {MOVER_ROW} FROM boards""",
         "news_category": f"SELECT doc_id, {CATEGORY.format('text')} AS category FROM documents",
         "news_latest50": f"""WITH {LATEST} SELECT ticker, title, link, publisher, {STAMP}, category
@@ -714,12 +780,12 @@ def all_oracle_sql() -> dict[str, str]:
                 sum(pow(a.q, a.i - b.i) * b.returns * b.returns) AS s2
               FROM w a LEFT JOIN w b ON a.ticker = b.ticker AND b.rn > 1 AND b.rn <= a.rn
               GROUP BY a.ticker, a.dt)
-            SELECT ticker, {TICK_TIME}, {r('close')},
+            SELECT ticker, {TICK_TIME}, {r('close')}, 0::BIGINT AS late,
               {r('''CASE WHEN rn > 2 THEN sqrt(greatest(s2 / s0 - (s1 / s0) * (s1 / s0), 0)
                 * s0 * s0 / (s0 * s0 - q0)) * sqrt(252) END''', 'ewma')} FROM sums""",
         "stream_movers": f"""WITH {TICK_BARS},
-            info AS (SELECT ticker, max(price) AS week52_high, min(price) AS week52_low,
-                NULL::DOUBLE AS dividend_yield, 0 AS b FROM ticks GROUP BY ticker),
+            info AS (SELECT ticker, max(high) AS week52_high, min(low) AS week52_low,
+                NULL::DOUBLE AS dividend_yield, 0 AS b FROM tick_bars GROUP BY ticker),
             {MOVERS.format(bars='tick_bars')} SELECT board, rank, {MOVER_ROW} FROM boards""",
     }
     for m in METRICS:

@@ -128,3 +128,10 @@ def test_histogram_counts_every_row(bars):
     assert max(r.bin for r in rows) == 50 and min(r.bin for r in rows) == 1
     assert [(r.bin, r.frequency) for r in fc.vol_histogram(bars).filter("ticker = 'F'").collect()] \
         == [(1, 19)]
+
+
+def test_equal_and_nearly_equal_values_are_counted_strictly_unless_told(spark):
+    rows = [("A", 1.0, True, 1.0), ("A", 1.0 - 1e-13, True, 1.0), ("A", 0.5, True, 1.0), ("A", 0.1, False, 1.0)]
+    df = spark.createDataFrame(rows, "ticker string, yang_zhang double, in_panel boolean, last_yang_zhang double")
+    strict, rounded = df.agg(es.panel_percentile().alias("a"), es.panel_percentile(1e-12).alias("b")).first()
+    assert abs(strict - 200 / 3) < 1e-9 and abs(rounded - 100 / 3) < 1e-9
