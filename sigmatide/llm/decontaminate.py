@@ -9,9 +9,11 @@ that edits at one end leave the keys of the other. A window that starts at any w
 document and shares a key with a benchmark item is verified by exact edit distance.
 
 Items come in classes of similar length, each with its own sampled steps, so a window is walked only
-as far as the items it is compared with. Two exact filters save work and lose nothing: a
-window in which too few words occur in the benchmark at all is beyond the distance,
-and a walk stops when the steps sampled so far fit no item.
+as far as the items it is compared with. Exact filters save work and lose nothing. Of any ``edits + SPARE``
+words of an item at least SPARE are left in a passage within the distance; so for each chunk of
+text those words of each item are taken that are rarest in the chunk, windows with fewer
+than SPARE of them are not walked, and an item that lacks more words than the distance
+allows is not looked for. A walk stops when the steps sampled so far fit no item.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ MAX_EDITS = 0.2  # of an item's words
 SYMBOLS, REPEATS = 3, 32  # sampled steps of a key, and keys; see the recall test
 CLASSES = (1, 2, 3, 4, 5, 6, 8, 11, 16, 23, 32, 45, 64)
 BLOCK_ITEMS, BLOCK_CHARS = 4096, 4 << 20  # benchmark items searched for in one pass
-CHUNK_BYTES = 1 << 20  # text searched at a time, at least one document
+CHUNK_BYTES = 2 << 20  # text searched at a time, at least one document
+SPARE = 5  # words of an item that must be left of the rarest ones
 FILTER_BITS = 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -92,9 +95,9 @@ class _Class:
     """Items of one length class."""
 
     steps: np.ndarray  # repetition x symbol
-    horizon: int
-    window: int  # a window of so many words ...
-    known: int  # ... has so many words of the benchmark
+    places: np.ndarray  # item x position: number of the word in the vocabulary, -1 behind the end
+    edits: np.ndarray  # of each item, at most
+    window: int  # words that a passage of any of the items spans at most
     heads: list[list[np.ndarray]]  # repetition, symbol: which partial keys occur, by their top bits
     keys: list[np.ndarray]  # repetition: sorted keys
     owners: list[np.ndarray]  # and the item of each
@@ -120,9 +123,11 @@ class ItemIndex:
                 self.ids.append(item_id)
                 self.words.append([raw[a:b] for a, b in zip(starts, ends)])
                 hashes.append(found)
-        self.vocabulary = np.zeros(1 << 20, bool)
-        for found in hashes:
-            self.vocabulary[found >> np.uint64(44)] = True
+        # Words are numbered by the top bits of their hash; words that share these share the number.
+        used = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]) >> np.uint64(44))
+        self.n_words = len(used)
+        self.numbers = np.full(1 << 20, self.n_words, np.int32)
+        self.numbers[used] = np.arange(self.n_words)
         self.classes: list[_Class] = []
         sizes = np.array([len(w) for w in self.words], np.int64)
         for low, high in zip(CLASSES, (*CLASSES[1:], None)):
@@ -130,16 +135,12 @@ class ItemIndex:
             steps = np.stack([np.sort(rng.choice(low, min(symbols, low), replace=False))
                               for _ in range(repeats)])
             if len(own):
-                # Of the first ``low`` words of an item at most ``edits`` are missing, and they
-                # reach at most ``edits`` words further.
-                edits = min(self.allowed(int(sizes[own].max())), low)
-                self.classes.append(self._table(own, [hashes[i] for i in own], steps, low, edits))
+                self.classes.append(self._table(own, [hashes[i] for i in own], steps, low))
 
     def allowed(self, words: int) -> int:
         return int(self.max_edits * words)
 
-    def _table(self, own: np.ndarray, hashes: list[np.ndarray], steps: np.ndarray,
-               low: int, edits: int) -> _Class:
+    def _table(self, own: np.ndarray, hashes: list[np.ndarray], steps: np.ndarray, low: int) -> _Class:
         heads, keys, owners = [], [], []
         for r in range(self.repeats):
             levels = [np.zeros(1 << FILTER_BITS, bool) for _ in steps[r]]
@@ -157,7 +158,12 @@ class ItemIndex:
             heads.append(levels)
             keys.append(np.array(found, np.uint64)[order])
             owners.append(own[order])
-        return _Class(steps, low, low + edits, max(1, low - edits), heads, keys, owners)
+        sizes = np.array([len(h) for h in hashes])
+        places = np.full((len(own), sizes.max()), -1, np.int64)
+        for row, words in zip(places, hashes):
+            row[:len(words)] = self.numbers[words >> np.uint64(44)]
+        edits = np.array([self.allowed(n) for n in sizes.tolist()])
+        return _Class(steps, places, edits, int(sizes.max() + edits.max()), heads, keys, owners)
 
     def backward(self, repeat: int) -> bool:
         return repeat % 2 == 1
@@ -169,20 +175,41 @@ class ItemIndex:
     def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """(place, item, backward): windows that start, or end, at the place and share a key."""
         n = len(words)
-        known = self.vocabulary[words >> np.uint64(44)]
-        for backward in (False, True):
-            line, own = (words[::-1], known[::-1]) if backward else (words, known)
-            total = np.concatenate(([0], np.cumsum(own)))
-            for c in self.classes:
+        numbers = self.numbers[words >> np.uint64(44)]
+        counts = np.bincount(numbers, minlength=self.n_words + 1)
+        for c in self.classes:
+            rare, needed = self._rare(c, counts)
+            if not needed:
+                continue
+            own = rare[numbers]
+            for backward in (False, True):
+                line, total = words, np.concatenate(([0], np.cumsum(own)))
+                if backward:
+                    line, total = words[::-1], np.concatenate(([0], np.cumsum(own[::-1])))
                 ends = np.minimum(np.arange(n) + c.window, n)
-                alive = np.flatnonzero(total[ends] - total[:-1] >= c.known)
-                alive = alive[alive + c.known <= n]
+                alive = np.flatnonzero(total[ends] - total[:-1] >= needed)
                 for r in range(int(backward), self.repeats, 2):
                     if not len(alive):
                         break
                     at, item = self._walk(line, alive, c, r)
                     yield (n - 1 - at if backward else at), item, backward
 
+    def _rare(self, c: _Class, counts: np.ndarray) -> tuple[np.ndarray, int]:
+        """By number, the words to look for, and how many of them a passage has at least; zero if
+        none of the items can occur."""
+        found = np.where(c.places >= 0, counts[c.places], np.iinfo(np.int64).max)
+        possible = np.flatnonzero((found == 0).sum(1) <= c.edits)
+        rare = np.zeros(self.n_words + 1, bool)
+        if not len(possible):
+            return rare, 0
+        rank = np.empty_like(found)
+        np.put_along_axis(rank, found.argsort(1, kind="stable"), np.arange(found.shape[1])[None], 1)
+        sizes = (c.places >= 0).sum(1)
+        taken = np.minimum(c.edits + SPARE, sizes)
+        chosen = rank[possible] < taken[possible, None]
+        rare[c.places[possible][chosen]] = True
+        return rare, int((taken - c.edits)[possible].min())
+
     def _walk(self, line: np.ndarray, starts: np.ndarray, c: _Class, r: int) -> tuple[np.ndarray, np.ndarray]:
         last = len(line) - 1
         pos, key = starts, np.zeros(len(starts), np.uint64)
