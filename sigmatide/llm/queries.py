@@ -82,5 +82,33 @@ def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in own}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP3_SQL = f"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, {WHITE_SQL}), '{UPPER}', '{LOWER}') AS key FROM lines),
+frequent AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT k.doc_id, line, pos, keeper IS NOT NULL AND keeper <> k.doc_id AS gone
+  FROM keyed k LEFT JOIN frequent f ON f.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+OP6_SQL = """
+WITH normal AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM normal"""
+
+
 def all_oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; the tests compare the others with brute force."""
+    return {"op3_line_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL}
