@@ -79,10 +79,9 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word."""
-    raw = np.frombuffer(text, np.uint8)
-    edge = np.diff(_IS_WORD[raw].view(np.int8), prepend=0, append=0)
+def span_hashes(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each run of bytes that are ``inside``."""
+    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _POWERS.upto(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
@@ -90,6 +89,12 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, _mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word."""
+    raw = np.frombuffer(text, np.uint8)
+    return span_hashes(raw, _IS_WORD[raw])
+
+
 @dataclass
 class _Class:
     """Items of one length class."""

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmatide.llm.common import KEY, documents_of, only_rows, row_digest, row_key
+from sigmatide.llm.decontaminate import plain, span_hashes, word_spans
 from sigmatide.session import staged
 
 FIT_ROWS = 20_000  # labelled rows used by the fit at most, chosen by a hash of the id
@@ -32,36 +33,111 @@ THRESHOLD = 0.5
 EDGE = 1e-4  # probabilities stay this far from 0 and 1
 PRIOR_DOCS = (1.0, 1e6)  # range of the estimated shrinkage, in documents
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-_SYMBOLS = re.compile(r"[^\w\s]{2,}")
+CHUNK_CHARS = 1 << 20  # text looked at together, at least one document
+
+_WORD = re.compile(rb"[a-z0-9\x80-\xff]+")  # in the form of decontaminate.plain
 SHAPE = ("words", "no_letter", "symbol_runs", "upper", "repeats", "distinct", "top_word",
          "word_length", "digits", "long_words")
 
 
-def shape(text: str) -> list[float]:
-    """Numbers about the form of a text; all zero without words."""
-    words = text.split()
-    n = len(words)
-    if not n:
-        return [0.0] * len(SHAPE)
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    letters = sum(len(w) * c for w, c in counts.items())
-    no_letter = sum(c for w, c in counts.items() if not any(map(str.isalpha, w)))
-    symbols = sum(c for w, c in counts.items() if _SYMBOLS.search(w))
-    upper = sum(c for w, c in counts.items() if len(w) > 1 and w.isupper())
-    digits = sum(c for w, c in counts.items() if any(map(str.isdigit, w)))
-    long_words = sum(c for w, c in counts.items() if len(w) > 24)
-    repeats = sum(map(str.__eq__, words, words[1:]))
-    return [np.log1p(n) / 10, no_letter / n, symbols / n, upper / n, repeats / n,
-            len(counts) / n ** 0.8 / 4, max(counts.values()) / n if n > 20 else 0.0,
-            min(letters / n, 40) / 10, digits / n, long_words / n]
+def _bytes_in(*ranges: tuple[int, int]) -> np.ndarray:
+    table = np.zeros(256, bool)
+    for low, high in ranges:
+        table[low:high + 1] = True
+    return table
+
+
+_SPACE = _bytes_in((9, 13), (32, 32))
+_LOWER, _UPPER, _DIGIT = _bytes_in((97, 122)), _bytes_in((65, 90)), _bytes_in((48, 57))
+_LETTER = _bytes_in((65, 90), (97, 122), (128, 255))  # all that is not ASCII counts as letters
+_SYMBOL = _bytes_in((33, 47), (58, 64), (91, 96), (123, 126))
+
+
+def shapes(texts: list[str]) -> np.ndarray:
+    """Numbers about the form of each text, a row each; all zero without words.
+
+    Words are runs without ASCII white space. All texts are looked at in one pass per number.
+    """
+    parts = [t.encode("utf-8", "replace") for t in texts]
+    raw = np.frombuffer(b"\n".join(parts), np.uint8)
+    starts, ends, hashes = span_hashes(raw, ~_SPACE[raw])
+    n_texts, of = len(texts), np.empty(0, np.int64)
+    out = np.zeros((n_texts, len(SHAPE)))
+    if not len(starts):
+        return out
+    sizes = np.array([len(p) + 1 for p in parts], np.int64)
+    of = np.searchsorted(np.cumsum(sizes) - sizes, starts, "right") - 1
+
+    def within(flags: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
+        return total[ends] - total[starts]
+
+    symbol = _SYMBOL[raw]
+    pairs = symbol.copy()
+    pairs[1:] &= symbol[:-1]
+    pairs[0] = False
+    long = ends - starts
+    order = np.lexsort((hashes, of))
+    doc, word = of[order], hashes[order]
+    heads = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])))
+    times, doc = np.diff(heads, append=len(order)), doc[heads]
+    firsts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    top = np.zeros(n_texts)
+    top[doc[firsts]] = np.maximum.reduceat(times, firsts)
+    again = np.append(False, (of[1:] == of[:-1]) & (hashes[1:] == hashes[:-1]))
+
+    def share(flags: np.ndarray) -> np.ndarray:
+        return np.bincount(of, flags, n_texts) / safe
+
+    n = np.bincount(of, minlength=n_texts)
+    safe = np.maximum(n, 1)
+    out[:] = np.stack([
+        np.log1p(n) / 10, share(within(_LETTER[raw]) == 0), share(within(pairs) > 0),
+        share((within(_UPPER[raw]) > 1) & (within(_LOWER[raw]) == 0)), share(again),
+        np.bincount(doc, minlength=n_texts) / safe ** 0.8 / 4, np.where(n > 20, top / safe, 0.0),
+        np.minimum(share(long), 40) / 10, share(within(_DIGIT[raw]) > 0), share(long > 24)], 1)
+    out[n == 0] = 0
+    return out
 
 
 def word_set(text: str) -> set[str]:
-    """The distinct words: runs of letters in lower case."""
-    return set(_LETTERS.findall(text.lower()))
+    """The distinct words: runs of letters and digits in lower case."""
+    return {w.decode("utf-8", "replace") for w in _WORD.findall(plain(text))}
+
+
+class Vocabulary:
+    """Finds which of a few words occur in texts."""
+
+    def __init__(self, words: list[str]):
+        hashes = np.array([word_spans(w.encode())[2][0] for w in words], np.uint64)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        self.some = np.zeros(1 << 20, bool)
+        self.some[hashes >> np.uint64(44)] = True
+
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, word) pairs, each once."""
+        parts = list(map(plain, texts))
+        starts, _, hashes = word_spans(b"\n".join(parts))
+        maybe = np.flatnonzero(self.some[hashes >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+        sure = self.hashes[at] == hashes[maybe] if len(self.hashes) else np.zeros(0, bool)
+        sizes = np.array([len(p) + 1 for p in parts], np.int64)
+        text = np.searchsorted(np.cumsum(sizes) - sizes, starts[maybe[sure]], "right") - 1
+        pairs = np.unique(text * len(self.order) + self.order[at[sure]])
+        return np.divmod(pairs, max(1, len(self.order)))
+
+
+def _chunks(texts: list[str]) -> Iterator[list[str]]:
+    some, size = [], 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size >= CHUNK_CHARS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def fit_dense(x: np.ndarray, y: np.ndarray, penalty: float = SHAPE_PENALTY) -> tuple[np.ndarray, float]:
@@ -80,18 +156,33 @@ def fit_dense(x: np.ndarray, y: np.ndarray, penalty: float = SHAPE_PENALTY) -> t
     return w[:-1], float(w[-1])
 
 
-def fit_sparse(x: np.ndarray, y: np.ndarray, penalty: float = WORD_PENALTY,
-               rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model with an absolute penalty, by accelerated proximal steps."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    rate = 4 * len(x) / max(1.0, float(np.linalg.norm(x1, 2)) ** 2)
-    cut = np.full(x1.shape[1], rate * penalty)
+def fit_sparse(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int,
+               penalty: float = WORD_PENALTY, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model with an absolute penalty, by accelerated proximal steps.
+
+    The features are 0 or 1: 1 at the (row, column) pairs.
+    """
+    n = len(y)
+
+    def times(w: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, w[columns], n) + w[-1]
+
+    def back(v: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(columns, v[rows], width), v.sum())
+
+    w, norm = np.ones(width + 1), 1.0
+    for _ in range(30):  # the largest singular value, for the step
+        w = back(times(w))
+        norm = float(np.linalg.norm(w))
+        w /= norm
+    rate = 3.6 * n / norm
+    cut = np.full(width + 1, rate * penalty)
     cut[-1] = 0
-    w = look = np.zeros(x1.shape[1])
+    w = look = np.zeros(width + 1)
     speed = 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ look, -30, 30)))
-        moved = look - rate * (x1.T @ (p - y)) / len(x)
+        p = 1 / (1 + np.exp(-np.clip(times(look), -30, 30)))
+        moved = look - rate * back(p - y) / n
         new = np.sign(moved) * np.maximum(np.abs(moved) - cut, 0)
         faster = (1 + np.sqrt(1 + 4 * speed ** 2)) / 2
         look = new + (speed - 1) / faster * (new - w)
@@ -108,14 +199,17 @@ class EvidenceModel:
     word_weights: dict[str, float]
     word_bias: float
 
-    def good(self, text: str | None) -> float:
-        """Probability that the text is of good quality and not toxic."""
-        text = text or ""
-        odds = float(np.dot(self.shape_weights, shape(text))) + self.shape_bias
-        found = self.word_weights.keys() & word_set(text) if self.word_weights else ()
-        toxic = self.word_bias + sum(self.word_weights[w] for w in found)
+    def good(self, texts: list[str]) -> np.ndarray:
+        """Probability that each text is of good quality and not toxic."""
+        odds = shapes(texts) @ self.shape_weights + self.shape_bias
+        toxic = np.full(len(texts), self.word_bias)
+        if self.word_weights:
+            if not hasattr(self, "_vocabulary"):
+                self._vocabulary = Vocabulary(list(self.word_weights))
+            text, word = self._vocabulary.places(texts)
+            toxic += np.bincount(text, np.array(list(self.word_weights.values()))[word], len(texts))
         p = 1 / (1 + np.exp(-np.clip(odds, -50, 50))) / (1 + np.exp(np.clip(toxic, -50, 50)))
-        return float(np.clip(p, EDGE, 1 - EDGE))
+        return np.clip(p, EDGE, 1 - EDGE)
 
 
 def _toxic_words(rows: DataFrame) -> list[str]:
@@ -138,14 +232,19 @@ def _toxic_words(rows: DataFrame) -> list[str]:
 
 def _features(rows: DataFrame, words: list[str]) -> DataFrame:
     """quality, toxic, shape, places (of the text's words in ``words``)."""
-    places = {w: i for i, w in enumerate(words)}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(words) if words else None
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            found = [[places[w] for w in places.keys() & word_set(t)] for t in texts]
+            forms, found = [], []
+            for some in _chunks(batch.column(0).to_pylist()):
+                forms += shapes(some).tolist()
+                own = [[] for _ in some]
+                if vocabulary:
+                    for text, word in zip(*(x.tolist() for x in vocabulary.places(some))):
+                        own[text].append(word)
+                found += own
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(list(map(shape, texts)), pa.list_(pa.float64())),
+                [batch.column(1), batch.column(2), pa.array(forms, pa.list_(pa.float64())),
                  pa.array(found, pa.list_(pa.int32()))], ["quality", "toxic", "shape", "places"])
 
     return rows.select("text", "quality", "toxic").mapInArrow(
@@ -183,10 +282,10 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     weighted, word_bias = {}, -50.0
     if words:
         own = [r for r in data if r["toxic"] is not None]
-        x = np.zeros((len(own), len(words)), np.float32)
-        for i, r in enumerate(own):
-            x[i, r["places"]] = 1
-        found, word_bias = fit_sparse(x, np.array([r["toxic"] for r in own], np.float32))
+        sizes = np.array([len(r["places"]) for r in own])
+        places = np.array([p for r in own for p in r["places"]], np.int64)
+        found, word_bias = fit_sparse(np.repeat(np.arange(len(own)), sizes), places,
+                                      np.array([r["toxic"] for r in own]), len(words))
         weighted = {w: float(v) for w, v in zip(words, found) if v}
     return EvidenceModel(weights, bias, weighted, word_bias)
 
@@ -260,9 +359,10 @@ def score(docs: DataFrame, model: EvidenceModel, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = pa.array([shared.value.good(t.as_py()) for t in batch.column(4)], pa.float64())
+            texts = [t or "" for t in batch.column(4).to_pylist()]
+            p = np.concatenate([np.empty(0), *map(shared.value.good, _chunks(texts))])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], p], ["doc_id", "row", "host", "path", "p"])
+                [*batch.columns[:4], pa.array(p, pa.float64())], ["doc_id", "row", "host", "path", "p"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     evidence = staged(rows.mapInArrow(
