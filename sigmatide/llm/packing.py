@@ -44,8 +44,9 @@ def token_pieces(
         encode, end = encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, size = [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, found in zip(batch.column(0), encode(texts)):
+                ids = found + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     piece = ids[4 * start:4 * (start + capacity)]

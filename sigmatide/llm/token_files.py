@@ -141,13 +141,14 @@ def write_token_files(
         writer, part = None, TaskContext.get().partitionId()
         encode, end = encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0), encode(texts)):
                 if writer is None:
                     fs, path = _place(folder)
                     fs.create_dir(path, recursive=True)
                     name = f"{part:06d}-{uuid.uuid4().hex}.ids.zst"
                     writer = FileWriter(fs.open_output_stream(f"{path}/{name}", compression=None))
-                writer.add(doc_id.as_py(), encode(text.as_py() or "") + end)
+                writer.add(doc_id.as_py(), ids + end)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 from tokenizers import Tokenizer
 
-WORDS_KEPT = 200_000  # encoded words that a worker remembers; only speed depends on it
+# Encoded pieces that a worker remembers, in each of two generations; only speed depends on it.
+WORDS_KEPT = 500_000
+LONG_KEPT = 4 << 20  # characters of long pieces
+GROUP = 1 << 20  # characters of texts encoded together
+JOINED = 4096  # new pieces joined for one call
+SHORT = 64  # characters of a piece that is joined with others at most
 # A space after white space: there a tokenizer that keeps white space may not be cut.
 WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 NO_CUT = [w + " " for w in WHITE if w.isascii()], [w + " " for w in WHITE if not w.isascii()]
@@ -16,44 +23,77 @@ NO_CUT = [w + " " for w in WHITE if w.isascii()], [w + " " for w in WHITE if not
 CUT = re.compile(r"(?<=\S)(?= )")
 
 
-class _Words(dict):
-    """Ids of a piece of text, as little-endian unsigned 32-bit bytes, encoded when first asked for."""
-
-    def __init__(self, tokenizer: Tokenizer, prefix: str = ""):
-        super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = found
-        return found
-
-
 class Encoder:
-    """Ids of whole texts.
+    """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     A tokenizer never joins a word with the space after it, so a text is cut before
     the spaces that follow a word, the pieces are encoded by the library, and their ids are
-    joined: the same ids as for the text at once, in memory that a piece bounds, and each word
-    is encoded once. Strings of special tokens within a text are ordinary text.
+    joined: the same ids as for the text at once, in memory that a piece bounds. Pieces seen
+    before are remembered; new ones are encoded many at a time, joined by their own spaces, and
+    told apart by the offsets of their tokens. Strings of special tokens within a text are
+    ordinary text.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first, self.later = _Words(self.tokenizer), _Words(self.tokenizer, " ")
+        self.first: dict[str, bytes] = {}  # pieces at the start of a text
+        self.later: dict[str, bytes] = {}  # pieces after a space, which is not part of the key
+        self.old: dict[str, bytes] = {}  # the generation before of these
+        self.long = 0  # characters of remembered pieces that were not joined
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text."""
+        group, size = [], 0
+        for text in texts:
+            group.append(self._pieces(text))
+            size += len(text)
+            if size >= GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _pieces(self, text: str) -> list[str]:
         narrow, wide = NO_CUT
         if any(x in text for x in narrow) or not text.isascii() and any(x in text for x in wide):
             head, *rest = CUT.split(text)
-            return self.first[head] + b"".join(map(self.first.__getitem__, rest))
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+            return [head, *(p[1:] for p in rest)]
+        return text.split(" ")
+
+    def _group(self, group: list[list[str]]) -> Iterator[bytes]:
+        if self.long > LONG_KEPT:
+            self.first, self.later, self.old, self.long = {}, {}, {}, 0
+        if len(self.later) > WORDS_KEPT:
+            self.later, self.old = {}, self.later
+        new = set().union(*(p[1:] for p in group)).difference(self.later)
+        known = new.intersection(self.old)
+        self.later.update(zip(known, map(self.old.__getitem__, known)))
+        new -= known
+        plain = [p for p in new if 0 < len(p) <= SHORT and p[:1].strip() and p[-1:].strip()]
+        self._learn(plain)
+        for p in new.difference(plain):
+            self.later[p] = self._ids(" " + p)
+            self.long += len(p)
+        later = self.later.__getitem__
+        for head, *rest in group:
+            if head not in self.first:
+                self.first[head] = self._ids(head)
+                self.long += len(head)
+            yield self.first[head] + b"".join(map(later, rest))
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces without white space at their ends."""
+        for at in range(0, len(pieces), JOINED):
+            some = pieces[at:at + JOINED]
+            found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            tokens = np.fromiter(map(itemgetter(0), found.offsets), np.int64, len(found.ids))
+            cuts = (4 * np.searchsorted(tokens, ends)).tolist()
+            ids = np.array(found.ids, "<u4").tobytes()
+            self.later.update(zip(some, map(ids.__getitem__, map(slice, [0, *cuts], cuts))))
 
 
 @lru_cache(maxsize=4)

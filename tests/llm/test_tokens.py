@@ -37,8 +37,19 @@ def test_pieces_give_the_ids_of_the_whole(path):
     encode, plain, rng = Encoder(path), whole(path), random.Random(4)
     alphabet = "ab Z9.'\n\t  é🙂 \x1c-!  "
     texts = STRANGE + ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(1500)]
-    for text in texts:
-        assert encode(text) == plain(text).tobytes(), repr(text)
+    for text, ids in zip(texts, encode(texts)):
+        assert ids == plain(text).tobytes(), repr(text)
+
+
+def test_forgotten_pieces_are_encoded_again(monkeypatch):
+    from sigmatide.llm import tokens
+
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 3)
+    monkeypatch.setattr(tokens, "GROUP", 10)
+    monkeypatch.setattr(tokens, "JOINED", 7)
+    encode, plain = Encoder(FILES[0]), whole(FILES[0])
+    texts = [f"some words {i} are here again" for i in range(20)] + STRANGE
+    assert list(encode(texts)) == [plain(t).tobytes() for t in texts]
 
 
 # Packing
