@@ -99,20 +99,25 @@ def _numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
     return numbers
 
 
-def cells(df: DataFrame, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS) -> Column:
-    """The curve place of each row; dimensions are cut at their own quantiles.
+def with_cells(df: DataFrame, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS) -> DataFrame:
+    """The table with ``cell``, the curve place of each row; dimensions are cut at their own quantiles.
 
     The quantiles are one bounded row (2**bits - 1 numbers a dimension). Nulls take code 0.
+    Numbers, codes and places are columns of their own: written as one expression, each
+    number would be computed again for every cut it is compared with.
     """
-    numbers = _numbers(df, dimensions)
+    names = [f"__d{i}" for i in range(len(dimensions))]
+    numbered = df.withColumns(dict(zip(names, _numbers(df, dimensions).values())))
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.select(*[n.alias(f"d{i}") for i, n in enumerate(numbers.values())]).agg(*[
-        F.percentile_approx(f"d{i}", shares, ACCURACY).alias(f"d{i}")
-        for i in range(len(numbers))]).first()
-    codes = [
-        reduce(add, (F.coalesce((n > F.lit(x)).cast("int"), F.lit(0)) for x in cuts[i] or [None]))
-        for i, n in enumerate(numbers.values())]
-    return curve_index(codes, bits)
+    cuts = numbered.agg(*[F.percentile_approx(n, shares, ACCURACY).alias(n) for n in names]).first()
+
+    def code(name: str) -> Column:
+        return reduce(add, (F.coalesce((F.col(name) > F.lit(x)).cast("int"), F.lit(0))
+                            for x in cuts[name] or [None]))
+
+    coded = numbered.withColumns({f"{n}c": code(n) for n in names})
+    return coded.withColumn("cell", curve_index([F.col(f"{n}c") for n in names], bits)).drop(
+        *names, *[f"{n}c" for n in names])
 
 
 def hilbert_shards(
@@ -132,7 +137,9 @@ def hilbert_shards(
     Internal names cannot clash with the table's, as only the named columns are read.
     """
     kept = [docs[c] if isinstance(c, str) else c for c in keep]
-    placed = docs.select(docs[id_col].alias("doc_id"), *kept, cells(docs, dimensions, bits).alias("cell"))
+    facts = docs.select(docs[id_col].alias("doc_id"), *kept,
+                        *[docs[d].alias(f"__{d}") for d in dimensions])
+    placed = with_cells(facts, [f"__{d}" for d in dimensions], bits).drop(*[f"__{d}" for d in dimensions])
     order = ["cell", "doc_id", *[c for c in placed.columns if c not in ("cell", "doc_id")]]
     run = F.expr(f"cast(rank * {shards} div total as int)")
     return (
