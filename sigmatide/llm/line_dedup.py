@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmatide.llm.common import WHITE, documents_of, row_digest, same
+from sigmatide.session import staged
 
 MIN_LENGTH, MIN_DOCUMENTS = 40, 5
 
@@ -36,7 +37,8 @@ def line_dedup(
     if no holder has an id, all keep it. An empty table gives an empty result.
 
     Counting is a partial aggregate, so a line in every document leaves a map task as one row.
-    The join from lines to frequent hashes is left to the optimizer, which splits hot hashes.
+    Frequent hashes are written before lines are joined to them: the optimizer then knows their
+    size, and can split a hot hash of the join.
     """
     rows = documents_of(docs, id_col, text_col).select(
         "doc_id", row_digest(F.col("text")).alias("row"),
@@ -47,12 +49,11 @@ def line_dedup(
         return F.when(F.length(key) >= min_length, F.unhex(F.md5(key)))
 
     hashed = rows.select("doc_id", "row", F.transform("lines", mark).alias("hashes"))
-    frequent = (
+    frequent = staged(
         hashed.select("doc_id", F.explode(F.array_distinct("hashes")).alias("hash"))
         .filter("hash IS NOT NULL").groupBy("hash")
         .agg(F.count(F.lit(1)).alias("holders"), F.max("doc_id").alias("keeper"))
-        .filter(F.col("holders") >= min_documents).select("hash", "keeper")
-    )
+        .filter(F.col("holders") >= min_documents).select("hash", "keeper"), "frequent-lines")
     drops = (
         hashed.select("doc_id", "row", F.posexplode("hashes").alias("pos", "hash"))
         .filter("hash IS NOT NULL").join(frequent, "hash")
