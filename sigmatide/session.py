@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,12 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+@lru_cache(maxsize=None)
+def _local_folder(application: str) -> str:
+    """One temporary folder for a session on one machine."""
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can reach, under ``spark.checkpoint.dir``.
 
@@ -38,8 +45,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"set {SHARED} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set(SHARED, base)
+        base = _local_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -176,10 +176,9 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     from sigmatide.session import shared_folder
 
     def session(master, base=None):
-        conf = {"spark.checkpoint.dir": base} if base else {}
         return SimpleNamespace(
-            conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__),
-            sparkContext=SimpleNamespace(master=master))
+            conf=SimpleNamespace(get=lambda k, d=None: base or d),
+            sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
 
     for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
         with pytest.raises(RuntimeError):
