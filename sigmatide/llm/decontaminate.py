@@ -8,12 +8,18 @@ has its own bits and steps, and half of them walk backward from a passage's end,
 that edits at one end leave the keys of the other. A window that starts at any word of a
 document and shares a key with a benchmark item is verified by exact edit distance.
 
-Items come in classes of similar length, each with its own sampled steps, so a window is walked only
-as far as the items it is compared with. Exact filters save work and lose nothing. Of any ``edits + SPARE``
-words of an item at least SPARE are left in a passage within the distance; so for each chunk of
-text those words of each item are taken that are rarest in the chunk, windows with fewer
-than SPARE of them are not walked, and an item that lacks more words than the distance
-allows is not looked for. A walk stops when the steps sampled so far fit no item.
+A walk reads about half of its steps in words, so keys see both halves of a passage only if it is short.
+Items of 2 * PIECE words or more are therefore looked for by pieces of PIECE to 1.5 * PIECE words that
+cover them. The edits of a passage are shared out over its pieces, so at least one piece is at no more
+than the item's share of edits, wherever they are; a piece found leads to the whole item's verification.
+
+Pieces come in classes of similar length, each with its own sampled steps, so a window is walked only
+as far as the pieces it is compared with. Exact filters save work and lose nothing. Of any ``edits + SPARE``
+words of a piece at least SPARE are left in a passage within the distance; so for each chunk of
+text those words of each piece are taken that are rarest in the chunk, windows with fewer
+than SPARE of them are not walked, and a piece that lacks more words than the distance
+allows is not looked for. A walk stops when the steps sampled so far fit no piece. The stretch
+that a piece of a cut item points to is not compared if it lacks too many of the item's words.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ from sigmatide.session import staged
 
 MAX_EDITS = 0.2  # of an item's words
 SYMBOLS, REPEATS = 3, 32  # sampled steps of a key, and keys; see the recall test
-CLASSES = (1, 2, 3, 4, 5, 6, 8, 11, 16, 23, 32, 45, 64)
+PIECE = 32  # least words of a piece of an item that is cut
+CLASSES = (1, 2, 3, 4, 5, 6, 8, 11, 16, 23, 32, 45, 2 * PIECE)
 BLOCK_ITEMS, BLOCK_CHARS = 4096, 4 << 20  # benchmark items searched for in one pass
 CHUNK_BYTES = 2 << 20  # text searched at a time, at least one document
 SPARE = 5  # words of an item that must be left of the rarest ones
@@ -97,15 +104,15 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class _Class:
-    """Items of one length class."""
+    """Pieces of one length class."""
 
     steps: np.ndarray  # repetition x symbol
-    places: np.ndarray  # item x position: number of the word in the vocabulary, -1 behind the end
-    edits: np.ndarray  # of each item, at most
-    window: int  # words that a passage of any of the items spans at most
+    places: np.ndarray  # piece x position: number of the word in the vocabulary, -1 behind the end
+    edits: np.ndarray  # of each piece, at most
+    window: int  # words that a passage of any of the pieces spans at most
     heads: list[list[np.ndarray]]  # repetition, symbol: which partial keys occur, by their top bits
     keys: list[np.ndarray]  # repetition: sorted keys
-    owners: list[np.ndarray]  # and the item of each
+    owners: list[np.ndarray]  # and the piece of each
 
 
 def _partial(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -134,39 +141,56 @@ class ItemIndex:
         self.numbers = np.full(1 << 20, self.n_words, np.int32)
         self.numbers[used] = np.arange(self.n_words)
         self.classes: list[_Class] = []
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        for low, high in zip(CLASSES, (*CLASSES[1:], None)):
-            own = np.flatnonzero((sizes >= low) & ((sizes < high) if high else True))
+        cuts = [self._cuts(len(h)) for h in hashes]
+        self.item = np.repeat(np.arange(len(cuts)), np.array([len(c) - 1 for c in cuts], np.int64))  # of each piece
+        self.first = np.concatenate([np.empty(0, np.int64), *(c[:-1] for c in cuts)])
+        self.last = np.concatenate([np.empty(0, np.int64), *(c[1:] for c in cuts)]) - 1
+        pieces = [h[a:b] for h, c in zip(hashes, cuts) for a, b in zip(c, c[1:])]
+        self.bags = {i: np.unique(self.numbers[h >> np.uint64(44)], return_counts=True)
+                     for i, (h, c) in enumerate(zip(hashes, cuts)) if len(c) > 2}
+        # Stretches of a cut item are compared once for all starts within so many words.
+        self.grid = np.array([max(1, self.allowed(len(w))) if i in self.bags else 1
+                              for i, w in enumerate(self.words)], np.int64)
+        sizes = self.last - self.first + 1
+        for low, high in zip(CLASSES, CLASSES[1:]):
+            own = np.flatnonzero((sizes >= low) & (sizes < high))
             steps = np.stack([np.sort(rng.choice(low, min(symbols, low), replace=False))
                               for _ in range(repeats)])
             if len(own):
-                self.classes.append(self._table(own, [hashes[i] for i in own], steps, low))
+                self.classes.append(self._table(own, [pieces[i] for i in own], steps, low))
+
+    @staticmethod
+    def _cuts(words: int) -> np.ndarray:
+        """Bounds of an item's pieces."""
+        n = words // PIECE if words >= 2 * PIECE else 1
+        return np.arange(n + 1) * words // n
 
     def allowed(self, words: int) -> int:
         return int(self.max_edits * words)
 
     def _table(self, own: np.ndarray, hashes: list[np.ndarray], steps: np.ndarray, low: int) -> _Class:
         heads, keys, owners = [], [], []
+        sizes = np.array([len(h) for h in hashes])
+        ahead, back = np.zeros((2, len(own), sizes.max()), np.uint64)
+        places = np.full(ahead.shape, -1, np.int64)
+        for n, words in enumerate(hashes):
+            ahead[n, :len(words)], back[n, :len(words)] = words, words[::-1]
+            places[n, :len(words)] = self.numbers[words >> np.uint64(44)]
+        rows = np.arange(len(own))
         for r in range(self.repeats):
             levels = [np.zeros(1 << FILTER_BITS, bool) for _ in steps[r]]
-            found = []
-            for words in hashes:
-                line = words[::-1] if self.backward(r) else words
-                mixed, pos, key = self.bits(line, r), 0, np.zeros(1, np.uint64)
-                for j in range(low):
-                    for level in np.flatnonzero(steps[r] == j):
-                        key = _partial(key, line[[pos]])
-                        levels[level][key >> np.uint64(64 - FILTER_BITS)] = True
-                    pos += int(mixed[pos] >> np.uint64(j)) & 1
-                found.append(key[0])
+            line = back if self.backward(r) else ahead
+            pos, found = np.zeros(len(own), np.int64), np.zeros(len(own), np.uint64)
+            for j in range(low):
+                word = line[rows, pos]
+                for level in np.flatnonzero(steps[r] == j):
+                    found = _partial(found, word)
+                    levels[level][found >> np.uint64(64 - FILTER_BITS)] = True
+                pos += ((self.bits(word, r) >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
             order = np.argsort(found, kind="stable")
             heads.append(levels)
-            keys.append(np.array(found, np.uint64)[order])
+            keys.append(found[order])
             owners.append(own[order])
-        sizes = np.array([len(h) for h in hashes])
-        places = np.full((len(own), sizes.max()), -1, np.int64)
-        for row, words in zip(places, hashes):
-            row[:len(words)] = self.numbers[words >> np.uint64(44)]
         edits = np.array([self.allowed(n) for n in sizes.tolist()])
         return _Class(steps, places, edits, int(sizes.max() + edits.max()), heads, keys, owners)
 
@@ -178,7 +202,7 @@ class ItemIndex:
         return _mix(words * _ODD ^ self.seeds[repeat])
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """(place, item, backward): windows that start, or end, at the place and share a key."""
+        """(place, piece, backward): windows that start, or end, at the place and share a key."""
         n = len(words)
         numbers = self.numbers[words >> np.uint64(44)]
         counts = np.bincount(numbers, minlength=self.n_words + 1)
@@ -196,12 +220,20 @@ class ItemIndex:
                 for r in range(int(backward), self.repeats, 2):
                     if not len(alive):
                         break
-                    at, item = self._walk(line, alive, c, r)
-                    yield (n - 1 - at if backward else at), item, backward
+                    at, piece = self._walk(line, alive, c, r)
+                    yield (n - 1 - at if backward else at), piece, backward
+
+    def lacking(self, item: int, words: np.ndarray) -> int:
+        """Words of a cut item that a stretch of text lacks; its edit distance is no less."""
+        numbers, counts = self.bags[item]
+        own = self.numbers[words >> np.uint64(44)]
+        at = np.minimum(np.searchsorted(numbers, own), len(numbers) - 1)
+        held = np.bincount(at[numbers[at] == own], minlength=len(numbers))
+        return int(np.maximum(counts - held, 0).sum())
 
     def _rare(self, c: _Class, counts: np.ndarray) -> tuple[np.ndarray, int]:
         """By number, the words to look for, and how many of them a passage has at least; zero if
-        none of the items can occur."""
+        none of the pieces can occur."""
         found = np.where(c.places >= 0, counts[c.places], np.iinfo(np.int64).max)
         possible = np.flatnonzero((found == 0).sum(1) <= c.edits)
         rare = np.zeros(self.n_words + 1, bool)
@@ -266,18 +298,21 @@ def _matches(index: ItemIndex, texts: list[bytes]) -> Iterator[tuple[int, int, i
     first = np.searchsorted(starts, text_starts)
     bounds = np.append(first, len(starts))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    tried: set[tuple[int, int]] = set()
-    for at, item, backward in index.candidates(words):
-        of = np.searchsorted(bounds, at, "right") - 1
-        for place, i, text in zip(at.tolist(), item.tolist(), of.tolist()):
-            size = len(index.words[i])
-            place = place - size + 1 if backward else place
+    tried: set[tuple[int, int, int]] = set()
+    for at, piece, backward in index.candidates(words):
+        of, item = np.searchsorted(bounds, at, "right") - 1, index.item[piece]
+        cell = (at - (index.last if backward else index.first)[piece]) // index.grid[item]
+        for place, i, text in zip(cell.tolist(), item.tolist(), of.tolist()):
             known = best.get((text, i))
-            if known and known[0] == 0 or (place, i) in tried:
+            if known and known[0] == 0 or (place, i, text) in tried:
                 continue
-            tried.add((place, i))
+            tried.add((place, i, text))
+            size, grid = len(index.words[i]), int(index.grid[i])
             edits = index.allowed(size)
-            a, b = max(int(bounds[text]), place - edits), min(int(bounds[text + 1]), place + size + edits)
+            a = max(int(bounds[text]), place * grid - edits)
+            b = min(int(bounds[text + 1]), (place + 1) * grid - 1 + size + edits)
+            if i in index.bags and index.lacking(i, words[a:b]) > edits:
+                continue
             window = [joined[s:e] for s, e in zip(starts[a:b], ends[a:b])]
             distance, end = nearest(index.words[i], window)
             if distance <= edits and (not known or distance < known[0]):

@@ -232,6 +232,29 @@ def test_recall_of_edited_passages(spark, make, share, recall):
     assert sum((i, i) in got for i, _ in items) >= recall * len(items)
 
 
+@pytest.mark.parametrize("n", [100, 150, 200, 300, 500])
+def test_recall_of_long_items_cut_or_edited_at_both_ends(spark, make, n):
+    rng = random.Random(n)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 8))) for _ in range(3000)]
+    items, rows, edits, fifth = [], [], int(0.2 * n), n // 5
+    for i in range(60):
+        own = rng.choices(vocabulary, k=n)
+        trimmed = own[edits // 2:n - (edits - edits // 2)]
+        changed = edited(rng, own[:fifth], edits // 2) + own[fifth:-fifth] + edited(rng, own[-fifth:], edits // 2)
+        items.append((i, " ".join(own)))
+        for k, passage in enumerate((trimmed, changed, edited(rng, own, edits))):
+            noise = [rng.choices(vocabulary, k=50) for _ in range(2)]
+            rows.append((3 * i + k, " ".join(noise[0] + passage + noise[1]), "en"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in de.find_benchmark(make(rows), bench).collect()}
+    assert set(got) <= {(3 * i + k, i) for i in range(60) for k in range(3)}
+    for k in range(3):
+        assert sum((3 * i + k, i) in got for i in range(60)) >= 0.95 * 60
+    for (doc, item), r in list(got.items())[:10]:
+        assert by_hand(words_of(items[item][1]), words_of(rows[doc][1])) <= r["distance"] <= edits
+        assert by_hand(words_of(items[item][1]), words_of(r["passage"])) == r["distance"]
+
+
 def test_benchmark_in_blocks_and_long_texts(spark, make, monkeypatch):
     items, rows = planted(0.0, 7, 20)
     rows.append((2000, LONG + items[3][1].upper().replace(" ", " -- ") + LONG, "en"))
