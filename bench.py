@@ -13,13 +13,12 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from sigmatide.plans.catalog import all_queries, forecast_ensemble_fitted
+from sigmatide.plans.catalog import all_queries
 from sigmatide.session import local_session
-from sigmatide.sources.tables import Tables
 
 HEADLINE = [
     "bars_daily", "vol_panel", "vol_summary", "vol_regime", "forecast_mean_reversion",
-    "garch_fit", "trading_signals", "lag_regression_fit", "forecast_ensemble_fitted", "screen_top50",
+    "garch_fit", "trading_signals_fitted", "lag_regression_fit", "forecast_ensemble_fitted", "screen_top50",
     "portfolio_allocation", "buy_list", "movers_top10", "news_category", "stream_bars",
     "stream_ewma",
 ]
@@ -31,7 +30,6 @@ def main() -> None:
     spark = local_session(cores, partitions=cores)
     spark.sparkContext.setLogLevel("ERROR")
     queries = all_queries()
-    queries["forecast_ensemble_fitted"] = lambda s, d: forecast_ensemble_fitted(Tables(s, d))
     names = sys.argv[1:] or HEADLINE
     queries["bars_daily"](spark, folder).limit(1).collect()  # start the engine
     seconds = {}

@@ -242,8 +242,9 @@ def forecast_ensemble(t):
     return present(le.forecast_ensemble(garch, _learned_given(bars, le.ENSEMBLE_LOOKBACK)))
 
 
+@query
 def forecast_ensemble_fitted(t):
-    """The same with both models fitted: the full path, for the benchmark and the tests."""
+    """The same with both models fitted."""
     bars = t.stored_bars().drop(ba.MONTH)
     garch = ga.garch_forecast(ga.garch_search(ga.return_series(bars)))
     return present(le.forecast_ensemble(garch, le.learned_forecast(bars, lookback=le.ENSEMBLE_LOOKBACK)))
@@ -258,34 +259,73 @@ def forecast_ensemble_given(t):
 
 
 def _bundle(t):
-    """With the fixed model, so that every number can be checked."""
+    """With the fixed model, so that SQL can check every number."""
     return fc.predict_bundle(ga.garch_given(fc.ticker_state(t.bars()), ALPHA, BETA))
 
 
+def _bundle_fitted(t):
+    """With each ticker's own maximum-likelihood fit."""
+    return fc.predict_bundle(ga.garch_search(fc.ticker_state(t.bars())))
+
+
+def _shown_bundle(bundle):
+    return present(bundle, current_price=EXACT, log_likelihood=4, aic=4, bic=4)
+
+
+def _shown_signals(bundle):
+    return present(fc.trading_signals(bundle).drop("recommendations"), current_price=EXACT,
+                   daily_low=4, daily_high=4, d30_low=4, d30_high=4)
+
+
+def _shown_recommendations(bundle):
+    return present(fc.trading_signals(bundle).select(
+        "ticker", F.posexplode("recommendations").alias("pos", "recommendation")))
+
+
+def _shown_cone(bundle):
+    forecast = bundle.withColumnRenamed("garch_volatility", "volatility")
+    return present(fc.price_cone(forecast), expected_price=EXACT, lower_1sd=4, upper_1sd=4,
+                   lower_2sd=4, upper_2sd=4)
+
+
 @query
 def predict_bundle(t):
-    return present(_bundle(t), current_price=EXACT, log_likelihood=4, aic=4, bic=4)
+    return _shown_bundle(_bundle(t))
+
+
+@query
+def predict_bundle_fitted(t):
+    return _shown_bundle(_bundle_fitted(t))
 
 
 @query
 def trading_signals(t):
-    signals = fc.trading_signals(_bundle(t))
-    return present(signals.drop("recommendations"), current_price=EXACT, daily_low=4, daily_high=4,
-                   d30_low=4, d30_high=4)
+    return _shown_signals(_bundle(t))
+
+
+@query
+def trading_signals_fitted(t):
+    return _shown_signals(_bundle_fitted(t))
 
 
 @query
 def volatility_recommendations(t):
-    signals = fc.trading_signals(_bundle(t))
-    return present(signals.select("ticker", F.posexplode("recommendations")
-                                  .alias("pos", "recommendation")))
+    return _shown_recommendations(_bundle(t))
+
+
+@query
+def volatility_recommendations_fitted(t):
+    return _shown_recommendations(_bundle_fitted(t))
 
 
 @query
 def price_cone(t):
-    forecast = _bundle(t).withColumnRenamed("garch_volatility", "volatility")
-    return present(fc.price_cone(forecast), expected_price=EXACT, lower_1sd=4, upper_1sd=4,
-                   lower_2sd=4, upper_2sd=4)
+    return _shown_cone(_bundle(t))
+
+
+@query
+def price_cone_fitted(t):
+    return _shown_cone(_bundle_fitted(t))
 
 
 @query

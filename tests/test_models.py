@@ -214,6 +214,68 @@ def test_the_full_ensemble_runs_fitted(spark, folder):
     assert len(rows) == 25 * 30 and all(r.garch > 0 and np.isfinite(r.learned) for r in rows)
 
 
+def test_registered_forecasts_run_on_fitted_models(spark, folder):
+    """The fit reaches the SQL grid's likelihood, and every forecast follows from its parameters."""
+    import duckdb
+
+    from sigmatide.plans.catalog import all_queries
+    from sigmatide.plans.oracle import all_oracle_sql
+    from sigmatide.sources.tables import Tables
+
+    queries = all_queries()
+    got = {name: queries[name](spark, folder).collect() for name in (
+        "predict_bundle_fitted", "trading_signals_fitted", "volatility_recommendations_fitted",
+        "price_cone_fitted", "forecast_ensemble_fitted")}
+    con = duckdb.connect()
+    for table in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    cursor = con.execute(all_oracle_sql()["garch_fit"])
+    at = [d[0] for d in cursor.description]
+    floors = {r[at.index("ticker")]: r[at.index("grid_log_likelihood")] for r in cursor.fetchall()}
+    returns = {r.ticker: np.array(r.pct_returns) for r in
+               ga.return_series(Tables(spark, folder).bars()).collect()}
+    bundle = {}
+    for r in got["predict_bundle_fitted"]:
+        bundle.setdefault(r.ticker, {})[r.step] = r
+    assert set(bundle) == set(floors) and len({(r[1].alpha, r[1].beta) for r in bundle.values()}) > 1
+    vols = {}
+    for ticker, rows in bundle.items():
+        r, pct = rows[1], returns[ticker]
+        start_errors = (pct[:75] - pct.mean()) ** 2
+        weights = 0.94 ** np.arange(len(start_errors))
+        start = (start_errors * weights).sum() / weights.sum()
+        _, v, ll = fold((pct - r.mu) ** 2, r.omega, r.alpha, r.beta, start)
+        assert r.n_obs == len(pct) and r.log_likelihood >= floors[ticker] - 1e-3
+        np.testing.assert_allclose(r.log_likelihood, ll, atol=0.01)
+        np.testing.assert_allclose([r.aic, r.bic], [8 - 2 * ll, 4 * np.log(len(pct)) - 2 * ll], atol=0.02)
+        want = []
+        for _ in range(30):
+            want.append(np.sqrt(v * 252) / 100)
+            v = r.omega + (r.alpha + r.beta) * v
+        vols[ticker] = [rows[step].garch_volatility for step in range(1, 31)]
+        np.testing.assert_allclose(vols[ticker], want, rtol=1e-3)
+    assert {r.ticker for r in got["trading_signals_fitted"]} == set(bundle)
+    trends = {}
+    for r in got["trading_signals_fitted"]:
+        mean = np.mean(vols[r.ticker])
+        np.testing.assert_allclose(r.forecast_volatility, mean, atol=2e-6)
+        np.testing.assert_allclose([r.d30_low, r.d30_high],
+                                   r.current_price * (1 + np.array([-1, 1]) * mean * np.sqrt(30 / 252)), rtol=1e-4)
+        ratio = r.forecast_volatility / r.current_volatility
+        trends[r.ticker] = "INCREASE" if ratio > 1.1 else "DECREASE" if ratio < 0.9 else "STABLE"
+    last = {}
+    for r in got["volatility_recommendations_fitted"]:
+        last[r.ticker] = max(last.get(r.ticker, (-1, "")), (r.pos, r.recommendation))
+    assert set(last) == set(trends) and all(trends[t] in last[t][1] for t in trends)
+    for r in got["price_cone_fitted"]:
+        wide = np.sqrt((np.array(vols[r.ticker][:r.step]) ** 2).sum() / 252)
+        np.testing.assert_allclose([r.cum_volatility, r.upper_2sd / r.expected_price], [wide, 1 + 2 * wide], rtol=1e-4)
+    assert len(got["price_cone_fitted"]) == 30 * len(bundle)
+    for r in got["forecast_ensemble_fitted"]:
+        np.testing.assert_allclose(r.garch, vols[r.ticker][r.step - 1], atol=2e-6)
+        np.testing.assert_allclose(r.ensemble, (r.garch + r.learned) / 2, atol=2e-6)
+
+
 def test_forecast_feeds_predictions_back(learned):
     frames, scaled, _, model = learned
     w, b = model.coefficients.toArray(), model.intercept
