@@ -25,8 +25,6 @@ from sigmatide.llm.decontaminate import plain, span_hashes, word_spans
 from sigmatide.session import staged
 
 FIT_ROWS = 20_000  # labelled rows used by the fit at most, chosen by a hash of the id
-VOCABULARY = 512  # words that the toxicity model weighs at most
-MIN_WORD_ROWS = 3  # toxic rows that hold such a word
 WORD_PENALTY = 5e-4  # L1: most words carry no weight
 SHAPE_PENALTY = 1e-4
 THRESHOLD = 0.5
@@ -158,11 +156,30 @@ def fit_dense(x: np.ndarray, y: np.ndarray, penalty: float = SHAPE_PENALTY) -> t
 
 def fit_sparse(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int,
                penalty: float = WORD_PENALTY, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model with an absolute penalty, by accelerated proximal steps.
+    """Weights and bias of a logistic model with an absolute penalty.
 
-    The features are 0 or 1: 1 at the (row, column) pairs.
+    The features are 0 or 1: 1 at the (row, column) pairs. The fit runs on the features whose slope
+    has exceeded the penalty so far, until no other feature's slope does: the optimum over all.
     """
-    n = len(y)
+    w, bias = np.zeros(width), 0.0
+    active = np.zeros(width, bool)
+    while True:
+        own = active[columns]
+        place = np.cumsum(active) - 1
+        w[active], bias = _fit_active(rows[own], place[columns[own]], y, w[active], bias, penalty, rounds)
+        odds = np.bincount(rows, w[columns], len(y)) + bias
+        miss = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y
+        slope = np.bincount(columns, miss[rows], width) / len(y)
+        more = ~active & (np.abs(slope) > penalty)
+        if not more.any():
+            return w, bias
+        active |= more
+
+
+def _fit_active(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, start: np.ndarray, bias: float,
+                penalty: float, rounds: int) -> tuple[np.ndarray, float]:
+    """The fit on all the features given, by accelerated proximal steps from ``start``."""
+    n, width = len(y), len(start)
 
     def times(w: np.ndarray) -> np.ndarray:
         return np.bincount(rows, w[columns], n) + w[-1]
@@ -170,23 +187,23 @@ def fit_sparse(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int,
     def back(v: np.ndarray) -> np.ndarray:
         return np.append(np.bincount(columns, v[rows], width), v.sum())
 
-    w, norm = np.ones(width + 1), 1.0
-    for _ in range(30):  # the largest singular value, for the step
-        w = back(times(w))
-        norm = float(np.linalg.norm(w))
-        w /= norm
-    rate = 3.6 * n / norm
-    cut = np.full(width + 1, rate * penalty)
+    # A step for each weight: the row sums of the Gram matrix bound its curvature, so that common
+    # features do not slow the rare ones.
+    rate = 4 * n / back(times(np.ones(width + 1)))
+    cut = rate * penalty
     cut[-1] = 0
-    w = look = np.zeros(width + 1)
+    w = look = np.append(start, bias)
     speed = 1.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(times(look), -30, 30)))
         moved = look - rate * back(p - y) / n
         new = np.sign(moved) * np.maximum(np.abs(moved) - cut, 0)
+        done = np.abs(new - look).max() < 1e-6
         faster = (1 + np.sqrt(1 + 4 * speed ** 2)) / 2
         look = new + (speed - 1) / faster * (new - w)
         w, speed = new, faster
+        if done:
+            break
     return w[:-1], float(w[-1])
 
 
@@ -212,22 +229,22 @@ class EvidenceModel:
         return np.clip(p, EDGE, 1 - EDGE)
 
 
-def _toxic_words(rows: DataFrame) -> list[str]:
-    """The words most tied to toxic rows; counted by a grouped aggregation."""
+def _model_words(rows: DataFrame) -> list[str]:
+    """The words that the toxicity model may weigh; counted by a grouped aggregation.
+
+    A word in at most WORD_PENALTY of the rows is left out: its slope never exceeds the penalty,
+    so its weight is zero at the optimum. All others are weighed.
+    """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+            for text in batch.column(0):
                 own = pa.array(sorted(word_set(text.as_py())), pa.string())
-                yield pa.RecordBatch.from_arrays([own, pa.array([toxic] * len(own), pa.float64())],
-                                                 ["word", "toxic"])
+                yield pa.RecordBatch.from_arrays([own], ["word"])
 
-    share = rows.agg(F.avg("toxic")).first()[0]
-    counts = rows.select("text", "toxic").mapInArrow(words, "word string, toxic double").groupBy(
-        "word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
-    tie = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    best = counts.filter(F.col("t") >= MIN_WORD_ROWS).orderBy(tie.desc(), "word").limit(VOCABULARY)
-    return [r["word"] for r in best.collect()]
+    least = WORD_PENALTY * rows.count()
+    counts = rows.select("text").mapInArrow(words, "word string").groupBy("word").count()
+    return sorted(r["word"] for r in counts.filter(F.col("count") > least).select("word").collect())
 
 
 def _features(rows: DataFrame, words: list[str]) -> DataFrame:
@@ -258,13 +275,17 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     Rows without id or without a label take no part; repeated texts count once. A target of
     which only one class is labelled gives no evidence: without labels every document is good.
     Features are computed in tasks; the driver fits on ``fit_rows`` rows of ten numbers
-    and at most VOCABULARY word places, whatever the size of the corpus.
+    and the places of their distinct words, whatever the size of the corpus. The penalty
+    chooses the words.
     """
+    texts = documents_of(docs, id_col, text_col)
     chosen = (
-        labels.select("doc_id", "quality", "toxic").filter("doc_id IS NOT NULL")
+        labels.select("doc_id", "quality", "toxic")
+        .filter("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)")
+        .join(texts.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
-    joined = chosen.join(documents_of(docs, id_col, text_col), "doc_id").select(
+    joined = chosen.join(texts, "doc_id").select(
         F.coalesce("text", F.lit("")).alias("text"),
         F.col("quality").cast("double"), F.col("toxic").cast("double"))
     rows = staged(joined.groupBy(F.sha2("text", 256)).agg(
@@ -272,20 +293,21 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
         F.max("toxic").alias("toxic")).select("text", "quality", "toxic"), "labelled")
     by_words = rows.filter("toxic IS NOT NULL")
     two = rows.agg(F.countDistinct("quality"), F.countDistinct("toxic")).first()
-    words = _toxic_words(by_words) if two[1] == 2 else []
-    data = _features(rows, words).collect()
+    words = _model_words(by_words) if two[1] == 2 else []
+    data = _features(rows, words).toArrow()  # as numbers: Python objects would take ten times the memory
+    quality, toxic = (data.column(c).to_numpy() for c in ("quality", "toxic"))
     weights, bias = np.zeros(len(SHAPE)), 50.0
     if two[0] == 2:
-        own = [r for r in data if r["quality"] is not None]
-        weights, bias = fit_dense(np.array([r["shape"] for r in own]),
-                                  np.array([r["quality"] for r in own]))
+        own = ~np.isnan(quality)
+        forms = data.column("shape").combine_chunks().flatten().to_numpy().reshape(-1, len(SHAPE))
+        weights, bias = fit_dense(forms[own], quality[own])
     weighted, word_bias = {}, -50.0
     if words:
-        own = [r for r in data if r["toxic"] is not None]
-        sizes = np.array([len(r["places"]) for r in own])
-        places = np.array([p for r in own for p in r["places"]], np.int64)
-        found, word_bias = fit_sparse(np.repeat(np.arange(len(own)), sizes), places,
-                                      np.array([r["toxic"] for r in own]), len(words))
+        own, places = ~np.isnan(toxic), data.column("places").combine_chunks()
+        sizes = places.value_lengths().to_numpy()
+        found, word_bias = fit_sparse(np.repeat(np.cumsum(own) - 1, sizes)[np.repeat(own, sizes)],
+                                      places.flatten().to_numpy()[np.repeat(own, sizes)],
+                                      toxic[own], len(words))
         weighted = {w: float(v) for w, v in zip(words, found) if v}
     return EvidenceModel(weights, bias, weighted, word_bias)
 

@@ -130,6 +130,44 @@ def test_evidence_separates_junk_and_toxic_words(spark, make):
     assert max(model.word_weights, key=model.word_weights.get) == "vileword"
 
 
+def test_toxic_words_in_few_rows_and_behind_many_stronger_ones_are_weighed(spark, make):
+    rng, rows, labels = random.Random(5), [], []
+    crowd = " ".join(f"crowd{i}" for i in range(520))  # tied to more toxic rows than the others
+    marks = [crowd] * 10 + ["vileword"] * 5 + [f"rare{i // 2}" for i in range(20)]
+    for i in range(300):
+        text = prose(rng, 30) + (f" {marks[i]}" if i < len(marks) else "")
+        rows.append((i, text, "en", f"site{i % 3}"))
+        labels.append((i, 1, int(i < len(marks))))
+    rows += [(1000, prose(rng, 30) + " vileword", "en", "site0"), (1001, prose(rng, 30) + " rare3", "en", "site1")]
+    model = ql.fit_evidence(make(rows), labelled(spark, labels))
+    assert all(model.word_weights.get(w, 0) > 1 for w in ["vileword", *(f"rare{i}" for i in range(10))])
+    assert not any(r["kept"] for r in ql.score(make(rows), model).filter("doc_id >= 1000").collect())
+
+
+def test_the_sparse_fit_is_the_optimum_and_rare_words_carry_no_weight():
+    rng = np.random.default_rng(2)
+    n, width = 400, 60
+    x = rng.random((n, width)) < np.r_[0.9, 0.5, np.full(width - 2, 0.03)]
+    y = (x[:, 2] | x[:, 3] | (rng.random(n) < 0.1)).astype(float)
+    x[:, -1] = False
+    x[0, -1] = True  # one row: no more than the penalty
+    rows, columns = np.nonzero(x)
+    w, bias = ql.fit_sparse(rows, columns, y, width, penalty=1 / n, rounds=5000)
+    slope = x.T @ (1 / (1 + np.exp(-(x @ w + bias))) - y) / n
+    on = w != 0
+    np.testing.assert_allclose(slope[on], -np.sign(w[on]) / n, atol=2e-5)
+    assert (np.abs(slope[~on]) <= 1 / n + 2e-5).all() and w[-1] == 0 and w[2] > 1
+
+
+def test_labels_without_value_or_document_take_no_place_in_the_sample(spark, make):
+    rows = [(i, "bad | thing ## here" if i % 2 else prose(random.Random(i), 40), "en", "s") for i in range(40)]
+    labels = [(i, i % 2 ^ 1, 0) for i in range(40)] + [(1000 + i, 1, 0) for i in range(400)]
+    sample = labels + [(i, None, None) for i in range(40)] * 10
+    few = ql.fit_evidence(make(rows), labelled(spark, sample), fit_rows=40)
+    every = ql.fit_evidence(make(rows), labelled(spark, labels[:40]))
+    assert few.shape_bias == pytest.approx(every.shape_bias) and np.abs(few.shape_weights).max() > 0
+
+
 def test_site_posteriors_by_hand(spark):
     rows = [("h", "a", 0.9), ("h", "a", 0.7), ("h", "b", 0.2), ("g", "a", 0.5)]
     sites = ql.site_totals(spark.createDataFrame(rows, "host string, path string, p double"))
