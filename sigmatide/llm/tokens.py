@@ -31,12 +31,13 @@ class Encoder:
     joined: the same ids as for the text at once, in memory that a piece bounds. Pieces seen
     before are remembered; new ones are encoded many at a time, joined by their own spaces, and
     told apart by the offsets of their tokens. Strings of special tokens within a text are
-    ordinary text.
+    ordinary text or, with ``special``, these tokens, as in the library's plain call; they hold
+    no space, so the cuts stay right.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.first: dict[str, bytes] = {}  # pieces at the start of a text
         self.later: dict[str, bytes] = {}  # pieces after a space, which is not part of the key
         self.old: dict[str, bytes] = {}  # the generation before of these
@@ -98,5 +99,5 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One encoder for each file in a worker."""
-    return Encoder(path)
+    """One encoder for each file in a worker, with the ids of the library's plain call."""
+    return Encoder(path, special=True)

@@ -52,6 +52,32 @@ def test_forgotten_pieces_are_encoded_again(monkeypatch):
     assert list(encode(texts)) == [plain(t).tobytes() for t in texts]
 
 
+def plain_call(path):
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+
+@pytest.mark.parametrize("path", FILES)
+def test_special_tokens_get_the_ids_of_the_plain_call(path):
+    encode, plain, rng = Encoder(path, special=True), plain_call(path), random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "  ", "\n", "a", "word", "!", "é", "<|", "|>", "'s"]
+    texts = STRANGE + ["a <|endoftext|> b"] + [
+        "".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)]
+    for text, ids in zip(texts, encode(texts)):
+        assert ids == plain(text).tobytes(), repr(text)
+
+
+def test_operators_give_the_ids_of_the_plain_call(make):
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y z", "plain words"]
+    docs = make([(i, t, "en") for i, t in enumerate(texts)])
+    pieces, _ = pk.pack_documents(docs, qu.PACK_TOKENIZER, capacity=64)
+    want = {i: np.append(plain_call(qu.PACK_TOKENIZER)(t), 0).astype("<u4").tobytes() for i, t in enumerate(texts)}
+    assert {r["doc_id"]: bytes(r["ids"]) for r in pieces.collect()} == want
+    files, manifest = tf.write_token_files(docs, qu.FILE_TOKENIZER)
+    want = {i: np.append(plain_call(qu.FILE_TOKENIZER)(t), 1).astype("<u4").tobytes() for i, t in enumerate(texts)}
+    assert {r["doc_id"]: bytes(r["ids"]) for r in tf.read_token_files(files, manifest).collect()} == want
+
+
 # Packing
 
 @pytest.mark.parametrize("seed", range(8))
