@@ -302,6 +302,18 @@ def test_benchmark_in_blocks_and_long_texts(spark, make, monkeypatch):
     assert got == {(i, i) for i in range(20)} | {(2000, 3)}
 
 
+def test_an_index_grows_with_the_words_of_its_items_and_finds_a_very_long_one():
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    items = [(0, " ".join(long))] + [(i, " ".join(f"v{rng.randrange(900)}" for _ in range(64))) for i in range(1, 300)]
+    index = de.ItemIndex(items)
+    words = sum(map(len, index.words))
+    assert sum(c.places.size for c in index.classes) <= 2 * words
+    text = de.plain(" ".join(["before"] * 9 + long[1500:-1500] + ["behind"] * 9))
+    (_, item, distance, a, b), = de._matches(index, [text])
+    assert (index.ids[item], distance) == (0, 3000) and text[a:b].decode().split() == long[1500:-1500]
+
+
 def test_benchmark_of_odd_rows(spark, odd, empty, make):
     bench = spark.createDataFrame([(1, "Same TEXT, here!"), (1, None), (2, ""), (3, "same text here"), (4, "zz")],
                                   "item_id long, text string")
