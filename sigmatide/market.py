@@ -84,20 +84,20 @@ class Market:
         return forecast.forecast_mean_reversion(bars, days).join(
             forecast.forecast_confidence(bars), "ticker")
 
-    def garch_fit(self, period: str | None = "2y") -> DataFrame:
-        return garch.garch_fit(self.period(period))
+    def garch_fit(self, period: str | None = "2y", p: int = 1, q: int = 1) -> DataFrame:
+        return garch.garch_fit(self.period(period), p, q)
 
-    def garch_forecast(self, horizon: int = 30, period: str | None = "2y") -> DataFrame:
-        fitted = garch.garch_search(garch.return_series(self.period(period)))
+    def garch_forecast(self, horizon: int = 30, period: str | None = "2y", p: int = 1, q: int = 1) -> DataFrame:
+        fitted = garch.garch_search(garch.return_series(self.period(period)), p, q)
         return garch.garch_forecast(fitted, horizon)
 
-    def garch_conditional_vol(self, period: str | None = "2y") -> DataFrame:
-        fitted = garch.garch_search(garch.return_series(self.period(period)))
-        return garch.garch_conditional_vol(fitted)
+    def garch_conditional_vol(self, period: str | None = "2y", p: int = 1, q: int = 1) -> DataFrame:
+        fitted = garch.garch_search(garch.return_series(self.period(period)), p, q)
+        return garch.conditional_vol_orders(fitted)
 
     def learned_forecast(self, horizon: int = 30, lookback: int = 60,
-                         period: str | None = "2y") -> DataFrame:
-        return learned.learned_forecast(self.period(period), horizon, lookback)
+                         period: str | None = "2y", boosted: bool = False) -> DataFrame:
+        return learned.learned_forecast(self.period(period), horizon, lookback, boosted)
 
     def ensemble(self, horizon: int = 30, garch_weight: float = 0.5,
                  period: str | None = "2y") -> DataFrame:

@@ -16,6 +16,7 @@ from sigmatide.functions.columns import (
     ratio_change,
     root,
 )
+from sigmatide.operators.time_joins import row_blocks
 
 METRICS = ["historical", "parkinson", "garman_klass", "rogers_satchell", "yang_zhang", "ewma"]
 PANEL = ["close", "returns", *METRICS]
@@ -247,3 +248,25 @@ def vol_interpretation(volatility: Column) -> Column:
     """Description of an annualised volatility."""
     return first_match(*[(volatility < limit, text) for limit, text in INTERPRETATIONS],
                        otherwise=INTERPRETATION_ABOVE)
+
+
+def regime_days(bars: DataFrame, window: int = 21) -> DataFrame:
+    """(ticker, dt, regime) of every panel day: the regime of its Yang-Zhang value among all of its ticker's."""
+    panel = volatility_frame(bars, window).filter("in_panel").select(
+        "ticker", "dt", F.round("yang_zhang", 9).alias("yang_zhang"))
+    below = F.rank().over(Window.partitionBy("ticker").orderBy("yang_zhang")) - 1
+    n = F.count(F.lit(1)).over(Window.partitionBy("ticker"))
+    return panel.select("ticker", "dt", regime_label(below / n * 100).alias("regime"))
+
+
+def intraday_volatility(bars: DataFrame, window: int = 21, periods: float = TRADING_DAYS, size: int = 4096) -> DataFrame:
+    """The five windowed estimators of bars of any width; ``periods`` is the number of bars in a year.
+
+    Bars of a day are bounded by the calendar, those of a minute or a tick are not: a ticker is cut into blocks of
+    ``size`` bars, each with the ``window`` bars before it, and a block is what a task holds.
+    """
+    blocks = row_blocks(bars, "ticker", "dt", max(size, window), window)
+    keyed = blocks.withColumn("ticker", F.struct("ticker", "block")).drop("block", "row")
+    scale = math.sqrt(periods / TRADING_DAYS)
+    return volatility_frame(keyed, window).filter(~F.col("in_halo")).select(
+        F.col("ticker.ticker").alias("ticker"), "dt", *((F.col(m) * scale).alias(m) for m in METRICS if m != "ewma"))

@@ -1,13 +1,14 @@
-"""GARCH(1,1) with constant mean and normal errors.
+"""GARCH(p, q) with constant mean and normal errors; p = q = 1 by default.
 
-variance[t] = omega + alpha * e[t-1]^2 + beta * variance[t-1], on returns in percent. The
-likelihood is a fold over a ticker's ordered returns: one shuffle by ticker, then a
-projection per ticker, with no copy of the series per trial point.
+variance[t] = omega + alpha * e[t-1]^2 + beta * variance[t-1], on returns in percent, with more lags of
+both for higher orders. Fixed parameters are a fold over a ticker's ordered returns: one shuffle by
+ticker, then a projection per ticker. The fit works on batches of tickers (see garch_batch).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmatide.functions.columns import TRADING_DAYS
+from sigmatide.operators import garch_batch as gb
 from sigmatide.operators.estimators import with_returns
 from sigmatide.operators.forecast import (
     business_days,
@@ -25,16 +27,9 @@ from sigmatide.operators.forecast import (
 
 BACKCAST_ROWS = 75
 BACKCAST_DECAY = 0.94
-N_PARAMS = 4
-# Start points of the fit: alpha, gap = 1 - alpha - beta, and scale, where omega = scale * sample
-# variance * gap. Alpha may end at 0, and the gap anywhere above 0.
-START_ALPHA = [0.0, 0.01, 0.03, 0.06, 0.1, 0.15, 0.25]
-START_GAP = [0.9, 0.5, 0.2, 0.1, 0.05, 0.02, 0.005, 0.001]
-START_SCALE = [0.5, 1.0, 2.0]
-STARTS = 4  # best start points that are climbed from
-CLIMB_STEPS, CLIMB_RESTARTS = 400, 6
-ROUGH, EXACT = 1e-2, 1e-8  # spread of the deviance at which a climb ends
-FIT_COLUMNS = ["fit_mu", "omega", "alpha", "beta", "next_variance", "deviance"]
+N_PARAMS = 4  # mean, omega, alpha and beta
+FIT = ("fit_mu double, omega double, alphas array<double>, betas array<double>, recent_squares array<double>, "
+       "recent_variances array<double>, next_variance double, deviance double, floor_deviance double")
 CI_LOW, CI_HIGH = 0.8, 1.2
 
 
@@ -80,119 +75,146 @@ def _log_likelihood(deviance_sum: Column) -> Column:
     return -0.5 * (F.col("n_obs") * math.log(2 * math.pi) + deviance_sum)
 
 
-def _deviance_of(returns: list[float], start: float, point: np.ndarray) -> tuple[float, tuple]:
-    """Sum of ln(variance) + e^2 / variance at (mu, alpha, log gap, log omega), with the parameters
-    and the next variance; infinite outside the region of positive variances."""
-    mu, alpha, gap, omega = point[0], max(point[1], 0.0), math.exp(min(point[2], 0.0)), math.exp(min(point[3], 50.0))
-    beta = 1 - gap - alpha
-    if beta < 0:
-        return math.inf, ()
-    v, total, log = omega + (alpha + beta) * start, 0.0, math.log
-    for r in returns:
-        e = (r - mu) * (r - mu)
-        total += log(v) + e / v
-        v = omega + alpha * e + beta * v
-    return total, (mu, omega, alpha, beta, v)
-
-
-def _climb(objective, start: np.ndarray, sizes: np.ndarray, spread: float,
-           restarts: int = 1) -> tuple[np.ndarray, float]:
-    """Nelder-Mead descent, restarted around its end until a restart gains nothing."""
-    best, least = start, objective(start)
-    for _ in range(restarts):
-        points = [best, *(best + np.eye(len(best))[i] * sizes for i in range(len(best)))]
-        rows = sorted(((objective(p), i, p) for i, p in enumerate(points)), key=lambda x: x[:2])
-        for step in range(CLIMB_STEPS):
-            if rows[-1][0] - rows[0][0] < spread:
-                break
-            centre = sum(p for _, _, p in rows[:-1]) / (len(rows) - 1)
-            away = centre - rows[-1][2]
-            n = len(points) + step
-            tried = (objective(centre + away), n, centre + away)
-            if tried[0] < rows[0][0]:
-                further = (objective(centre + 2 * away), n, centre + 2 * away)
-                tried = min(tried, further, key=lambda x: x[0])
-            elif tried[0] >= rows[-2][0]:
-                side = 0.5 if tried[0] < rows[-1][0] else -0.5
-                nearer = (objective(centre + side * away), n, centre + side * away)
-                if nearer[0] >= min(tried[0], rows[-1][0]):
-                    low = rows[0][2]
-                    rows = [rows[0], *((objective(q), i, q) for _, i, p in rows[1:]
-                                       for q in [low + (p - low) / 2])]
-                    tried = rows.pop()
-                else:
-                    tried = nearer
-            rows = sorted([*rows[:len(points) - 1], tried], key=lambda x: x[:2])
-        gained = least - rows[0][0]
-        best, least = rows[0][2], rows[0][0]
-        if gained < 10 * spread:
-            break
-    return best, least
-
-
-def _start_points(errors: np.ndarray, variance: float, start: float) -> np.ndarray:
-    """(alpha, gap, scale) of the best grid points; all are folded over the series at once."""
-    grid = np.array([(a, g, s) for a in START_ALPHA for g in START_GAP for s in START_SCALE if a + g <= 1])
-    alpha, gap, scale = grid.T
-    omega, beta = scale * variance * gap, 1 - gap - alpha
-    v, total = omega + (alpha + beta) * start, np.zeros(len(grid))
-    for e in errors:
-        total += np.log(v) + e / v
-        v = omega + alpha * e + beta * v
-    order = np.argsort(total, kind="stable")
-    at_zero = order[alpha[order] == 0][:1]  # the bound is climbed along too
-    return grid[np.unique(np.concatenate((order[:STARTS - 1], at_zero)))]
+def _points(grid: list[tuple[float, float]], p: int, q: int) -> np.ndarray:
+    """Rows of alphas, betas and gap: the sums are spread evenly over the lags."""
+    return np.array([(*[a / p] * p, *[(1 - a - g) / q] * q, g) for a, g in grid])
+
+
+def _fitted_rows(own: pd.DataFrame, p: int, q: int, grid: list[tuple[float, float]]) -> list[tuple]:
+    """FIT of each series of a batch; the floor is the least deviance on ``grid``."""
+    series = gb.Series.of([np.asarray(r) for r in own["returns"]], own["start"].to_numpy(), own["variance"].to_numpy())
+    model, least = gb.fit(series, p, q)
+    e, v, _ = gb.variances(series, model)
+    floor = np.full(len(own), np.nan)
+    if grid:
+        mean = np.array([np.mean(r) for r in own["returns"]])
+        x = _points(grid, p, q)
+        floor = np.min([gb.deviance(series, gb.Model(mean, w[-1] * series.variance, np.tile(w[:p], (len(own), 1)),
+                                                     np.tile(w[p:-1], (len(own), 1)))) for w in x], axis=0)
+    rows = []
+    for i, n in enumerate(series.inside.sum(1)):
+        before = np.full(max(p, q), series.start[i])
+        squares = np.concatenate((before, e[i, :n] ** 2))[::-1][:p]
+        values = np.concatenate((before, v[i, :n]))[::-1][:q]
+        following = model.omega[i] + squares @ model.alpha[i] + values @ model.beta[i]
+        rows.append((model.mu[i], model.omega[i], model.alpha[i], model.beta[i], squares, values, following,
+                     least[i], floor[i]))
+    return rows
+
+
+def _fit_function(p: int, q: int, grid: list[tuple[float, float]]):
+    names = [c.split()[0] for c in FIT.split(", ")]
+
+    def fit(chunks: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for returns, variance, start in chunks:
+            given = pd.DataFrame({"returns": returns, "variance": variance, "start": start})
+            out: list[tuple] = [()] * len(given)
+            for rows in gb.batches(returns.map(len).to_numpy(int)):
+                for row, found in zip(rows, _fitted_rows(given.iloc[rows], p, q, grid)):
+                    out[row] = found
+            yield pd.DataFrame(out, columns=names)
+
+    return F.pandas_udf(fit, FIT)
+
+
+def garch_search(state: DataFrame, p: int = 1, q: int = 1,
+                 floor: list[tuple[float, float]] | None = None) -> DataFrame:
+    """Fitted mean, omega, alphas and betas per ticker by maximum likelihood.
+
+    ``state`` needs pct_returns; it gains mu, omega, alpha and beta (their sums over the lags), alphas and betas
+    (by lag), recent_squares and recent_variances (newest first), next_variance, log_likelihood, aic and bic.
+    ``p`` counts the lags of squared residuals, ``q`` those of variances. The start variance is that of the returns
+    around their sample mean. With ``floor``, points (alpha, gap), also floor_log_likelihood: the best on these
+    points with the sample mean and omega from the sample variance, which no fit should be below.
+    """
+    if p < 1 or q < 1:
+        raise ValueError("p and q are 1 or more")
+    df = residual_state(state).withColumn(
+        "_fit", _fit_function(p, q, floor or [])("pct_returns", "sample_variance", "start_variance"))
+    lists = ("alphas", "betas", "recent_squares", "recent_variances")
+    sums = [F.aggregate(f"_fit.{c}s", F.lit(0.0), lambda a, x: a + x).alias(c) for c in ("alpha", "beta")]
+    return with_criteria(
+        df.drop("mu").select(
+            "*", F.col("_fit.fit_mu").alias("mu"), "_fit.omega", *sums, *(f"_fit.{c}" for c in lists), "_fit.next_variance",
+            _log_likelihood(F.col("_fit.deviance")).alias("log_likelihood"),
+            *([_log_likelihood(F.col("_fit.floor_deviance")).alias("floor_log_likelihood")] if floor else []))
+        .drop("_fit"), 2 + p + q)
 
 
 def fit_returns(returns: np.ndarray, variance: float, start: float) -> tuple[float, ...]:
-    """Maximum of the likelihood over mean, omega, alpha and beta: FIT_COLUMNS."""
-    mean, spread = float(np.mean(returns)), math.sqrt(variance)
-    values = returns.tolist()
-    sizes = np.array([0.1 * spread, 0.03, 0.5, 0.5])
+    """Mean, omega, alpha, beta, next variance and deviance of the (1, 1) model of one series."""
+    own = pd.DataFrame({"returns": [returns], "variance": [variance], "start": [start]})
+    mu, omega, alphas, betas, _, _, following, least, _ = _fitted_rows(own, 1, 1, [])[0]
+    return mu, omega, alphas[0], betas[0], following, least
 
-    def objective(point: np.ndarray) -> float:
-        return _deviance_of(values, start, point)[0]
 
-    ends = [_climb(objective, np.array([mean, a, math.log(g), math.log(s * variance * g)]), sizes, ROUGH)
-            for a, g, s in _start_points((returns - mean) ** 2, variance, start)]
-    rough = min(ends, key=lambda x: x[1])[0]
-    best = _climb(objective, rough, sizes / 4, EXACT, CLIMB_RESTARTS)[0]
-    deviance, parameters = _deviance_of(values, start, best)
-    return (*map(float, parameters), deviance)
+def grid_log_likelihood(alphas: list[float], gaps: list[float]) -> Column:
+    """Best log-likelihood over a grid of alpha and gap, with the sample mean and omega from the
+    sample variance: a floor for any fit. For rows of residual_state or garch_search."""
+    points = [(a, g) for a in alphas for g in gaps if a + g <= 1]
+    return _log_likelihood(F.least(*[
+        _deviance(F.lit(g) * F.col("sample_variance"), F.lit(a), F.lit(1 - g - a))["sum"] for a, g in points]))
 
 
-def _fit_function():
-    def fit(returns: pd.Series, variance: pd.Series, start: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fit_returns(np.asarray(r), v, s) for r, v, s in zip(returns, variance, start)],
-                            columns=FIT_COLUMNS)
+def with_criteria(fitted: DataFrame, n_params: int = N_PARAMS) -> DataFrame:
+    """Add the information criteria of the parameters."""
+    ll = F.col("log_likelihood")
+    return fitted.withColumns({
+        "aic": 2 * n_params - 2 * ll,
+        "bic": n_params * F.ln("n_obs") - 2 * ll,
+    })
 
-    return F.pandas_udf(fit, ", ".join(f"{c} double" for c in FIT_COLUMNS))
 
+def garch_given_orders(state: DataFrame, alphas: list[float], betas: list[float]) -> DataFrame:
+    """The model with fixed coefficients by lag, the sample mean, and omega from the sample variance."""
+    def numbers(values: list[float]) -> Column:
+        return F.array(*map(F.lit, values))
 
-def garch_search(state: DataFrame) -> DataFrame:
-    """Fitted mean, omega, alpha and beta per ticker by maximum likelihood.
+    df = residual_state(state).withColumns({
+        "alphas": numbers(alphas), "betas": numbers(betas),
+        "omega": (1 - math.fsum(alphas) - math.fsum(betas)) * F.col("sample_variance")})
+    start = F.struct(F.array_repeat("start_variance", len(alphas)).alias("squares"),
+                     F.array_repeat("start_variance", len(betas)).alias("variances"), F.lit(0.0).alias("sum"))
+
+    def advance(state: Column, e: Column) -> Column:
+        # A one-element transform binds the variance, so it is computed once per step.
+        return F.transform(F.array(_following(state)), lambda v: F.struct(
+            _pushed(e, state["squares"], len(alphas)).alias("squares"),
+            _pushed(v, state["variances"], len(betas)).alias("variances"),
+            (state["sum"] + F.ln(v) + e / v).alias("sum")))[0]
 
-    ``state`` needs pct_returns; it gains mu, omega, alpha, beta, next_variance, log_likelihood, aic
-    and bic. The start variance is that of the returns around their sample mean. A fold in
-    the engine costs microseconds per day and trial point, so the search of a ticker runs in
-    one call of a pandas UDF; tickers are spread over the partitions.
-    """
-    df = residual_state(state).withColumn(
-        "_fit", _fit_function()("pct_returns", "sample_variance", "start_variance"))
     return with_criteria(
-        df.drop("mu").select("*", F.col("_fit.fit_mu").alias("mu"), "_fit.omega", "_fit.alpha", "_fit.beta",
-                             "_fit.next_variance",
-                             _log_likelihood(F.col("_fit.deviance")).alias("log_likelihood"))
-        .drop("_fit"))
+        df.withColumn("_fold", F.aggregate("sq_residuals", start, advance)).withColumns({
+            "recent_squares": F.col("_fold.squares"), "recent_variances": F.col("_fold.variances"),
+            "next_variance": _following(F.col("_fold")),
+            "log_likelihood": _log_likelihood(F.col("_fold.sum"))}).drop("_fold"),
+        2 + len(alphas) + len(betas))
 
 
-def with_criteria(fitted: DataFrame) -> DataFrame:
-    """Add the information criteria of the four parameters."""
-    ll = F.col("log_likelihood")
-    return fitted.withColumns({
-        "aic": 2 * N_PARAMS - 2 * ll,
-        "bic": N_PARAMS * F.ln("n_obs") - 2 * ll,
-    })
+def _following(state: Column) -> Column:
+    """The variance after the newest-first lags of ``state``."""
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+    return F.col("omega") + dot(F.col("alphas"), state["squares"]) + dot(F.col("betas"), state["variances"])
+
+
+def _pushed(first: Column, values: Column, keep: int) -> Column:
+    return F.slice(F.concat(F.array(first), values), 1, keep)
+
+
+def variance_path(horizon: int) -> Column:
+    """Variance forecasts 1 to ``horizon`` days ahead for a model of any orders: unknown squares are expected ones."""
+    start = F.struct(F.col("recent_squares").alias("squares"), F.col("recent_variances").alias("variances"),
+                     F.array().cast("array<double>").alias("path"))
+
+    def advance(state: Column, _: Column) -> Column:
+        return F.transform(F.array(_following(state)), lambda v: F.struct(
+            _pushed(v, state["squares"], F.size("alphas")).alias("squares"),
+            _pushed(v, state["variances"], F.size("betas")).alias("variances"),
+            F.concat(state["path"], F.array(v)).alias("path")))[0]
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, advance, lambda s: s["path"])
 
 
 def garch_given(state: DataFrame, alpha: float, beta: float) -> DataFrame:
@@ -223,22 +245,25 @@ def return_series(bars: DataFrame) -> DataFrame:
         F.max("dt").alias("dt"), *return_aggregates(), ordered_days())
 
 
-def garch_fit(bars: DataFrame) -> DataFrame:
-    """Fitted parameters, log-likelihood, AIC and BIC per ticker."""
-    return garch_search(return_series(bars)).select(
-        "ticker", "n_obs", "mu", "omega", "alpha", "beta", "log_likelihood", "aic", "bic")
+def refolded(fitted: DataFrame) -> DataFrame:
+    """Add ``refold_next`` and ``refold_log_likelihood``: a (1, 1) model's returned parameters folded over its returns
+    again by the engine, for checks of a fit."""
+    errors = F.transform("pct_returns", lambda r: (r - F.col("mu")) * (r - F.col("mu")))
+    return (
+        fitted.withColumn("sq_residuals", errors)
+        .withColumn("_fold", _deviance(F.col("omega"), F.col("alpha"), F.col("beta")))
+        .withColumns({"refold_next": F.col("_fold.next"), "refold_log_likelihood": _log_likelihood(F.col("_fold.sum"))})
+        .drop("_fold"))
 
 
-def grid_log_likelihood(alphas: list[float], gaps: list[float]) -> Column:
-    """Best log-likelihood over a grid of alpha and gap, with the sample mean and omega from the
-    sample variance: a floor for any fit. For rows of residual_state or garch_search."""
-    points = [(a, g) for a in alphas for g in gaps if a + g <= 1]
-    return _log_likelihood(F.least(*[
-        _deviance(F.lit(g) * F.col("sample_variance"), F.lit(a), F.lit(1 - g - a))["sum"] for a, g in points]))
+def garch_fit(bars: DataFrame, p: int = 1, q: int = 1) -> DataFrame:
+    """Fitted parameters, log-likelihood, AIC and BIC per ticker; alphas and betas by lag, and their sums."""
+    return garch_search(return_series(bars), p, q).select(
+        "ticker", "n_obs", "mu", "omega", "alpha", "beta", "alphas", "betas", "log_likelihood", "aic", "bic")
 
 
 def step_variance(step: Column) -> Column:
-    """Variance forecast ``step`` days ahead, in closed form."""
+    """Variance forecast of a (1, 1) model ``step`` days ahead, in closed form."""
     persistence = F.col("alpha") + F.col("beta")
     level = F.col("omega") / (1 - persistence)
     return level + F.pow(persistence, step.cast("double") - 1) * (F.col("next_variance") - level)
@@ -250,14 +275,42 @@ def variance_volatility(variance: Column) -> Column:
 
 
 def garch_forecast(fitted: DataFrame, horizon: int = 30) -> DataFrame:
-    """Variance and volatility of each future business day, with an approximate band."""
-    steps = business_days(fitted, horizon).withColumn("variance", step_variance(F.col("step")))
+    """Variance and volatility of each future business day, with an approximate band; a model with
+    coefficients by lag may have any orders."""
+    if "alphas" in fitted.columns:
+        steps = business_days(fitted.withColumn("_path", variance_path(horizon)), horizon).withColumn(
+            "variance", F.element_at("_path", F.col("step")))
+    else:
+        steps = business_days(fitted, horizon).withColumn("variance", step_variance(F.col("step")))
     vol = F.col("volatility")
     return steps.withColumn("volatility", variance_volatility(F.col("variance"))).select(
         "ticker", "step", "dt", "variance", "volatility",
         (vol * CI_LOW).alias("lower_ci"), (vol * CI_HIGH).alias("upper_ci"))
 
 
+def _path_function():
+    """Variance of each return under given parameters."""
+    def path(returns: pd.Series, start: pd.Series, mu: pd.Series, omega: pd.Series, alphas: pd.Series,
+             betas: pd.Series) -> pd.Series:
+        out = []
+        for r, s, m, w, a, b in zip(returns, start, mu, omega, alphas, betas):
+            series = gb.Series.of([np.asarray(r)], np.array([s]), np.ones(1))
+            model = gb.Model(np.array([m]), np.array([w]), np.asarray(a)[None], np.asarray(b)[None])
+            out.append(gb.variances(series, model)[1][0, :len(r)])
+        return pd.Series(out)
+
+    return F.pandas_udf(path, "array<double>")
+
+
+def conditional_vol_orders(fitted: DataFrame) -> DataFrame:
+    """garch_conditional_vol for a model with coefficients by lag. ``fitted`` needs pct_returns and return_days."""
+    variances = _path_function()("pct_returns", "start_variance", "mu", "omega", "alphas", "betas")
+    return (
+        fitted.select("ticker", "return_days", variances.alias("variances"))
+        .select("ticker", F.inline(F.arrays_zip(F.col("return_days").alias("dt"), F.col("variances").alias("variance"))))
+        .select("ticker", "dt", variance_volatility(F.col("variance")).alias("conditional_volatility")))
+
+
 def garch_conditional_vol(fitted: DataFrame, block: int = 256) -> DataFrame:
     """The model's volatility on each day of the series, annualised, one row per return.
 

@@ -1,16 +1,17 @@
 """Learned forecast of Yang-Zhang volatility from lagged panel rows.
 
-One pooled linear model over the scaled series of all tickers, fitted with MLlib, instead of
-one network per ticker: the fit is a single distributed pass and its size does not grow with
-the number of tickers.
+One pooled model over the scaled series of all tickers, fitted with MLlib, instead of one network per
+ticker: its size does not grow with the number of tickers. The linear model is a single distributed
+pass; boosted trees are the non-linear form, with the last rows of each ticker to stop them by.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,60 @@ class GivenModel:
     intercept: float
 
 
+#: A leaf's value, or (feature, threshold, tree up to the threshold, tree above it).
+Tree = float | tuple
+
+
+@dataclass
+class BoostedTrees:
+    """Regression trees with weights, as data: usable in any expression, without a vector column or a model object."""
+
+    trees: list[Tree]
+    weights: list[float]
+
+    @classmethod
+    def of(cls, model: GBTRegressionModel) -> BoostedTrees:
+        return cls([_read_tree(t.toDebugString) for t in model.trees], [float(w) for w in model.treeWeights])
+
+    def column(self, steps: Column) -> Column:
+        """The prediction for an array of features."""
+        def value(tree: Tree) -> Column:
+            if not isinstance(tree, tuple):
+                return F.lit(tree)
+            feature, threshold, low, high = tree
+            return F.when(F.get(steps, F.lit(feature)) <= threshold, value(low)).otherwise(value(high))
+
+        total = F.lit(0.0)
+        for tree, weight in zip(self.trees, self.weights):
+            total = total + weight * value(tree)
+        return total
+
+    def sql(self, steps: str) -> str:
+        """The same as SQL text over a list column counted from 1."""
+        def value(tree: Tree) -> str:
+            if not isinstance(tree, tuple):
+                return f"({tree!r}::DOUBLE)"
+            feature, threshold, low, high = tree
+            return f"CASE WHEN {steps}[{feature + 1}] <= {threshold!r}::DOUBLE THEN {value(low)} ELSE {value(high)} END"
+
+        return " + ".join(f"{w!r}::DOUBLE * {value(t)}" for t, w in zip(self.trees, self.weights))
+
+
+def _read_tree(text: str) -> Tree:
+    """A tree from MLlib's printed form: lines of If, Else and Predict, in depth-first order."""
+    lines = iter(re.findall(r"If \(feature (\d+) <= (\S+)\)|Else|Predict: (\S+)", text))
+
+    def node() -> Tree:
+        feature, threshold, leaf = next(lines)
+        if leaf:
+            return float(leaf)
+        low = node()
+        next(lines)  # Else
+        return int(feature), float(threshold), low, node()
+
+    return node()
+
+
 def minmax_scale(panel: DataFrame, train_fraction: float | None = None) -> DataFrame:
     """Scale returns, historical, EWMA and the target to [0, 1] per ticker; range 0 gives 0.
 
@@ -104,6 +159,26 @@ def lag_regression_fit(split: DataFrame, ridge: float = 1e-6) -> LinearRegressio
     return LinearRegression(solver="normal", regParam=ridge, standardization=False).fit(rows)
 
 
+def boosted_fit(split: DataFrame, **options: float) -> BoostedTrees:
+    """The trees of boosted_model as data."""
+    return BoostedTrees.of(boosted_model(split, **options))
+
+
+def boosted_model(split: DataFrame, trees: int = 20, depth: int = 4, rate: float = 0.1, tolerance: float = 1e-4,
+                  features: str = "all", seed: int = 7) -> GBTRegressionModel:
+    """Boosted regression trees on the lagged steps of the training rows.
+
+    The rows that are not for training stop the fit: once another tree lowers their mean squared error by less than
+    ``tolerance`` times the greater of it and 0.01, the trees up to the best one stay. Each level of a tree is one pass over binned rows with an aggregate of
+    features times bins, so rows are never gathered; ``features`` is how many of them a split may choose from (as
+    MLlib's featureSubsetStrategy). The rows are staged by the caller if they are dear.
+    """
+    rows = split.select(array_to_vector("steps").alias("features"), F.col("target").alias("label"),
+                        (~F.col("is_train")).alias("stops"))
+    return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, validationIndicatorCol="stops",
+                        validationTol=tolerance, featureSubsetStrategy=features).fit(rows)
+
+
 def fit_gradient(split: DataFrame, model: LinearRegressionModel, ridge: float = 1e-6) -> DataFrame:
     """(feature, gradient, n): the derivative of the training loss by each weight, per row; the
     intercept is the last feature. All are zero at the least-squares solution."""
@@ -116,15 +191,20 @@ def fit_gradient(split: DataFrame, model: LinearRegressionModel, ridge: float =
     ).select("feature", (F.col("mean") - ridge * F.get(weights, F.col("feature"))).alias("gradient"), "n")
 
 
-def lag_predictions(split: DataFrame, model: LinearRegressionModel) -> DataFrame:
+def lag_predictions(split: DataFrame, model: LinearRegressionModel | BoostedTrees) -> DataFrame:
     """Unscaled one-step predictions next to the actual values."""
-    rows = split.withColumn("features", array_to_vector("steps"))
     predicted = F.col("prediction") * F.col(f"{TARGET}_range") + F.col(f"{TARGET}_min")
+    if isinstance(model, BoostedTrees):
+        return split.withColumn("prediction", model.column(F.col("steps"))).select(
+            "ticker", "dt", "is_train", "actual", predicted.alias("predicted"))
+    rows = split.withColumn("features", array_to_vector("steps"))
     return model.transform(rows).select("ticker", "dt", "is_train", "actual",
                                         predicted.alias("predicted"))
 
 
-def _dot(steps: Column, model: LinearRegressionModel | GivenModel) -> Column:
+def _dot(steps: Column, model: LinearRegressionModel | GivenModel | BoostedTrees) -> Column:
+    if isinstance(model, BoostedTrees):
+        return model.column(steps)
     weights = F.array(*[F.lit(float(c)) for c in model.coefficients])
     products = F.zip_with(steps, weights, lambda x, w: x * w)
     return F.aggregate(products, F.lit(float(model.intercept)), lambda a, p: a + p)
@@ -140,8 +220,8 @@ def regression_metrics(predictions: DataFrame) -> DataFrame:
     )
 
 
-def lag_regression_forecast(scaled: DataFrame, model: LinearRegressionModel | GivenModel, horizon: int = 30,
-                            lookback: int = 60) -> DataFrame:
+def lag_regression_forecast(scaled: DataFrame, model: LinearRegressionModel | GivenModel | BoostedTrees,
+                            horizon: int = 30, lookback: int = 60) -> DataFrame:
     """Forecast step by step, feeding each prediction back as historical and EWMA value.
 
     The window of the last ``lookback`` rows is cut by rank before it is collected, and the
@@ -186,13 +266,15 @@ def lag_regression_forecast(scaled: DataFrame, model: LinearRegressionModel | Gi
     )
 
 
-def learned_forecast(bars: DataFrame, horizon: int = 30, lookback: int = 60) -> DataFrame:
-    """Fit on the bars and forecast every ticker with enough rows.
+def learned_forecast(bars: DataFrame, horizon: int = 30, lookback: int = 60, boosted: bool = False) -> DataFrame:
+    """Fit on the bars and forecast every ticker with enough rows, by the linear model or by boosted trees.
 
-    Fit and forecast both read the panel, so it is written once.
+    Fit and forecast both read the panel, so it is written once; boosting reads the sequences for every tree, so
+    they are written too.
     """
     scaled = staged(minmax_scale(vol_panel(bars)), "scaled-panel")
-    model = lag_regression_fit(chrono_split(lag_sequences(scaled, lookback)))
+    split = chrono_split(lag_sequences(scaled, lookback))
+    model = boosted_fit(staged(split, "split")) if boosted else lag_regression_fit(split)
     return lag_regression_forecast(scaled, model, horizon, lookback)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigmatide.operators import analyzer as an
@@ -15,6 +16,7 @@ from sigmatide.operators import learned as le
 from sigmatide.operators import market_boards as mb
 from sigmatide.operators import portfolio as po
 from sigmatide.operators import screener as sc
+from sigmatide.operators import time_joins as tj
 from sigmatide.functions.columns import NOISE
 from sigmatide.plans.present import present
 from sigmatide.session import shared_folder, staged
@@ -29,9 +31,12 @@ from sigmatide.streaming import movers as sm
 Query = Callable[[SparkSession, str], DataFrame]
 
 ALPHA, BETA = 0.08, 0.90  # the fixed model of the single-step GARCH queries
+ALPHAS, BETAS = [0.06, 0.04], [0.5, 0.35]  # the same by lag, of higher orders
 HISTORY_GATE = 1500
+BOOSTED_LOOKBACK, BOOSTED_TREES = 20, 8
 INVESTMENT = 50_000.0
 TICK_WIDTH, TICK_DELAY = "1 hour", "1 hour"
+INTRADAY_WINDOW, INTRADAY_PERIODS, INTRADAY_BLOCK = 21, 252 * 48, 512
 # Raw prices may have seven decimals, so fewer digits would put some of them on a tie.
 EXACT = 8
 # Start points of the SQL check of the variance model's likelihood.
@@ -153,21 +158,58 @@ def forecast_confidence(t):
     return present(fc.forecast_confidence(t.bars()))
 
 
-@query
-def garch_fit(t):
+GRID = [(a, g) for a in GRID_ALPHAS for g in GRID_GAPS if a + g <= 1]
+
+
+def _as_flag(condition):
+    return F.coalesce(condition, F.lit(False)).cast("long")
+
+
+def _reaches_floor():
+    return _as_flag(F.col("log_likelihood") >= F.col("floor_log_likelihood") - 1e-6).alias("fit_reaches_grid")
+
+
+def _fit(t, p, q):
     """The likelihood's best grid point, and whether the fit is at least as good and its criteria
     follow from it. The fit itself has no closed form; the tests compare it with another search."""
-    ll, k = F.col("log_likelihood"), ga.N_PARAMS
-    fitted = ga.garch_search(ga.return_series(t.bars()))
-    floor = ga.grid_log_likelihood(GRID_ALPHAS, GRID_GAPS)
+    ll, k = F.col("log_likelihood"), 2 + p + q
+    fitted = ga.garch_search(ga.return_series(t.bars()), p, q, GRID)
     criteria = (F.abs(F.col("aic") - 2 * k + 2 * ll) < 1e-6) & (
         F.abs(F.col("bic") - F.col("aic") - k * (F.ln("n_obs") - 2)) < 1e-6)
-    rows = fitted.select("ticker", "n_obs", floor.alias("grid_log_likelihood"),
-                         (ll >= floor - 1e-6).cast("long").alias("fit_reaches_grid"),
-                         criteria.cast("long").alias("criteria_follow"))
+    rows = fitted.select("ticker", "n_obs", F.col("floor_log_likelihood").alias("grid_log_likelihood"),
+                         _reaches_floor(), _as_flag(criteria).alias("criteria_follow"))
     return present(rows, grid_log_likelihood=4)
 
 
+@query
+def garch_fit(t):
+    return _fit(t, 1, 1)
+
+
+@query
+def garch_fit_21(t):
+    """Two lags of squared residuals."""
+    return _fit(t, 2, 1)
+
+
+@query
+def garch_fit_12(t):
+    """Two lags of variances."""
+    return _fit(t, 1, 2)
+
+
+@query
+def garch_forecast_orders(t):
+    """A model with two lags of both and fixed coefficients."""
+    return present(ga.garch_forecast(ga.garch_given_orders(ga.return_series(t.bars()), ALPHAS, BETAS)))
+
+
+@query
+def garch_conditional_vol_orders(t):
+    return present(ga.conditional_vol_orders(
+        ga.garch_given_orders(ga.return_series(t.bars()), ALPHAS, BETAS)))
+
+
 @query
 def garch_forecast(t):
     return present(ga.garch_forecast(ga.garch_given(ga.return_series(t.bars()), ALPHA, BETA)))
@@ -213,6 +255,23 @@ def lag_regression_fit(t):
     return present(le.fit_gradient(split, le.lag_regression_fit(split)), gradient=5)
 
 
+@query
+def boosted_trees_fit(t):
+    """Boosted trees stopped by the last fifth of each ticker: rows per ticker, and whether every prediction of the
+    model is that of its exported trees, and the trees explain the training rows better than their mean."""
+    split = staged(le.chrono_split(le.lag_sequences(le.minmax_scale(es.vol_panel(t.bars())), BOOSTED_LOOKBACK)), "split")
+    model = le.boosted_model(split, trees=BOOSTED_TREES)
+    exported = le.BoostedTrees.of(model).column(F.col("steps"))
+    rows = model.transform(split.filter("is_train").withColumn("features", array_to_vector("steps")))
+    error, mean = F.col("target") - F.col("prediction"), split.filter("is_train").agg(F.avg("target")).scalar()
+    found = rows.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("n_train"), F.min(_near(exported, F.col("prediction"))).alias("trees_follow"),
+        F.sum(error * error).alias("left"), F.sum((F.col("target") - mean) * (F.col("target") - mean)).alias("all"))
+    pooled = Window.partitionBy()  # one row per ticker
+    beats = _as_flag(F.sum("left").over(pooled) < F.sum("all").over(pooled))
+    return present(found.select("ticker", "n_train", "trees_follow", beats.alias("beats_mean")))
+
+
 @query
 def regression_metrics(t):
     """The error measures on given predictions: the latest known historical volatility."""
@@ -242,14 +301,6 @@ def forecast_ensemble(t):
     return present(le.forecast_ensemble(garch, _learned_given(bars, le.ENSEMBLE_LOOKBACK)))
 
 
-@query
-def forecast_ensemble_fitted(t):
-    """The same with both models fitted."""
-    bars = t.stored_bars().drop(ba.MONTH)
-    garch = ga.garch_forecast(ga.garch_search(ga.return_series(bars)))
-    return present(le.forecast_ensemble(garch, le.learned_forecast(bars, lookback=le.ENSEMBLE_LOOKBACK)))
-
-
 @query
 def forecast_ensemble_given(t):
     """The blend of two forecasts that need no fit: fixed GARCH and mean reversion."""
@@ -263,11 +314,6 @@ def _bundle(t):
     return fc.predict_bundle(ga.garch_given(fc.ticker_state(t.bars()), ALPHA, BETA))
 
 
-def _bundle_fitted(t):
-    """With each ticker's own maximum-likelihood fit."""
-    return fc.predict_bundle(ga.garch_search(fc.ticker_state(t.bars())))
-
-
 def _shown_bundle(bundle):
     return present(bundle, current_price=EXACT, log_likelihood=4, aic=4, bic=4)
 
@@ -294,38 +340,123 @@ def predict_bundle(t):
 
 
 @query
-def predict_bundle_fitted(t):
-    return _shown_bundle(_bundle_fitted(t))
+def trading_signals(t):
+    return _shown_signals(_bundle(t))
 
 
 @query
-def trading_signals(t):
-    return _shown_signals(_bundle(t))
+def volatility_recommendations(t):
+    return _shown_recommendations(_bundle(t))
 
 
 @query
-def trading_signals_fitted(t):
-    return _shown_signals(_bundle_fitted(t))
+def price_cone(t):
+    return _shown_cone(_bundle(t))
+
+
+# Forecasts on fitted models. What a fit decides has no SQL, so these queries give what does not depend on it,
+# the likelihood's floor, and whether each number follows from the parameters that the fit returned: the parameters
+# are folded over the returns again by the engine, and forecasts recomputed in closed form.
+
+def fitted_state(t):
+    """Each ticker's own maximum-likelihood fit with all that the forecasts need, written once."""
+    return staged(ga.garch_search(fc.ticker_state(t.bars()), floor=GRID), "fitted-state")
+
+
+def _near(x, y, tolerance=1e-7):
+    return _as_flag(F.abs(x - y) <= tolerance * (1 + F.abs(y)))
+
+
+def _refolded(fitted):
+    """Per ticker: floor, flags of the fit, and the parameters to recompute its forecasts from."""
+    return ga.refolded(fitted).select(
+        "ticker", F.col("floor_log_likelihood").alias("grid_log_likelihood"), _reaches_floor(),
+        _near(F.col("log_likelihood"), F.col("refold_log_likelihood")).alias("likelihood_follows"),
+        F.struct("omega", "alpha", "beta", F.col("refold_next").alias("next_variance")).alias("model"))
+
+
+def _recomputed_vol():
+    """Volatility of ``step`` from the refolded model."""
+    m = F.col("model")
+    level = m["omega"] / (1 - m["alpha"] - m["beta"])
+    ahead = F.pow(m["alpha"] + m["beta"], F.col("step").cast("double") - 1)
+    return F.sqrt((level + ahead * (m["next_variance"] - level)) * 252) / 100
 
 
 @query
-def volatility_recommendations(t):
-    return _shown_recommendations(_bundle(t))
+def predict_bundle_fitted(t):
+    fitted = fitted_state(t)
+    rows = fc.predict_bundle(fitted).join(_refolded(fitted), "ticker")
+    return present(rows.select(
+        "ticker", "step", "dt", "current_price", "regime", "current_volatility", "simple_volatility", "confidence",
+        "n_obs", "grid_log_likelihood", "fit_reaches_grid", "likelihood_follows",
+        _near(F.col("garch_volatility"), _recomputed_vol()).alias("forecast_follows")),
+        current_price=EXACT, grid_log_likelihood=4)
+
+
+def _mean_vol(fitted, days=30):
+    """Per ticker: the refolded model's mean volatility over the steps."""
+    steps = _refolded(fitted).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(days))))
+    return steps.groupBy("ticker", "grid_log_likelihood", "fit_reaches_grid").agg(F.avg(_recomputed_vol()).alias("mean_vol"))
 
 
 @query
-def volatility_recommendations_fitted(t):
-    return _shown_recommendations(_bundle_fitted(t))
+def trading_signals_fitted(t):
+    fitted = fitted_state(t)
+    rows = fc.trading_signals(fc.predict_bundle(fitted)).join(_mean_vol(fitted), "ticker")
+    month = F.col("mean_vol") * (30 / 252) ** 0.5
+    price = F.col("current_price")
+    follow = _near(F.col("forecast_volatility"), F.col("mean_vol")) * _near(
+        F.col("d30_low"), price * (1 - month)) * _near(F.col("d30_high"), price * (1 + month))
+    return present(rows.select(
+        "ticker", "current_price", "current_volatility", "volatility_regime", "daily_low", "daily_high",
+        "grid_log_likelihood", "fit_reaches_grid", follow.alias("ranges_follow")),
+        current_price=EXACT, daily_low=4, daily_high=4, grid_log_likelihood=4)
 
 
 @query
-def price_cone(t):
-    return _shown_cone(_bundle(t))
+def volatility_recommendations_fitted(t):
+    """The regime's texts by place; the last text is the trend's and depends on the fit."""
+    fitted = fitted_state(t)
+    rows = fc.trading_signals(fc.predict_bundle(fitted)).join(_mean_vol(fitted), "ticker")
+    ratio = F.col("mean_vol") / F.col("current_volatility")
+    word = F.when(ratio > 1.1, "INCREASE").when(ratio < 0.9, "DECREASE").otherwise("STABLE")
+    texts = rows.select("ticker", "fit_reaches_grid", word.alias("word"), F.size("recommendations").alias("n"),
+                        F.posexplode("recommendations").alias("pos", "recommendation"))
+    last = F.col("pos") == F.col("n") - 1
+    follows = F.col("recommendation").contains(F.col("word")) & F.col("recommendation").contains("olatility expected")
+    return present(texts.select(
+        "ticker", "pos", F.when(last, "the trend").otherwise(F.col("recommendation")).alias("recommendation"),
+        "fit_reaches_grid", _as_flag(~last | follows).alias("trend_follows")))
 
 
 @query
 def price_cone_fitted(t):
-    return _shown_cone(_bundle_fitted(t))
+    fitted = fitted_state(t)
+    cone = fc.price_cone(fc.predict_bundle(fitted).withColumnRenamed("garch_volatility", "volatility"))
+    rows = cone.join(_refolded(fitted), "ticker")
+    so_far = Window.partitionBy("ticker").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wide = F.sqrt(F.sum(_recomputed_vol() * _recomputed_vol() / 252).over(so_far))
+    price = F.col("expected_price")
+    bands = [("cum_volatility", wide), *((f"{side}_{k}sd", price * (1 + sign * k * wide))
+                                         for side, sign in (("lower", -1), ("upper", 1)) for k in (1, 2))]
+    follow = F.least(*(_near(F.col(c), x) for c, x in bands))
+    return present(rows.select("ticker", "step", "dt", "expected_price", "fit_reaches_grid",
+                               follow.alias("cone_follows")), expected_price=EXACT)
+
+
+@query
+def forecast_ensemble_fitted(t):
+    """The blend of both fitted models: its variance part follows from the parameters, the learned part from the
+    pooled model's weights, which lag_regression_fit checks, and the blend from the two."""
+    fitted = fitted_state(t)
+    learned = le.learned_forecast(t.stored_bars().drop(ba.MONTH), lookback=le.ENSEMBLE_LOOKBACK)
+    rows = le.forecast_ensemble(ga.garch_forecast(fitted), learned).join(_refolded(fitted), "ticker")
+    half = (F.col("garch") + F.col("learned")) / 2
+    blend = _near(F.col("ensemble"), half) * _near(F.col("lower_ci"), 0.8 * half) * _near(F.col("upper_ci"), 1.2 * half)
+    return present(rows.select("ticker", "step", "dt", "grid_log_likelihood", "fit_reaches_grid",
+                               _near(F.col("garch"), _recomputed_vol()).alias("garch_follows"),
+                               blend.alias("blend_follows")), grid_log_likelihood=4)
 
 
 @query
@@ -534,6 +665,77 @@ def news_by_keyword(t):
     return present(mb.news_by_category(latest, "mergers").drop("pos", "ord"))
 
 
+# Joins by time
+
+@query
+def news_asof_bar(t):
+    """Every news item with the latest bar of its ticker."""
+    bars = t.bars().select("ticker", F.col("dt").alias("bar_dt"), "close", "volume")
+    return present(tj.asof_join(t.dated_news(), bars, "ticker", "published", "bar_dt", ["close", "volume"]), close=EXACT)
+
+
+def _tick_bars(t, width=TICK_WIDTH):
+    return sb.stream_bars(t.ticks(), width, TICK_DELAY)
+
+
+@query
+def ticks_asof_bar(t):
+    """Every tick with the bar of its ticker that was the latest finished one; the first ticks have none."""
+    bars = _tick_bars(t).select("ticker", (F.col("dt") + F.expr(f"INTERVAL {TICK_WIDTH}")).alias("finished"), "close")
+    ticks = t.ticks().select("event_id", "ticker", "ts")
+    return present(tj.asof_join(ticks, bars, "ticker", "ts", "finished", ["close"], block_seconds=6 * 3600))
+
+
+@query
+def prints_before_bar(t):
+    """Prints of a ticker and day by the last bar before that day: their number and mean move since its close."""
+    bars = t.bars().select("ticker", F.col("dt").alias("before_dt"), "close")
+    prints = t.prints().select("ticker", "dt", "price")
+    moved = tj.asof_join(prints, bars, "ticker", "dt", "before_dt", ["close"], strict=True)
+    return present(moved.groupBy("ticker", "dt", "before_dt").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("price") / F.col("close") - 1).alias("mean_move")))
+
+
+def _closed(runs):
+    """Stretches with an end: the last one ends after its last day."""
+    return runs.withColumn("end", F.coalesce("end", F.date_add("last", 1)))
+
+
+def _regimes(t):
+    return _closed(tj.stretches(es.regime_days(t.bars()), "ticker", "dt", "regime"))
+
+
+@query
+def regime_stretches(t):
+    return present(_regimes(t))
+
+
+@query
+def news_in_regimes(t):
+    """Every news item inside a stretch of a regime of its ticker."""
+    runs = _regimes(t).select("ticker", "regime", "stretch", "start", "end")
+    return present(tj.interval_join(t.dated_news(), runs, "ticker", "published", "start", "end"))
+
+
+@query
+def regime_overlaps(t):
+    """Runs of falling closes of two days or more and the regimes they overlap."""
+    days = es.with_returns(t.bars()).filter("returns is not null").select("ticker", "dt", (F.col("returns") < 0).alias("falls"))
+    falls = _closed(tj.stretches(days, "ticker", "dt", "falls")).filter("falls and rows >= 2").select("ticker", "start", "end", "rows")
+    pairs = tj.overlap_join(_regimes(t).drop("last", "rows"), falls, "ticker", "start", "end")
+    return present(pairs.select(
+        "ticker", "left.regime", "left.stretch", F.col("right.start").alias("falls_from"), F.col("right.rows").alias("falls"),
+        F.col("overlap_start").cast("date").alias("overlap_start"), F.col("overlap_end").cast("date").alias("overlap_end")))
+
+
+@query
+def vol_intraday(t):
+    """The windowed estimators on half-hour bars of the ticks."""
+    bars = _tick_bars(t, "30 minutes")
+    return present(es.intraday_volatility(bars, INTRADAY_WINDOW, INTRADAY_PERIODS, INTRADAY_BLOCK), **{
+        m: 4 for m in es.METRICS})
+
+
 # Streaming
 
 def _event_stream(t):

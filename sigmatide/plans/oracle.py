@@ -8,9 +8,11 @@ from sigmatide.operators.estimators import INTERPRETATION_ABOVE, INTERPRETATIONS
 from sigmatide.operators.market_boards import NEWS_KEYWORDS
 from sigmatide.plans.catalog import (
     ALPHA,
+    ALPHAS,
     BETA,
-    GRID_ALPHAS,
-    GRID_GAPS,
+    BETAS,
+    BOOSTED_LOOKBACK,
+    GRID,
     HISTORY_GATE,
     INVESTMENT,
     LAG_INTERCEPT,
@@ -76,10 +78,10 @@ rets AS (
 Q21 = 1 - 2 / 22
 
 
-def frame(months: int | None = None, gate: int = 0, n: int = 21) -> str:
+def frame(months: int | None = None, gate: int = 0, n: int = 21, head: str | None = None) -> str:
     k = f"(0.34::DOUBLE / (1.34::DOUBLE + {n + 1}::DOUBLE / {n - 1}))"
     q = f"{Q21!r}::DOUBLE"
-    return f"""{bars(months, gate)},{RETURNS},
+    return f"""{head or bars(months, gate)},{RETURNS},
 terms AS (
   SELECT *, ln(high / low) AS hl, ln(close / open) AS co, ln(open / prev) AS oc,
          ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs,
@@ -157,35 +159,55 @@ resid AS (
   SELECT ticker, dt, days, mu, n_obs, list_avg(sq) AS s2,
          list_sum(list_transform(sq[1:75], lambda x, i: x * pow(0.94::DOUBLE, i - 1)))
            / list_sum(list_transform(sq[1:75], lambda x, i: pow(0.94::DOUBLE, i - 1))) AS v0,
-         list_transform(sq, lambda x: {'e': x, 'v': 0::DOUBLE, 'l': 0::DOUBLE}) AS errs
+         list_transform(sq, lambda x: {'e': x, 'f': x, 'w': x, 'l': x, 'v': x}) AS errs
   FROM squares)"""
 
-FOLD = ("list_reduce(errs, lambda a, x: {'e': 0::DOUBLE, 'v': omega + alpha * x.e + beta * a.v,"
-        " 'l': a.l + ln(a.v) + x.e / a.v},"
-        " {'e': 0::DOUBLE, 'v': omega + (alpha + beta) * v0, 'l': 0::DOUBLE})")
+# Two lags at most: e and f are the last squares, v the variance now, w the one before.
+FOLD = ("list_reduce(errs, lambda a, x: {'e': x.e, 'f': a.e, 'w': a.v, 'l': a.l + ln(a.v) + x.e / a.v,"
+        " 'v': omega + a1 * x.e + a2 * a.e + b1 * a.v + b2 * a.w},"
+        " {'e': v0, 'f': v0, 'w': v0, 'l': 0::DOUBLE, 'v': omega + (a1 + a2 + b1 + b2) * v0})")
+
+
+def by_lag(p: int, q: int, alpha: str = "alpha", beta: str = "beta") -> str:
+    """Columns a1, a2, b1, b2: the sums spread evenly over the lags."""
+    return ", ".join(f"{f'{total} / {n}' if k <= n else '0::DOUBLE'} AS {name}{k}"
+                     for total, name, n in ((alpha, "a", p), (beta, "b", q)) for k in (1, 2))
+
 
 GIVEN = f"""
 model AS (
   SELECT *, {FOLD} AS f
-  FROM (SELECT *, {ALPHA}::DOUBLE AS alpha, {BETA}::DOUBLE AS beta,
+  FROM (SELECT *, {ALPHA}::DOUBLE AS alpha, {BETA}::DOUBLE AS beta, {by_lag(1, 1, f"{ALPHA}::DOUBLE", f"{BETA}::DOUBLE")},
                (1 - {ALPHA}::DOUBLE - {BETA}::DOUBLE) * s2 AS omega FROM resid)),
 fitted AS (SELECT *, f.v AS next, -0.5 * (n_obs * ln(2 * pi()) + f.l) AS ll FROM model)"""
 
 
-def likelihood_grid() -> str:
+def likelihood_grid(p: int = 1, q: int = 1) -> str:
     """CTE ``floors``: the best log-likelihood over the grid, per ticker."""
-    points = ", ".join(f"({a!r}::DOUBLE, {g!r}::DOUBLE)" for a in GRID_ALPHAS for g in GRID_GAPS
-                       if a + g <= 1)
+    points = ", ".join(f"({a!r}::DOUBLE, {g!r}::DOUBLE)" for a, g in GRID)
     return f"""
 points(alpha, gap) AS (VALUES {points}),
 scored AS (
   SELECT ticker, n_obs, {FOLD} AS f
-  FROM (SELECT r.*, alpha, 1 - gap - alpha AS beta, s2 * gap AS omega FROM resid r CROSS JOIN points)),
+  FROM (SELECT r.*, {by_lag(p, q, 'alpha', '(1 - gap - alpha)')}, s2 * gap AS omega FROM resid r CROSS JOIN points)),
 floors AS (
   SELECT ticker, n_obs, max(-0.5 * (n_obs * ln(2 * pi()) + f.l)) AS floor FROM scored
   GROUP BY ticker, n_obs)"""
 
 
+def fit_check(p: int, q: int) -> str:
+    return f"""WITH {bars()},{RETURNS},{SERIES},{likelihood_grid(p, q)}
+            SELECT ticker, n_obs, {r('floor', 'grid_log_likelihood', 4)},
+              1::BIGINT AS fit_reaches_grid, 1::BIGINT AS criteria_follow FROM floors"""
+
+
+GIVEN_ORDERS = f"""
+model AS (
+  SELECT *, {FOLD} AS f
+  FROM (SELECT *, {ALPHAS[0]}::DOUBLE AS a1, {ALPHAS[1]}::DOUBLE AS a2, {BETAS[0]}::DOUBLE AS b1,
+               {BETAS[1]}::DOUBLE AS b2, (1 - {sum(ALPHAS)!r}::DOUBLE - {sum(BETAS)!r}::DOUBLE) * s2 AS omega FROM resid))"""
+
+
 LEVEL = "(omega / (1 - (alpha + beta)))"
 VARIANCE = f"({LEVEL} + pow(alpha + beta, step - 1) * (next - {LEVEL}))"
 GARCH_VOL = f"sqrt({VARIANCE} * 252) / 100"
@@ -485,6 +507,35 @@ latest AS (
   FROM feed ORDER BY t DESC, place, doc_id LIMIT 50)"""
 STAMP = "strftime(t, '%Y-%m-%d %H:%M:%S') AS time"
 
+# Joins by time, each as a plain join.
+DATED_NEWS = """
+news AS (
+  SELECT 'BRAND#' || (doc_id % 25 + 1) AS ticker, doc_id,
+         TIMESTAMP '1992-06-01' + to_minutes(doc_id * 7919 % 3000000) AS published FROM documents)"""
+REGIME_RUNS = f"""{frame()},
+ranked AS (
+  SELECT ticker, dt, (rank() OVER (PARTITION BY ticker ORDER BY round(yang_zhang, 9)) - 1)
+           / count(*) OVER (PARTITION BY ticker)::DOUBLE * 100 AS p FROM panel),
+day_regimes AS (
+  SELECT ticker, dt, CASE WHEN p < 25 THEN 'Low' WHEN p < 75 THEN 'Normal' WHEN p < 90 THEN 'High' ELSE 'Extreme' END AS regime
+  FROM ranked),
+changes AS (
+  SELECT *, lead(dt) OVER w AS following, CASE WHEN regime = lag(regime) OVER w THEN 0 ELSE 1 END AS change
+  FROM day_regimes WINDOW w AS (PARTITION BY ticker ORDER BY dt)),
+day_runs AS (SELECT *, sum(change) OVER (PARTITION BY ticker ORDER BY dt) AS stretch FROM changes),
+regime_runs AS (
+  SELECT ticker, regime, stretch::BIGINT AS stretch, min(dt) AS start, max(dt) AS last,
+         coalesce(arg_max(following, dt), max(dt) + 1)::DATE AS "end", count(*) AS rows
+  FROM (SELECT * REPLACE (coalesce(following, dt + 1) AS following) FROM day_runs) GROUP BY ticker, regime, stretch)"""
+INTRADAY = """
+ticks AS (
+  SELECT event_id, event_type AS ticker, ts, value AS price,
+         time_bucket(INTERVAL 30 MINUTE, ts) AS w, row(ts, event_id) AS k
+  FROM events WHERE value > 0),
+bars AS (
+  SELECT ticker, w AS dt, arg_min(price, k) AS open, max(price) AS high, min(price) AS low,
+         arg_max(price, k) AS close, count(*)::DOUBLE AS volume FROM ticks GROUP BY ticker, w)"""
+
 TICK_BARS = """
 ticks AS (
   SELECT event_id, event_type AS ticker, ts, value AS price,
@@ -495,6 +546,7 @@ tick_bars AS (
          arg_max(price, k) AS close, count(*)::DOUBLE AS volume
   FROM ticks GROUP BY ticker, w
   HAVING w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ticks))"""
+ALL_TICK_BARS = TICK_BARS.partition("\n  HAVING")[0].replace("tick_bars AS", "all_tick_bars AS") + ")"
 TICK_TIME = "strftime(dt, '%Y-%m-%d %H:%M:%S') AS dt"
 
 
@@ -597,15 +649,57 @@ def all_oracle_sql() -> dict[str, str]:
             FROM ewma_state JOIN steps USING (ticker)""",
         "forecast_confidence": f"""WITH {frame()},{EWMA_STATE}
             SELECT ticker, {r('confidence')} FROM confidences""",
-        "garch_fit": f"""WITH {bars()},{RETURNS},{SERIES},{likelihood_grid()}
-            SELECT ticker, n_obs, {r('floor', 'grid_log_likelihood', 4)},
-              1::BIGINT AS fit_reaches_grid, 1::BIGINT AS criteria_follow FROM floors""",
+        "garch_fit": fit_check(1, 1),
+        "garch_fit_21": fit_check(2, 1),
+        "garch_fit_12": fit_check(1, 2),
+        "garch_forecast_orders": f"""WITH RECURSIVE {bars()},{RETURNS},{SERIES},{GIVEN_ORDERS},
+            {business_steps('model')},
+            path AS (
+              SELECT ticker, 1 AS step, f.v AS variance, f.e AS square, f.w AS before FROM model
+              UNION ALL
+              SELECT ticker, step + 1, omega + (a1 + b1) * variance + a2 * square + b2 * before, variance, variance
+              FROM path JOIN model USING (ticker) WHERE step < 30)
+            SELECT ticker, step, {day('day')}, {r('variance')}, {r('sqrt(variance * 252) / 100', 'volatility')},
+              {r('sqrt(variance * 252) / 100 * 0.8::DOUBLE', 'lower_ci')},
+              {r('sqrt(variance * 252) / 100 * 1.2::DOUBLE', 'upper_ci')}
+            FROM path JOIN steps USING (ticker, step)""",
+        "garch_conditional_vol_orders": f"""WITH RECURSIVE {bars()},{RETURNS},{SERIES},{GIVEN_ORDERS},
+            path AS (
+              SELECT ticker, 1 AS i, omega + (a1 + a2 + b1 + b2) * v0 AS v, v0 AS w FROM model
+              UNION ALL
+              SELECT ticker, i + 1, omega + a1 * errs[i].e + a2 * coalesce(errs[i - 1].e, v0) + b1 * v + b2 * w, v
+              FROM path JOIN model USING (ticker) WHERE i < n_obs)
+            SELECT ticker, {day('days[i]')}, {r('sqrt(v * 252) / 100', 'conditional_volatility')}
+            FROM path JOIN model USING (ticker)""",
+        "predict_bundle_fitted": f"""WITH {BUNDLE},{likelihood_grid()} SELECT ticker, step, {day('day')},
+            {r('current_price', digits=8)}, regime, {rs('current_volatility simple_volatility confidence')},
+            b.n_obs, {r('floor', 'grid_log_likelihood', 4)}, 1::BIGINT AS fit_reaches_grid,
+            1::BIGINT AS likelihood_follows, 1::BIGINT AS forecast_follows FROM bundle b JOIN floors USING (ticker)""",
+        "trading_signals_fitted": f"""WITH {SIGNALS},{likelihood_grid()} SELECT ticker, {r('p', 'current_price', 8)},
+            {r('v', 'current_volatility')}, regime AS volatility_regime,
+            {r('p * (1 - v / sqrt(252))', 'daily_low', 4)}, {r('p * (1 + v / sqrt(252))', 'daily_high', 4)},
+            {r('floor', 'grid_log_likelihood', 4)}, 1::BIGINT AS fit_reaches_grid, 1::BIGINT AS ranges_follow
+            FROM signals JOIN floors USING (ticker)""",
+        "volatility_recommendations_fitted": f"""WITH all_texts AS ({_recommendations()})
+            SELECT ticker, pos, CASE WHEN pos = max(pos) OVER (PARTITION BY ticker) THEN 'the trend'
+              ELSE recommendation END AS recommendation, 1::BIGINT AS fit_reaches_grid, 1::BIGINT AS trend_follows
+            FROM all_texts""",
+        "price_cone_fitted": f"""WITH {BUNDLE} SELECT ticker, step, {day('day')},
+            {r('current_price', 'expected_price', 8)}, 1::BIGINT AS fit_reaches_grid, 1::BIGINT AS cone_follows
+            FROM bundle""",
+        "forecast_ensemble_fitted": f"""WITH RECURSIVE {learned_path(30)},{SERIES},{likelihood_grid()}
+            SELECT ticker, step, {day('l.day')}, {r('floor', 'grid_log_likelihood', 4)},
+              1::BIGINT AS fit_reaches_grid, 1::BIGINT AS garch_follows, 1::BIGINT AS blend_follows
+            FROM learned l JOIN floors USING (ticker)""",
         "lag_regression_fit": f"""WITH {SEQUENCES},
             training AS (SELECT count(*) AS n FROM
               (SELECT seq <= floor(count(*) OVER (PARTITION BY ticker) * 0.8::DOUBLE) AS train FROM seqs)
               WHERE train)
             SELECT CAST(i AS BIGINT) AS feature, 0::DOUBLE AS gradient, n
             FROM training, (SELECT unnest(range(0, 181)) AS i)""",
+        "boosted_trees_fit": f"""WITH {SCALED}
+            SELECT ticker, floor((count(*) - {BOOSTED_LOOKBACK}) * 0.8::DOUBLE)::BIGINT AS n_train,
+              1::BIGINT AS trees_follow, 1::BIGINT AS beats_mean FROM scaled GROUP BY ticker""",
         "lag_regression_forecast": f"""WITH RECURSIVE {learned_path(60)}
             SELECT ticker, step, {day('day')}, {r('volatility')},
               {r('volatility * 0.85::DOUBLE', 'lower_ci')}, {r('volatility * 1.15::DOUBLE', 'upper_ci')}
@@ -770,6 +864,40 @@ def all_oracle_sql() -> dict[str, str]:
         "news_by_category": f"""WITH {LATEST} SELECT ticker, title, link, publisher, {STAMP},
             category FROM (SELECT * FROM latest WHERE category = 'general'
                            ORDER BY t DESC, place, doc_id LIMIT 30)""",
+        "news_asof_bar": f"""WITH {bars()},{DATED_NEWS}
+            SELECT n.ticker, doc_id, strftime(published, '%Y-%m-%d %H:%M:%S') AS published,
+              {day('b.dt', 'bar_dt')}, {r('close', digits=8)}, {r('volume')}
+            FROM news n ASOF LEFT JOIN bars b ON n.ticker = b.ticker AND n.published >= b.dt""",
+        "ticks_asof_bar": f"""WITH {ALL_TICK_BARS}
+            SELECT event_id, t.ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
+              strftime(finished, '%Y-%m-%d %H:%M:%S') AS finished, {r('close')}
+            FROM ticks t ASOF LEFT JOIN (SELECT ticker, dt + INTERVAL 1 HOUR AS finished, close FROM all_tick_bars) b
+              ON t.ticker = b.ticker AND t.ts >= b.finished""",
+        "prints_before_bar": f"""WITH {bars()}
+            SELECT p.ticker, {day('p.dt')}, {day('b.dt', 'before_dt')}, count(*) AS n,
+              {r('avg(price / close - 1)', 'mean_move')}
+            FROM prints p ASOF LEFT JOIN bars b ON p.ticker = b.ticker AND p.dt > b.dt GROUP BY p.ticker, p.dt, b.dt""",
+        "regime_stretches": f"""WITH {REGIME_RUNS}
+            SELECT ticker, regime, stretch, {day('start', 'start')}, {day('last', 'last')}, {day('"end"', '"end"')}, rows
+            FROM regime_runs""",
+        "news_in_regimes": f"""WITH {REGIME_RUNS},{DATED_NEWS}
+            SELECT n.ticker, doc_id, strftime(published, '%Y-%m-%d %H:%M:%S') AS published, regime, stretch,
+              {day('start', 'start')}, {day('"end"', '"end"')}
+            FROM news n JOIN regime_runs g ON g.ticker = n.ticker
+              AND published BETWEEN start AND "end"::TIMESTAMP - INTERVAL 1 MICROSECOND""",
+        "regime_overlaps": f"""WITH {REGIME_RUNS},
+            fall_days AS (SELECT ticker, dt, lead(dt) OVER w AS following, returns < 0 AS falls,
+                CASE WHEN (returns < 0) = lag(returns < 0) OVER w THEN 0 ELSE 1 END AS change
+              FROM rets WHERE returns IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY dt)),
+            fall_runs AS (SELECT ticker, min(dt) AS start, max(coalesce(following, dt + 1))::DATE AS "end", count(*) AS n
+              FROM (SELECT *, sum(change) OVER (PARTITION BY ticker ORDER BY dt) AS run FROM fall_days)
+              GROUP BY ticker, run, falls HAVING falls AND count(*) >= 2)
+            SELECT g.ticker, regime, stretch, {day('f.start', 'falls_from')}, n AS falls,
+              {day('greatest(f.start, g.start)', 'overlap_start')}, {day('least(f."end", g."end")', 'overlap_end')}
+            FROM regime_runs g JOIN fall_runs f ON f.ticker = g.ticker AND g.start < f."end" AND f.start < g."end" """,
+        "vol_intraday": f"""WITH {frame(head=INTRADAY)}
+            SELECT ticker, strftime(dt, '%Y-%m-%d %H:%M:%S') AS dt, {', '.join(
+                r(f'{m} * sqrt(48)', m, 4) for m in METRICS if m != 'ewma')} FROM est""",
         "stream_bars": f"""WITH {TICK_BARS} SELECT ticker, {TICK_TIME},
             {rs('open high low close volume')} FROM tick_bars""",
         "stream_ewma": f"""WITH {TICK_BARS}, bars AS (SELECT * FROM tick_bars),{RETURNS},

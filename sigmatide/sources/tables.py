@@ -24,6 +24,7 @@ from sigmatide.sources.news import ITEM_TYPE, news_tickers
 
 PRINT_ORDER = ["seq"]
 VOLUME_SCALE = 1e5
+NEWS_SINCE = 707_356_800  # 1992-06-01
 
 
 # Stored bars by session, folder and state of the source files.
@@ -174,6 +175,13 @@ class Tables:
             F.concat(F.lit("BRAND#"), doc % 25 + 1).alias("ticker"),
             doc.alias("ord"), item.alias("item"))
 
+    def dated_news(self) -> DataFrame:
+        """Documents as news (ticker, doc_id, published) spread over the years of the bars."""
+        minutes = F.pmod(F.col("doc_id") * 7919, F.lit(3_000_000))
+        return self.table("documents").select(
+            F.concat(F.lit("BRAND#"), F.col("doc_id") % 25 + 1).alias("ticker"), "doc_id",
+            F.timestamp_seconds(F.lit(NEWS_SINCE) + minutes * 60).alias("published"))
+
     def feed(self, tickers: int = 15) -> DataFrame:
         """News items of the first tickers of the universe, with their place."""
         return news_tickers(self.news(), self.universe(), tickers)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from series import pandas_panel, random_bars, to_spark
 from sigmatide.operators import estimators as es
 from sigmatide.operators import garch as ga
+from sigmatide.operators import garch_batch as gb
 from sigmatide.operators import learned as le
 
 
@@ -150,6 +151,99 @@ def test_a_constant_series_has_no_model(spark):
     assert ga.garch_fit(to_spark(spark, flat)).count() == 0
 
 
+def test_derivatives_equal_differences():
+    rng = np.random.default_rng(3)
+    returns = [rng.standard_t(5, n) for n in (40, 75, 301)]
+    series = gb.Series.of(returns, np.array([1.0, 2.0, 0.5]), np.array([r.var() for r in returns]))
+    for p, q in ((1, 1), (2, 1), (1, 2), (3, 2)):
+        free = np.column_stack((rng.normal(0, 0.1, 3), rng.normal(-1, 0.2, 3), np.log(rng.uniform(0.1, 0.5, 3)),
+                                rng.uniform(0.2, 0.7, (3, p + q - 1))))
+        model, jacobian = gb.model_of(free, np.ones(3), p)
+        value, gradient, second = gb.derivatives(series, model)
+        np.testing.assert_allclose(value, gb.deviance(series, model), rtol=1e-12)
+        slope = (jacobian.transpose(0, 2, 1) @ gradient[:, :, None])[:, :, 0]
+        for k in range(free.shape[1]):
+            step = np.zeros(free.shape[1])
+            step[k] = 1e-6
+            up, down = (gb.deviance(series, gb.model_of(free + s * step, np.ones(3), p)[0]) for s in (1, -1))
+            np.testing.assert_allclose(slope[:, k], (up - down) / 2e-6, rtol=1e-4, atol=1e-4)
+        assert (np.linalg.eigvalsh(second) > -1e-9).all()
+
+
+def loop_deviance(returns, mu, omega, alphas, betas, start):
+    squares, variances, total = [start] * len(alphas), [start] * len(betas), 0.0
+    for r in returns:
+        v = omega + np.dot(alphas, squares) + np.dot(betas, variances)
+        total += np.log(v) + (r - mu) ** 2 / v
+        squares, variances = [(r - mu) ** 2, *squares[:-1]], [v, *variances[:-1]]
+    return total, omega + np.dot(alphas, squares) + np.dot(betas, variances)
+
+
+@pytest.mark.parametrize("p,q", [(1, 1), (2, 1), (1, 2), (2, 3)])
+def test_orders_are_fitted_and_folded(spark, p, q):
+    """The returned parameters give the returned likelihood; no nearby point and no lower order is better."""
+    frames = [simulated(n, 0.1, 0.12, 0.8, s) for n, s in ((300, 4), (1100, 7))]
+    state = ga.return_series(to_spark(spark, pd.concat(frames)))
+    lower = {r.ticker: r.log_likelihood for r in ga.garch_search(state).collect()}
+    rng = np.random.default_rng(1)
+    fitted = ga.garch_search(state, p, q, [(0.1, 0.1), (0.0, 0.5)])
+    for r in fitted.collect():
+        returns = np.array(r.pct_returns)
+        least, following = loop_deviance(returns, r.mu, r.omega, r.alphas, r.betas, r.start_variance)
+        likelihood = -0.5 * (len(returns) * np.log(2 * np.pi) + least)
+        np.testing.assert_allclose([r.log_likelihood, r.next_variance], [likelihood, following], rtol=1e-9)
+        assert len(r.alphas) == p and len(r.betas) == q and r.log_likelihood >= lower[r.ticker] - 1e-6
+        assert r.log_likelihood >= r.floor_log_likelihood
+        np.testing.assert_allclose(r.aic, 2 * (2 + p + q) - 2 * likelihood)
+        for _ in range(300):
+            size = 10.0 ** rng.uniform(-5, -1)
+            x = np.abs(np.array([*r.alphas, *r.betas]) + size * rng.normal(size=p + q) * (rng.random(p + q) < 0.6))
+            omega = r.omega * np.exp(size * rng.normal())
+            if x.sum() < 1:
+                near = loop_deviance(returns, r.mu + size * rng.normal(), omega, x[:p], x[p:], r.start_variance)[0]
+                assert near >= least - 1e-6
+    days = ga.garch_forecast(fitted, 12).orderBy("ticker", "step").collect()
+    for r in fitted.collect():
+        squares, variances = list(r.recent_squares), list(r.recent_variances)
+        for d in (d for d in days if d.ticker == r.ticker):
+            v = r.omega + np.dot(r.alphas, squares) + np.dot(r.betas, variances)
+            np.testing.assert_allclose(d.variance, v, rtol=1e-9)
+            squares, variances = [v, *squares[:-1]], [v, *variances[:-1]]
+
+
+def test_a_fit_depends_on_its_own_series_alone(spark):
+    """Series of other lengths in a batch change nothing; series longer than a batch are fitted too."""
+    frames = [simulated(n, 0.1, 0.1, 0.85, s) for n, s in ((60, 1), (900, 2), (250, 3))]
+    together = {r.ticker: r for r in ga.garch_search(ga.return_series(to_spark(spark, pd.concat(frames)))).collect()}
+    for f in frames:
+        r = ga.garch_search(ga.return_series(to_spark(spark, f))).first()
+        np.testing.assert_allclose(together[r.ticker].log_likelihood, r.log_likelihood, atol=1e-6)
+    lengths = np.array([5, gb.BATCH_VALUES, 7, 6])
+    parts = gb.batches(lengths)
+    assert sorted(np.concatenate(parts)) == [0, 1, 2, 3] and [1] in [list(x) for x in parts]
+
+
+def test_fixed_orders_equal_the_loop(series):
+    model = ga.garch_given_orders(series, [0.05, 0.04], [0.5, 0.3])
+    vols = {}
+    for r in ga.conditional_vol_orders(model).orderBy("ticker", "dt").collect():
+        vols.setdefault(r.ticker, []).append(r.conditional_volatility)
+    for r in model.collect():
+        least, following = loop_deviance(np.array(r.pct_returns), r.mu, r.omega, r.alphas, r.betas, r.start_variance)
+        np.testing.assert_allclose(r.log_likelihood, -0.5 * (r.n_obs * np.log(2 * np.pi) + least), rtol=1e-9)
+        np.testing.assert_allclose(r.next_variance, following, rtol=1e-9)
+        assert len(vols[r.ticker]) == r.n_obs
+    plain = ga.garch_given(series, 0.08, 0.9)
+    by_lag = ga.garch_given_orders(series, [0.08], [0.9])
+    one, two = (sorted(x.collect()) for x in (ga.garch_conditional_vol(plain), ga.conditional_vol_orders(by_lag)))
+    np.testing.assert_allclose([r[2] for r in one], [r[2] for r in two], rtol=1e-9)
+
+
+def test_orders_below_one_are_refused(series):
+    with pytest.raises(ValueError):
+        ga.garch_search(series, 0, 1)
+
+
 LOOKBACK = 5
 
 
@@ -207,25 +301,31 @@ def test_the_gradient_is_zero_at_the_fit_only(learned):
 
 
 def test_the_full_ensemble_runs_fitted(spark, folder):
-    from sigmatide.plans.catalog import forecast_ensemble_fitted
     from sigmatide.sources.tables import Tables
 
-    rows = forecast_ensemble_fitted(Tables(spark, folder)).collect()
+    bars = Tables(spark, folder).bars()
+    garch = ga.garch_forecast(ga.garch_search(ga.return_series(bars)))
+    rows = le.forecast_ensemble(garch, le.learned_forecast(bars, lookback=le.ENSEMBLE_LOOKBACK)).collect()
     assert len(rows) == 25 * 30 and all(r.garch > 0 and np.isfinite(r.learned) for r in rows)
 
 
-def test_registered_forecasts_run_on_fitted_models(spark, folder):
+def test_forecasts_on_fitted_models(spark, folder):
     """The fit reaches the SQL grid's likelihood, and every forecast follows from its parameters."""
     import duckdb
 
-    from sigmatide.plans.catalog import all_queries
+    from sigmatide.operators import forecast as fc
+    from sigmatide.plans import catalog as ca
     from sigmatide.plans.oracle import all_oracle_sql
     from sigmatide.sources.tables import Tables
 
-    queries = all_queries()
-    got = {name: queries[name](spark, folder).collect() for name in (
-        "predict_bundle_fitted", "trading_signals_fitted", "volatility_recommendations_fitted",
-        "price_cone_fitted", "forecast_ensemble_fitted")}
+    state = ca.fitted_state(Tables(spark, folder))
+    frame = fc.predict_bundle(state)
+    blend = le.forecast_ensemble(ga.garch_forecast(state), fc.forecast_mean_reversion(
+        Tables(spark, folder).bars()))
+    got = {name: rows.collect() for name, rows in {
+        "predict_bundle_fitted": ca._shown_bundle(frame), "trading_signals_fitted": ca._shown_signals(frame),
+        "volatility_recommendations_fitted": ca._shown_recommendations(frame),
+        "price_cone_fitted": ca._shown_cone(frame), "forecast_ensemble_fitted": blend}.items()}
     con = duckdb.connect()
     for table in ("lineitem", "part"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
@@ -294,6 +394,77 @@ def test_forecast_feeds_predictions_back(learned):
                                    np.array(want) * (high - low) + low, rtol=1e-6)
 
 
+@pytest.fixture(scope="module")
+def boosted(learned):
+    """Sequences and trees of a target that no linear model explains."""
+    _, scaled, _, _ = learned
+    last_return = F.element_at("steps", -3)
+    split = le.lag_sequences(scaled, LOOKBACK).withColumns({
+        "target": F.abs(last_return - 0.5) + 0.1 * F.element_at("steps", -1),
+        "is_train": F.pmod(F.xxhash64("ticker", "dt"), F.lit(5)) > 0}).cache()
+    return split, le.boosted_model(split, trees=12, depth=4, rate=0.3)
+
+
+def test_exported_trees_predict_as_the_model_does(boosted):
+    """In the engine, and as SQL text in another one."""
+    import duckdb
+    from pyspark.ml.functions import array_to_vector
+
+    split, model = boosted
+    trees = le.BoostedTrees.of(model)
+    assert len(trees.trees) == len(trees.weights) == len(model.trees) <= 12
+    rows = model.transform(split.withColumn("features", array_to_vector("steps"))).select(
+        "steps", "prediction", trees.column(F.col("steps")).alias("own")).collect()
+    np.testing.assert_allclose([r.own for r in rows], [r.prediction for r in rows], rtol=1e-12)
+    con = duckdb.connect()
+    con.register("rows", pd.DataFrame({"i": range(len(rows)), "steps": [list(r.steps) for r in rows]}))
+    got = con.execute(f"SELECT {trees.sql('steps')} FROM rows ORDER BY i").fetchall()
+    np.testing.assert_allclose([g[0] for g in got], [r.prediction for r in rows], rtol=1e-12)
+
+
+def test_trees_beat_the_linear_model_where_it_is_wrong(boosted):
+    split, model = boosted
+    linear = le.lag_regression_fit(split)
+    trees = le.BoostedTrees.of(model)
+
+    def rmse(m):
+        error = F.col("target") - le._dot(F.col("steps"), m)
+        return split.filter("NOT is_train").agg(F.sqrt(F.avg(error * error))).first()[0]
+
+    assert rmse(trees) < rmse(linear)
+
+
+def test_boosting_stops_early(learned):
+    """A target of pure noise: further trees don't help the rows kept back."""
+    _, scaled, _, _ = learned
+    split = le.chrono_split(le.lag_sequences(scaled, LOOKBACK)).withColumn(
+        "target", F.pmod(F.xxhash64("ticker", "dt"), F.lit(1000)) / 1000).cache()
+    assert len(le.boosted_model(split, trees=30, depth=3).trees) < 30
+
+
+def test_boosted_forecast_feeds_predictions_back(learned, boosted):
+    frames, scaled, _, _ = learned
+    trees = le.BoostedTrees.of(boosted[1])
+
+    def guess(tree, x):
+        while isinstance(tree, tuple):
+            tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    f = frames[0]
+    panel, s = scaled_by_hand(f)
+    window = s[["returns", "historical", "ewma"]].to_numpy()[-LOOKBACK:]
+    want = []
+    for _ in range(6):
+        value = sum(w * guess(t, window.ravel()) for t, w in zip(trees.trees, trees.weights))
+        want.append(value)
+        window = np.vstack([window[1:], [window[-1][0], value, value]])
+    low, high = panel.yang_zhang.min(), panel.yang_zhang.max()
+    got = (le.lag_regression_forecast(scaled, trees, 6, LOOKBACK)
+           .filter(F.col("ticker") == f.ticker[0]).orderBy("step").collect())
+    np.testing.assert_allclose([r.volatility for r in got], np.array(want) * (high - low) + low, rtol=1e-6)
+
+
 def test_scaling_a_constant_gives_zero_and_train_only_bounds(spark):
     rows = [("A", d, 1.0, 0.5, float(i), 2.0) for i, d in enumerate(
         pd.bdate_range("2020-01-01", periods=10).date)]
