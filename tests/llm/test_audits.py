@@ -221,7 +221,7 @@ def test_other_filters_and_the_row_limit(spark, make):
 
 # Chats
 
-NASTY = st.text(alphabet=st.sampled_from(list("\\#</turn>:as \n€𝄞") + ["###", "</turn>", "### assistant: "]), max_size=30)
+NASTY = st.lists(st.sampled_from([*"\\#</turn>:as \n€𝄞", "###", "</turn>", "### assistant: "]), max_size=20).map("".join)
 
 
 @settings(max_examples=400, deadline=None)
