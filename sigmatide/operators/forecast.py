@@ -15,6 +15,7 @@ from sigmatide.operators.estimators import (
     with_ewma,
     with_returns,
 )
+from sigmatide.session import partitions_of
 
 REVERSION_SPEED = 0.03
 MIN_CONFIDENCE = 0.3
@@ -77,8 +78,7 @@ def spread_tickers(bars: DataFrame) -> DataFrame:
     The later windows and aggregates reuse this shuffle. It is not coalesced at run time:
     few rows per ticker may stand for much work, such as a model fit.
     """
-    parts = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bars.repartition(parts, "ticker")
+    return bars.repartition(partitions_of(bars.sparkSession), "ticker")
 
 
 def ticker_state(bars: DataFrame, window: int = 21) -> DataFrame:

@@ -28,6 +28,12 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def partitions_of(spark: SparkSession) -> int:
+    """The number of shuffle partitions where it is a number, else two for each core."""
+    value = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(value) if value.isdigit() else 2 * spark.sparkContext.defaultParallelism
+
+
 @lru_cache(maxsize=None)
 def _local_folder(application: str) -> str:
     """One temporary folder for a session on one machine."""
@@ -60,6 +66,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of the file system that Spark resolves it to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = system.makeQualified(path).toString()
+    return "file:///" + uri[len("file:"):].lstrip("/") if uri.startswith("file:") else uri
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder that this library wrote, through the file system it lies on."""
     jvm = spark._jvm
