@@ -38,10 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigmatide.llm.common import documents_of
-from sigmatide.session import shared_folder, staged
+from sigmatide.session import partitions_of, shared_folder, staged
 
 LENGTH, GRAM = 200, 73
 RUN_BYTES = 8 << 20  # text of a run, at least one document
+BUCKET_BYTES = 16 << 20  # text for which there is one bucket
 SEGMENT = 1 << 20  # window starts hashed at a time
 CONTEXTS, WINDOWS = 0, 1  # kinds of exchanged blocks
 REPEATED, MIXED, HOLDER = 1, 2, 4  # reply codes of a context
@@ -73,7 +74,8 @@ class _Hasher:
             known = self._powers[which] = tuple(both)
         self.down = known[1]
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(data * known[0][:n - 1], out=self.sums[1:])
+        # A byte counts as 1 to 256, so that a zero byte counts too.
+        np.cumsum((data + np.uint64(1)) * known[0][:n - 1], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return _mix((self.sums[ends] - self.sums[starts]) * self.down[starts], self.which)
@@ -123,7 +125,7 @@ def contexts(data: np.ndarray, sizes: np.ndarray, length: int) -> Contexts:
         new = np.flatnonzero(np.diff(anchor, prepend=-1))
         first, anchor = valid[new], anchor[new]
         count = np.diff(new, append=len(valid))
-        place = (anchor - first).astype(np.uint64)
+        place = (anchor - first).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)
         whole = hasher.of(first, first + count - 1 + length)
         found.append((grams[anchor], _mix(whole ^ place * _MIXERS[1]), first + at, count, anchor - first))
     if not found:
@@ -144,12 +146,27 @@ class Distinct:
     which: np.ndarray  # of each context its distinct one
 
 
-def distinct(c: Contexts, buckets: int) -> Distinct:
+def _content(c: Contexts, raw: bytes, length: int) -> Callable[[int], tuple[bytes, int]]:
+    """What a context is: its string, and where its anchor lies."""
+    first, ends, anchor = c.first.tolist(), (c.first + c.count - 1 + length).tolist(), c.anchor.tolist()
+    return lambda i: (raw[first[i]:ends[i]], anchor[i])
+
+
+def distinct(c: Contexts, buckets: int, raw: bytes, length: int) -> Distinct:
+    """Contexts are the same if their strings and anchors are; hashes only bring them together."""
     bucket = (c.gram % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((c.hash, c.gram, bucket))
     gram, own, at = c.gram[order], c.hash[order], bucket[order]
     new = np.ones(len(order), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])
+    content = _content(c, raw, length)
+    heads = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    clashes = {h for i, h in zip(np.flatnonzero(~new).tolist(), heads[~new].tolist())
+               if content(order[i]) != content(order[h])}
+    for h in clashes:  # different contexts under one hash: put equal ones side by side
+        end = h + int((heads == h).sum())
+        order[h:end] = sorted(order[h:end].tolist(), key=content)
+        new[h + 1:end] = [content(a) != content(b) for a, b in zip(order[h:end - 1].tolist(), order[h + 1:end].tolist())]
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
@@ -202,8 +219,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     packed = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(
         run, f"run long, ids array<{id_type}>, sizes array<bigint>, texts binary")
     name = f"suffix_runs_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.bucketBy(buckets, "run").option("path", shared_folder(spark, name)).saveAsTable(name)
+    packed.write.bucketBy(partitions_of(spark), "run").option("path", shared_folder(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 
@@ -222,7 +238,7 @@ def _context_hashes(runs: DataFrame, buckets: int, length: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 number, sizes, data = _open(batch, row)
-                d = distinct(contexts(data, sizes, length), buckets)
+                d = distinct(contexts(data, sizes, length), buckets, data.tobytes(), length)
                 rows = [(b, number, d.gram[s].tobytes(), d.hash[s].tobytes(),
                          np.packbits(d.often[s]).tobytes()) for b, s in _by_bucket(d.bucket)]
                 yield _table(rows, "bucket number gram hash often".split(),
@@ -273,10 +289,13 @@ def _context_codes(blocks: DataFrame) -> DataFrame:
             times = np.bincount(group) > 1
             several = np.bincount(group, often[order]) > 0
             of_gram = np.cumsum(new_gram) - 1
-            mixed = np.bincount(of_gram, new) > 1
+            # One run sends different contexts under one hash: all of them stand for themselves.
+            owner = np.repeat(np.arange(len(rows)), sizes)[order]
+            clash = np.bincount(group, ~new & np.append(False, owner[1:] == owner[:-1])) > 0
+            mixed = (np.bincount(of_gram, new) > 1) | (np.bincount(of_gram, clash[group]) > 0)
             code = np.empty(len(order), np.uint8)
             code[order] = ((times | several)[group] * REPEATED + mixed[of_gram] * MIXED
-                           + (mixed[of_gram] & new) * HOLDER)
+                           + (mixed[of_gram] & (new | clash[group])) * HOLDER)
             parts = np.split(code, np.cumsum(sizes)[:-1])
             yield _table([(r[0], CONTEXTS, bucket, p.tobytes()) for r, p in zip(rows, parts)],
                          ["number", "kind", "bucket", "codes"], _REPLY_KINDS, "run")
@@ -416,8 +435,9 @@ def _blocks(runs: DataFrame, buckets: int, length: int) -> DataFrame:
             for row in range(batch.num_rows):
                 number, sizes, data = _open(batch, row)
                 c = contexts(data, sizes, length)
-                d = distinct(c, buckets)
-                codes, rows, raw = _codes(d, _replies(batch, row, "first")), [], data.tobytes()
+                raw = data.tobytes()
+                d = distinct(c, buckets, raw, length)
+                codes, rows = _codes(d, _replies(batch, row, "first")), []
                 for bucket, s in _by_bucket(d.bucket):
                     own = np.flatnonzero(codes[s] & REPEATED)
                     if len(own):
@@ -522,7 +542,7 @@ def _removed(runs: DataFrame, buckets: int, length: int, id_type: str) -> DataFr
             for row in range(batch.num_rows):
                 _, sizes, data = _open(batch, row)
                 c = contexts(data, sizes, length)
-                d = distinct(c, buckets)
+                d = distinct(c, buckets, data.tobytes(), length)
                 codes = _codes(d, _replies(batch, row, "first"))
                 gone = _repeated(c, d, codes, _replies(batch, row, "second"), data, buckets, length)
                 rows = []
@@ -553,11 +573,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``kept`` the remaining bytes, which may cut a character. Each row is a document, so
     repeated rows repeat each other. Texts shorter than ``length`` stay. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     source = documents_of(docs, id_col, text_col)
     id_type = source.schema["doc_id"].dataType.simpleString()
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = _runs(source)
+    total = runs.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_BYTES))
 
     def by_run(replies: DataFrame, name: str) -> DataFrame:
         """One row per run; a run has at most one reply per kind and bucket."""
