@@ -33,8 +33,9 @@ def line_dedup(
     A line's key is the line without white space at its ends and with A-Z in lower case. Keys of
     at least ``min_length`` code points that at least ``min_documents`` documents hold lose all
     their lines, except in the largest doc_id that holds them. A null or empty text is one empty
-    line. Each row counts as a document; rows that share the largest id all keep the line, and
-    if no holder has an id, all keep it. An empty table gives an empty result.
+    line. Rows that repeat an id are one document, whose lines all count once; each of them keeps the line if the id is
+    the largest. Rows without id are no document: they make no line frequent, and lose those that are. An empty
+    table gives an empty result.
 
     Counting is a partial aggregate, so a line in every document leaves a map task as one row.
     Frequent hashes are written before lines are joined to them: the optimizer then knows their
@@ -49,15 +50,19 @@ def line_dedup(
         return F.when(F.length(key) >= min_length, F.unhex(F.md5(key)))
 
     hashed = rows.select("doc_id", "row", F.transform("lines", mark).alias("hashes"))
+    held = hashed.filter("doc_id IS NOT NULL").select(
+        "doc_id", F.explode(F.array_distinct("hashes")).alias("hash")).filter("hash IS NOT NULL")
+    repeated = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():  # else rows are documents already
+        held = held.distinct()
     frequent = staged(
-        hashed.select("doc_id", F.explode(F.array_distinct("hashes")).alias("hash"))
-        .filter("hash IS NOT NULL").groupBy("hash")
+        held.groupBy("hash")
         .agg(F.count(F.lit(1)).alias("holders"), F.max("doc_id").alias("keeper"))
         .filter(F.col("holders") >= min_documents).select("hash", "keeper"), "frequent-lines")
     drops = (
         hashed.select("doc_id", "row", F.posexplode("hashes").alias("pos", "hash"))
         .filter("hash IS NOT NULL").join(frequent, "hash")
-        .filter(F.col("keeper").isNotNull() & ~same(F.col("doc_id"), F.col("keeper")))
+        .filter(~same(F.col("doc_id"), F.col("keeper")))
         .groupBy(F.col("doc_id").alias("of"), F.col("row").alias("of_row"))
         .agg(F.collect_set("pos").alias("drops"))
     )
