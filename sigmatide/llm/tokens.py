@@ -2,99 +2,185 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # Encoded pieces that a worker remembers, in each of two generations; only speed depends on it.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 1_000_000
 LONG_KEPT = 4 << 20  # characters of long pieces
-GROUP = 1 << 20  # characters of texts encoded together
+GROUP = 4 << 20  # bytes of texts encoded together
 JOINED = 4096  # new pieces joined for one call
 SHORT = 64  # characters of a piece that is joined with others at most
 # A space after white space: there a tokenizer that keeps white space may not be cut.
 WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-NO_CUT = [w + " " for w in WHITE if w.isascii()], [w + " " for w in WHITE if not w.isascii()]
+NO_CUT = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "] "
 # Always a token boundary: the end of a word before a space.
 CUT = re.compile(r"(?<=\S)(?= )")
 
 
+class _Memory:
+    """Ids of pieces, one after the other; a piece has the slot of its place in the order of learning."""
+
+    def __init__(self):
+        self.later: dict[str, int] = {}  # pieces after a space, which is not part of the key
+        self.first: dict[str, int] = {}  # pieces at the start of a text
+        self.long = 0  # characters of pieces that were not joined
+        self.n = self.used = 0
+        self.starts, self.sizes = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.ids = np.empty(1 << 14, "<u4")
+
+    def add(self, known: dict[str, int], pieces: Sequence[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = self.n + len(sizes), self.used + len(ids)
+        while n > len(self.starts):
+            self.starts, self.sizes = (np.append(x, np.empty_like(x)) for x in (self.starts, self.sizes))
+        while used > len(self.ids):
+            self.ids = np.append(self.ids, np.empty_like(self.ids))
+        self.starts[self.n:n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n:n], self.ids[self.used:used] = sizes, ids
+        known.update(zip(pieces, range(self.n, n)))
+        self.n, self.used = n, used
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these pieces joined, and where each of them ends."""
+        sizes = self.sizes[slots]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[slots] - (ends - sizes), sizes)
+        return self.ids[at + np.arange(len(at))], ends
+
+
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     A tokenizer never joins a word with the space after it, so a text is cut before
     the spaces that follow a word, the pieces are encoded by the library, and their ids are
-    joined: the same ids as for the text at once, in memory that a piece bounds. Pieces seen
-    before are remembered; new ones are encoded many at a time, joined by their own spaces, and
-    told apart by the offsets of their tokens. Strings of special tokens within a text are
+    joined: the same ids as for the text at once, in memory that a piece bounds. Texts are cut and
+    their distinct pieces found by Arrow; only distinct pieces are looked up, and new ones are encoded many at a
+    time, joined by their own spaces and told apart by the tokens that begin with a space, or by the offsets of the
+    tokens where spaces leave no trace. Strings of special tokens within a text are
     ordinary text or, with ``special``, these tokens, as in the library's plain call; they hold
     no space, so the cuts stay right.
     """
 
     def __init__(self, path: str, special: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
-        self.first: dict[str, bytes] = {}  # pieces at the start of a text
-        self.later: dict[str, bytes] = {}  # pieces after a space, which is not part of the key
-        self.old: dict[str, bytes] = {}  # the generation before of these
-        self.long = 0  # characters of remembered pieces that were not joined
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text."""
-        group, size = [], 0
-        for text in texts:
-            group.append(self._pieces(text))
-            size += len(text)
-            if size >= GROUP:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _pieces(self, text: str) -> list[str]:
-        narrow, wide = NO_CUT
-        if any(x in text for x in narrow) or not text.isascii() and any(x in text for x in wide):
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Which ids begin with the byte of a space, in the byte alphabet.
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        if not self.spaced[self.tokenizer.encode(" a", add_special_tokens=False).ids[:1]].all():
+            self.spaced[:] = False  # this tokenizer drops spaces
+        #: Which ids end a word, where the vocabulary tells.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ended = np.zeros_like(self.spaced)
+        if suffix:
+            self.ended[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.memory, self.old = _Memory(), _Memory()
+
+    def __call__(self, texts: Sequence[str] | pa.Array) -> Iterator[bytes]:
+        """Ids of each text; a null text is empty."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + GROUP)))
+            yield from self._group(texts.slice(at, end - at))
+            at = end
+
+    def _pieces(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """Pieces of the texts, without the space before them, and the row of each text there."""
+        odd = pc.match_substring_regex(texts, NO_CUT)
+        if not pc.any(odd).as_py():
+            return pc.split_pattern(texts, " "), np.arange(len(texts))
+        plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        cut = []
+        for text in texts.filter(odd).to_pylist():
             head, *rest = CUT.split(text)
-            return [head, *(p[1:] for p in rest)]
-        return text.split(" ")
-
-    def _group(self, group: list[list[str]]) -> Iterator[bytes]:
-        if self.long > LONG_KEPT:
-            self.first, self.later, self.old, self.long = {}, {}, {}, 0
-        if len(self.later) > WORDS_KEPT:
-            self.later, self.old = {}, self.later
-        new = set().union(*(p[1:] for p in group)).difference(self.later)
-        known = new.intersection(self.old)
-        self.later.update(zip(known, map(self.old.__getitem__, known)))
-        new -= known
+            cut.append([head, *(p[1:] for p in rest)])
+        order = np.argsort(odd.to_numpy(False), kind="stable")
+        rows = np.empty(len(texts), np.int64)
+        rows[order] = np.arange(len(texts))
+        return pa.concat_arrays([plain, pa.array(cut, plain.type)]), rows
+
+    def _group(self, texts: pa.Array) -> Iterator[bytes]:
+        if self.memory.long > LONG_KEPT:
+            self.memory, self.old = _Memory(), _Memory()
+        if self.memory.n > WORDS_KEPT:
+            self.memory, self.old = _Memory(), self.memory
+        lists, rows = self._pieces(texts)
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten()
+        head = np.zeros(len(flat), bool)
+        head[offsets[:-1]] = True
+        rest = flat.filter(pa.array(~head)).dictionary_encode()
+        slots = np.empty(len(flat), np.int64)
+        slots[~head] = self._later(rest.dictionary.to_numpy(False).tolist())[rest.indices.to_numpy(False)]
+        slots[head] = self._first(flat.filter(pa.array(head)).to_pylist())
+        ids, ends = self.memory.gather(slots)
+        ends = np.append(0, ends)
+        low, high = ends[offsets[:-1]][rows].tolist(), ends[offsets[1:]][rows].tolist()
+        for a, b in zip(low, high):
+            yield ids[a:b].tobytes()
+
+    def _later(self, pieces: list[str]) -> np.ndarray:
+        """Slots of distinct pieces that follow a space."""
+        memory = self.memory
+        new = [p for p in pieces if p not in memory.later]
+        known = [p for p in new if p in self.old.later]
+        if known:
+            ids, ends = self.old.gather(np.fromiter(map(self.old.later.__getitem__, known), np.int64, len(known)))
+            memory.add(memory.later, known, ids, np.diff(ends, prepend=0))
+            new = [p for p in new if p not in memory.later]
         plain = [p for p in new if 0 < len(p) <= SHORT and p[:1].strip() and p[-1:].strip()]
-        self._learn(plain)
-        for p in new.difference(plain):
-            self.later[p] = self._ids(" " + p)
-            self.long += len(p)
-        later = self.later.__getitem__
-        for head, *rest in group:
-            if head not in self.first:
-                self.first[head] = self._ids(head)
-                self.long += len(head)
-            yield self.first[head] + b"".join(map(later, rest))
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.ended.any():  # pieces of one word tell their ends, and stay apart from the others
+            plain.sort(key=str.isalpha)
+        for at in range(0, len(plain), JOINED):
+            self._learn(plain[at:at + JOINED])
+        for p in new:
+            if p not in memory.later:
+                self._add_one(memory.later, p, " " + p)
+        return np.fromiter(map(memory.later.__getitem__, pieces), np.int64, len(pieces))
+
+    def _first(self, pieces: list[str]) -> np.ndarray:
+        """Slots of pieces that begin a text."""
+        known = self.memory.first
+        for p in pieces:
+            if p not in known:
+                self._add_one(known, p, p)
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _add_one(self, known: dict[str, int], piece: str, text: str) -> None:
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        self.memory.add(known, [piece], ids, np.array([len(ids)]))
+        self.memory.long += len(piece)
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces without white space at their ends."""
-        for at in range(0, len(pieces), JOINED):
-            some = pieces[at:at + JOINED]
-            found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
-            tokens = np.fromiter(map(itemgetter(0), found.offsets), np.int64, len(found.ids))
-            cuts = (4 * np.searchsorted(tokens, ends)).tolist()
-            ids = np.array(found.ids, "<u4").tobytes()
-            self.later.update(zip(some, map(ids.__getitem__, map(slice, [0, *cuts], cuts))))
+        joined = " " + " ".join(pieces)
+        ids, starts = np.empty(0, "<u4"), np.empty(0, np.int64)
+        if self.spaced.any() or self.ended.any() and pieces[0].isalpha():
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            # A piece has one space at least and one word at least, so equal numbers mean one each.
+            starts = np.flatnonzero(self.spaced[ids])
+            if self.ended.any() and len(ids) and self.ended[ids[-1]]:
+                starts = np.append(0, np.flatnonzero(self.ended[ids])[:-1] + 1)
+        if len(starts) != len(pieces) or starts[0] != 0:
+            found = self.tokenizer.encode(joined, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+            tokens = np.fromiter(map(itemgetter(0), found.offsets), np.int64, len(ids))
+            starts = np.append(0, np.searchsorted(tokens, ends)[:-1])
+        self.memory.add(self.memory.later, pieces, ids, np.diff(starts, append=len(ids)))
 
 
 @lru_cache(maxsize=4)
