@@ -29,11 +29,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from sigmatide.llm.common import documents_of, row_digest
 from sigmatide.llm.tokens import encoder
-from sigmatide.session import shared_folder, staged
+from sigmatide.session import partitions_of, qualified, shared_folder, staged
 
 END_ID = 1
 FRAME_IDS = 1 << 18
@@ -43,7 +44,7 @@ CHECKSUMS = 0x80  # descriptor bit: the table has checksums
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("ids", "<u8")])
 TABLE = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 BATCH_BYTES = 8 << 20
-MANIFEST = "file string, part int, n_docs long, n_ids long"
+MANIFEST = "file string, part int, n_docs long, n_ids long, first_id long, last_id long"
 
 
 def checksum(content: bytes) -> int:
@@ -115,8 +116,7 @@ class FileReader:
 
 
 def _place(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if "://" not in folder and not folder.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), folder
+    """File system and path of a qualified folder."""
     return pyarrow.fs.FileSystem.from_uri(folder)
 
 
@@ -133,16 +133,19 @@ def write_token_files(
     Documents are range partitioned by id, so each task writes one file of a range of ids and
     files follow each other by ``part``. Null text is empty and has the end id only. Null ids
     come first; rows that repeat an id are kept, in the order of a hash of the text. An empty
-    table gives an empty manifest. ``folder`` defaults to a new one in the shared folder.
+    table gives an empty manifest. Ids are integers; others are refused. ``folder`` defaults to a new one in the shared
+    folder; without a scheme it lies on Spark's default file system, for tasks as for Spark itself.
     """
-    folder = folder or shared_folder(docs.sparkSession, "token-files")
+    spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer, as the files keep ids in 64 bits")
+    folder = qualified(spark, folder or shared_folder(spark, "token-files"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, part = None, TaskContext.get().partitionId()
         encode, end = encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0), encode(texts)):
+            for doc_id, ids in zip(batch.column(0), encode(batch.column(1))):
                 if writer is None:
                     fs, path = _place(folder)
                     fs.create_dir(path, recursive=True)
@@ -151,10 +154,13 @@ def write_token_files(
                 writer.add(doc_id.as_py(), ids + end)
         if writer is not None:
             writer.close()
+            known = [entry[0] for entry in writer.index if entry[1]]
             yield pa.RecordBatch.from_pydict({
                 "file": pa.array([name]), "part": pa.array([part], pa.int32()),
                 "n_docs": pa.array([len(writer.index)], pa.int64()),
-                "n_ids": pa.array([writer.n_ids], pa.int64())})
+                "n_ids": pa.array([writer.n_ids], pa.int64()),
+                "first_id": pa.array([min(known, default=None)], pa.int64()),
+                "last_id": pa.array([max(known, default=None)], pa.int64())})
 
     rows = documents_of(docs, id_col, text_col).withColumn("row", row_digest(F.col("text")))
     ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
@@ -185,12 +191,21 @@ def _rows(reader: FileReader, wanted: Iterable[int], base: int) -> Iterator[pa.R
 def read_token_files(folder: str, manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids of the written documents, or of those in ``doc_ids`` only.
 
-    ``start`` counts the ids of all documents before. Each task reads whole files one by one;
-    checksums are verified. ``manifest`` has one row a file, which bounds the
-    single-task window over it.
+    ``start`` counts the ids of all documents before. Files are dealt to as many tasks as there are files, up to the
+    number of shuffle partitions; a task reads its files one by one and verifies checksums. With ``doc_ids`` only
+    the files whose range of ids holds one of them are opened. ``manifest`` has one row a file, which bounds
+    the single-task window over it.
     """
+    spark = manifest.sparkSession
+    folder = qualified(spark, folder)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    files = manifest.select("file", "first_id", "last_id",
+                            F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    if doc_ids is not None:
+        asked = F.array(*map(F.lit, doc_ids)).cast("array<long>")
+        files = files.filter(F.exists(asked, lambda i: i.between(F.col("first_id"), F.col("last_id"))))
+    files = files.select("file", "base")
+    tasks = max(1, min(manifest.count(), partitions_of(spark)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _place(folder)
@@ -203,5 +218,5 @@ def read_token_files(folder: str, manifest: DataFrame, doc_ids: list[int] | None
                         np.isin(reader.index["doc_id"], doc_ids) & (reader.index["known"] == 1))
                     yield from _rows(reader, wanted, base)
 
-    return files.repartition("file").mapInArrow(
+    return files.repartition(tasks).mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids binary")
