@@ -51,28 +51,32 @@ def one_per_key(df: DataFrame) -> DataFrame:
     return df.withColumn("__first", first).filter("__first = 1").drop("__first", KEY)
 
 
+RANK, TOTAL = "__rank", "__total"
+
+
 def ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows in the total order of ``order`` with ``rank`` from 0 and ``total``, without a global sort task.
+    """Rows in the total order of ``order`` with RANK from 0 and TOTAL, without a global sort task.
 
     Rows are range partitioned and sorted, each partition numbers its own rows, and the
     partitions' first ranks come from their sizes: one row per partition, which bounds the
     broadcast and the single-task window. The numbered rows are written once, since a second
     evaluation could cut the ranges elsewhere. Rows equal in ``order`` get ranks in any order.
+    Names that begin with two underscores are the library's own; others cannot clash.
     """
     numbered = staged(
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("_at", ROW_BITS)
-    row = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    sizes = numbered.groupBy(part.alias("_part")).agg((F.max(row) + 1).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        df.repartitionByRange(*(f"`{c}`" for c in order)).sortWithinPartitions(*(f"`{c}`" for c in order))
+        .withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__at", ROW_BITS)
+    row = F.col("__at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    sizes = numbered.groupBy(part.alias("__part")).agg((F.max(row) + 1).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
-        "_part",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
-        F.sum("_n").over(Window.partitionBy()).alias("total"))
+        "__part",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"),
+        F.sum("__n").over(Window.partitionBy()).alias(TOTAL))
     return (
-        numbered.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .withColumn("rank", F.col("_base") + row)
-        .drop("_part", "_at", "_base")
+        numbered.withColumn("__part", part)
+        .join(F.broadcast(starts), "__part")
+        .withColumn(RANK, F.col("__base") + row)
+        .drop("__part", "__at", "__base")
     )

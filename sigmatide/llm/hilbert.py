@@ -12,16 +12,17 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigmatide.llm.common import ranked
+from sigmatide.llm.common import RANK, TOTAL, ranked
+from sigmatide.session import staged
 
 BITS = 5
 ACCURACY = 100_000
 DIMENSIONS = ("source", "lang", "n_chars")
-PREFIX_BYTES = 7  # of a string, after the prefix that all values share; fits a long
+VALUE_BLOCK = 1 << 16  # distinct strings that are counted together
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -80,44 +81,50 @@ def curve_index(codes: Sequence[Column], bits: int = BITS) -> Column:
     return F.aggregate(planes, zero, step, lambda acc: acc["h"])
 
 
-def _numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
-    """Each dimension as a number in the order of its values; null stays null."""
-    strings = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
-    ends = df.agg(*[f(df[c]).alias(f"{f.__name__}{i}") for i, c in enumerate(strings)
-                    for f in (F.min, F.max)]).first() if strings else None
-    numbers = {}
-    for c in columns:
-        if c not in strings:
-            numbers[c] = df[c].cast("double")
-            continue
-        low, high = (ends[f"{f}{strings.index(c)}"] or "" for f in ("min", "max"))
-        shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b),
-                      min(len(low), len(high)))
-        tail = F.hex(F.encode(F.substring(df[c], shared + 1, PREFIX_BYTES), "UTF-8"))
-        digits = F.rpad(tail, 2 * PREFIX_BYTES, "0")
-        numbers[c] = F.conv(digits, 16, 10).cast("double")
-    return numbers
+def _string_codes(df: DataFrame, name: str, bits: int) -> DataFrame:
+    """(value, code) of a string column: equal shares of the rows, in the order of the values.
+
+    Values are counted first, so a value is a row however many documents have it, and placed by the number of rows
+    before them; a value with many rows has the code of its middle row.
+    """
+    values = df.filter(df[name].isNotNull()).groupBy(df[name].alias("__value")).agg(F.count(F.lit(1)).alias("__rows"))
+    placed = ranked(values, ["__value"])
+    part = F.floor(F.col(RANK) / VALUE_BLOCK)
+    blocks = placed.groupBy(part.alias("__block")).agg(F.sum("__rows").alias("__of_block"))
+    # One row per VALUE_BLOCK distinct values, so this window of one task stays small.
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select(
+        "__block", F.coalesce(F.sum("__of_block").over(before), F.lit(0)).alias("__base"),
+        F.sum("__of_block").over(Window.partitionBy()).alias("__all"))
+    inside = Window.partitionBy("__block").orderBy(RANK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = F.col("__base") + F.sum("__rows").over(inside) - (F.col("__rows") + 1) / 2
+    code = F.least(F.floor(middle * (1 << bits) / F.col("__all")), F.lit((1 << bits) - 1))
+    return staged(placed.withColumn("__block", part).join(bases, "__block")
+                  .select("__value", code.cast("int").alias("__code")), "value-codes")
 
 
 def with_cells(df: DataFrame, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """The table with ``cell``, the curve place of each row; dimensions are cut at their own quantiles.
+    """The table with ``cell``, the curve place of each row; dimensions are cut into equal shares of the rows.
 
-    The quantiles are one bounded row (2**bits - 1 numbers a dimension). Nulls take code 0.
-    Numbers, codes and places are columns of their own: written as one expression, each
-    number would be computed again for every cut it is compared with.
+    Strings are cut by their rank among the counted distinct values, numbers at their quantiles, one bounded row
+    (2**bits - 1 numbers a dimension). Nulls take code 0. Numbers, codes and places are columns of their own:
+    written as one expression, each number would be computed again for every cut it is compared with.
     """
-    names = [f"__d{i}" for i in range(len(dimensions))]
-    numbered = df.withColumns(dict(zip(names, _numbers(df, dimensions).values())))
+    strings = [c for c in dimensions if isinstance(df.schema[c].dataType, T.StringType)]
+    names = {c: f"__d{i}" for i, c in enumerate(dimensions)}
+    coded = df.withColumns({names[c]: df[c].cast("double") for c in dimensions if c not in strings})
+    for c in strings:
+        codes = _string_codes(df, c, bits).withColumnsRenamed({"__value": f"{names[c]}v", "__code": f"{names[c]}c"})
+        coded = coded.join(codes, coded[c] == codes[f"{names[c]}v"], "left").drop(f"{names[c]}v").withColumn(
+            f"{names[c]}c", F.coalesce(f"{names[c]}c", F.lit(0)))
+    numbers = [names[c] for c in dimensions if c not in strings]
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = numbered.agg(*[F.percentile_approx(n, shares, ACCURACY).alias(n) for n in names]).first()
-
-    def code(name: str) -> Column:
-        return reduce(add, (F.coalesce((F.col(name) > F.lit(x)).cast("int"), F.lit(0))
-                            for x in cuts[name] or [None]))
-
-    coded = numbered.withColumns({f"{n}c": code(n) for n in names})
-    return coded.withColumn("cell", curve_index([F.col(f"{n}c") for n in names], bits)).drop(
-        *names, *[f"{n}c" for n in names])
+    if numbers:
+        cuts = coded.agg(*[F.percentile_approx(n, shares, ACCURACY).alias(n) for n in numbers]).first()
+        coded = coded.withColumns({f"{n}c": reduce(add, (
+            F.coalesce((F.col(n) > F.lit(x)).cast("int"), F.lit(0)) for x in cuts[n] or [None])) for n in numbers})
+    columns = [f"{names[c]}c" for c in dimensions]
+    return coded.withColumn("cell", curve_index([F.col(c) for c in columns], bits)).drop(*numbers, *columns)
 
 
 def hilbert_shards(
@@ -134,19 +141,22 @@ def hilbert_shards(
     shard from 0. Ties of a cell go by id, null first, then by the kept columns; full repeats
     are placed side by side. With fewer rows than shards some shards are empty; an empty table
     gives an empty result. Null or missing metadata falls in the lowest code of its dimension.
-    Internal names cannot clash with the table's, as only the named columns are read.
+    Only the named columns are read; kept columns may have any names but those of the result.
     """
     kept = [docs[c] if isinstance(c, str) else c for c in keep]
+    clash = {"doc_id", "cell", "shard", "slot"}.intersection(docs.select(*kept).columns)
+    if clash:
+        raise ValueError(f"kept columns are named as the result's: {sorted(clash)}")
     facts = docs.select(docs[id_col].alias("doc_id"), *kept,
                         *[docs[d].alias(f"__{d}") for d in dimensions])
     placed = with_cells(facts, [f"__{d}" for d in dimensions], bits).drop(*[f"__{d}" for d in dimensions])
     order = ["cell", "doc_id", *[c for c in placed.columns if c not in ("cell", "doc_id")]]
-    run = F.expr(f"cast(rank * {shards} div total as int)")
+    run = F.expr(f"cast({RANK} * {shards} div {TOTAL} as int)")
     return (
         ranked(placed, order)
         .withColumn("shard", run)
-        .withColumn("slot", F.expr(f"rank - (shard * total + {shards - 1}) div {shards}"))
-        .drop("rank", "total")
+        .withColumn("slot", F.expr(f"{RANK} - (shard * {TOTAL} + {shards - 1}) div {shards}"))
+        .drop(RANK, TOTAL)
     )
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigmatide.llm.common import documents_of, ranked
+from sigmatide.llm.common import RANK, documents_of, ranked
 from sigmatide.llm.tokens import encoder
 from sigmatide.session import staged
 
@@ -44,8 +44,7 @@ def token_pieces(
         encode, end = encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, size = [], 0
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, found in zip(batch.column(0), encode(texts)):
+            for doc_id, found in zip(batch.column(0), encode(batch.column(1))):
                 ids = found + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
@@ -136,6 +135,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     that a third of all pieces share is not gathered in one task.
     """
     names = pieces.columns
+    clash = {"sequence_id", "offset"}.intersection(names)
+    if clash:
+        raise ValueError(f"pieces have columns named as the result's: {sorted(clash)}")
     order = ranked(pieces, ["length", *[c for c in names if c != "length"]])
     histogram = sorted((r["length"], r["n"]) for r in
                        pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -152,7 +154,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False) - shorter[length]
+            rank = batch.column(RANK).to_numpy(zero_copy_only=False) - shorter[length]
             at = np.searchsorted(keys, length * shift + rank, "right") - 1
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
