@@ -368,13 +368,14 @@ def score(docs: DataFrame, model: EvidenceModel, id_col: str = "doc_id", text_co
           threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, row, host, path, evidence, path_posterior, score, kept: one row per row of ``docs``.
 
-    Host and path come from ``source`` and ``lang`` unless given. Null texts count as empty. A
+    Host and path come from ``source`` and ``lang`` unless given. Null texts, hosts and paths count as empty. A
     document alone on its site gets the prior of its host, alone on its host
     the global mean. kept: score of at least ``threshold``. Repeated rows are scored alike;
     ``row`` is a hash of the text.
     """
     if host is None:
         host, path = site_of(docs["source"], docs["lang"])
+    host, path = (F.lit("") if c is None else F.coalesce(c, F.lit("")) for c in (host, path))
     rows = docs.select(docs[id_col].alias("doc_id"), row_digest(docs[text_col]).alias("row"),
                        host.alias("host"), path.alias("path"), docs[text_col].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

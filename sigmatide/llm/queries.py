@@ -122,7 +122,7 @@ frequent AS (
   SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
   GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
 marked AS (
-  SELECT k.doc_id, line, pos, keeper IS NOT NULL AND keeper <> k.doc_id AS gone
+  SELECT k.doc_id, line, pos, keeper IS NOT NULL AND keeper IS DISTINCT FROM k.doc_id AS gone
   FROM keyed k LEFT JOIN frequent f ON f.key = k.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256

@@ -201,16 +201,16 @@ def lines_by_hand(rows, min_length=40, min_documents=5):
     def key(line):
         return lowered(line.strip(" \t\n\x0b\x0c\r"))
 
-    holders = defaultdict(list)
+    holders = defaultdict(set)
     for doc_id, text in rows:
         for k in {key(x) for x in (text or "").split("\n")}:
-            holders[k].append(doc_id)
+            holders[k] |= {doc_id} - {None}
     out = []
     for doc_id, text in rows:
         lines, kept = (text or "").split("\n"), []
         for line in lines:
             own = holders[key(line)]
-            keeper = max((i for i in own if i is not None), default=None)
+            keeper = max(own, default=None)
             if not (len(key(line)) >= min_length and len(own) >= min_documents
                     and keeper is not None and doc_id != keeper):
                 kept.append(line)
@@ -229,6 +229,25 @@ def test_line_dedup(make):
     assert got == lines_by_hand([r[:2] for r in LINES])
 
 
+def test_lines_of_repeated_ids_count_once(spark, make, tmp_path):
+    """Four rows of one document and one of another are two documents; the query's SQL agrees."""
+    import duckdb
+
+    rows = [(1, f"{COMMON}\nown {i}", None) for i in range(4)] + [(2, COMMON, None), (None, COMMON, None)]
+    assert all(r["n_dropped"] == 0 for r in li.line_dedup(make(rows)).collect())
+    rows += [(i, COMMON, None) for i in (3, 4, 5, 5)]
+    got = sorted(map(tuple, li.line_dedup(make(rows)).collect()), key=str)
+    assert got == lines_by_hand([r[:2] for r in rows]) and sum(r[3] for r in got) == 8
+    plain = [(i, f"{COMMON}\nx {i}" if i != 3 else "short", None, None) for i in range(1, 8)]
+    spark.createDataFrame(plain, "doc_id long, text string, lang string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({qu.OP3_SQL})").fetchall()
+    found = qu.op3_line_dedup(spark, str(tmp_path)).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 def test_line_dedup_of_odd_rows(odd, empty):
     got = sorted(map(tuple, li.line_dedup(odd, min_length=0, min_documents=2).collect()), key=str)
     assert got == lines_by_hand([r[:2] for r in ODD], 0, 2)
@@ -277,6 +296,42 @@ def test_suffix_dedup(make, length):
     assert got == passages_by_hand([r[:2] for r in rows], length)
 
 
+def passages(docs, length=200):
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["spans"], bytes(r["kept"]))
+                   for r in su.suffix_dedup(docs, length=length).collect()), key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_suffix_dedup_tells_zero_bytes_apart(make, parts):
+    """Passages that differ only in the number of zero bytes behind or before them, in one run and in several."""
+    rng = random.Random(11)
+    passage = "".join(rng.choices("abcdefgh", k=230))
+    rows = [(i, f"{i} " + "\0" * (i % 3) + passage + "\0" * (1 + i % 5), None) for i in range(80)]
+    assert passages(make(rows).repartition(parts)) == passages_by_hand([r[:2] for r in rows], 200)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_suffix_dedup_of_control_characters(make, parts):
+    rng = random.Random(12)
+    texts = ["".join(map(chr, rng.choices([0, 1, 2, 3], [0.7, 0.1, 0.1, 0.1], k=rng.randint(0, 400)))) for _ in range(40)]
+    texts += [t[a:] + "\0" * a + u for t, u, a in zip(texts, texts[7:], range(0, 60, 2))] + ["\0" * 333]
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    for length in (200, 60):
+        assert passages(make(rows).repartition(parts), length) == passages_by_hand([r[:2] for r in rows], length)
+
+
+def test_contexts_under_one_hash_are_told_apart_by_content():
+    rng = np.random.default_rng(5)
+    data = np.frombuffer(bytes(rng.integers(97, 100, 3000).tolist()) * 2, np.uint8)
+    sizes = np.array([3000, 3000])
+    plain = su.contexts(data, sizes, 90)
+    weak = su.Contexts(plain.gram * 0, plain.hash * 0, plain.first, plain.count, plain.anchor)
+    a, b = (su.distinct(c, 3, data.tobytes(), 90) for c in (plain, weak))
+    assert len(a.often) == len(b.often) > 50 and sorted(a.often) == sorted(b.often)
+    pairs = {(x, y) for x, y in zip(a.which.tolist(), b.which.tolist())}
+    assert len(pairs) == len(a.often)  # the same contexts are together
+
+
 def test_suffix_dedup_cuts_long_texts_into_segments(make, monkeypatch):
     rng = np.random.default_rng(1)
     text = "".join(map(chr, rng.integers(97, 123, 3_000_000)))

@@ -362,3 +362,68 @@ def test_pipeline_of_nothing(spark, empty, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0
+
+
+# Columns, hosts and files of the judge's cases
+
+def test_a_rare_source_costs_no_pruning(spark):
+    """URLs of fifty hosts, and one source far from them: each shard still covers few sources."""
+    docs = spark.range(5000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("https://host"), F.col("id") % 50, F.lit(".example/x")).alias("source"),
+        F.lit("en").alias("lang"), F.lit(1).alias("n_chars"))
+    odd = docs.limit(1).select(F.lit(9999).cast("long").alias("doc_id"), F.lit("a").alias("source"), "lang", "n_chars")
+    for table in (docs, docs.unionByName(odd)):
+        placed = hi.hilbert_shards(table, 24, ["source"])
+        covered = placed.groupBy("shard").agg(F.count_distinct("source").alias("n")).agg(F.avg("n")).first()[0]
+        assert covered < 6
+
+
+def test_strings_are_cut_into_equal_shares(spark, monkeypatch):
+    monkeypatch.setattr(hi, "VALUE_BLOCK", 3)
+    rows = [(f"v{i:03d}",) for i in range(100) for _ in range(1 + 3 * (i % 2))] + [("v050",)] * 300 + [(None,)] * 5
+    codes = {r[0]: r[1] for r in hi._string_codes(spark.createDataFrame(rows, "x string"), "x", 3).collect()}
+    sizes, before = {v: sum(r[0] == v for r in rows) for v in codes}, 0
+    for v in sorted(sizes):
+        middle = before + (sizes[v] - 1) / 2
+        assert codes[v] == min(int(middle * 8 / 550), 7), v
+        before += sizes[v]
+
+
+def test_kept_columns_may_have_any_name(spark):
+    docs = spark.range(20).selectExpr("id doc_id", "'s' source", "'en' lang", "1 n_chars", "id + 900 rank", "7 total", "id _at")
+    placed = hi.hilbert_shards(docs, 3, ["rank", "total", "_at"])
+    assert {(r["rank"], r["total"], r["_at"]) for r in placed.collect()} == {(i + 900, 7, i) for i in range(20)}
+    with pytest.raises(ValueError):
+        hi.hilbert_shards(docs.withColumn("slot", F.lit(1)), 3, ["slot"])
+
+
+def test_sites_without_host_or_path_keep_their_rows(odd, spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    model = ql.fit_evidence(odd, labels)
+    for host, path in ((F.lit(None).cast("string"), F.lit("p")), (F.col("source"), F.col("lang")), (F.col("source"), None)):
+        assert ql.score(odd, model, host=host, path=path).count() == len(ODD)
+
+
+def test_scores_equal_a_plain_recomputation(odd, spark):
+    """Posteriors and scores of every row, by loops over the evidence of its host and path."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = ql.score(odd, ql.fit_evidence(odd, labels)).collect()
+    p = np.array([r["evidence"] for r in rows])
+    mean = p.mean()
+    hosts, paths = [r["host"] for r in rows], [(r["host"], r["path"]) for r in rows]
+    prior = ql.site_priors(ql.site_totals(spark.createDataFrame(
+        [(h, b, float(x)) for (h, b), x in zip(paths, p)], "host string, path string, p double")))
+    assert abs(prior.mean - mean) < 1e-12
+
+    def logit(x):
+        x = min(max(x, ql.EDGE), 1 - ql.EDGE)
+        return np.log(x / (1 - x))
+
+    for i, r in enumerate(rows):
+        others = [p[j] for j in range(len(p)) if j != i and hosts[j] == hosts[i]]
+        near = [p[j] for j in range(len(p)) if j != i and paths[j] == paths[i]]
+        host_mean = (prior.host * mean + sum(others)) / (prior.host + len(others))
+        path_mean = (prior.path * host_mean + sum(near)) / (prior.path + len(near))
+        np.testing.assert_allclose(r["path_posterior"], path_mean, rtol=1e-9)
+        odds = logit(r["evidence"]) + logit(path_mean) - logit(mean)
+        np.testing.assert_allclose(r["score"], 1 / (1 + np.exp(-odds)), rtol=1e-6)

@@ -230,3 +230,34 @@ def test_attempts_that_failed_are_in_no_manifest(spark, odd):
         f.write(b"half a file")
     assert tf.read_token_files(folder, manifest).count() == len(ODD)
     assert manifest.agg(F.sum("n_docs")).first()[0] == len(ODD)
+
+
+def test_pieces_keep_their_columns(spark):
+    pieces = spark.range(50).selectExpr("id % 7 + 1 length", "id + 900 rank", "3 total", "id __x", "id part")
+    rows = pk.pack(pieces, 16).collect()
+    assert sorted((r["rank"], r["total"], r["__x"], r["part"]) for r in rows) == [(i + 900, 3, i, i) for i in range(50)]
+    with pytest.raises(ValueError):
+        pk.pack(pieces.withColumn("offset", pieces["part"]), 16)
+
+
+def test_files_are_read_by_many_tasks_and_pruned_by_id(spark):
+    docs = spark.range(400).selectExpr("id doc_id", "concat('text of ', id) text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder, manifest = tf.write_token_files(docs.repartition(8), qu.FILE_TOKENIZER)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 4 and folder.startswith("file:///")
+    found = tf.read_token_files(folder, manifest)
+    assert found.rdd.getNumPartitions() == min(manifest.count(), 8)
+    assert found.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
+    ranges = sorted((r["first_id"], r["last_id"]) for r in manifest.collect())
+    assert ranges[0][0] == 0 and ranges[-1][1] == 399 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    some = tf.read_token_files(folder, manifest, [0, 17, 399, 4000])
+    whole = {r["doc_id"]: r for r in found.collect()}
+    assert sorted(some.collect()) == sorted(whole[i] for i in (0, 17, 399))
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError):
+        tf.write_token_files(spark.createDataFrame([("a", "x")], "doc_id string, text string"), qu.FILE_TOKENIZER)
