@@ -27,6 +27,8 @@ from sigmatide.sources.tables import PRINT_ORDER, VOLUME_SCALE, Tables
 from sigmatide.streaming import bars as sb
 from sigmatide.streaming import ewma as sw
 from sigmatide.streaming import movers as sm
+from sigmatide.streaming import reactions as rx
+from sigmatide.streaming import windows as wi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +38,8 @@ HISTORY_GATE = 1500
 BOOSTED_LOOKBACK, BOOSTED_TREES = 20, 8
 INVESTMENT = 50_000.0
 TICK_WIDTH, TICK_DELAY = "1 hour", "1 hour"
+STREAM_FILES = 16  # files in a micro-batch
+IDLE_SECONDS = 7200
 INTRADAY_WINDOW, INTRADAY_PERIODS, INTRADAY_BLOCK = 21, 252 * 48, 512
 # Raw prices may have seven decimals, so fewer digits would put some of them on a tie.
 EXACT = 8
@@ -739,18 +743,27 @@ def vol_intraday(t):
 # Streaming
 
 def _event_stream(t):
-    schema = t.table("events").schema
-    return t.ticks(sb.read_stream(t.spark, t.folder, schema, "events.parquet"))
+    events = t.table("events").select("event_id", "event_type", "ts", "value")
+    return t.ticks(sb.table_stream(t.spark, t.folder, "events.parquet", events.schema, STREAM_FILES))
 
 
-def _streamed_bars(t) -> str:
-    """Folder of the bars of the event stream, run over all available files."""
-    folder = shared_folder(t.spark, "stream-bars")
-    bars = sb.stream_bars(_event_stream(t), TICK_WIDTH, TICK_DELAY)
-    sb.append_to_parquet(bars, folder).awaitTermination()
+def _appended(t, stream, name):
+    """What a stream appends to a new folder, run over all available files."""
+    folder = shared_folder(t.spark, name)
+    sb.append_to_parquet(stream, folder).awaitTermination()
     return folder
 
 
+def _streamed_bars(t) -> str:
+    """Folder of the bars of the event stream."""
+    return _appended(t, sb.stream_bars(_event_stream(t), TICK_WIDTH, TICK_DELAY), "stream-bars")
+
+
+def _bar_stream(t):
+    source = _streamed_bars(t)
+    return sb.read_stream(t.spark, source, t.spark.read.parquet(source).schema, files_per_trigger=STREAM_FILES)
+
+
 @query
 def stream_bars(t):
     return present(t.spark.read.parquet(_streamed_bars(t)))
@@ -758,13 +771,38 @@ def stream_bars(t):
 
 @query
 def stream_ewma(t):
-    source = _streamed_bars(t)
-    bars = sb.read_stream(t.spark, source, t.spark.read.parquet(source).schema)
-    folder = shared_folder(t.spark, "stream-ewma")
-    sb.append_to_parquet(sw.stream_ewma(bars), folder).awaitTermination()
+    return present(t.spark.read.parquet(_appended(t, sw.stream_ewma(_bar_stream(t)), "stream-ewma")))
+
+
+@query
+def stream_ewma_expiring(t):
+    """The same with state that forgets idle tickers."""
+    with sw.rocksdb_state(t.spark):
+        folder = _appended(t, sw.stream_ewma_expiring(_bar_stream(t), idle_seconds=IDLE_SECONDS), "stream-expiring")
     return present(t.spark.read.parquet(folder))
 
 
+@query
+def stream_sessions(t):
+    """Ticks without a pause of more than twenty minutes."""
+    return present(t.spark.read.parquet(_appended(t, wi.stream_sessions(_event_stream(t)), "stream-sessions")))
+
+
+@query
+def stream_sliding(t):
+    """Hours that start every quarter."""
+    return present(t.spark.read.parquet(_appended(t, wi.stream_sliding(_event_stream(t)), "stream-sliding")))
+
+
+@query
+def stream_reactions(t):
+    """Ticks within five minutes after news of their ticker, both as streams."""
+    ids = t.table("documents").select("doc_id").schema
+    news = t.tick_news(sb.table_stream(t.spark, t.folder, "documents.parquet", ids, STREAM_FILES))
+    stream = rx.stream_reactions(news, _event_stream(t))
+    return present(t.spark.read.parquet(_appended(t, stream, "stream-reactions")))
+
+
 @query
 def stream_movers(t):
     folder = shared_folder(t.spark, "stream-movers")

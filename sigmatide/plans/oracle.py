@@ -550,6 +550,18 @@ ALL_TICK_BARS = TICK_BARS.partition("\n  HAVING")[0].replace("tick_bars AS", "al
 TICK_TIME = "strftime(dt, '%Y-%m-%d %H:%M:%S') AS dt"
 
 
+TICK_EWMA = f"""{RETURNS},
+            w AS (SELECT *, rn - 2 AS i, {Q21!r}::DOUBLE AS q FROM rets),
+            sums AS (SELECT a.ticker, a.dt, any_value(a.close) AS close, any_value(a.rn) AS rn,
+                sum(pow(a.q, a.i - b.i)) AS s0, sum(pow(a.q, 2 * (a.i - b.i))) AS q0,
+                sum(pow(a.q, a.i - b.i) * b.returns) AS s1,
+                sum(pow(a.q, a.i - b.i) * b.returns * b.returns) AS s2
+              FROM w a LEFT JOIN w b ON a.ticker = b.ticker AND b.rn > 1 AND b.rn <= a.rn
+              GROUP BY a.ticker, a.dt)"""
+TICK_EWMA_VALUE = """CASE WHEN rn > 2 THEN sqrt(greatest(s2 / s0 - (s1 / s0) * (s1 / s0), 0)
+                * s0 * s0 / (s0 * s0 - q0)) * sqrt(252) END"""
+
+
 def _case(pairs, otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {text(v)}" for c, v in pairs) \
         + f" ELSE {text(otherwise)} END"
@@ -900,17 +912,36 @@ def all_oracle_sql() -> dict[str, str]:
                 r(f'{m} * sqrt(48)', m, 4) for m in METRICS if m != 'ewma')} FROM est""",
         "stream_bars": f"""WITH {TICK_BARS} SELECT ticker, {TICK_TIME},
             {rs('open high low close volume')} FROM tick_bars""",
-        "stream_ewma": f"""WITH {TICK_BARS}, bars AS (SELECT * FROM tick_bars),{RETURNS},
-            w AS (SELECT *, rn - 2 AS i, {Q21!r}::DOUBLE AS q FROM rets),
-            sums AS (SELECT a.ticker, a.dt, any_value(a.close) AS close, any_value(a.rn) AS rn,
-                sum(pow(a.q, a.i - b.i)) AS s0, sum(pow(a.q, 2 * (a.i - b.i))) AS q0,
-                sum(pow(a.q, a.i - b.i) * b.returns) AS s1,
-                sum(pow(a.q, a.i - b.i) * b.returns * b.returns) AS s2
-              FROM w a LEFT JOIN w b ON a.ticker = b.ticker AND b.rn > 1 AND b.rn <= a.rn
-              GROUP BY a.ticker, a.dt)
-            SELECT ticker, {TICK_TIME}, {r('close')}, 0::BIGINT AS late,
-              {r('''CASE WHEN rn > 2 THEN sqrt(greatest(s2 / s0 - (s1 / s0) * (s1 / s0), 0)
-                * s0 * s0 / (s0 * s0 - q0)) * sqrt(252) END''', 'ewma')} FROM sums""",
+        "stream_ewma": f"""WITH {TICK_BARS}, bars AS (SELECT * FROM tick_bars),{TICK_EWMA}
+            SELECT ticker, {TICK_TIME}, {r('close')}, 0::BIGINT AS late, {r(TICK_EWMA_VALUE, 'ewma')} FROM sums""",
+        "stream_ewma_expiring": f"""WITH {TICK_BARS},
+            marked AS (SELECT *, CASE WHEN dt - lag(dt) OVER (PARTITION BY ticker ORDER BY dt) > INTERVAL 2 HOUR
+              THEN 1 ELSE 0 END AS new FROM tick_bars),
+            bars AS (SELECT * REPLACE (ticker || '#' || sum(new) OVER (PARTITION BY ticker ORDER BY dt) AS ticker)
+              FROM marked),{TICK_EWMA}
+            SELECT split_part(ticker, '#', 1) AS ticker, {TICK_TIME}, {r('close')}, 0::BIGINT AS late,
+              {r(TICK_EWMA_VALUE, 'ewma')} FROM sums""",
+        "stream_sessions": f"""WITH {TICK_BARS},
+            marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new
+              FROM ticks WINDOW w AS (PARTITION BY ticker ORDER BY ts, event_id)),
+            numbered AS (SELECT *, sum(new) OVER (PARTITION BY ticker ORDER BY ts, event_id) AS session FROM marked),
+            sessions AS (SELECT ticker, min(ts) AS start, max(ts) AS last, arg_min(price, k) AS open,
+                max(price) AS high, min(price) AS low, arg_max(price, k) AS close, count(*) AS n
+              FROM numbered GROUP BY ticker, session)
+            SELECT ticker, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(last, '%Y-%m-%d %H:%M:%S') AS last,
+              {rs('open high low close')}, n FROM sessions
+            WHERE last + INTERVAL 20 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ticks)""",
+        "stream_sliding": f"""WITH {TICK_BARS},
+            placed AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * unnest(range(4))) AS dt FROM ticks)
+            SELECT ticker, {TICK_TIME}, {r('arg_min(price, k)', 'open')}, {r('max(price)', 'high')},
+              {r('min(price)', 'low')}, {r('arg_max(price, k)', 'close')}, count(*) AS n FROM placed
+            GROUP BY ticker, dt HAVING dt + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ticks)""",
+        "stream_reactions": f"""WITH {TICK_BARS},
+            news AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'][doc_id % 5 + 1] AS ticker, doc_id,
+              TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published FROM documents)
+            SELECT n.ticker, doc_id, strftime(published, '%Y-%m-%d %H:%M:%S') AS published, event_id,
+              strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {r('price')}
+            FROM news n JOIN ticks t ON n.ticker = t.ticker AND ts BETWEEN published AND published + INTERVAL 5 MINUTE""",
         "stream_movers": f"""WITH {TICK_BARS},
             info AS (SELECT ticker, max(high) AS week52_high, min(low) AS week52_low,
                 NULL::DOUBLE AS dividend_yield, 0 AS b FROM tick_bars GROUP BY ticker),

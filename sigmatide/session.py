@@ -66,16 +66,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def _hadoop_path(spark: SparkSession, folder: str) -> tuple:
+    """A path and the file system it lies on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def qualified(spark: SparkSession, folder: str) -> str:
     """The folder with the scheme of the file system that Spark resolves it to."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, system = _hadoop_path(spark, folder)
     uri = system.makeQualified(path).toString()
     return "file:///" + uri[len("file:"):].lstrip("/") if uri.startswith("file:") else uri
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    place, system = _hadoop_path(spark, path)
+    return system.getFileStatus(place).isDirectory()
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder that this library wrote, through the file system it lies on."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, system = _hadoop_path(spark, folder)
+    system.delete(path, True)

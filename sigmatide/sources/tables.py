@@ -25,6 +25,8 @@ from sigmatide.sources.news import ITEM_TYPE, news_tickers
 PRINT_ORDER = ["seq"]
 VOLUME_SCALE = 1e5
 NEWS_SINCE = 707_356_800  # 1992-06-01
+TICKS_SINCE = 1_704_067_200  # 2024-01-01
+TICK_TICKERS = ["click", "error", "purchase", "signup", "view"]
 
 
 # Stored bars by session, folder and state of the source files.
@@ -155,7 +157,7 @@ class Tables:
         """Documents as news items in both forms; every third one is flat."""
         flat = F.col("doc_id") % 3 == 0
         doc = F.col("doc_id")
-        seconds = F.lit(1704067200) + doc * 60  # 2024-01-01 plus doc_id minutes
+        seconds = F.lit(TICKS_SINCE) + doc * 60  # 2024-01-01 plus doc_id minutes
         utc = F.convert_timezone(None, F.lit("UTC"), F.timestamp_seconds(seconds))
         iso = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
         link = F.concat(F.lit("https://news.example/"), doc)
@@ -175,6 +177,13 @@ class Tables:
             F.concat(F.lit("BRAND#"), doc % 25 + 1).alias("ticker"),
             doc.alias("ord"), item.alias("item"))
 
+    def tick_news(self, documents: DataFrame | None = None) -> DataFrame:
+        """Documents as news of the tick tickers, one a minute from the first tick's day; they may be a stream."""
+        documents = self.table("documents") if documents is None else documents
+        ticker = F.get(F.array(*map(F.lit, TICK_TICKERS)), F.pmod("doc_id", F.lit(len(TICK_TICKERS))).cast("int"))
+        return documents.select(ticker.alias("ticker"), "doc_id",
+                                F.timestamp_seconds(F.lit(TICKS_SINCE) + F.col("doc_id") * 60).alias("published"))
+
     def dated_news(self) -> DataFrame:
         """Documents as news (ticker, doc_id, published) spread over the years of the bars."""
         minutes = F.pmod(F.col("doc_id") * 7919, F.lit(3_000_000))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
+from sigmatide.session import is_folder
 from sigmatide.sources.bars import sequence_key
 
 
@@ -22,6 +23,17 @@ def read_stream(spark: SparkSession, folder: str, schema: StructType,
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType,
+                 files_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet table of a folder as a stream, be it one file or a folder of files.
+
+    ``schema`` may name some of the columns only; others are not read.
+    """
+    if is_folder(spark, f"{folder}/{name}"):
+        return read_stream(spark, f"{folder}/{name}", schema, files_per_trigger=files_per_trigger)
+    return read_stream(spark, folder, schema, name, files_per_trigger)
+
+
 def stream_bars(ticks: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Bars per ticker and window; a window is emitted once the watermark has passed it.
 
