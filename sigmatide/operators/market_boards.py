@@ -30,6 +30,38 @@ def recent_days(bars: DataFrame, days: int = LOOK_BACK) -> DataFrame:
     return bars.filter(F.col("dt") >= dates.agg(F.min("dt")).scalar())
 
 
+def bars_before(bars: DataFrame, days: int) -> DataFrame:
+    """The bars as they were ``days`` days with bars ago."""
+    dates = bars.select("dt").distinct().orderBy(F.desc("dt")).limit(days + 1)
+    return bars.filter(F.col("dt") <= dates.agg(F.min("dt")).scalar())
+
+
+def board_changes(now: DataFrame, before: DataFrame) -> DataFrame:
+    """board, ticker, change (entered, left, stayed), rank_now, rank_before, newcomer: two states of the boards.
+
+    Entries are compared as multisets, null tickers being equal: of three equal entries of which two were there
+    before, one has entered and two have stayed. ``newcomer`` marks tickers that were on no board before. Ranks are the best of
+    equal entries. Boards are short, and all joins are on (board, ticker).
+    """
+    key = ["board", "ticker"]
+    states = now.select(*key), before.select(*key)
+    moves = [(states[0].exceptAll(states[1]), "entered"), (states[1].exceptAll(states[0]), "left"),
+             (states[0].intersectAll(states[1]), "stayed")]
+    found = None
+    for rows, name in moves:
+        rows = rows.withColumn("change", F.lit(name))
+        found = rows if found is None else found.unionByName(rows)
+    for df, name in ((now, "rank_now"), (before, "rank_before")):
+        ranks = df.groupBy(F.col("board").alias("_board"), F.col("ticker").alias("_ticker")).agg(F.min("rank").alias(name))
+        same = F.col("board").eqNullSafe(F.col("_board")) & F.col("ticker").eqNullSafe(F.col("_ticker"))
+        found = found.join(ranks, same, "left").drop("_board", "_ticker")
+    known = before.select(F.col("ticker").alias("_ticker")).distinct()
+    fresh = states[0].select("ticker").distinct().join(
+        known, F.col("ticker").eqNullSafe(F.col("_ticker")), "left_anti").select(F.col("ticker").alias("_new"))
+    return found.join(fresh.withColumn("_is_new", F.lit(True)), F.col("ticker").eqNullSafe(F.col("_new")), "left").select(
+        *key, "change", "rank_now", "rank_before", F.coalesce("_is_new", F.lit(False)).alias("newcomer"))
+
+
 def mover_metrics(bars: DataFrame, info: DataFrame) -> DataFrame:
     """Change of the last two closes, last volume and 52-week position per ticker.
 

@@ -111,3 +111,15 @@ def screen_top(scored: DataFrame, top: int = TOP) -> DataFrame:
         .select("style", "rank", "ticker", "score", "price", "volatility", "regime",
                 "price_change_5d", "price_change_20d", "dollar_volume", "swing_direction")
     )
+
+
+def screen_cube(top: DataFrame, labels: DataFrame) -> DataFrame:
+    """Tickers and scores of a screen over every combination of style, regime and cap label, totals included.
+
+    ``labels`` has ticker and cap_label; a ticker without one has a null label. ``level`` has a bit for each of the three that
+    is summed over (style 4, regime 2, cap label 1), which tells totals from null labels. One shuffle for all.
+    """
+    rows = top.join(labels.select("ticker", "cap_label"), "ticker", "left")
+    return rows.cube("style", "regime", "cap_label").agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.count_distinct("ticker").alias("tickers"),
+        F.avg("score").alias("mean_score"), F.max("score").alias("best_score"))

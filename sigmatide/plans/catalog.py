@@ -16,6 +16,7 @@ from sigmatide.operators import learned as le
 from sigmatide.operators import market_boards as mb
 from sigmatide.operators import portfolio as po
 from sigmatide.operators import screener as sc
+from sigmatide.operators import sketches as sk
 from sigmatide.operators import time_joins as tj
 from sigmatide.functions.columns import NOISE
 from sigmatide.plans.present import present
@@ -38,6 +39,7 @@ HISTORY_GATE = 1500
 BOOSTED_LOOKBACK, BOOSTED_TREES = 20, 8
 INVESTMENT = 50_000.0
 TICK_WIDTH, TICK_DELAY = "1 hour", "1 hour"
+BOARD_DAYS = 20
 STREAM_FILES = 16  # files in a micro-batch
 IDLE_SECONDS = 7200
 INTRADAY_WINDOW, INTRADAY_PERIODS, INTRADAY_BLOCK = 21, 252 * 48, 512
@@ -669,6 +671,51 @@ def news_by_keyword(t):
     return present(mb.news_by_category(latest, "mergers").drop("pos", "ord"))
 
 
+# Sketches, totals and changes
+
+SKETCH_PERIODS = [("all", None), ("5y", 60), ("1y", 12)]
+
+
+@query
+def sketch_percentiles(t):
+    """Percentile of the last Yang-Zhang value and distinct prices by period: the exact values, and whether those from
+    merged monthly sketches are within the stated error."""
+    panel = staged(es.vol_panel(t.bars()).select("ticker", "dt", "close", "yang_zhang"), "panel")
+    months = staged(sk.month_sketches(panel), "month-sketches")
+    newest = F.trunc(panel.agg(F.max("dt")).scalar(), "MM")
+    found = None
+    for name, length in SKETCH_PERIODS:
+        since = None if length is None else F.add_months(newest, -length)
+        guessed = sk.sketched_percentile(sk.merged_sketches(months, since)).withColumnsRenamed(
+            {"percentile": "guess", "prices": "guessed_prices", "n": "merged"})
+        rows = panel if since is None else panel.filter(F.trunc("dt", "MM") >= since)
+        exact = rows.join(guessed, "ticker").groupBy("ticker", "merged", "guess", "guessed_prices").agg(
+            F.count(F.lit(1)).alias("n"), F.avg((F.col("yang_zhang") < F.col("last") - NOISE).cast("int") * 100.0).alias("percentile"),
+            F.count_distinct(sk.cents(F.col("close"))).alias("prices"))
+        rank = F.abs(F.col("guess") - F.col("percentile")) <= 100 * sk.RANK_ERROR
+        count = F.abs(F.col("guessed_prices") - F.col("prices")) <= sk.COUNT_ERROR * F.col("prices") + 1
+        part = exact.select(F.lit(name).alias("period"), "ticker", "merged", "n", "percentile",
+                            _as_flag(rank).alias("rank_within"), _as_flag(count).alias("count_within"))
+        found = part if found is None else found.unionByName(part)
+    return present(found)
+
+
+@query
+def screen_cube(t):
+    """The screen's top 50 by style, regime and cap label, with all totals."""
+    labels = t.ticker_info().select("ticker", an.market_cap_label(F.coalesce("market_cap", F.lit(0.0))).alias("cap_label"))
+    return present(sc.screen_cube(sc.screen_top(_screen(t)), labels))
+
+
+@query
+def board_changes(t):
+    """The boards of movers against those of twenty days before."""
+    bars, info, universe = _all_bars(t), t.ticker_info(), t.universe()
+    now, before = (staged(mb.movers_top(mb.mover_metrics(mb.recent_days(b), info), universe).select("board", "ticker", "rank"), "boards")
+                   for b in (bars, mb.bars_before(bars, BOARD_DAYS)))
+    return present(mb.board_changes(now, before))
+
+
 # Joins by time
 
 @query

@@ -11,6 +11,7 @@ from sigmatide.plans.catalog import (
     ALPHAS,
     BETA,
     BETAS,
+    BOARD_DAYS,
     BOOSTED_LOOKBACK,
     GRID,
     HISTORY_GATE,
@@ -462,6 +463,9 @@ RECENT = """
 recent_bars AS (
   SELECT * FROM bars WHERE dt >= (
     SELECT min(dt) FROM (SELECT DISTINCT dt FROM bars ORDER BY dt DESC LIMIT 5)))"""
+CAP_LABEL = """CASE WHEN market_cap > 1e12 THEN '$' || format('{:.2f}', market_cap / 1e12) || 'T'
+                 WHEN market_cap > 1e9 THEN '$' || format('{:.1f}', market_cap / 1e9) || 'B'
+                 WHEN market_cap > 1e6 THEN '$' || format('{:.0f}', market_cap / 1e6) || 'M' ELSE 'N/A' END"""
 MOVERS = """
 movers AS (
   SELECT m.ticker, price, (price - previous) / previous * 100 AS change, volume,
@@ -857,11 +861,7 @@ def all_oracle_sql() -> dict[str, str]:
         "buy_reasons": reason_rows("buy", analyzer.MAX_BUY_REASONS),
         "sell_reasons": reason_rows("sell", analyzer.MAX_SELL_REASONS),
         "signal_label": f"WITH {POSITIONED} SELECT ticker, score, signal FROM listed",
-        "market_cap_label": f"""WITH {bars()},{INFO} SELECT ticker,
-            CASE WHEN market_cap > 1e12 THEN '$' || format('{{:.2f}}', market_cap / 1e12) || 'T'
-                 WHEN market_cap > 1e9 THEN '$' || format('{{:.1f}}', market_cap / 1e9) || 'B'
-                 WHEN market_cap > 1e6 THEN '$' || format('{{:.0f}}', market_cap / 1e6) || 'M'
-                 ELSE 'N/A' END AS cap_label FROM info""",
+        "market_cap_label": f"WITH {bars()},{INFO} SELECT ticker, {CAP_LABEL} AS cap_label FROM info",
         "buy_list": f"WITH {POSITIONED} SELECT {LIST_ROW} FROM best",
         "price_band_filter": f"""WITH {POSITIONED} SELECT {LIST_ROW} FROM
             (SELECT * FROM best WHERE price >= 10 AND price < 100
@@ -876,6 +876,38 @@ def all_oracle_sql() -> dict[str, str]:
         "news_by_category": f"""WITH {LATEST} SELECT ticker, title, link, publisher, {STAMP},
             category FROM (SELECT * FROM latest WHERE category = 'general'
                            ORDER BY t DESC, place, doc_id LIMIT 30)""",
+        "sketch_percentiles": f"""WITH {frame()},
+            month_rows AS (SELECT *, date_trunc('month', dt) AS m, date_trunc('month', max(dt) OVER ()) AS newest FROM panel),
+            periods(period, months) AS (VALUES ('all', 12000), ('5y', 60), ('1y', 12))
+            SELECT period, ticker, count(*) AS merged, count(*) AS n,
+              {r('avg((yang_zhang < last_yz - 1e-12)::INT) * 100', 'percentile')}, 1::BIGINT AS rank_within,
+              1::BIGINT AS count_within
+            FROM month_rows JOIN periods ON m >= newest - to_months(months::INT) GROUP BY period, ticker""",
+        "screen_cube": f"""WITH {SCREEN},{INFO},
+            styles AS (SELECT 'daytrade' AS style, score_daytrade AS score, * FROM scored
+              UNION ALL SELECT 'swing', score_swing, * FROM scored
+              UNION ALL SELECT 'longterm', score_longterm, * FROM scored),
+            top AS (SELECT * FROM styles QUALIFY row_number() OVER (PARTITION BY style ORDER BY score DESC, ticker) <= 50),
+            labelled AS (SELECT top.*, {CAP_LABEL} AS cap_label FROM top LEFT JOIN info USING (ticker))
+            SELECT style, regime, cap_label, GROUPING(style, regime, cap_label)::BIGINT AS level, count(*) AS n,
+              count(DISTINCT ticker) AS tickers, {r('avg(score)', 'mean_score')}, max(score) AS best_score
+            FROM labelled GROUP BY CUBE (style, regime, cap_label)""",
+        "board_changes": f"""WITH {bars()},{INFO},
+            old_bars AS (SELECT * FROM bars WHERE dt <= (
+              SELECT min(dt) FROM (SELECT DISTINCT dt FROM bars ORDER BY dt DESC LIMIT {BOARD_DAYS + 1}))),
+            now AS (WITH {RECENT},{MOVERS.format(bars='recent_bars')} SELECT board, ticker, rank FROM boards),
+            before AS (WITH {RECENT.replace('FROM bars', 'FROM old_bars')},{MOVERS.format(bars='recent_bars')}
+              SELECT board, ticker, rank FROM boards),
+            moves AS (
+              SELECT *, 'entered' AS change FROM (SELECT board, ticker FROM now EXCEPT ALL SELECT board, ticker FROM before)
+              UNION ALL
+              SELECT *, 'left' FROM (SELECT board, ticker FROM before EXCEPT ALL SELECT board, ticker FROM now)
+              UNION ALL
+              SELECT *, 'stayed' FROM (SELECT board, ticker FROM now INTERSECT ALL SELECT board, ticker FROM before))
+            SELECT m.board, m.ticker, change, n.rank::BIGINT AS rank_now, b.rank::BIGINT AS rank_before,
+              (m.ticker NOT IN (SELECT ticker FROM before))::BIGINT AS newcomer
+            FROM moves m LEFT JOIN now n ON n.board = m.board AND n.ticker = m.ticker
+            LEFT JOIN before b ON b.board = m.board AND b.ticker = m.ticker""",
         "news_asof_bar": f"""WITH {bars()},{DATED_NEWS}
             SELECT n.ticker, doc_id, strftime(published, '%Y-%m-%d %H:%M:%S') AS published,
               {day('b.dt', 'bar_dt')}, {r('close', digits=8)}, {r('volume')}
