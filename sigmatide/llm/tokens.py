@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # Encoded pieces that a worker remembers, in each of two generations; only speed depends on it.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 650_000
 LONG_KEPT = 4 << 20  # characters of long pieces
-GROUP = 1 << 20  # bytes of texts encoded together
+GROUP = 2 << 20  # bytes of texts encoded together
 JOINED = 4096  # new pieces joined for one call
 SHORT = 64  # characters of a piece that is joined with others at most
 # A space after white space: there a tokenizer that keeps white space may not be cut.
