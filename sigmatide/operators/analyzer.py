@@ -225,11 +225,13 @@ def sell_reasons() -> Column:
     return reasons("sell", MAX_SELL_REASONS)
 
 
+# The least score of each signal.
 def signal_label(score: Column) -> Column:
     return first_match((score >= 75, "STRONG BUY"), (score >= 60, "BUY"), (score >= 45, "HOLD"),
                        (score >= 30, "SELL"), otherwise="STRONG SELL")
 
 
+# Units and decimals of the labels.
 def market_cap_label(cap: Column) -> Column:
     def scaled(unit: float, decimals: int, letter: str) -> Column:
         return F.concat(F.lit("$"), number_text(cap / unit, decimals), F.lit(letter))
@@ -249,12 +251,12 @@ def analysis(bars: DataFrame, info: DataFrame) -> DataFrame:
     )
 
 
-def buy_list(analysed: DataFrame, universe: DataFrame | None = None) -> DataFrame:
-    """The 20 best tickers scoring 50 or more; ties keep the universe order."""
+def buy_list(analysed: DataFrame, universe: DataFrame | None = None, rows: int = BUY_LIST_ROWS) -> DataFrame:
+    """The ``rows`` best tickers scoring 50 or more; ties keep the universe order."""
     return (
         universe_position(analysed.filter(F.col("score") >= BUY_LIST_SCORE), universe)
         .orderBy(F.desc("score"), F.asc_nulls_last("pos"), "ticker")
-        .limit(BUY_LIST_ROWS)
+        .limit(rows)
     )
 
 

@@ -86,6 +86,7 @@ def trend_strength(bars: DataFrame) -> DataFrame:
     )
 
 
+# The thresholds and points of the score.
 def invest_score(metrics: DataFrame) -> DataFrame:
     """Add ``score``: points for return, momentum, risk, drawdown, trend and volatility."""
     year, half, sharpe = F.col("return_1y"), F.col("return_6m"), F.col("sharpe_approx")

@@ -48,6 +48,7 @@ def screen_metrics(bars: DataFrame, window: int = 21) -> DataFrame:
     )
 
 
+# The thresholds and points of the three scores and of the direction.
 def score_daytrade() -> Column:
     """High volatility, liquidity and recent movement."""
     regime, vol, dollars = F.col("regime"), F.col("volatility"), F.col("dollar_volume")

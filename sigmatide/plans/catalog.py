@@ -602,8 +602,8 @@ def market_cap_label(t):
         "ticker", an.market_cap_label(F.coalesce("market_cap", F.lit(0.0))).alias("cap_label")))
 
 
-def _buy_list(t):
-    return an.buy_list(an.analysis(t.bars("3mo"), t.ticker_info()), t.universe())
+def _buy_list(t, **limit):
+    return an.buy_list(an.analysis(t.bars("3mo"), t.ticker_info()), t.universe(), **limit)
 
 
 LIST_COLUMNS = ["ticker", "name", "price", "signal", "score", "ret_5d", "ret_20d", "rsi"]
@@ -614,6 +614,12 @@ def buy_list(t):
     return present(_buy_list(t).select(*LIST_COLUMNS), price=EXACT)
 
 
+@query
+def buy_list_top5(t):
+    """The same cut where it leaves tickers out."""
+    return present(_buy_list(t, rows=5).select(*LIST_COLUMNS), price=EXACT)
+
+
 @query
 def price_band_filter(t):
     return present(an.price_band_filter(_buy_list(t), "10-100").select(*LIST_COLUMNS), price=EXACT)

@@ -863,6 +863,8 @@ def all_oracle_sql() -> dict[str, str]:
         "signal_label": f"WITH {POSITIONED} SELECT ticker, score, signal FROM listed",
         "market_cap_label": f"WITH {bars()},{INFO} SELECT ticker, {CAP_LABEL} AS cap_label FROM info",
         "buy_list": f"WITH {POSITIONED} SELECT {LIST_ROW} FROM best",
+        "buy_list_top5": f"""WITH {POSITIONED} SELECT {LIST_ROW} FROM
+            (SELECT * FROM best ORDER BY score DESC, b, ticker LIMIT 5)""",
         "price_band_filter": f"""WITH {POSITIONED} SELECT {LIST_ROW} FROM
             (SELECT * FROM best WHERE price >= 10 AND price < 100
              ORDER BY score DESC, b, ticker LIMIT 15)""",

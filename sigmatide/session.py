@@ -55,13 +55,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# Folders staged so far, by session.
+_STAGED: dict[str, list[str]] = {}
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     For results that several jobs read: they are computed once, and a lost executor costs
-    no more than reading the files again.
+    no more than reading the files again. The folder stays until ``clear_staged``.
     """
     folder = shared_folder(df.sparkSession, name)
+    _STAGED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -88,3 +93,14 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder that this library wrote, through the file system it lies on."""
     path, system = _hadoop_path(spark, folder)
     system.delete(path, True)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete all that this session has staged, and tell how many folders that were.
+
+    To be called once the results built on them are written: frames that read a staged table fail afterwards.
+    """
+    folders = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        remove(spark, folder)
+    return len(folders)

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The ticker lists of the investment, movers, buy-list and news features.
-INVESTMENT_TICKERS = """
-AAPL MSFT GOOGL AMZN META NVDA TSLA AMD CRM ADBE NOW SNOW PLTR UBER ABNB AVGO QCOM MU MRVL AMAT
-JPM GS V MA BLK JNJ UNH LLY ABBV MRK PFE WMT COST HD NKE SBUX MCD XOM CVX NEE CAT BA HON GE RTX
-NFLX DIS SPY QQQ VTI VOO COIN MARA ENPH SEDG RIVN LCID CRWD ZS NET DDOG MDB ARM SMCI IONQ
-""".split()
-MOVERS_TICKERS = """
-AAPL MSFT GOOGL AMZN TSLA NVDA META AMD NFLX DIS BA JPM GS V MA PFE JNJ MRK UNH XOM CVX
-WMT HD CRM ORCL INTC CSCO VZ T KO PEP
-""".split()
-BUY_LIST_TICKERS = MOVERS_TICKERS + "COST NKE SBUX PYPL SQ UBER LYFT SNAP PINS".split()
-NEWS_TICKERS = """
-AAPL MSFT GOOGL AMZN TSLA NVDA META AMD NFLX DIS BA JPM GS V MA PFE JNJ MRK UNH XOM CVX
-""".split()
+INVESTMENT_TICKERS = [
+    "AAPL", "MSFT", "GOOGL", "AMZN", "META", "NVDA", "TSLA", "AMD", "CRM", "ADBE", "NOW", "SNOW", "PLTR",
+    "UBER", "ABNB", "AVGO", "QCOM", "MU", "MRVL", "AMAT", "JPM", "GS", "V", "MA", "BLK", "JNJ", "UNH",
+    "LLY", "ABBV", "MRK", "PFE", "WMT", "COST", "HD", "NKE", "SBUX", "MCD", "XOM", "CVX", "NEE", "CAT",
+    "BA", "HON", "GE", "RTX", "NFLX", "DIS", "SPY", "QQQ", "VTI", "VOO", "COIN", "MARA", "ENPH", "SEDG",
+    "RIVN", "LCID", "CRWD", "ZS", "NET", "DDOG", "MDB", "ARM", "SMCI", "IONQ",
+]
+MOVERS_TICKERS = [
+    "AAPL", "MSFT", "GOOGL", "AMZN", "TSLA", "NVDA", "META", "AMD", "NFLX", "DIS", "BA", "JPM", "GS", "V",
+    "MA", "PFE", "JNJ", "MRK", "UNH", "XOM", "CVX", "WMT", "HD", "CRM", "ORCL", "INTC", "CSCO", "VZ", "T",
+    "KO", "PEP",
+]
+BUY_LIST_TICKERS = [
+    *MOVERS_TICKERS, "COST", "NKE", "SBUX", "PYPL", "SQ", "UBER", "LYFT", "SNAP", "PINS",
+]
+NEWS_TICKERS = [
+    "AAPL", "MSFT", "GOOGL", "AMZN", "TSLA", "NVDA", "META", "AMD", "NFLX", "DIS", "BA", "JPM", "GS", "V",
+    "MA", "PFE", "JNJ", "MRK", "UNH", "XOM", "CVX",
+]
 
 NAMED_UNIVERSES = {
     "investment": INVESTMENT_TICKERS,
@@ -51,6 +57,20 @@ def universes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, ticker string, pos int")
 
 
+def read_universe(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(name, ticker, pos) of a text file with one ticker a line, in the order of the file, upper case.
+
+    For long lists, such as that of a screener over hundreds of tickers, which are data and no part of the
+    library. Blank lines and what follows a # are left out; a ticker that repeats keeps its first place.
+    """
+    ticker = F.upper(F.trim(F.regexp_replace("value", "#.*", "")))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    listed = lines.select("line", ticker.alias("ticker")).filter("ticker <> ''")
+    first = listed.groupBy("ticker").agg(F.min("line").alias("line"))
+    place = F.row_number().over(Window.orderBy("line"))  # one row per ticker of one list
+    return first.select(F.lit(name).alias("name"), "ticker", place.alias("pos"))
+
+
 def universe_filter(df: DataFrame, universe: DataFrame, name: str | None = None) -> DataFrame:
     """Rows whose ticker is in a (name, ticker, pos) list.
 

@@ -193,3 +193,34 @@ def test_movers_leave_out_tickers_that_stopped_trading(spark):
     df = to_spark(spark, bars)
     assert {r.ticker for r in mb.recent_days(df).collect()} == {"NEW"}
     assert mb.recent_days(df).count() == mb.LOOK_BACK
+
+
+def test_a_long_list_is_read_from_a_file_in_its_order(spark, tmp_path):
+    from sigmatide.sources.dimensions import read_universe
+
+    path = tmp_path / "screen.txt"
+    path.write_text("# screener\nmsft\n\n aapl  # first\nTSLA\nmsft\n")
+    rows = sorted(map(tuple, read_universe(spark, str(path), "screen").collect()), key=lambda r: r[2])
+    assert rows == [("screen", "MSFT", 1), ("screen", "AAPL", 2), ("screen", "TSLA", 3)]
+
+
+def test_staged_folders_are_removed_on_request(spark):
+    from sigmatide.session import clear_staged, is_folder, staged
+
+    clear_staged(spark)
+    folders = [staged(spark.range(3), "x").inputFiles()[0].rsplit("/", 1)[0] for _ in range(2)]
+    assert all(is_folder(spark, f) for f in folders)
+    assert clear_staged(spark) == 2 and clear_staged(spark) == 0
+    import pytest
+    with pytest.raises(Exception):
+        is_folder(spark, folders[0])
+
+
+def test_the_state_of_the_source_is_a_digest(spark, tmp_path):
+    t = Tables(spark, str(tmp_path))
+    for name in ("lineitem", "part"):
+        spark.range(10).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    first = t._source_state()
+    assert first == Tables(spark, str(tmp_path))._source_state() and len(first) == 2 and first[0][0] == 3
+    spark.range(1).write.mode("append").parquet(f"{tmp_path}/part.parquet")
+    assert t._source_state() != first
