@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigmatide.operators import analyzer, estimators, forecast, garch, learned, market_boards
+from sigmatide.operators import analyzer, estimators, forecast, garch, learned, market_boards, time_joins
 from sigmatide.operators import portfolio as invest
 from sigmatide.operators import screener
 from sigmatide.session import staged
@@ -118,6 +118,24 @@ class Market:
         return forecast.price_cone(
             self.predict(days, period).withColumnRenamed("garch_volatility", "volatility"))
 
+    # Joins by time
+
+    def latest_bar(self, rows: DataFrame, time: str, period: str | None = None) -> DataFrame:
+        """Rows (with a ticker) and the close and day of their ticker's latest bar at that time."""
+        bars = self.period(period).select("ticker", F.col("dt").alias("bar_dt"), "close")
+        return time_joins.asof_join(rows, bars, "ticker", time, "bar_dt", ["close"])
+
+    def regime_stretches(self, period: str | None = None) -> DataFrame:
+        """Runs of days in one volatility regime: ticker, regime, stretch, start, last, end, rows."""
+        days = estimators.regime_days(self.period(period))
+        runs = time_joins.stretches(days, "ticker", "dt", "regime")
+        return runs.withColumn("end", F.coalesce("end", F.date_add("last", 1)))
+
+    def in_regimes(self, rows: DataFrame, time: str, period: str | None = None) -> DataFrame:
+        """Rows (with a ticker) and the regime stretch that their time lies in."""
+        runs = self.regime_stretches(period).select("ticker", "regime", "stretch", "start", "end")
+        return time_joins.interval_join(rows, runs, "ticker", time, "start", "end")
+
     # Screens, portfolios, analysis
 
     def screen(self, universe: str | None = None) -> DataFrame:
@@ -150,6 +168,14 @@ class Market:
         listed = analyzer.buy_list(self.analyze(universe), self._places(universe))
         return analyzer.price_band_filter(listed, band)
 
+    def board_changes(self, days: int = 20, universe: str | None = "movers") -> DataFrame:
+        """What entered, left and stayed on the boards of movers since ``days`` days with bars ago."""
+        bars, places = self._listed(universe), self._places(universe)
+        now, before = (market_boards.movers_top(
+            market_boards.mover_metrics(market_boards.recent_days(b), self.info), places)
+            for b in (bars, market_boards.bars_before(bars, days)))
+        return market_boards.board_changes(now, before)
+
     def movers(self, universe: str | None = "movers") -> DataFrame:
         bars = self._listed(universe)
         return market_boards.movers_top(

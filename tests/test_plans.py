@@ -125,3 +125,9 @@ def test_market_runs_on_plain_bars(spark, folder):
     assert some.garch_forecast(5).count() == 10
     assert some.histogram().count() > 10 and some.recent(10).count() == 20
     assert some.ensemble(5).count() == 10
+    news = t.dated_news()
+    assert market.latest_bar(news, "published").count() == news.count()
+    assert market.in_regimes(news, "published").columns[-4:] == ["regime", "stretch", "start", "end"]
+    assert {r.change for r in market.board_changes(20, "all").collect()} <= {"entered", "left", "stayed"}
+    assert some.garch_forecast(5, p=2).count() == 10 and some.garch_conditional_vol(p=1, q=2).count() > 100
+    assert some.learned_forecast(5, 20, boosted=True).count() == 10
