@@ -2,8 +2,8 @@
 
 Training counts n-grams per language in one grouped aggregation; the model is a matrix of
 log-probabilities, languages by 2**HASH_BITS, which is broadcast. Its size depends on the
-number of languages only. Texts are scored in Arrow batches: the n-grams that occur in a
-text select columns of the matrix.
+number of languages only. Texts are scored in groups: a sparse matrix of the n-grams that occur
+in them is multiplied with the columns of these n-grams.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ HASH_BITS, MAX_N = 16, 3
 SMOOTHING = 0.5
 MAX_LANGUAGES = 512  # the matrix is broadcast: 512 languages are 128 MB
 SLICE = 1 << 18  # characters hashed at a time
+GROUP_TEXTS = 64  # texts scored at a time
 UNDETERMINED = "und"
 _MIX = np.uint32(0x9E3779B1)
 
@@ -41,6 +42,30 @@ def gram_counts(text: str, hash_bits: int = HASH_BITS, max_n: int = MAX_N) -> np
     return total
 
 
+def sparse_counts(texts: list[str], hash_bits: int = HASH_BITS, max_n: int = MAX_N) -> tuple[np.ndarray, ...]:
+    """(row, gram, n) of the n-grams of each text, sorted by row and gram: gram_counts of all texts at once.
+
+    Memory is that of len(texts) * 2**hash_bits counts and of the code points.
+    """
+    points = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+    sizes = np.array([len(p) for p in points], np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())  # points to the end of the text
+    part = np.concatenate([*points, np.empty(0, "<u4")])
+    total = np.zeros(len(texts) << hash_bits, np.int64)
+    grams = np.zeros(len(part), np.uint32)
+    for n in range(1, max_n + 1):
+        if len(part) < n:
+            break
+        grams = (grams[:len(part) - n + 1] * _MIX + part[n - 1:]) * np.uint32(2654435769 + 2 * n)
+        grams ^= grams >> np.uint32(15)
+        own = np.flatnonzero(left[:len(grams)] >= n)
+        key = (row[own] << hash_bits) + (grams[own] >> np.uint32(32 - hash_bits))
+        total += np.bincount(key, minlength=len(total))
+    some = np.flatnonzero(total)
+    return some >> hash_bits, some & ((1 << hash_bits) - 1), total[some]
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -53,15 +78,33 @@ class LanguageModel:
     hash_bits: int
     max_n: int
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Most probable language and its posterior; ties go to the first by name."""
-        if not text or not self.languages or not has_letter(text):
-            return UNDETERMINED, 0.0
-        counts = gram_counts(text, self.hash_bits, self.max_n)
-        some = np.flatnonzero(counts)
-        scores = self.prior + self.log_p[:, some] @ counts[some].astype(np.float64)
-        best = int(scores.argmax())
-        return self.languages[best], float(1 / np.exp(scores - scores[best]).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Most probable language of each text and its posterior; ties go to the first by name."""
+        found = [(UNDETERMINED, 0.0)] * len(texts)
+        known = [i for i, t in enumerate(texts) if t and self.languages and has_letter(t)]
+        group, size = [], 0
+        for i in known:
+            group.append(i)
+            size += len(texts[i])
+            if len(group) == GROUP_TEXTS or size >= SLICE or i == known[-1]:
+                for k, answer in zip(group, self._scored([texts[k] for k in group])):
+                    found[k] = answer
+                group, size = [], 0
+        return found
+
+    def _scored(self, texts: list[str]) -> list[tuple[str, float]]:
+        """A sparse matrix of counts, texts by grams, times the log-probabilities; no text is empty."""
+        if len(texts) == 1 and len(texts[0]) > SLICE:  # counted in slices
+            counts = gram_counts(texts[0], self.hash_bits, self.max_n)
+            gram = np.flatnonzero(counts)
+            row, n = np.zeros(len(gram), np.int64), counts[gram]
+        else:
+            row, gram, n = sparse_counts(texts, self.hash_bits, self.max_n)
+        starts = np.searchsorted(row, np.arange(len(texts)))
+        scores = self.prior + np.add.reduceat(self.log_p[:, gram] * n, starts, axis=1).T
+        best = scores.argmax(1)
+        top = scores[np.arange(len(texts)), best]
+        return [(self.languages[k], float(p)) for k, p in zip(best, 1 / np.exp(scores - top[:, None]).sum(1))]
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
@@ -118,7 +161,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.predict(t.as_py()) for t in batch.column(1)]
+            found = own.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
