@@ -24,18 +24,22 @@ that a piece of a cut item points to is not compared if it lacks too many of the
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sigmatide.llm.common import KEY, documents_of, only_rows, row_digest, row_key
-from sigmatide.session import staged
+from sigmatide.session import qualified, staged
 
 MAX_EDITS = 0.2  # of an item's words
 SYMBOLS, REPEATS = 3, 32  # sampled steps of a key, and keys; see the recall test
@@ -43,6 +47,7 @@ PIECE = 32  # least words of a piece of an item that is cut
 CLASSES = (1, 2, 3, 4, 5, 6, 8, 11, 16, 23, 32, 45, 2 * PIECE)
 BLOCK_ITEMS, BLOCK_CHARS = 4096, 4 << 20  # benchmark items searched for in one pass
 CHUNK_BYTES = 2 << 20  # text searched at a time, at least one document
+MANY_BLOCKS_CHUNK = 16 << 20  # the same where the blocks are too many to be kept
 SPARE = 5  # words of an item that must be left of the rarest ones
 FILTER_BITS = 16
 
@@ -324,16 +329,36 @@ def _matches(index: ItemIndex, texts: list[bytes]) -> Iterator[tuple[int, int, i
                    int(ends[b - 1] - text_starts[text]))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
-    block, size = [], 0
-    for row in documents_of(benchmark, id_col, text_col).toLocalIterator():
-        block.append((row["doc_id"], row["text"]))
-        size += len(row["text"] or "")
-        if len(block) >= BLOCK_ITEMS or size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _indexes(benchmark: DataFrame, id_col: str, text_col: str, max_edits: float, repeats: int,
+             block_items: int) -> DataFrame:
+    """block, index: an index for each block of items, built by the tasks that read the items, and written."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple[object, str | None]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            index = pickle.dumps(ItemIndex(block, max_edits, repeats=repeats), pickle.HIGHEST_PROTOCOL)
+            return pa.RecordBatch.from_arrays([pa.array([len(block)], pa.int64()), pa.array([index], pa.binary())],
+                                              ["items", "index"])
+
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                block.append((item, text))
+                size += len(text or "")
+                if len(block) >= block_items or size >= BLOCK_CHARS:
+                    yield out()
+                    block, size = [], 0
+        if block:
+            yield out()
+
+    return staged(documents_of(benchmark, id_col, text_col).mapInArrow(run, "items long, index binary"), "item-indexes")
+
+
+@lru_cache(maxsize=2)
+def _index(file: str, row: int) -> ItemIndex:
+    """A written index; a worker keeps two."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(file)
+    return pickle.loads(pyarrow.parquet.read_table(path, columns=["index"], filesystem=fs).column("index")[row].as_py())
 
 
 def find_benchmark(
@@ -345,6 +370,7 @@ def find_benchmark(
     item_text_col: str = "text",
     max_edits: float = MAX_EDITS,
     repeats: int = REPEATS,
+    block_items: int | None = None,
 ) -> DataFrame:
     """doc_id, row, item_id, distance, item_words, passage: the nearest passage of an item in a document.
 
@@ -355,8 +381,9 @@ def find_benchmark(
     document's text: id and row tell documents apart where ids repeat; repeated rows are each
     reported. An empty table on either side gives an empty result.
 
-    The benchmark is searched in blocks of bounded size, each sent to all tasks, in one pass over
-    the documents; the documents are not shuffled.
+    The benchmark is searched in blocks of bounded size. The tasks that read the items build the indexes and write them to
+    the shared folder; one pass over the documents loads them in turn. The documents are not shuffled, the
+    driver sees the names of the index files only.
     """
     source = documents_of(docs, id_col, text_col).select(
         "doc_id", row_digest(F.col("text")).alias("row"), "text")
@@ -364,27 +391,27 @@ def find_benchmark(
     item_type = benchmark.schema[item_id_col].dataType
     schema = (f"doc_id {id_type}, row long, item_id {item_type.simpleString()}, distance int, "
               "item_words int, passage string")
-    context = docs.sparkSession.sparkContext
-    found = [_search(source, context.broadcast(ItemIndex(block, max_edits, repeats=repeats)), schema, to_arrow_type(item_type))
-             for block in _blocks(benchmark, item_id_col, item_text_col)]
-    if not found:
-        return docs.sparkSession.createDataFrame([], schema)
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionAll(more)
-    return result
-
-
-def _search(source: DataFrame, shared, schema: str, item_type: pa.DataType) -> DataFrame:
+    indexes = _indexes(benchmark, item_id_col, item_text_col, max_edits, repeats,
+                       block_items or BLOCK_ITEMS)
+    counted = indexes.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    places = [(qualified(docs.sparkSession, r["file"]), k) for r in counted.orderBy("file").collect() for k in range(r["n"])]
+    return _search(source, places, schema, to_arrow_type(item_type))
+
+
+def _search(source: DataFrame, places: list[tuple[str, int]], schema: str, item_type: pa.DataType) -> DataFrame:
+    # With more blocks than a worker keeps, more text is searched before the next one is loaded.
+    chunk = CHUNK_BYTES if len(places) <= 2 else MANY_BLOCKS_CHUNK
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
             rows, texts, size = [], [], 0
             for n in range(batch.num_rows + 1):
-                if texts and (n == batch.num_rows or size >= CHUNK_BYTES):
-                    for text, i, distance, a, b in _matches(index, texts):
-                        rows.append((n - len(texts) + text, index.ids[i], distance,
-                                     len(index.words[i]), texts[text][a:b].decode("utf-8", "replace")))
+                if texts and (n == batch.num_rows or size >= chunk):
+                    for place in places:
+                        index = _index(*place)
+                        for text, i, distance, a, b in _matches(index, texts):
+                            rows.append((n - len(texts) + text, index.ids[i], distance,
+                                         len(index.words[i]), texts[text][a:b].decode("utf-8", "replace")))
                     texts, size = [], 0
                 if n < batch.num_rows:
                     texts.append(plain(batch.column(2)[n].as_py()))

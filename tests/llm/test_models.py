@@ -427,3 +427,47 @@ def test_scores_equal_a_plain_recomputation(odd, spark):
         np.testing.assert_allclose(r["path_posterior"], path_mean, rtol=1e-9)
         odds = logit(r["evidence"]) + logit(path_mean) - logit(mean)
         np.testing.assert_allclose(r["score"], 1 / (1 + np.exp(-odds)), rtol=1e-6)
+
+
+def test_blocks_are_searched_in_one_scan_of_the_documents(spark, small):
+    docs, items = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "benchmark"))
+    one, many = de.find_benchmark(docs, items), de.find_benchmark(docs, items, block_items=15)
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect())) and one.count()
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan and "Exchange" not in plan
+
+
+def test_an_empty_benchmark_finds_nothing(spark, odd):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert de.find_benchmark(odd, none).count() == 0 and de.drop_contaminated(odd, none).count() == len(ODD)
+
+
+def test_sparse_counts_are_those_of_single_texts():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abÄ日 🙂", k=rng.randint(1, 200))) for _ in range(40)] + ["a", "ab", "abc"]
+    row, gram, n = la.sparse_counts(texts)
+    assert (np.diff(row * (1 << la.HASH_BITS) + gram) > 0).all()
+    for i, text in enumerate(texts):
+        counts = la.gram_counts(text)
+        assert gram[row == i].tolist() == np.flatnonzero(counts).tolist() and (counts[gram[row == i]] == n[row == i]).all()
+
+
+def test_predictions_equal_a_plain_recomputation(spark, small, monkeypatch):
+    """Posteriors by loops over a model counted by hand, hot language and long text included."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [(r["doc_id"], r["text"] or "", r["lang"]) for r in docs.collect()] + [(900, LONG[:600_000], "en"), (901, "!?", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows}
+    langs = sorted({lang for i, _, lang in rows if not held[i] and lang is not None})
+    counted = {lang: sum((la.gram_counts(t) for i, t, own in rows if own == lang and not held[i])) for lang in langs}
+    seen = Counter(lang for i, _, lang in rows if not held[i] and lang is not None)
+    log_p = {lang: np.log((c + la.SMOOTHING) / (c + la.SMOOTHING).sum()) for lang, c in counted.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in la.identify(docs).collect()}
+    for i, text, _ in rows:
+        if not any(map(str.isalpha, text)):
+            assert got[i] == ("und", 0.0)
+            continue
+        scores = np.array([np.log(seen[lang] / sum(seen.values())) + log_p[lang] @ la.gram_counts(text) for lang in langs])
+        best = int(scores.argmax())
+        assert got[i][0] == langs[best]
+        np.testing.assert_allclose(got[i][1], 1 / np.exp(scores - scores[best]).sum(), rtol=1e-6)
