@@ -69,7 +69,8 @@ class Encoder:
     no space, so the cuts stay right.
     """
 
-    def __init__(self, path: str, special: bool = False):
+    def __init__(self, path: str, special: bool = False, kept: int | None = None):
+        self.kept = kept
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
@@ -115,7 +116,7 @@ class Encoder:
     def _group(self, texts: pa.Array) -> Iterator[bytes]:
         if self.memory.long > LONG_KEPT:
             self.memory, self.old = _Memory(), _Memory()
-        if self.memory.n > WORDS_KEPT:
+        if self.memory.n > (self.kept or WORDS_KEPT):
             self.memory, self.old = _Memory(), self.memory
         lists, rows = self._pieces(texts)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -184,6 +185,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int | None = None) -> Encoder:
     """One encoder for each file in a worker, with the ids of the library's plain call."""
-    return Encoder(path, special=True)
+    return Encoder(path, special=True, kept=kept)
