@@ -69,8 +69,8 @@ class Encoder:
     no space, so the cuts stay right.
     """
 
-    def __init__(self, path: str, special: bool = False, kept: int | None = None):
-        self.kept = kept
+    def __init__(self, path: str, special: bool = False, group: int | None = None):
+        self.group = group
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
@@ -94,7 +94,7 @@ class Encoder:
         at = 0
         while at < len(texts):
             before = ends[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(ends, before + GROUP)))
+            end = max(at + 1, int(np.searchsorted(ends, before + (self.group or GROUP))))
             yield from self._group(texts.slice(at, end - at))
             at = end
 
@@ -116,7 +116,7 @@ class Encoder:
     def _group(self, texts: pa.Array) -> Iterator[bytes]:
         if self.memory.long > LONG_KEPT:
             self.memory, self.old = _Memory(), _Memory()
-        if self.memory.n > (self.kept or WORDS_KEPT):
+        if self.memory.n > WORDS_KEPT:
             self.memory, self.old = _Memory(), self.memory
         lists, rows = self._pieces(texts)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -185,6 +185,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, kept: int | None = None) -> Encoder:
+def encoder(path: str, group: int | None = None) -> Encoder:
     """One encoder for each file in a worker, with the ids of the library's plain call."""
-    return Encoder(path, special=True, kept=kept)
+    return Encoder(path, special=True, group=group)
