@@ -44,7 +44,7 @@ CHECKSUMS = 0x80  # descriptor bit: the table has checksums
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("ids", "<u8")])
 TABLE = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 BATCH_BYTES = 8 << 20
-GROUP_BYTES = 4 << 20  # text encoded together; only speed and memory depend on it
+GROUP_BYTES, PIECES_KEPT = 4 << 20, 500_000  # text encoded together, pieces remembered; only speed and memory depend on them
 MANIFEST = "file string, part int, n_docs long, n_ids long, first_id long, last_id long"
 
 
@@ -144,7 +144,7 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, part = None, TaskContext.get().partitionId()
-        encode, end = encoder(tokenizer_file, GROUP_BYTES), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer_file, GROUP_BYTES, PIECES_KEPT), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for doc_id, ids in zip(batch.column(0), encode(batch.column(1))):
                 if writer is None:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # Encoded pieces that a worker remembers, in each of two generations; only speed depends on it.
-WORDS_KEPT = 650_000
+WORDS_KEPT = 300_000
 LONG_KEPT = 4 << 20  # characters of long pieces
 GROUP = 2 << 20  # bytes of texts encoded together
 JOINED = 4096  # new pieces joined for one call
@@ -69,8 +69,8 @@ class Encoder:
     no space, so the cuts stay right.
     """
 
-    def __init__(self, path: str, special: bool = False, group: int | None = None):
-        self.group = group
+    def __init__(self, path: str, special: bool = False, group: int | None = None, kept: int | None = None):
+        self.group, self.kept = group, kept
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
@@ -116,7 +116,7 @@ class Encoder:
     def _group(self, texts: pa.Array) -> Iterator[bytes]:
         if self.memory.long > LONG_KEPT:
             self.memory, self.old = _Memory(), _Memory()
-        if self.memory.n > WORDS_KEPT:
+        if self.memory.n > (self.kept or WORDS_KEPT):
             self.memory, self.old = _Memory(), self.memory
         lists, rows = self._pieces(texts)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -185,6 +185,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, group: int | None = None) -> Encoder:
+def encoder(path: str, group: int | None = None, kept: int | None = None) -> Encoder:
     """One encoder for each file in a worker, with the ids of the library's plain call."""
-    return Encoder(path, special=True, group=group)
+    return Encoder(path, special=True, group=group, kept=kept)
