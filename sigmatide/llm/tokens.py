@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # Encoded pieces that a worker remembers, in each of two generations; only speed depends on it.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 LONG_KEPT = 4 << 20  # characters of long pieces
 GROUP = 2 << 20  # bytes of texts encoded together
 JOINED = 4096  # new pieces joined for one call
@@ -97,6 +97,7 @@ class Encoder:
             end = max(at + 1, int(np.searchsorted(ends, before + (self.group or GROUP))))
             yield from self._group(texts.slice(at, end - at))
             at = end
+        pa.default_memory_pool().release_unused()
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
         """Pieces of the texts, without the space before them, and the row of each text there."""
