@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -14,11 +15,13 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # Encoded pieces that a worker remembers, in each of two generations; only speed depends on it.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 300_000
+IDS_KEPT = 16  # ids of the pieces of a generation, in multiples of their number
 LONG_KEPT = 4 << 20  # characters of long pieces
 GROUP = 2 << 20  # bytes of texts encoded together
 JOINED = 4096  # new pieces joined for one call
 SHORT = 64  # characters of a piece that is joined with others at most
+MARKS = ".,;:!?"  # cut off the word that they end
 # A space after white space: there a tokenizer that keeps white space may not be cut.
 WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 NO_CUT = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "] "
@@ -30,30 +33,43 @@ class _Memory:
     """Ids of pieces, one after the other; a piece has the slot of its place in the order of learning."""
 
     def __init__(self):
-        self.later: dict[str, int] = {}  # pieces after a space, which is not part of the key
-        self.first: dict[str, int] = {}  # pieces at the start of a text
+        self.keys = pa.array([], pa.string())  # the pieces, each with the space before it
         self.long = 0  # characters of pieces that were not joined
         self.n = self.used = 0
-        self.starts, self.sizes = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.starts = np.zeros(1 << 12, np.int64)  # one more than pieces: the last is where the ids end
         self.ids = np.empty(1 << 14, "<u4")
 
-    def add(self, known: dict[str, int], pieces: Sequence[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, used = self.n + len(sizes), self.used + len(ids)
-        while n > len(self.starts):
-            self.starts, self.sizes = (np.append(x, np.empty_like(x)) for x in (self.starts, self.sizes))
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """Slots of distinct pieces, -1 for those that are not known.
+
+        The known ones are looked up in a table of the given ones, which is the smaller to build.
+        """
+        at = pc.index_in(self.keys, value_set=pieces)
+        slots = np.full(len(pieces), -1, np.int64)
+        slots[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(False))
+        return slots
+
+    def add(self, pieces: pa.Array, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slots of new pieces with these ids, which end there."""
+        n, used = self.n + len(ends), self.used + len(ids)
+        while n >= len(self.starts):
+            self.starts = np.append(self.starts, np.empty_like(self.starts))
         while used > len(self.ids):
             self.ids = np.append(self.ids, np.empty_like(self.ids))
-        self.starts[self.n:n] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.n:n], self.ids[self.used:used] = sizes, ids
-        known.update(zip(pieces, range(self.n, n)))
+        self.starts[self.n + 1:n + 1], self.ids[self.used:used] = self.used + ends, ids
+        self.keys = pa.concat_arrays([self.keys, pieces])
+        slots = np.arange(self.n, n)
         self.n, self.used = n, used
+        return slots
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these pieces joined, and where each of them ends."""
-        sizes = self.sizes[slots]
+        starts = self.starts[slots]
+        sizes = self.starts[slots + 1] - starts
         ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[slots] - (ends - sizes), sizes)
-        return self.ids[at + np.arange(len(at))], ends
+        at = np.repeat(starts - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.ids[at], ends
 
 
 class Encoder:
@@ -61,12 +77,13 @@ class Encoder:
 
     A tokenizer never joins a word with the space after it, so a text is cut before
     the spaces that follow a word, the pieces are encoded by the library, and their ids are
-    joined: the same ids as for the text at once, in memory that a piece bounds. Texts are cut and
-    their distinct pieces found by Arrow; only distinct pieces are looked up, and new ones are encoded many at a
+    joined: the same ids as for the text at once, in memory that a piece bounds. Texts are cut, and
+    their distinct pieces found and looked up, by Arrow. New pieces are encoded many at a
     time, joined by their own spaces and told apart by the tokens that begin with a space, or by the offsets of the
-    tokens where spaces leave no trace. Strings of special tokens within a text are
+    tokens where spaces leave no trace. A mark that ends a new piece after an ASCII letter is cut off where the
+    tokenizer splits there, so that a word is encoded once, whatever mark follows it. Strings of special tokens within a text are
     ordinary text or, with ``special``, these tokens, as in the library's plain call; they hold
-    no space, so the cuts stay right.
+    no space and none of these marks, so the cuts stay right.
     """
 
     def __init__(self, path: str, special: bool = False, group: int | None = None, kept: int | None = None):
@@ -77,7 +94,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Which ids begin with the byte of a space, in the byte alphabet.
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         if not self.spaced[self.tokenizer.encode(" a", add_special_tokens=False).ids[:1]].all():
             self.spaced[:] = False  # this tokenizer drops spaces
         #: Which ids end a word, where the vocabulary tells.
@@ -85,8 +102,21 @@ class Encoder:
         self.ended = np.zeros_like(self.spaced)
         if suffix:
             self.ended[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        #: Marks before which this tokenizer splits a word, and that no special token holds.
+        added = "".join(token.content for token in self.tokenizer.get_added_tokens_decoder().values())
+        self.marks = "".join(m for m in MARKS if m not in added and self._splits("ab", m))
+        #: Whether it splits before a line break that follows a word or a mark.
+        self.breaks = "\n" not in added and all(self._splits("ab" + m, "\nab") for m in ["", *self.marks])
         self.memory, self.old = _Memory(), _Memory()
 
+    def _splits(self, left: str, right: str) -> bool:
+        """Whether words of the two together are those of each."""
+        splitter = self.tokenizer.pre_tokenizer
+        if splitter is None:
+            return False
+        together, *each = ([word for word, _ in splitter.pre_tokenize_str(x)] for x in (left + right, left, right))
+        return together == sum(each, [])
+
     def __call__(self, texts: Sequence[str] | pa.Array) -> Iterator[bytes]:
         """Ids of each text; a null text is empty."""
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
@@ -115,9 +145,10 @@ class Encoder:
         return pa.concat_arrays([plain, pa.array(cut, plain.type)]), rows
 
     def _group(self, texts: pa.Array) -> Iterator[bytes]:
+        kept = self.kept or WORDS_KEPT
         if self.memory.long > LONG_KEPT:
             self.memory, self.old = _Memory(), _Memory()
-        if self.memory.n > (self.kept or WORDS_KEPT):
+        if self.memory.n > kept or self.memory.used > IDS_KEPT * kept:
             self.memory, self.old = _Memory(), self.memory
         lists, rows = self._pieces(texts)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -125,64 +156,107 @@ class Encoder:
         head = np.zeros(len(flat), bool)
         head[offsets[:-1]] = True
         rest = flat.filter(pa.array(~head)).dictionary_encode()
+        later = pc.binary_join_element_wise("", rest.dictionary.cast(pa.string()), " ")
+        found = self._slots(pa.concat_arrays([later, flat.filter(pa.array(head)).cast(pa.string())]))
         slots = np.empty(len(flat), np.int64)
-        slots[~head] = self._later(rest.dictionary.to_numpy(False).tolist())[rest.indices.to_numpy(False)]
-        slots[head] = self._first(flat.filter(pa.array(head)).to_pylist())
+        slots[~head] = found[:len(later)][rest.indices.to_numpy(False)]
+        slots[head] = found[len(later):]
         ids, ends = self.memory.gather(slots)
         ends = np.append(0, ends)
         low, high = ends[offsets[:-1]][rows].tolist(), ends[offsets[1:]][rows].tolist()
         for a, b in zip(low, high):
             yield ids[a:b].tobytes()
 
-    def _later(self, pieces: list[str]) -> np.ndarray:
-        """Slots of distinct pieces that follow a space."""
-        memory = self.memory
-        new = [p for p in pieces if p not in memory.later]
-        known = [p for p in new if p in self.old.later]
-        if known:
-            ids, ends = self.old.gather(np.fromiter(map(self.old.later.__getitem__, known), np.int64, len(known)))
-            memory.add(memory.later, known, ids, np.diff(ends, prepend=0))
-            new = [p for p in new if p not in memory.later]
-        plain = [p for p in new if 0 < len(p) <= SHORT and p[:1].strip() and p[-1:].strip()]
-        if self.ended.any():  # pieces of one word tell their ends, and stay apart from the others
-            plain.sort(key=str.isalpha)
-        for at in range(0, len(plain), JOINED):
-            self._learn(plain[at:at + JOINED])
-        for p in new:
-            if p not in memory.later:
-                self._add_one(memory.later, p, " " + p)
-        return np.fromiter(map(memory.later.__getitem__, pieces), np.int64, len(pieces))
-
-    def _first(self, pieces: list[str]) -> np.ndarray:
-        """Slots of pieces that begin a text."""
-        known = self.memory.first
-        for p in pieces:
-            if p not in known:
-                self._add_one(known, p, p)
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-
-    def _add_one(self, known: dict[str, int], piece: str, text: str) -> None:
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        self.memory.add(known, [piece], ids, np.array([len(ids)]))
-        self.memory.long += len(piece)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces without white space at their ends."""
-        joined = " " + " ".join(pieces)
+    def _slots(self, pieces: pa.Array) -> np.ndarray:
+        """Slots of pieces, which may repeat; each has the space before it."""
+        pieces = pieces.dictionary_encode()
+        distinct, memory = pieces.dictionary, self.memory
+        slots = memory.find(distinct)
+        new = np.flatnonzero(slots < 0)
+        if len(new) and self.old.n:
+            at = self.old.find(distinct.take(new))
+            known = new[at >= 0]
+            slots[known] = memory.add(distinct.take(known), *self.old.gather(at[at >= 0]))
+            new = new[at < 0]
+        if len(new):
+            slots[new] = self._learn(distinct.take(new))
+        return slots[pieces.indices.to_numpy(False)]
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Slots of distinct new pieces; those that can be cut again get the ids of their parts."""
+        size = pc.utf8_length(pieces)
+        short = pc.less_equal(size, SHORT + 1)
+        cut, parts = self._cut(pieces.filter(short))
+        rows = np.flatnonzero(short.to_numpy(False))[cut]
+        slots, whole = np.empty(len(pieces), np.int64), np.ones(len(pieces), bool)
+        whole[rows] = False
+        inner = pc.utf8_slice_codeunits(pieces, 1)
+        joined = whole & _all(short, pc.greater(size, 1), pc.starts_with(pieces, " "),
+                              pc.equal(pc.utf8_trim(inner, "".join(WHITE)), inner))
+        # Pieces of one word tell their ends, and stay apart from the others.
+        alpha = joined & (pc.utf8_is_alpha(inner).to_numpy(False) if self.ended.any() else False)
+        for some, words in ((np.flatnonzero(alpha), True), (np.flatnonzero(joined & ~alpha), False)):
+            for at in range(0, len(some), JOINED):
+                block = some[at:at + JOINED]
+                slots[block] = self._encode(pieces.take(block), words)
+        alone = np.flatnonzero(whole & ~joined)
+        if len(alone):
+            found = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in pieces.take(alone).to_pylist()]
+            slots[alone] = self.memory.add(pieces.take(alone), np.fromiter(chain.from_iterable(found), "<u4"),
+                                           np.cumsum(list(map(len, found))))
+            sizes = size.to_numpy(False)[alone]
+            self.memory.long += int(sizes[sizes > SHORT + 1].sum())
+        if len(rows):
+            found = self._slots(parts).reshape(-1, len(rows))
+            ids, ends = self.memory.gather(found.T.ravel())
+            slots[rows] = self.memory.add(pieces.take(rows), ids, ends[len(found) - 1::len(found)])
+        return slots
+
+    def _cut(self, pieces: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Which of these can be cut, and their parts: all first ones, all second ones and so on, empty where there is none.
+
+        The parts are the words before and from a single line break, and a mark at the end of each; they cannot be cut again.
+        """
+        lines = pc.split_pattern(pieces, "\n", max_splits=1)
+        offsets = lines.offsets.to_numpy()
+        head, tail = (lines.values.take(pa.array(at)) for at in (offsets[:-1], offsets[1:] - 1))
+        last = pc.utf8_slice_codeunits(head, -1)
+        broken = pa.array(_all(pc.equal(pc.count_substring(pieces, "\n"), int(self.breaks)),
+                               pc.or_(pc.ascii_is_alpha(last), self._is_mark(last))) & self.breaks)
+        sides = [pc.if_else(broken, head, pieces), pc.if_else(broken, pc.binary_join_element_wise("", tail, "\n"), "")]
+        parts, cut = [], broken
+        for side in sides:
+            last = pc.utf8_slice_codeunits(side, -1)
+            marked = pc.and_(self._is_mark(last), pc.ascii_is_alpha(pc.utf8_slice_codeunits(side, -2, -1)))
+            parts += [pc.if_else(marked, pc.utf8_slice_codeunits(side, 0, -1), side), pc.if_else(marked, last, "")]
+            cut = pc.or_(cut, marked)
+        return np.flatnonzero(cut.to_numpy(False)), pa.concat_arrays([part.filter(cut) for part in parts])
+
+    def _is_mark(self, characters: pa.Array) -> pa.Array:
+        return pc.is_in(characters, value_set=pa.array(list(self.marks), pa.string()))
+
+    def _encode(self, pieces: pa.Array, words: bool) -> np.ndarray:
+        """Slots of pieces of a space and no other white space at their ends; ``words``: of one word each."""
+        n, joined = len(pieces), "".join(pieces.to_pylist())
         ids, starts = np.empty(0, "<u4"), np.empty(0, np.int64)
-        if self.spaced.any() or self.ended.any() and pieces[0].isalpha():
+        if words or self.spaced.any():
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             # A piece has one space at least and one word at least, so equal numbers mean one each.
             starts = np.flatnonzero(self.spaced[ids])
-            if self.ended.any() and len(ids) and self.ended[ids[-1]]:
+            if words and len(ids) and self.ended[ids[-1]]:
                 starts = np.append(0, np.flatnonzero(self.ended[ids])[:-1] + 1)
-        if len(starts) != len(pieces) or starts[0] != 0:
+        if len(starts) != n or starts[0] != 0:
             found = self.tokenizer.encode(joined, add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
-            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+            ends = np.cumsum(pc.utf8_length(pieces).to_numpy(False).astype(np.int64))
             tokens = np.fromiter(map(itemgetter(0), found.offsets), np.int64, len(ids))
             starts = np.append(0, np.searchsorted(tokens, ends)[:-1])
-        self.memory.add(self.memory.later, pieces, ids, np.diff(starts, append=len(ids)))
+        return self.memory.add(pieces, ids, np.append(starts[1:], len(ids)))
+
+
+def _all(*conditions: pa.Array) -> np.ndarray:
+    """Where all of the conditions hold."""
+    return reduce(pc.and_, conditions).to_numpy(False)
 
 
 @lru_cache(maxsize=4)

@@ -52,6 +52,50 @@ def test_forgotten_pieces_are_encoded_again(monkeypatch):
     assert list(encode(texts)) == [plain(t).tobytes() for t in texts]
 
 
+class Counting:
+    """A tokenizer that counts the characters that it encodes."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.characters = tokenizer, 0
+
+    def encode(self, text, **options):
+        self.characters += len(text)
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.characters += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("path", FILES)
+def test_a_word_is_encoded_once_whatever_mark_or_line_follows(path):
+    encode, plain, rng = Encoder(path), whole(path), random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=12)) for _ in range(300)]
+    texts = ["start " + " ".join(word + mark for word in words) for mark in ["", *".,;:!?", "\nx", ".\nx", "\nx,"]]
+    encode.tokenizer = counting = Counting(encode.tokenizer)
+    assert list(encode(texts)) == [plain(t).tobytes() for t in texts]
+    assert counting.characters < 1.1 * sum(len(w) + 1 for w in words)
+
+
+@pytest.mark.parametrize("special", [False, True])
+@pytest.mark.parametrize("path", FILES)
+def test_words_with_marks_and_lines_keep_their_ids(path, special):
+    encode, rng = Encoder(path, special=special), random.Random(9)
+    plain = plain_call(path) if special else whole(path)
+    parts = ["a", "It", "'s", "é", "e\u0301", "1", " ", " ", " ", "\n", "\r", "\t", *".,;:!?", "...", "\"", "<|endoftext|>", "Σ"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)]
+    for text, ids in zip(texts, encode(texts)):
+        assert ids == plain(text).tobytes(), repr(text)
+
+
+def test_a_remembered_piece_takes_little_memory():
+    encode, rng = Encoder(FILES[0]), random.Random(10)
+    list(encode([" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(50_000))]))
+    memory = encode.memory
+    assert memory.n > 49_000
+    assert memory.keys.nbytes + memory.starts.nbytes + memory.ids.nbytes < 100 * memory.n
+
+
 def plain_call(path):
     tokenizer = Tokenizer.from_file(path)
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
