@@ -21,7 +21,9 @@ LONG_KEPT = 4 << 20  # characters of long pieces
 GROUP = 2 << 20  # bytes of texts encoded together
 JOINED = 4096  # new pieces joined for one call
 SHORT = 64  # characters of a piece that is joined with others at most
-MARKS = ".,;:!?"  # cut off the word that they end
+MARKS = ".,;:!?*&%$#@+=~^/_-()[]{}\""  # cut off the word that they end, up to TAIL of them
+TAIL = 4
+LETTERS = pa.array([chr(c) for c in range(256) if chr(c).isalpha() and chr(c) not in "ªº"])
 # A space after white space: there a tokenizer that keeps white space may not be cut.
 WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 NO_CUT = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "] "
@@ -80,8 +82,8 @@ class Encoder:
     joined: the same ids as for the text at once, in memory that a piece bounds. Texts are cut, and
     their distinct pieces found and looked up, by Arrow. New pieces are encoded many at a
     time, joined by their own spaces and told apart by the tokens that begin with a space, or by the offsets of the
-    tokens where spaces leave no trace. A mark that ends a new piece after an ASCII letter is cut off where the
-    tokenizer splits there, so that a word is encoded once, whatever mark follows it. Strings of special tokens within a text are
+    tokens where spaces leave no trace. Marks that end a new piece after a Latin letter are cut off where the
+    tokenizer splits there, so that a word is encoded once, whatever marks follow it. Strings of special tokens within a text are
     ordinary text or, with ``special``, these tokens, as in the library's plain call; they hold
     no space and none of these marks, so the cuts stay right.
     """
@@ -213,28 +215,29 @@ class Encoder:
         return slots
 
     def _cut(self, pieces: pa.Array) -> tuple[np.ndarray, pa.Array]:
-        """Which of these can be cut, and their parts: all first ones, all second ones and so on, empty where there is none.
+        """Which of these can be cut, and their parts: all first ones, all second ones
+        and so on, empty where there is none.
 
-        The parts are the words before and from a single line break, and a mark at the end of each; they cannot be cut again.
+        The parts are the words before and from a single line break, and the marks at the end of each; they cannot be cut again.
         """
         lines = pc.split_pattern(pieces, "\n", max_splits=1)
         offsets = lines.offsets.to_numpy()
         head, tail = (lines.values.take(pa.array(at)) for at in (offsets[:-1], offsets[1:] - 1))
-        last = pc.utf8_slice_codeunits(head, -1)
-        broken = pa.array(_all(pc.equal(pc.count_substring(pieces, "\n"), int(self.breaks)),
-                               pc.or_(pc.ascii_is_alpha(last), self._is_mark(last))) & self.breaks)
+        ends = pa.concat_arrays([LETTERS, pa.array(list(self.marks), pa.string())])
+        broken = pa.array(_all(pc.equal(pc.count_substring(pieces, "\n"), 1),
+                               pc.is_in(pc.utf8_slice_codeunits(head, -1), value_set=ends)) & self.breaks)
         sides = [pc.if_else(broken, head, pieces), pc.if_else(broken, pc.binary_join_element_wise("", tail, "\n"), "")]
         parts, cut = [], broken
         for side in sides:
-            last = pc.utf8_slice_codeunits(side, -1)
-            marked = pc.and_(self._is_mark(last), pc.ascii_is_alpha(pc.utf8_slice_codeunits(side, -2, -1)))
-            parts += [pc.if_else(marked, pc.utf8_slice_codeunits(side, 0, -1), side), pc.if_else(marked, last, "")]
+            stem = pc.utf8_rtrim(side, self.marks)
+            marks = pc.subtract(pc.utf8_length(side), pc.utf8_length(stem))
+            marked = pa.array(_all(pc.greater(marks, 0), pc.less_equal(marks, TAIL),
+                                   pc.is_in(pc.utf8_slice_codeunits(stem, -1), value_set=LETTERS)))
+            tails = [pa.scalar(""), *(pc.utf8_slice_codeunits(side, -n) for n in range(1, TAIL + 1))]
+            parts += [pc.if_else(marked, stem, side), pc.choose(pc.if_else(marked, marks, 0), *tails)]
             cut = pc.or_(cut, marked)
         return np.flatnonzero(cut.to_numpy(False)), pa.concat_arrays([part.filter(cut) for part in parts])
 
-    def _is_mark(self, characters: pa.Array) -> pa.Array:
-        return pc.is_in(characters, value_set=pa.array(list(self.marks), pa.string()))
-
     def _encode(self, pieces: pa.Array, words: bool) -> np.ndarray:
         """Slots of pieces of a space and no other white space at their ends; ``words``: of one word each."""
         n, joined = len(pieces), "".join(pieces.to_pylist())

@@ -70,8 +70,9 @@ class Counting:
 @pytest.mark.parametrize("path", FILES)
 def test_a_word_is_encoded_once_whatever_mark_or_line_follows(path):
     encode, plain, rng = Encoder(path), whole(path), random.Random(8)
-    words = ["".join(rng.choices("abcdefghij", k=12)) for _ in range(300)]
-    texts = ["start " + " ".join(word + mark for word in words) for mark in ["", *".,;:!?", "\nx", ".\nx", "\nx,"]]
+    words = ["".join(rng.choices("abcdefghijé", k=12)) for _ in range(300)]
+    texts = ["start " + " ".join(word + mark for word in words) 
+             for mark in ["", *".,;:!?", "\nx", ".\nx", "\nx,", "***", "%%%", ".***", ')."']]
     encode.tokenizer = counting = Counting(encode.tokenizer)
     assert list(encode(texts)) == [plain(t).tobytes() for t in texts]
     assert counting.characters < 1.1 * sum(len(w) + 1 for w in words)
@@ -82,8 +83,9 @@ def test_a_word_is_encoded_once_whatever_mark_or_line_follows(path):
 def test_words_with_marks_and_lines_keep_their_ids(path, special):
     encode, rng = Encoder(path, special=special), random.Random(9)
     plain = plain_call(path) if special else whole(path)
-    parts = ["a", "It", "'s", "é", "e\u0301", "1", " ", " ", " ", "\n", "\r", "\t", *".,;:!?", "...", "\"", "<|endoftext|>", "Σ"]
-    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)]
+    parts = ["a", "It", "'s", "é", "e\u0301", "1", " ", " ", " ", "\n", "\r", "\t", *".,;:!?", "...", "\"", "<|endoftext|>", "Σ",
+             "***", "%", "-", "_", "/", "#", "(", ")", "ß", "Ê", "ª", "²", "\x85", "\u0307", "|"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(5000)]
     for text, ids in zip(texts, encode(texts)):
         assert ids == plain(text).tobytes(), repr(text)
 
