@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sigmatide.llm.common import KEY, documents_of, only_rows, row_digest, row_key
+from sigmatide.llm.common import KEY, documents_of, in_worker, only_rows, remembered, row_digest, row_key
 from sigmatide.session import qualified, staged
 
 MAX_EDITS = 0.2  # of an item's words
@@ -75,6 +75,9 @@ class _Powers:
     """Powers of the hash base and of its inverse modulo 2**64, as many as needed so far."""
 
     def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +92,7 @@ class _Powers:
 
 
 _POWERS = _Powers()
+remembered("powers", _POWERS.clear)
 
 
 def span_hashes(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +119,7 @@ class _Class:
     places: np.ndarray  # piece x position: number of the word in the vocabulary, -1 behind the end
     edits: np.ndarray  # of each piece, at most
     window: int  # words that a passage of any of the pieces spans at most
-    heads: list[list[np.ndarray]]  # repetition, symbol: which partial keys occur, by their top bits
+    heads: list[list[np.ndarray]]  # repetition, symbol: which partial keys occur, by their top bits, eight in a byte
     keys: list[np.ndarray]  # repetition: sorted keys
     owners: list[np.ndarray]  # and the piece of each
 
@@ -124,6 +128,11 @@ def _partial(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return _mix(key * _ODD + symbol)
 
 
+def _has(packed: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of these bits are set."""
+    return (packed[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8) & np.uint8(1)).view(bool)
+
+
 class ItemIndex:
     """LSH tables of a block of benchmark items; sent to the tasks, so blocks are bounded."""
 
@@ -193,7 +202,7 @@ class ItemIndex:
                     levels[level][found >> np.uint64(64 - FILTER_BITS)] = True
                 pos += ((self.bits(word, r) >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
             order = np.argsort(found, kind="stable")
-            heads.append(levels)
+            heads.append([np.packbits(level, bitorder="little") for level in levels])
             keys.append(found[order])
             owners.append(own[order])
         edits = np.array([self.allowed(n) for n in sizes.tolist()])
@@ -260,7 +269,7 @@ class ItemIndex:
             level = np.flatnonzero(steps == j)
             if len(level):
                 key = _partial(key, line[pos])
-                fits = c.heads[r][level[0]][key >> np.uint64(64 - FILTER_BITS)]
+                fits = _has(c.heads[r][level[0]], key >> np.uint64(64 - FILTER_BITS))
                 starts, pos, key = starts[fits], pos[fits], key[fits]
             moves = (self.bits(line[pos], r) >> np.uint64(j)) & np.uint64(1)
             pos = np.minimum(pos + moves.astype(np.int64), last)
@@ -351,16 +360,25 @@ def _indexes(benchmark: DataFrame, id_col: str, text_col: str, max_edits: float,
         if block:
             yield out()
 
-    return staged(documents_of(benchmark, id_col, text_col).mapInArrow(run, "items long, index binary"), "item-indexes")
+    return staged(documents_of(benchmark, id_col, text_col).mapInArrow(
+        in_worker(run, "powers"), "items long, index binary"), "item-indexes")
 
 
-@lru_cache(maxsize=2)
 def _index(file: str, row: int) -> ItemIndex:
-    """A written index; a worker keeps two."""
+    """A written index."""
     fs, path = pyarrow.fs.FileSystem.from_uri(file)
     return pickle.loads(pyarrow.parquet.read_table(path, columns=["index"], filesystem=fs).column("index")[row].as_py())
 
 
+@lru_cache(maxsize=1)
+def _reader(places: tuple[tuple[str, int], ...]) -> Callable[[str, int], ItemIndex]:
+    """What reads the written indexes of a search; a worker keeps two of them, and none of an earlier search."""
+    return lru_cache(maxsize=2)(_index)
+
+
+remembered("indexes", _reader.cache_clear)
+
+
 def find_benchmark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -403,12 +421,13 @@ def _search(source: DataFrame, places: list[tuple[str, int]], schema: str, item_
     chunk = CHUNK_BYTES if len(places) <= 2 else MANY_BLOCKS_CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _reader(tuple(places))
         for batch in batches:
             rows, texts, size = [], [], 0
             for n in range(batch.num_rows + 1):
                 if texts and (n == batch.num_rows or size >= chunk):
                     for place in places:
-                        index = _index(*place)
+                        index = read(*place)
                         for text, i, distance, a, b in _matches(index, texts):
                             rows.append((n - len(texts) + text, index.ids[i], distance,
                                          len(index.words[i]), texts[text][a:b].decode("utf-8", "replace")))
@@ -424,7 +443,7 @@ def _search(source: DataFrame, places: list[tuple[str, int]], schema: str, item_
                  pa.array(passage, pa.string())],
                 ["doc_id", "row", "item_id", "distance", "item_words", "passage"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(in_worker(run, "indexes", "powers"), schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigmatide.llm.common import RANK, documents_of, ranked
+from sigmatide.llm.common import RANK, documents_of, in_worker, ranked
 from sigmatide.llm.tokens import encoder
 from sigmatide.session import staged
 
@@ -59,7 +59,7 @@ def token_pieces(
     source = documents_of(docs, id_col, text_col)
     id_type = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(
-        run, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long")
+        in_worker(run, "encoders"), f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long")
 
 
 def _batch(rows: list[tuple], columns: list[str], id_type: pa.DataType) -> pa.RecordBatch:
@@ -163,7 +163,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return order.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return order.mapInArrow(in_worker(run, "encoders"), f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigmatide.llm.common import KEY, documents_of, only_rows, row_digest, row_key
+from sigmatide.llm.common import KEY, documents_of, in_worker, only_rows, row_digest, row_key
 from sigmatide.llm.decontaminate import plain, span_hashes, word_spans
 from sigmatide.session import staged
 
@@ -126,11 +126,12 @@ class Vocabulary:
         return np.divmod(pairs, max(1, len(self.order)))
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
+def _chunks(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, null ones as empty, a few at a time: as Python strings they would double a batch."""
     some, size = [], 0
     for text in texts:
-        some.append(text)
-        size += len(text)
+        some.append(text.as_py() or "")
+        size += len(some[-1])
         if size >= CHUNK_CHARS:
             yield some
             some, size = [], 0
@@ -243,7 +244,7 @@ def _model_words(rows: DataFrame) -> list[str]:
                 yield pa.RecordBatch.from_arrays([own], ["word"])
 
     least = WORD_PENALTY * rows.count()
-    counts = rows.select("text").mapInArrow(words, "word string").groupBy("word").count()
+    counts = rows.select("text").mapInArrow(in_worker(words), "word string").groupBy("word").count()
     return sorted(r["word"] for r in counts.filter(F.col("count") > least).select("word").collect())
 
 
@@ -253,7 +254,7 @@ def _features(rows: DataFrame, words: list[str]) -> DataFrame:
         vocabulary = Vocabulary(words) if words else None
         for batch in batches:
             forms, found = [], []
-            for some in _chunks(batch.column(0).to_pylist()):
+            for some in _chunks(batch.column(0)):
                 forms += shapes(some).tolist()
                 own = [[] for _ in some]
                 if vocabulary:
@@ -265,7 +266,7 @@ def _features(rows: DataFrame, words: list[str]) -> DataFrame:
                  pa.array(found, pa.list_(pa.int32()))], ["quality", "toxic", "shape", "places"])
 
     return rows.select("text", "quality", "toxic").mapInArrow(
-        run, "quality double, toxic double, shape array<double>, places array<int>")
+        in_worker(run, "powers"), "quality double, toxic double, shape array<double>, places array<int>")
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
@@ -382,14 +383,13 @@ def score(docs: DataFrame, model: EvidenceModel, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(4).to_pylist()]
-            p = np.concatenate([np.empty(0), *map(shared.value.good, _chunks(texts))])
+            p = np.concatenate([np.empty(0), *map(shared.value.good, _chunks(batch.column(4)))])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array(p, pa.float64())], ["doc_id", "row", "host", "path", "p"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     evidence = staged(rows.mapInArrow(
-        run, f"doc_id {id_type}, row long, host string, path string, p double"), "evidence")
+        in_worker(run, "powers"), f"doc_id {id_type}, row long, host string, path string, p double"), "evidence")
     sites = staged(site_totals(evidence), "sites")
     prior = site_priors(sites)
     joined = evidence.join(sites, ["host", "path"])

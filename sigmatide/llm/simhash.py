@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sigmatide.llm.common import documents_of, one_per_key, only_rows, row_digest, row_key
+from sigmatide.llm.common import documents_of, in_worker, one_per_key, only_rows, row_digest, row_key
 from sigmatide.llm.components import components
 from sigmatide.session import staged
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(
         "doc_id", row_digest(F.col("text")).alias("row"), F.col("text").cast("binary")
-    ).mapInArrow(run, f"doc_id {id_type}, row long, fp long")
+    ).mapInArrow(in_worker(run), f"doc_id {id_type}, row long, fp long")
 
 
 def _syndromes(values: np.ndarray) -> np.ndarray:
@@ -110,7 +110,7 @@ def _to_anchors(fps: DataFrame, spare: int) -> DataFrame:
                     [pa.array(anchor + (block << LENGTH)), pa.array(fp[at]),
                      pa.array(weight[syndrome[at], which] <= RADIUS)], ["anchor", "fp", "home"])
 
-    return fps.mapInArrow(run, "anchor long, fp long, home boolean")
+    return fps.mapInArrow(in_worker(run), "anchor long, fp long, home boolean")
 
 
 def _linked(home: np.ndarray, every: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -188,7 +188,7 @@ def _compare(anchored: DataFrame, max_bits: int) -> DataFrame:
 
     return (
         anchored.repartition("anchor").sortWithinPartitions("anchor")
-        .mapInArrow(run, "a long, b long")
+        .mapInArrow(in_worker(run), "a long, b long")
     )
 
 

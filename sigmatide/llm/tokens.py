@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from sigmatide.llm.common import remembered, trim
+
 # Encoded pieces that a worker remembers, in each of two generations; only speed depends on it.
 WORDS_KEPT = 200_000
 IDS_KEPT = 16  # ids of the pieces of a generation, in multiples of their number
@@ -121,7 +123,7 @@ class Encoder:
 
     def __call__(self, texts: Sequence[str] | pa.Array) -> Iterator[bytes]:
         """Ids of each text; a null text is empty."""
-        _trim()  # a worker may come from another stage
+        trim()
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(False).astype(np.int64))
         at = 0
@@ -130,7 +132,7 @@ class Encoder:
             end = max(at + 1, int(np.searchsorted(ends, before + (self.group or GROUP))))
             yield from self._group(texts.slice(at, end - at))
             at = end
-        _trim()
+        trim()
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
         """Pieces of the texts, without the space before them, and the row of each text there."""
@@ -258,12 +260,6 @@ class Encoder:
         return self.memory.add(pieces, ids, np.append(starts[1:], len(ids)))
 
 
-def _trim() -> None:
-    """Give unused memory back, that of Arrow's pool and, with the system pool, that of the C library."""
-    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
-        pool.release_unused()
-
-
 def _all(*conditions: pa.Array) -> np.ndarray:
     """Where all of the conditions hold."""
     return reduce(pc.and_, conditions).to_numpy(False)
@@ -273,3 +269,6 @@ def _all(*conditions: pa.Array) -> np.ndarray:
 def encoder(path: str, group: int | None = None, kept: int | None = None) -> Encoder:
     """One encoder for each file in a worker, with the ids of the library's plain call."""
     return Encoder(path, special=True, group=group, kept=kept)
+
+
+remembered("encoders", encoder.cache_clear)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,8 +14,11 @@ import corpus_pipeline
 from sigmatide.llm import decontaminate as de
 from sigmatide.llm import hilbert as hi
 from sigmatide.llm import language_id as la
+from sigmatide.llm import packing as pk
 from sigmatide.llm import quality as ql
 from sigmatide.llm import queries as qu
+from sigmatide.llm import simhash as sh
+from sigmatide.llm import tokens as tk
 
 from .conftest import LONG, ODD
 
@@ -355,6 +359,53 @@ def test_pipeline_stages(spark, small):
         map(tuple, out.select("doc_id", "start", "length", "ids_crc32").collect()))
 
 
+def test_a_worker_forgets_what_other_operators_remember(spark, make, monkeypatch):
+    """Stages follow each other in the same workers, whose memory would hold the tables of all of them."""
+    docs, tasks = make([(1, "a text", "en"), (2, None, "en")]), []
+    bench = spark.createDataFrame([(1, "other words")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kind, plain_map = type(docs), type(docs).mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, schema: tasks.append(f) or plain_map(df, f, schema))
+    ql.score(docs, ql.fit_evidence(docs, labels))
+    sh.simhash_dedup(docs)
+    before = len(tasks)
+    de.find_benchmark(docs, bench)
+    searches = tasks[before:]
+    before = len(tasks)
+    pk.token_pieces(docs, qu.PACK_TOKENIZER)
+    encoding = tasks[before:]
+    for task in tasks:
+        tk.encoder(qu.PACK_TOKENIZER)
+        de._reader((("file", 0),))
+        de._POWERS.upto(9)
+        assert list(task(iter([]))) is not None
+        assert tk.encoder.cache_info().currsize == (task in encoding)
+        assert de._reader.cache_info().currsize == (task is searches[-1])
+    assert len(de._POWERS.up) == len(de._POWERS.down) == 1 and len(searches) == 2 and len(encoding) == 1
+
+
+def test_indexes_of_an_earlier_search_are_forgotten(monkeypatch):
+    monkeypatch.setattr(de, "_index", lambda file, row: (file, row))
+    first = de._reader((("a", 0), ("a", 1)))
+    assert [first("a", 0), first("a", 1)] == [("a", 0), ("a", 1)] and first.cache_info().currsize == 2
+    second = de._reader((("b", 0),))
+    assert second.cache_info().currsize == 0 and de._reader((("b", 0),)) is second
+
+
+def test_an_index_has_a_bit_for_each_partial_key():
+    index = de.ItemIndex(planted(0.0)[0])
+    size = sum(level.nbytes for c in index.classes for levels in c.heads for level in levels)
+    assert size == sum(c.steps.size for c in index.classes) * (1 << de.FILTER_BITS) // 8
+    flags = np.random.default_rng(3).random(1 << de.FILTER_BITS) < 0.1
+    at = np.arange(1 << de.FILTER_BITS, dtype=np.uint64)
+    assert (de._has(np.packbits(flags, bitorder="little"), at) == flags).all()
+
+
+def test_texts_are_looked_at_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(ql, "CHUNK_CHARS", 5)
+    assert list(ql._chunks(pa.array(["abc", None, "de", "", "f"]))) == [["abc", "", "de"], ["", "f"]]
+
+
 def test_pipeline_of_nothing(spark, empty, tmp_path):
     for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
